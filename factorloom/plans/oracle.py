@@ -13,9 +13,9 @@ def r(expr: str) -> str:
 # name -> (names it reads, body)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "px": ((), f"SELECT {SYM.format('l_suppkey')} AS symbol, {MONTH} AS d, "
-               "round(sum(l_extendedprice)/sum(l_quantity),8) AS price FROM lineitem GROUP BY 1,2"),
+               "sum(l_extendedprice)/sum(l_quantity)/7 AS price FROM lineitem GROUP BY 1,2"),
     "px_day": ((), f"SELECT {SYM.format('l_suppkey')} AS symbol, CAST(l_shipdate AS DATE) AS d, "
-                   "round(sum(l_extendedprice)/sum(l_quantity),8) AS price FROM lineitem GROUP BY 1,2"),
+                   "sum(l_extendedprice)/sum(l_quantity)/7 AS price FROM lineitem GROUP BY 1,2"),
     "fx": ((), f"""SELECT {SYM.format('l_suppkey')} AS symbol, {MONTH} AS d,
         CASE WHEN (l_suppkey + month({MONTH})) % 17 = 0 THEN NULL ELSE round(avg(l_discount),10) END AS f_disc,
         sum(l_quantity) AS f_qty, round(avg(l_tax),10) AS f_tax,
@@ -33,7 +33,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "pool": (("fx",), "SELECT symbol, d, f_qty >= avg(f_qty) OVER (PARTITION BY d) AS member FROM fx"),
     "sparse": (("fx",), "SELECT symbol, CAST(d + INTERVAL 14 DAY AS DATE) AS d, f_disc, f_qty, f_tax, f_ret "
                         "FROM fx WHERE month(d) % 3 = 0"),
-    "benchmark": (("px",), "SELECT d, round(avg(price),8) AS value FROM px GROUP BY d"),
+    "benchmark": (("px",), "SELECT d, avg(price) AS value FROM px GROUP BY d"),
     "sess": (("px",), "SELECT d, row_number() OVER (ORDER BY d) AS idx FROM (SELECT DISTINCT d FROM px)"),
     "pxi": (("px", "sess"), "SELECT p.symbol, p.d, s.idx, p.price FROM px p JOIN sess s ON s.d = p.d"),
     # every month is both signal and session: entry one session on, exit two
