@@ -123,7 +123,7 @@ def group_quantile(df: DataFrame, by: Sequence[str], value: str, probabilities:
     for name, p in probabilities.items():
         place = (F.col("q_n") - 1) * p
         low = F.floor(place)
-        at = F.col("q_pos") - 1
-        weight = F.when(at == low, 1 - (place - low)).when(at == low + 1, place - low)
-        outputs.append(F.sum(F.when(weight.isNotNull(), F.col(value) * weight)).alias(name))
+        below = F.max(F.when(F.col("q_pos") - 1 == low, F.col(value)))
+        above = F.max(F.when(F.col("q_pos") - 2 == low, F.col(value)))
+        outputs.append((below + F.coalesce((above - below) * F.max(place - low), F.lit(0.0))).alias(name))
     return ranked.groupBy(*by).agg(*outputs)

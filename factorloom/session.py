@@ -23,6 +23,7 @@ def local_session(app: str = "factorloom", cores: str = "8", partitions: int = 8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
