@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from factorloom.functions.columns import transaction_fee
 from factorloom.operators import ic
 from factorloom.operators.calendar import calendar_broadcast
+from factorloom.operators.series import last_known_many
 
 
 def items(row: DataFrame, names: Sequence[str], key: str = "item") -> DataFrame:
@@ -70,3 +71,27 @@ def daily_flag(rows: DataFrame, flag: str) -> DataFrame:
     clash = F.raise_error(F.concat(F.lit(f"conflicting {flag} on "), F.first("d").cast("string"))).cast("boolean")
     mixed = (low != high) | (F.count(flag).between(1, F.count(F.lit(1)) - 1))
     return rows.groupBy("d").agg(F.when(mixed, clash).otherwise(F.coalesce(high, F.lit(False))).alias(flag))
+
+
+def mark_to_market(book: DataFrame, closes: DataFrame) -> DataFrame:
+    """Value per date at the last valid close at or before it, else at cost. ``book``: d, symbol, shares, avg_cost."""
+    valued = book.join(last_known_many(closes, book, "close"), ["d", "symbol"])
+    price = F.coalesce("close", "avg_cost")
+    return valued.groupBy("d").agg(F.sum(F.col("shares") * price).alias("value"),
+                                   F.count(F.when(F.col("close").isNull(), 1)).alias("at_cost"))
+
+
+def consistency(daily: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(check, value, passed) rows for a portfolio curve."""
+    rows = daily.join(calendar_broadcast(calendar), "d")
+    facts = rows.agg(
+        F.count(F.when(F.col("nav").isNull() | F.isnan("nav"), 1)).cast("double").alias("nonfinite_assets"),
+        F.count("nav").cast("double").alias("same_dates"), F.count("gross_nav").cast("double").alias("_gross_dates"),
+        (F.max_by("gross_nav", "d") - F.max_by("nav", "d")).alias("no_fee_not_below_net"),
+        F.max(F.abs("net_return")).alias("max_abs_return"),
+        F.min(F.when(F.col("turnover") > 0, F.col("idx"))).cast("double").alias("first_trade_on_first_session"))
+    tests = {"nonfinite_assets": F.col("nonfinite_assets") == 0, "same_dates": F.col("same_dates") == F.col("_gross_dates"),
+             "no_fee_not_below_net": F.col("no_fee_not_below_net") >= 0, "max_abs_return": F.col("max_abs_return").isNotNull(),
+             "first_trade_on_first_session": F.col("first_trade_on_first_session") == 1}
+    return facts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("value"), t.alias("passed"))
+                                            for k, t in tests.items()])).alias("c")).select("c.*")

@@ -121,9 +121,24 @@ def group_quantile(df: DataFrame, by: Sequence[str], value: str, probabilities:
     ranked = add_rank(df.where(F.col(value).isNotNull()).select(*by, value, *tie), by, value, tie, "q", slices=slices)
     outputs = []
     for name, p in probabilities.items():
-        place = (F.col("q_n") - 1) * p
+        place = F.round((F.col("q_n") - 1) * p, 9)  # 0.9 * 30 must be 27, not a hair beside it
         low = F.floor(place)
         below = F.max(F.when(F.col("q_pos") - 1 == low, F.col(value)))
         above = F.max(F.when(F.col("q_pos") - 2 == low, F.col(value)))
         outputs.append((below + F.coalesce((above - below) * F.max(place - low), F.lit(0.0))).alias(name))
     return ranked.groupBy(*by).agg(*outputs)
+
+
+def even_sample(df: DataFrame, order: Sequence[str], size: int, slices: int | None = None) -> DataFrame:
+    """``size`` rows evenly spaced over the whole ordered frame, both ends included; all rows if there are fewer.
+
+    The overall numbering is one group, so it takes the sliced form as soon as it passes the window bound.
+    """
+    lead, *rest = order
+    ranked = add_rank(df, (), lead, rest, "_e", slices=slices)
+    step, last = F.col("_e_n") - 1, size - 1
+    at = F.col("_e_pos") - 1
+    # row i is taken if some k in 0..size-1 has floor(k*step/last) = i, i.e. the k at or after i*last/step
+    k = F.floor((at * last + step - 1) / step).cast("long")
+    taken = (F.col("_e_n") <= size) | (F.floor(k * step / last) == at)
+    return drop_rank(ranked.where(taken), "_e")

@@ -10,6 +10,7 @@ from factorloom.functions.columns import quarter_name
 from factorloom.operators import ic
 from factorloom.operators.calendar import calendar_broadcast
 from factorloom.operators.ranking import add_rank, percent
+from factorloom.operators.series import compounded
 
 HIGH, LOW, LEAST_NAMES = 0.8, 0.2, 10
 SELL_CONFIRMATIONS = 2
@@ -92,7 +93,7 @@ def benchmark_features(benchmark: DataFrame, window: int = 20) -> DataFrame:
     recent = order.rowsBetween(-(window - 1), 0)
     rows = benchmark.select("d", (F.col("value") / F.lag("value").over(order) - 1).alias("_r"))
     return rows.select("d", F.stddev_pop("_r").over(recent).alias("benchmark_volatility"),
-                       (F.exp(F.sum(F.log1p("_r")).over(recent)) - 1).alias("benchmark_return"))
+                       F.when(F.count("_r").over(recent) > 0, compounded(F.col("_r"), recent) - 1).alias("benchmark_return"))
 
 
 def horizon_labels(returns: DataFrame, horizon: int, styles: Sequence[str]) -> DataFrame:
@@ -103,7 +104,7 @@ def horizon_labels(returns: DataFrame, horizon: int, styles: Sequence[str]) -> D
     calendar = returns.select("d").distinct().withColumn("idx", F.row_number().over(Window.orderBy("d")))
     rows = returns.join(calendar_broadcast(calendar), "d")
     ahead = Window.partitionBy("style").orderBy("idx").rangeBetween(0, horizon - 1)
-    spans = rows.select("d", "style", (F.exp(F.sum(F.log1p("style_return")).over(ahead)) - 1).alias("target"),
+    spans = rows.select("d", "style", (compounded(F.col("style_return"), ahead) - 1).alias("target"),
                         F.count("style_return").over(ahead).alias("_n"),
                         F.max("style_exit_date").over(ahead).alias("_exit"))
     whole = spans.where(F.col("_n") == horizon).groupBy("d").agg(F.count(F.lit(1)).alias("_styles"),

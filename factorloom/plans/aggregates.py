@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from factorloom.functions import columns as c
 from factorloom.operators import align, calendar, cross_section as xs, gram, ic, quality, style
-from factorloom.plans.inputs import FACTORS, data, predictions
+from factorloom.plans.inputs import FACTORS, data, kept, predictions
 from factorloom.plans.oracle import r, sql
 from factorloom.plans.registry import query
 from factorloom.plans.scalars import FEE_SQL
@@ -180,7 +180,7 @@ def style_rows(p):
 
 
 def style_returns(p):
-    return style.style_returns(style_rows(p), slices=p.slices())
+    return kept(style.style_returns(style_rows(p), slices=p.slices()))
 
 
 @query("e12_style_returns", sql(f"""SELECT d, style, {r('style_return')} AS style_return, style_entry_date, style_exit_date FROM sret""",

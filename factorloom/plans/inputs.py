@@ -10,6 +10,11 @@ from factorloom.sources.derived import Panels
 FACTORS = ["f_disc", "f_qty", "f_tax", "f_ret"]
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Keep a calendar-sized result (one row per date and style or model) that feeds several branches."""
+    return df.persist()
+
+
 def data(p: Panels) -> DataFrame:
     """Factor panel with next-period labels."""
     fx = p.fx()
