@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DateType
 
 from factorloom.functions.columns import CALENDAR_DAYS, TRADING_DAYS, period_key
+from factorloom.session import materialise
 
 
 def calendar_broadcast(df: DataFrame, date: str = "d") -> DataFrame:
@@ -19,9 +20,12 @@ def calendar_broadcast(df: DataFrame, date: str = "d") -> DataFrame:
 
 
 def sessions(prices: DataFrame, date: str = "d") -> DataFrame:
-    """(d, idx): distinct dates numbered from 1."""
-    return prices.select(F.col(date).alias("d")).distinct().withColumn(
-        "idx", F.row_number().over(Window.orderBy("d")))
+    """(d, idx): distinct dates numbered from 1.
+
+    Written once: a calendar feeds many joins, and reading the dates again for each would scan the prices again.
+    """
+    return materialise(prices.select(F.col(date).alias("d")).distinct().withColumn(
+        "idx", F.row_number().over(Window.orderBy("d"))))
 
 
 def session_before(dates: DataFrame, calendar: DataFrame, name: str = "pos") -> DataFrame:
@@ -54,9 +58,10 @@ def holding_dates(signal_dates: DataFrame, calendar: DataFrame) -> DataFrame:
     entry = calendar.select(F.col("idx").alias("_in"), F.col("d").alias("_entry"))
     exit_ = calendar.select(F.col("idx").alias("exit_idx"), F.col("d").alias("label_exit_date"))
     ok = F.col("label_exit_date").isNotNull()  # a known exit implies a known entry
-    return (spans.join(entry, "_in", "left").join(exit_, "exit_idx", "left")
-            .select("d", F.when(ok, F.col("_in")).alias("entry_idx"), F.when(ok, F.col("exit_idx")).alias("exit_idx"),
-                    F.when(ok, F.col("_entry")).alias("label_entry_date"), "label_exit_date"))
+    return materialise(
+        spans.join(entry, "_in", "left").join(exit_, "exit_idx", "left")
+        .select("d", F.when(ok, F.col("_in")).alias("entry_idx"), F.when(ok, F.col("exit_idx")).alias("exit_idx"),
+                F.when(ok, F.col("_entry")).alias("label_entry_date"), "label_exit_date"))
 
 
 def changed_sessions(prices: DataFrame, date: str = "d", symbol: str = "symbol", price: str = "price") -> DataFrame:

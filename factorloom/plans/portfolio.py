@@ -139,11 +139,11 @@ def account_performance(p):
     return portfolio.account_performance(asset, p.benchmark())
 
 
-@query("j08_equal_weight_benchmark", sql(f"""SELECT d, {r('ret')} AS ret, {r('100*product(1+ret) OVER (ORDER BY d)')} AS value FROM (
+@query("j08_equal_weight_benchmark", sql(f"""SELECT d, {r('ret')} AS ret, round(100*product(1+ret) OVER (ORDER BY d), 3)+0.0 AS value FROM (
     SELECT x.d, coalesce(avg(CASE WHEN m.member THEN x.price/a.price-1 END), 0) AS ret FROM pxi x LEFT JOIN pxi a ON a.symbol = x.symbol AND a.idx = x.idx-1
     LEFT JOIN pool m ON m.symbol = a.symbol AND m.d = a.d GROUP BY x.d)""", "pxi", "pool"))
 def equal_weight_benchmark(p):
-    return portfolio.equal_weight_benchmark(p.px(), p.pool().where("member"))
+    return portfolio.equal_weight_benchmark(p.px(), p.pool().where("member")).withColumn("value", F.round("value", 3))
 
 
 @query("j09_exposure_overlay")
@@ -160,12 +160,12 @@ def corporate_actions(p):
     return portfolio.corporate_actions(prior_holdings(p), p.adj())
 
 
-@query("j11_mark_to_market", sql(f"""SELECT d, {r('sum(v)')} AS value, count(*) FILTER (WHERE at_cost) AS at_cost FROM (
+@query("j11_mark_to_market", sql(f"""SELECT d, round(sum(v),4)+0.0 AS value, count(*) FILTER (WHERE at_cost) AS at_cost FROM (
     SELECT h.d, 100*coalesce(c.price, 500) AS v, c.price IS NULL AS at_cost FROM held h ASOF LEFT JOIN (SELECT * FROM px_day WHERE month(d) <> 2) c
       ON c.symbol = h.symbol AND c.d <= h.d) GROUP BY d""", "fx", "px_day", extra={"held": HELD}))
 def mark_to_market(p):
     book = prior_holdings(p).withColumns({"shares": F.lit(100), "avg_cost": F.lit(500.0)})
-    return quality.mark_to_market(book, p.px_day().where(F.month("d") != 2).withColumnRenamed("price", "close"))
+    return quality.mark_to_market(book, p.px_day().where(F.month("d") != 2).withColumnRenamed("price", "close")).withColumn("value", F.round("value", 4))
 
 
 TRADES = """SELECT l_orderkey AS order_id, l_linenumber AS line, CAST(o_orderdate AS DATE) AS buy_date, CAST(l_shipdate AS DATE) AS sell_date,

@@ -201,7 +201,10 @@ CONTRIB = """SELECT e.d, e.symbol, e.style, e.x * f.momentum_5 AS x FROM lg e JO
     SELECT d, symbol, buy, sell, CASE WHEN buy >= 1 THEN bull + 0.05::DOUBLE*buy END AS p FROM (
       SELECT c.d, c.symbol, count(*) FILTER (WHERE x >= u AND x > 0) AS buy, count(*) FILTER (WHERE x <= l AND x < 0) AS sell,
         sum(CASE WHEN x >= u AND x > 0 THEN x ELSE 0 END) AS bull FROM ct c JOIN (
-          SELECT d, style, quantile_cont(x, 0.9::DOUBLE) AS u, quantile_cont(x, 0.1::DOUBLE) AS l FROM ct GROUP BY d, style) k
+          SELECT d, style, max(x) FILTER (WHERE k-1 = floor(hi)) + coalesce((max(x) FILTER (WHERE k-2 = floor(hi)) - max(x) FILTER (WHERE k-1 = floor(hi)))*max(hi-floor(hi)), 0) AS u,
+            max(x) FILTER (WHERE k-1 = floor(lo)) + coalesce((max(x) FILTER (WHERE k-2 = floor(lo)) - max(x) FILTER (WHERE k-1 = floor(lo)))*max(lo-floor(lo)), 0) AS l
+          FROM (SELECT *, round((n-1)*0.9::DOUBLE, 9) AS hi, round((n-1)*0.1::DOUBLE, 9) AS lo FROM (SELECT *, row_number() OVER (PARTITION BY d, style ORDER BY x, symbol) AS k,
+            count(*) OVER (PARTITION BY d, style) AS n FROM ct)) GROUP BY d, style) k
         ON k.d = c.d AND k.style = c.style GROUP BY c.d, c.symbol))""", "data", extra={**STYLE_CTES, **STD, "lg": LONG, "ft": FEATURES, "ct": CONTRIB}))
 def consensus_votes(p):
     forecast = timing(p).select("d", "style", F.col("momentum_5").alias("w")).where("w IS NOT NULL")
