@@ -17,6 +17,12 @@ from factorloom.operators.ranking import add_rank, bucket, drop_rank, group_quan
 TINY = 1e-12
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Correlation of two columns that are null together; null, not an error, where one is flat."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.try_divide(F.covar_pop(x, y), F.when(spread > 0, spread))
+
+
 def with_stats(df: DataFrame, by: Sequence[str], *stats: Column) -> DataFrame:
     """Attach group aggregates. Groups of a date and driver-known names are calendar-sized and broadcast."""
     table = df.groupBy(*by).agg(*stats)

@@ -72,3 +72,24 @@ def linear_score(columns: Sequence[str], coefficients: Sequence[float], intercep
     for name, weight in zip(columns, coefficients):
         out = out + F.col(name) * F.lit(float(weight))
     return out
+
+
+def solve_elastic(gram: np.ndarray, rhs: np.ndarray, alpha: float, l1_ratio: float, sweeps: int = 5000,
+                  tolerance: float = 1e-10) -> np.ndarray:
+    """Minimise b'Gb/2 - r'b + alpha*l1_ratio*|b|_1 + alpha*(1-l1_ratio)*|b|^2/2 one coordinate at a time.
+
+    ``gram`` and ``rhs`` are means over rows of centred columns.
+    """
+    b = np.zeros(len(rhs))
+    soft, ridge = alpha * l1_ratio, alpha * (1 - l1_ratio)
+    for _ in range(sweeps):
+        biggest = 0.0
+        for j in range(len(b)):
+            if gram[j, j] + ridge <= 0:
+                continue
+            pull = rhs[j] - gram[j] @ b + gram[j, j] * b[j]
+            new = np.sign(pull) * max(abs(pull) - soft, 0.0) / (gram[j, j] + ridge)
+            biggest, b[j] = max(biggest, abs(new - b[j])), new
+        if biggest < tolerance:
+            break
+    return b

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factorloom.functions.columns import quarter_name
 from factorloom.operators.calendar import calendar_broadcast
-from factorloom.operators.cross_section import TINY
+from factorloom.operators.cross_section import TINY, correlation
 from factorloom.operators.ranking import add_rank, average, bucket, needs_slices, percent
 from factorloom.operators.series import at_offset
 
@@ -30,8 +30,8 @@ def _guarded(value: Column, least: int) -> Column:
 
 
 def ic_columns(least: int = 2) -> list[Column]:
-    return [_guarded(F.corr(average("rp"), average("rl")), least).alias("rank_ic"),
-            _guarded(F.corr("_p", "_l"), least).alias("pearson_ic"), F.count("_p").alias("stock_count"),
+    return [_guarded(correlation(average("rp"), average("rl")), least).alias("rank_ic"),
+            _guarded(correlation("_p", "_l"), least).alias("pearson_ic"), F.count("_p").alias("stock_count"),
             F.stddev_samp("_p").alias("prediction_std"), F.stddev_samp("_l").alias("label_std")]
 
 
@@ -135,7 +135,7 @@ def pooled_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                                         F.col(b).cast("double").alias("yv")) for a, b in pairs]))
     long = df.select("d", "symbol", legs.alias("leg")).select("d", "symbol", "leg.*")
     ranked = ranked_pairs(long, ("x", "y"), "xv", "yv", ("d", "symbol"))
-    half = ranked.groupBy("x", "y").agg(F.corr(average("rp"), average("rl")).alias("spearman"), F.count("_p").alias("n"))
+    half = ranked.groupBy("x", "y").agg(correlation(average("rp"), average("rl")).alias("spearman"), F.count("_p").alias("n"))
     return half
 
 

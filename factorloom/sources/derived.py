@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factorloom.operators.ranking import needs_slices
 
 
-def padded(c) -> F.Column:
+def padded(c: Column) -> Column:
     return F.lpad(c.cast("string"), 6, "0")
 
 
-def month_of(c):
+def month_of(c: Column) -> Column:
     return F.trunc(c.cast("date"), "month")
 
 
