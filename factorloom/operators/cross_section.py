@@ -13,6 +13,7 @@ from factorloom.functions.columns import clip, finite, is_infinite
 from factorloom.operators.align import with_industry
 from factorloom.operators.calendar import calendar_broadcast
 from factorloom.operators.ranking import add_rank, bucket, drop_rank, group_quantile, needs_slices, percent
+from factorloom.operators.spread import attach
 
 TINY = 1e-12
 
@@ -73,7 +74,7 @@ def neutralise(rows: DataFrame, mapping: DataFrame, score: str = "score") -> Dat
     gap = F.raise_error(F.concat(F.lit("no industry for "), F.col("symbol"))).cast("string")
     covered = known.withColumn("industry", F.when(F.col("industry").isNull(), gap).otherwise(F.col("industry").cast("string")))
     means = covered.groupBy("d", "industry").agg(F.avg(score).alias("_mean"))
-    centred = covered.join(means, ["d", "industry"]).withColumn("_c", F.col(score) - F.col("_mean"))
+    centred = attach(covered, means, ["d", "industry"]).withColumn("_c", F.col(score) - F.col("_mean"))
     scaled = with_stats(centred, ("d",), F.stddev_pop(score).alias("_raw"), F.stddev_pop("_c").alias("_new"))
     factor = F.when(F.col("_new") > TINY, F.col("_raw") / F.col("_new")).otherwise(1.0)
     return scaled.withColumn("neutral", F.col("_c") * factor).drop("_mean", "_c", "_raw", "_new")

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from factorloom.operators.spread import attach
 from factorloom.session import materialise, max_group_rows
 
 
@@ -58,8 +59,10 @@ def _by_slices(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str],
                        .withColumn("_slice", F.spark_partition_id()))
     sizes = laid.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
     # as many rows as slices a group touches
-    ahead = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*by, "_slice", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before"))
+    group = Window.partitionBy(*by)
+    ahead = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "_slice", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before"),
+                           F.sum("_rows").over(group).alias(names["n"]))
     local = Window.partitionBy(*by, "_slice").orderBy(*_order(value, tie, ascending))
     numbered = (laid.withColumn("_local", F.row_number().over(local)).join(offsets, [*by, "_slice"])
                 .withColumn(names["pos"], F.col("_local") + F.col("_before")).drop("_local", "_before"))
@@ -68,15 +71,14 @@ def _by_slices(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str],
     tied = Window.partitionBy(*by, value)
     extents = per_slice.select(*by, "_slice", value, F.min("_lo").over(tied).alias(names["lo"]),
                                F.max("_hi").over(tied).alias(names["hi"]))
-    ranked = numbered.join(extents, [*by, "_slice", value]).drop("_slice")
+    ranked = numbered.join(extents, [*by, "_slice", value]).select(*df.columns, *names.values())
     unknown = df.where(F.col(value).isNull()).withColumns(
         {names[k]: F.lit(None).cast("long") for k in ("pos", "lo", "hi")})
-    everything = ranked.select(*df.columns, *[names[k] for k in ("pos", "lo", "hi")]).unionByName(unknown)
     if not by:
-        return everything.withColumn(names["n"], F.lit(laid.count()))
-    total = laid.groupBy(*by).agg(F.count(F.lit(1)).alias(names["n"]))
-    joined = everything.join(total, list(by), "left")
-    return joined.withColumn(names["n"], F.coalesce(names["n"], F.lit(0)))
+        return ranked.unionByName(unknown.withColumn(names["n"], F.lit(laid.count())))
+    totals = offsets.select(*by, names["n"]).distinct()
+    counted = attach(unknown, totals, by, spread=tie[0] if tie else value, how="left")
+    return ranked.unionByName(counted.withColumn(names["n"], F.coalesce(names["n"], F.lit(0))))
 
 
 def add_rank(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str] = ("symbol",), prefix: str = "rk",

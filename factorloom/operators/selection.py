@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from factorloom.operators.calendar import calendar_broadcast
 from factorloom.operators.cross_section import with_stats, zscore
 from factorloom.operators.ranking import add_rank, drop_rank, percent
+from factorloom.operators.spread import attach
 
 
 def style_score(exposures: DataFrame, weights: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def equal_industry_budget(weighted: DataFrame, industries: DataFrame) -> DataFra
     budget = rows.groupBy("d", "industry").agg(F.sum("weight").alias("_sum"))
     count = budget.groupBy("d").agg(F.count(F.lit(1)).alias("_industries"))
     shares = budget.join(calendar_broadcast(count), "d")
-    return (rows.join(shares, ["d", "industry"])
+    return (attach(rows, shares, ["d", "industry"])
             .withColumn("weight", F.col("weight") / F.col("_sum") / F.col("_industries")).drop("_sum", "_industries"))
 
 

@@ -35,8 +35,6 @@ def shared_root(spark: SparkSession) -> str:
         root = spark.sparkContext.getCheckpointDir()
     if not root:  # only where no cluster setting exists, as in tests
         root = os.path.join(tempfile.gettempdir(), "factorloom")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
     return root
 
 
@@ -45,9 +43,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors and cuts the lineage."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a parquet table in the shared folder and read it back.
+
+    The table survives the loss of executors and cuts the lineage; unlike a checkpoint's rows it is columnar,
+    so later reads are pruned, and its size is known to the planner.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def max_group_rows(spark: SparkSession) -> int:
