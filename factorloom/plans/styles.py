@@ -165,7 +165,7 @@ def in_quarter(table):
 @query("i27_style_timers")
 def style_timers(p):
     styles, _, _, table = timing_rows(p)
-    train = kept(timing.weighted_training(table, QUARTER[0], "label_exit_date", margin=True))
+    train = kept(timing.weighted_training(table, QUARTER[0], "label_exit_date", margin=True)).coalesce(1)  # one row per date
     test = in_quarter(table)
     features = timing.feature_names(styles)[:-1]
     out = {"equal_weight": timing.equal_weights(test, styles),
@@ -184,7 +184,7 @@ def dual_forecasts(p, table, styles):
     fits, frames = {}, []
     for h in timing.HORIZONS:
         train = kept(timing.weighted_training(table, QUARTER[0], f"label_exit_date_{h}"))
-        model, features, trees, validation = timing.fit_horizon(train, styles, h, trees=4)
+        model, features, trees, validation = timing.fit_horizon(train, styles, h, trees=3)
         fits[h] = (trees, validation)
         frames.append(timing.forecast(model, features, in_quarter(table), styles, f"forecast_{h}"))
     return frames[0].join(frames[1], ["d", "style"]), fits
