@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from factorloom.operators.calendar import calendar_broadcast, holding_dates, session_before, sessions, with_index
-from factorloom.operators.series import last_known_many
+from factorloom.operators.series import at_offset, last_known_many
 
 
 def require_unique(df: DataFrame, keys: tuple[str, ...] = ("d", "symbol")) -> DataFrame:
@@ -20,9 +20,12 @@ def duplicate_keys(df: DataFrame, keys: tuple[str, ...] = ("d", "symbol")) -> Da
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def labels(prices: DataFrame, keys: DataFrame) -> DataFrame:
-    """Return from the session after a signal to the session after the next signal, per (d, symbol) of ``keys``."""
-    cal = sessions(prices)
+def labels(prices: DataFrame, keys: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
+    """Return from the session after a signal to the session after the next signal, per (d, symbol) of ``keys``.
+
+    Here and below ``calendar`` saves taking the sessions from the prices again.
+    """
+    cal = sessions(prices) if calendar is None else calendar
     spans = holding_dates(keys, cal)
     priced = with_index(prices.select("d", "symbol", "price"), cal)
     buy = priced.select(F.col("idx").alias("entry_idx"), "symbol", F.col("price").alias("_buy"))
@@ -47,14 +50,13 @@ def signals_on_sessions(signals: DataFrame, calendar: DataFrame, value: str) ->
     return placed.groupBy("session", "symbol").agg(kept.alias(value)).withColumnRenamed("session", "d")
 
 
-def forward_by_signal(signals: DataFrame, prices: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+def forward_by_signal(signals: DataFrame, prices: DataFrame, horizons: tuple[int, ...],
+                      calendar: DataFrame | None = None) -> DataFrame:
     """(d, symbol, horizon, forward_return): first session after d in, h sessions later out.
 
     Returns are worked out once per (symbol, entry session) for all horizons, then joined to the signals.
     """
-    from factorloom.operators.series import at_offset
-
-    cal = sessions(prices)
+    cal = sessions(prices) if calendar is None else calendar
     priced = with_index(prices.select("d", "symbol", "price"), cal)
     stacked = ", ".join(f"{h}, r{h}" for h in horizons)
     returns = (priced.select("symbol", F.col("idx").alias("entry_idx"),
@@ -66,9 +68,9 @@ def forward_by_signal(signals: DataFrame, prices: DataFrame, horizons: tuple[int
             .selectExpr("d", "symbol", f"stack({len(horizons)}, {stacked}) AS (horizon, forward_return)"))
 
 
-def carried_to_sessions(signals: DataFrame, prices: DataFrame, value: str) -> DataFrame:
+def carried_to_sessions(signals: DataFrame, prices: DataFrame, value: str, calendar: DataFrame | None = None) -> DataFrame:
     """Signals entered on the next session and carried on, on every session a symbol is priced."""
-    cal = sessions(prices)
+    cal = sessions(prices) if calendar is None else calendar
     mapped = session_before(signals, cal).select("d", (F.col("pos") + 1).alias("idx"))
     entered = (signals.join(calendar_broadcast(mapped), "d").groupBy("idx", "symbol")
                .agg(F.max_by(value, "d").alias(value)))

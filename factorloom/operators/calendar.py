@@ -58,7 +58,7 @@ def holding_dates(signal_dates: DataFrame, calendar: DataFrame) -> DataFrame:
     entry = calendar.select(F.col("idx").alias("_in"), F.col("d").alias("_entry"))
     exit_ = calendar.select(F.col("idx").alias("exit_idx"), F.col("d").alias("label_exit_date"))
     ok = F.col("label_exit_date").isNotNull()  # a known exit implies a known entry
-    return materialise(
+    return (
         spans.join(entry, "_in", "left").join(exit_, "exit_idx", "left")
         .select("d", F.when(ok, F.col("_in")).alias("entry_idx"), F.when(ok, F.col("exit_idx")).alias("exit_idx"),
                 F.when(ok, F.col("_entry")).alias("label_entry_date"), "label_exit_date"))

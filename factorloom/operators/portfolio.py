@@ -13,6 +13,7 @@ from factorloom.operators.calendar import calendar_broadcast, session_before, se
 from factorloom.operators.ranking import add_rank, bucket
 from factorloom.operators.selection import top_n, weights
 from factorloom.operators.series import at_offset, compounded, running
+from factorloom.session import materialise
 
 RISK_FREE = 0.02
 METRICS = ("annual_return", "annual_volatility", "sharpe", "max_drawdown", "calmar", "win_rate", "profit_loss_ratio",
@@ -113,7 +114,8 @@ def rebalance_targets(scores: DataFrame, frequency: str, n: int, mode: str = "sc
     return weights(top_n(due, n), mode, slices=slices).select("d", "symbol", "weight")
 
 
-def drifting_portfolio(targets: DataFrame, returns: DataFrame, commission: float = 0.0003, stamp: float = 0.0005) -> DataFrame:
+def drifting_portfolio(targets: DataFrame, returns: DataFrame, commission: float = 0.0003, stamp: float = 0.0005,
+                       calendar: DataFrame | None = None) -> DataFrame:
     """Daily gross, cost, net, turnover and NAV of target weights that drift until the next rebalance.
 
     ``targets``: d, symbol, weight on rebalance dates. ``returns``: d, symbol, ret, where a missing return is 0.
@@ -121,10 +123,11 @@ def drifting_portfolio(targets: DataFrame, returns: DataFrame, commission: float
     date, so no date waits for another; turnover compares each period's targets with the drifted weights
     at the end of the period before.
     """
-    cal = sessions(returns)
+    cal = sessions(returns) if calendar is None else calendar
+    targets = materialise(targets)
     starts = targets.select("d").distinct().withColumn("period", F.row_number().over(Window.orderBy("d")))
     period_of = session_before(cal, starts.withColumnRenamed("period", "idx"), "period").where("period > 0")
-    days = with_index(period_of, cal).select("d", "idx", "period")
+    days = materialise(with_index(period_of, cal).select("d", "idx", "period"))
     held = targets.join(calendar_broadcast(starts), "d").select("period", "symbol", "weight")
     # every date of the period for every held name; absent returns count as 0
     grid = (held.join(F.broadcast(days), "period")
@@ -132,6 +135,7 @@ def drifting_portfolio(targets: DataFrame, returns: DataFrame, commission: float
             .withColumn("ret", F.coalesce("ret", F.lit(0.0))))
     before = Window.partitionBy("period", "symbol").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     grown = grid.withColumn("grown", F.col("weight") * F.coalesce(compounded(F.col("ret"), before), F.lit(1.0)))
+    grown = materialise(grown)
     per_day = grown.groupBy("period", "idx", "d").agg(F.sum("grown").alias("total"),
                                                       F.sum(F.col("grown") * F.col("ret")).alias("_earned"),
                                                       F.count(F.when(F.col("grown") > 0, 1)).alias("holding_count"))
@@ -178,9 +182,10 @@ def constrain(rows: DataFrame, no_trade: float, max_turnover: float, max_drawdow
     return out.withColumn("constrained", F.greatest(target, F.lit(0.0))).drop("_delta", "_turnover")
 
 
-def equal_weight_benchmark(prices: DataFrame, eligible: DataFrame, base: float = 100.0) -> DataFrame:
+def equal_weight_benchmark(prices: DataFrame, eligible: DataFrame, base: float = 100.0,
+                           calendar: DataFrame | None = None) -> DataFrame:
     """(d, ret, value): mean change of names that were eligible and priced on the session before."""
-    cal = sessions(prices)
+    cal = sessions(prices) if calendar is None else calendar
     rows = with_index(prices.select("d", "symbol", "price"), cal)
     mark = eligible.select("d", "symbol", F.lit(True).alias("eligible"))
     joined = rows.join(mark, ["d", "symbol"], "left").withColumn("_ok", F.coalesce("eligible", F.lit(False)).cast("int"))
@@ -191,9 +196,9 @@ def equal_weight_benchmark(prices: DataFrame, eligible: DataFrame, base: float =
     return daily.withColumn("value", compounded(F.col("ret"), path) * base)
 
 
-def corporate_actions(holdings: DataFrame, adj: DataFrame) -> DataFrame:
+def corporate_actions(holdings: DataFrame, adj: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """Held names whose adjustment factor moved since the session before, with the share ratio."""
-    rows = with_index(adj, sessions(adj)).withColumn("old_adj", at_offset("adj", -1))
+    rows = with_index(adj, sessions(adj) if calendar is None else calendar).withColumn("old_adj", at_offset("adj", -1))
     same = F.abs(F.col("old_adj") - F.col("adj")) <= 1e-8 + 1e-5 * F.abs("adj")
     moved = rows.where((F.col("old_adj") > 0) & F.col("adj").isNotNull() & ~same)
     return moved.join(holdings.select("d", "symbol"), ["d", "symbol"], "left_semi").select(

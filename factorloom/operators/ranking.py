@@ -38,16 +38,17 @@ def _order(value: str, tie: Sequence[str], ascending: bool) -> list[Column]:
 
 def _by_window(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str], prefix: str,
                ascending: bool) -> DataFrame:
+    """One shuffle and one sort: every window below is served by the order (by, key, tie)."""
+    names = {k: f"{prefix}_{k}" for k in ("pos", "lo", "hi", "n")}
     group = Window.partitionBy(*by)
-    lead = _order(value, (), ascending)
-    known = F.col(value).isNotNull()
-    lo = F.rank().over(group.orderBy(*lead))
-    return df.withColumns({
-        f"{prefix}_pos": F.when(known, F.row_number().over(group.orderBy(*_order(value, tie, ascending)))).cast("long"),
-        f"{prefix}_lo": F.when(known, lo).cast("long"),
-        f"{prefix}_hi": F.when(known, lo + F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1),
-        f"{prefix}_n": F.count(value).over(group),
-    })
+    peers = group.orderBy("_key")  # a running count by key takes in the whole tied block
+    keyed = df.withColumn("_key", F.col(value) if ascending else -F.col(value))
+    placed = keyed.withColumn("_row", F.row_number().over(group.orderBy("_key", *tie)))  # nulls come first
+    tied = placed.withColumns({"_first": F.rank().over(peers), "_last": F.count(F.lit(1)).over(peers)})
+    counted = tied.withColumns({names["n"]: F.count("_key").over(group), "_all": F.count(F.lit(1)).over(group)})
+    known, gaps = F.col("_key").isNotNull(), F.col("_all") - F.col(names["n"])
+    places = {names[k]: F.when(known, F.col(c) - gaps) for k, c in (("pos", "_row"), ("lo", "_first"), ("hi", "_last"))}
+    return counted.withColumns(places).select(*df.columns, *[names[k] for k in ("pos", "lo", "hi", "n")])
 
 
 def _by_slices(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str], prefix: str,

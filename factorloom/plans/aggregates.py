@@ -49,7 +49,7 @@ def data_quality(p):
     "hic AS (SELECT h, d, corr(ra,rb) AS rank_ic, corr(z,ret) AS pearson_ic, count(*) AS n FROM hp GROUP BY h, d HAVING count(*) >= 3)\nSELECT h AS"))
 def ic_summary(p):
     fx = xs.zscore(p.fx().select("d", "symbol", "f_qty"), ["f_qty"])
-    daily = ic.horizon_ic(fx, align.forward_by_signal(fx, p.px(), (1, 3, 6)), "f_qty", p.slices())
+    daily = ic.horizon_ic(fx, align.forward_by_signal(fx, p.px(), (1, 3, 6), p.sessions()), "f_qty", p.slices())
     long = daily.select("horizon", "d", F.col("rank_ic").alias("spearman"), F.col("pearson_ic").alias("pearson")).unpivot(
         ["horizon", "d"], ["spearman", "pearson"], "method", "v")
     return ic.ic_statistics(long, ("horizon", "method"), "v")
@@ -117,7 +117,7 @@ def horizon_sql(horizons: str, out: str) -> str:
       CASE WHEN count(*) >= 3 THEN corr(z, ret) END AS pearson_ic FROM hp GROUP BY h, d) x ON x.h = k.h AND x.d = s.d"""))
 def horizon_ic(p):
     fx = p.fx().select("d", "symbol", "f_tax")
-    daily = ic.horizon_ic(fx, align.forward_by_signal(fx, p.px(), (5, 10, 20, 60)), "f_tax", p.slices())
+    daily = ic.horizon_ic(fx, align.forward_by_signal(fx, p.px(), (5, 10, 20, 60), p.sessions()), "f_tax", p.slices())
     return daily.select("horizon", "d", "rank_ic", "pearson_ic", "stock_count")
 
 

@@ -19,7 +19,7 @@ def kept(df: DataFrame) -> DataFrame:
 def data(p: Panels) -> DataFrame:
     """Factor panel with next-period labels."""
     fx = p.fx()
-    return align.dataset(fx, align.labels(p.px(), fx))
+    return align.dataset(fx, align.labels(p.px(), fx, p.sessions()))
 
 
 def predictions(p: Panels) -> DataFrame:

@@ -14,7 +14,7 @@ from factorloom.plans.registry import query
 @query("d01_factor_label_join", sql(f"SELECT d, symbol, f_qty, {r('label')} AS label, label_entry_date, label_exit_date FROM data", "data"))
 def factor_label_join(p):
     fx = p.fx()
-    joined = align.dataset(align.require_unique(fx), align.require_unique(align.labels(p.px(), fx)))
+    joined = align.dataset(align.require_unique(fx), align.require_unique(align.labels(p.px(), fx, p.sessions())))
     return joined.select("d", "symbol", "f_qty", "label", "label_entry_date", "label_exit_date")
 
 
@@ -42,7 +42,7 @@ def twice(p):
 @query("d03_asof_backward", sql(f"""SELECT CAST(date_trunc('month', d) AS DATE) AS d, symbol,
     {r('arg_max(v, d) FILTER (WHERE v IS NOT NULL)')} AS v FROM tw GROUP BY 1, 2""", "sparse", "sess", extra={"tw": TWICE}))
 def asof_backward(p):
-    return align.signals_on_sessions(twice(p), calendar.sessions(p.px()), "v")
+    return align.signals_on_sessions(twice(p), p.sessions(), "v")
 
 
 @query("d04_asof_forward", sql(f"""SELECT s.d, s.symbol, CAST(h AS INT) AS horizon, {r('b.price/a.price-1')} AS forward_return
@@ -50,7 +50,7 @@ def asof_backward(p):
     LEFT JOIN (SELECT sp.d, min(q.idx) AS e FROM (SELECT DISTINCT d FROM sparse) sp JOIN sess q ON q.d > sp.d GROUP BY sp.d) m ON m.d = s.d
     LEFT JOIN pxi a ON a.symbol = s.symbol AND a.idx = m.e LEFT JOIN pxi b ON b.symbol = s.symbol AND b.idx = m.e + h""", "sparse", "pxi"))
 def asof_forward(p):
-    return align.forward_by_signal(p.sparse(), p.px(), (1, 2, 5))
+    return align.forward_by_signal(p.sparse(), p.px(), (1, 2, 5), p.sessions())
 
 
 @query("d05_label_builder", sql(f"""SELECT s.d, s.symbol, {r('b.price/a.price-1')} AS label, m.ed AS label_entry_date, m.xd AS label_exit_date
@@ -59,13 +59,13 @@ def asof_forward(p):
       FROM (SELECT d, lead(d) OVER (ORDER BY d) AS nd FROM (SELECT DISTINCT d FROM sparse)) t)) m ON m.d = s.d
     LEFT JOIN px a ON a.symbol = s.symbol AND a.d = m.ed LEFT JOIN px b ON b.symbol = s.symbol AND b.d = m.xd""", "sparse", "sess"))
 def label_builder(p):
-    return align.labels(p.px(), p.sparse())
+    return align.labels(p.px(), p.sparse(), p.sessions())
 
 
 @query("d06_signal_carried_daily", sql("""SELECT d, symbol, f_qty FROM (SELECT x.d, x.symbol,
       (SELECT arg_max(s.f_qty, s.d) FROM sparse s WHERE s.symbol = x.symbol AND s.d < x.d) AS f_qty FROM px x) WHERE f_qty IS NOT NULL""", "px", "sparse"))
 def signal_carried_daily(p):
-    return align.carried_to_sessions(p.sparse(), p.px(), "f_qty")
+    return align.carried_to_sessions(p.sparse(), p.px(), "f_qty", p.sessions())
 
 
 @query("d07_industry_asof", sql("""SELECT x.d, x.symbol, i.industry AS static_industry, a.industry AS dated_industry FROM px x
@@ -80,13 +80,13 @@ def industry_asof(p):
 @query("d08_signal_eligibility", sql("""SELECT s.d, x.symbol FROM sess s JOIN sparse x ON x.f_disc IS NOT NULL
     AND x.d = (SELECT max(z.d) FROM sparse z WHERE z.f_disc IS NOT NULL AND z.d <= s.d)""", "sess", "sparse"))
 def signal_eligibility(p):
-    return align.eligibility(p.sparse(), calendar.sessions(p.px()), "f_disc")
+    return align.eligibility(p.sparse(), p.sessions(), "f_disc")
 
 
 @query("d09_series_forward_fill", sql(f"""SELECT s.d, {r('(SELECT arg_max(b.value, b.d) FROM benchmark b WHERE b.d <= s.d AND month(b.d) % 3 = 0)')} AS value
     FROM sess s""", "sess", "benchmark"))
 def series_forward_fill(p):
-    return series.filled_on(p.benchmark().where(F.month("d") % 3 == 0), calendar.sessions(p.px()), "value")
+    return series.filled_on(p.benchmark().where(F.month("d") % 3 == 0), p.sessions(), "value")
 
 
 @query("d10_pool_filter", sql(f"SELECT x.d, x.symbol, {r('x.price')} AS price FROM px x JOIN pool m ON m.d = x.d AND m.symbol = x.symbol WHERE member",
@@ -128,7 +128,7 @@ def forecast_realised(p):
     LEFT JOIN fx f ON f.d = m.d AND f.symbol = m.symbol AND f.f_tax > 0.03::DOUBLE LEFT JOIN lab l ON l.d = m.d AND l.symbol = m.symbol WHERE member""", "pool", "lab"))
 def pool_score_label(p):
     scores = p.fx().where("f_tax > 0.03").select("d", "symbol", F.col("f_disc").alias("score"))
-    labels = align.labels(p.px(), p.fx()).select("d", "symbol", "label")
+    labels = align.labels(p.px(), p.fx(), p.sessions()).select("d", "symbol", "label")
     return p.pool().where("member").select("d", "symbol").join(scores, ["d", "symbol"], "left").join(labels, ["d", "symbol"], "left")
 
 
@@ -138,7 +138,7 @@ SPLITS = """SELECT CAST(year(d) AS VARCHAR) || 'Q' || quarter(d) AS name, min(d)
 
 
 def splits(p, start="1996-01-01", end="1997-06-30", frequency="quarterly"):
-    return calendar.refit_periods(p.fx().select("d").distinct(), frequency, start, end)
+    return calendar.refit_periods(p.sessions().select("d"), frequency, start, end)
 
 
 @query("d14_training_rows", sql("""SELECT s.name, 'expanding' AS mode, count(*) AS n, min(x.d) AS first_d, max(x.label_exit_date) AS last_exit
@@ -170,7 +170,7 @@ TOP = "SELECT d, symbol FROM (SELECT f.d, f.symbol, s.idx, row_number() OVER (PA
       WHERE p.symbol = t.symbol AND a.idx = b.idx - 1) THEN 'kept' ELSE 'new' END AS status FROM top t""", "fx", "sess", extra={"top": TOP}))
 def held_and_new(p):
     top = selection.top_n(p.fx().select("d", "symbol", F.col("f_qty").alias("score")), 10).select("d", "symbol")
-    cal = calendar.sessions(p.px())
+    cal = p.sessions()
     following = cal.select("d", F.lead("d").over(Window.orderBy("d")).alias("next_d"))
     held = top.join(calendar.calendar_broadcast(following), "d").select(F.col("next_d").alias("d"), "symbol").where("d IS NOT NULL")
     return (top.join(held, ["d", "symbol"], "left_semi").withColumn("status", F.lit("kept"))

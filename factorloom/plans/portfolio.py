@@ -54,14 +54,13 @@ def factor_research(p):
 
 
 def monthly_returns(p):
-    px = p.px()
-    rows = calendar.with_index(px, calendar.sessions(px))
+    rows = calendar.with_index(p.px(), p.sessions())
     return rows.select("d", "symbol", (F.try_divide(series.at_offset("price", 1), F.col("price")) - 1).alias("ret"))
 
 
 def drifting(p):
     targets = portfolio.rebalance_targets(scores(p), "quarterly", 20, slices=0)
-    return kept(portfolio.drifting_portfolio(targets, monthly_returns(p)))
+    return kept(portfolio.drifting_portfolio(targets, monthly_returns(p), calendar=p.sessions()))
 
 
 DRIFT = {
@@ -143,7 +142,7 @@ def account_performance(p):
     SELECT x.d, coalesce(avg(CASE WHEN m.member THEN x.price/a.price-1 END), 0) AS ret FROM pxi x LEFT JOIN pxi a ON a.symbol = x.symbol AND a.idx = x.idx-1
     LEFT JOIN pool m ON m.symbol = a.symbol AND m.d = a.d GROUP BY x.d)""", "pxi", "pool"))
 def equal_weight_benchmark(p):
-    return portfolio.equal_weight_benchmark(p.px(), p.pool().where("member")).withColumn("value", F.round("value", 3))
+    return portfolio.equal_weight_benchmark(p.px(), p.pool().where("member"), calendar=p.sessions()).withColumn("value", F.round("value", 3))
 
 
 @query("j09_exposure_overlay")
@@ -157,7 +156,7 @@ def exposure_overlay(p):
     FROM (SELECT adj.*, s.idx FROM adj JOIN sess s ON s.d = adj.d) x JOIN (SELECT adj.*, s.idx FROM adj JOIN sess s ON s.d = adj.d) a ON a.symbol = x.symbol AND a.idx = x.idx-1
     JOIN held h ON h.d = x.d AND h.symbol = x.symbol WHERE abs(a.adj - x.adj) > 1e-5""", "adj", "fx", "sess", extra={"held": HELD}))
 def corporate_actions(p):
-    return portfolio.corporate_actions(prior_holdings(p), p.adj())
+    return portfolio.corporate_actions(prior_holdings(p), p.adj(), p.sessions())
 
 
 @query("j11_mark_to_market", sql(f"""SELECT d, round(sum(v),4)+0.0 AS value, count(*) FILTER (WHERE at_cost) AS at_cost FROM (
@@ -191,7 +190,7 @@ def closed_trades(p):
     UNION ALL SELECT 'first_trade_on_first_session', CAST(min(idx) AS DOUBLE), min(idx) = 1 FROM (SELECT sess.idx FROM pf JOIN sess ON sess.d = pf.d WHERE turnover > 0)""",
                                     "fx", "pxi", extra=DRIFT))
 def consistency_audit(p):
-    return quality.consistency(drifting(p), calendar.sessions(p.px()))
+    return quality.consistency(drifting(p), p.sessions())
 
 
 @query("j14_cost_stages", sql(f"""SELECT scenario, {r('arg_max(nav, d)')} AS terminal_nav, {r('max(s)')} AS sharpe, {r('max(s0) - max(s)')} AS sharpe_given_up FROM (

@@ -107,8 +107,7 @@ def transaction_fee(p):
       FROM pxi a LEFT JOIN pxi b ON b.symbol = a.symbol AND b.idx = a.idx-1 JOIN st s ON s.symbol = a.symbol AND s.d = a.d)""",
                             "pxi", "st"))
 def tradeable(p):
-    px = p.px()
-    rows = calendar.with_index(px, calendar.sessions(px)).withColumn("prev", series.at_offset("price", -1))
+    rows = calendar.with_index(p.px(), p.sessions()).withColumn("prev", series.at_offset("price", -1))
     board = F.concat(F.when(F.col("symbol").cast("int") % 2 == 0, "300").otherwise("600"), F.substring("symbol", 4, 3))
     args = (F.col("price"), F.col("prev"), board, F.col("st"))
     return rows.join(p.st(), ["d", "symbol"]).select("d", "symbol", c.tradeable(*args, "sell").alias("can_sell"),

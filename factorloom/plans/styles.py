@@ -82,7 +82,7 @@ RESIDUAL = """SELECT d, symbol, label - my - b1*(a-ma) - b2*(b-mb) AS residual_l
 
 
 def residual_rows(p):
-    rows = xs.standardise(p.fx(), FACTORS).join(align.labels(p.px(), p.fx()), ["d", "symbol"], "left")
+    rows = xs.standardise(p.fx(), FACTORS).join(align.labels(p.px(), p.fx(), p.sessions()), ["d", "symbol"], "left")
     return pca.residual_target(materialise(rows), ["f_qty", "f_tax"])
 
 
@@ -106,7 +106,7 @@ AGE = "exp(-ln(2)*(datediff('day', d, DATE '1998-01-01')/365.25*252)/252)"
     "m": "SELECT sum(w*z)/sum(w) AS mz, sum(w*y)/sum(w) AS my, sum(w) AS sw, count(*) AS n FROM w",
     "q": "SELECT mz, my, n, (SELECT sum(w*(z-mz)*(y-my))/sw FROM w)/((SELECT sum(w*(z-mz)*(z-mz))/sw FROM w) + 0.05::DOUBLE/2) AS g FROM m"}))
 def residual_ridge(p):
-    rows = xs.standardise(p.fx(), FACTORS).join(align.labels(p.px(), p.fx()), ["d", "symbol"])
+    rows = xs.standardise(p.fx(), FACTORS).join(align.labels(p.px(), p.fx(), p.sessions()), ["d", "symbol"])
     train = wf.age_weighted(rows.where(F.col("label_exit_date") < F.lit("1998-01-01").cast("date")), "1998-01-01")
     fit = pca.residual_ridge(train, np.ones((2, 1)), ["f_qty", "f_tax"], 0.05, "label", "sample_weight")
     table = [("f_qty", float(fit.coefficients[0]), fit.rows), ("f_tax", float(fit.coefficients[1]), fit.rows), ("intercept", fit.intercept, fit.rows)]
@@ -119,7 +119,7 @@ def residual_training(p, cutoff: str):
     day = F.lit(cutoff).cast("date")
     part = found[int(cutoff[:4]) * 4 + (int(cutoff[5:7]) - 1) // 3]
     past = z.where(F.col("d") < day)
-    labels = align.labels(p.px(), p.fx()).where(F.col("label_exit_date") < day)
+    labels = align.labels(p.px(), p.fx(), p.sessions()).where(F.col("label_exit_date") < day)
     rows = past.join(labels, ["d", "symbol"]).join(pca.project(past, part, FACTORS), ["d", "symbol"])
     target, _ = pca.residual_target(materialise(rows), part.names)
     return z, part, wf.age_weighted(materialise(target), cutoff)
@@ -147,7 +147,7 @@ def timing_rows(p):
     """(styles, exposures, style returns, timing table) under rolling components."""
     z, found, notes, exposure = exposures(p)
     styles = next(iter(found.values())).names
-    labels = align.labels(p.px(), p.fx())
+    labels = align.labels(p.px(), p.fx(), p.sessions())
     keep = ["d", "symbol", "label", "label_entry_date", "label_exit_date"]
     long = exposure.join(labels, ["d", "symbol"]).select(*keep, *styles).unpivot(keep, styles, "style", "x")
     returns = kept(style.style_returns(long, p.slices()))
@@ -202,7 +202,7 @@ def stock_boosting(p):
     """Boosted trees on exposures for two quarters with one shared parameter set, then the confidence gate."""
     z, found, notes, exposure = exposures(p)
     styles = next(iter(found.values())).names
-    labels = align.labels(p.px(), p.fx())
+    labels = align.labels(p.px(), p.fx(), p.sessions())
     rows = materialise(exposure.join(labels, ["d", "symbol"], "left"))
     parts, validation = [], []
     for start, end in (("1997-01-01", "1997-03-31"), ("1997-04-01", "1997-06-30")):

@@ -87,7 +87,7 @@ def leakage_checks(p):
     UNION ALL SELECT 'entered_early', 0 UNION ALL SELECT 'tail_labels', count(label) FROM lab WHERE d = (SELECT max(d) FROM lab)""", "lab"))
 def label_audit(p):
     px = p.px()
-    return wf.label_audit(materialise(align.labels(px, p.fx())), px, calendar.sessions(px))
+    return wf.label_audit(materialise(align.labels(px, p.fx(), p.sessions())), px, calendar.sessions(px))
 
 
 FIT = {

@@ -47,8 +47,7 @@ def quantile_buckets(p):
 
 
 def indexed(p):
-    px = p.px()
-    return calendar.with_index(px, calendar.sessions(px))
+    return calendar.with_index(p.px(), p.sessions())
 
 
 @query("f05_forward_return", sql(f"""SELECT x.d, x.symbol, {r('b.price/a.price-1')} AS forward_5 FROM pxi x
@@ -83,7 +82,7 @@ FEATURES = """SELECT z.d, z.style, avg(style_return) FILTER (WHERE k <= 5) AS mo
 
 
 def timing(p):
-    return kept(style.timing_features(style_returns(p), p.fx().select("d"), sorted(FACTORS)))
+    return kept(style.timing_features(style_returns(p), p.sessions(), sorted(FACTORS)))
 
 
 @query("f09_style_timing_features", sql(f"""SELECT d, style, {r('momentum_5')} AS momentum_5, {r('momentum_20')} AS momentum_20,

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from factorloom.operators.calendar import sessions
 from factorloom.operators.ranking import needs_slices
+from factorloom.session import materialise
 
 
 def padded(c: Column) -> Column:
@@ -21,42 +23,54 @@ class Panels:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._slices: int | None = None
+        self._sessions: DataFrame | None = None
+        self._monthly: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def slices(self) -> int:
-        """Slices ranking by month needs, measured once on one source column.
+    def monthly(self) -> DataFrame:
+        """Supplier by month sums, written once: prices, factors, calendar and sizes all come from this table.
 
-        A month's line count bounds its panel rows, so the panel itself need not be built to measure it.
+        The lines are summed map-side, so a supplier with a third of them still sends one row per task and month.
         """
+        if self._monthly is None:
+            lines = self.table("lineitem").select(
+                "l_suppkey", month_of(F.col("l_shipdate")).alias("d"), "l_extendedprice", "l_discount", "l_quantity", "l_tax",
+                F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("returned"))
+            sums = lines.groupBy("l_suppkey", "d").agg(
+                F.sum("l_extendedprice").alias("value"), F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("disc"),
+                F.avg("l_tax").alias("tax"), F.avg("returned").alias("ret"))
+            self._monthly = materialise(sums)
+        return self._monthly
+
+    def slices(self) -> int:
+        """Slices ranking by month needs, measured once."""
         if self._slices is None:
-            months = self.table("lineitem").select(month_of(F.col("l_shipdate")).alias("d"))
-            self._slices = needs_slices(months, ["d"])
+            self._slices = needs_slices(self.monthly(), ["d"])
         return self._slices
 
-    def _price(self, day) -> DataFrame:
-        lines = self.table("lineitem").select(padded(F.col("l_suppkey")).alias("symbol"), day.alias("d"),
-                                              "l_extendedprice", "l_quantity")
-        # sevenths of the mean unit price: no value sits on a decimal rounding boundary
-        return lines.groupBy("symbol", "d").agg((F.sum("l_extendedprice") / F.sum("l_quantity") / 7).alias("price"))
+    def sessions(self) -> DataFrame:
+        """The monthly calendar, written once."""
+        if self._sessions is None:
+            self._sessions = sessions(self.monthly())
+        return self._sessions
 
     def px(self) -> DataFrame:
-        return self._price(month_of(F.col("l_shipdate")))
+        # sevenths of the mean unit price: no value sits on a decimal rounding boundary
+        return self.monthly().select(padded(F.col("l_suppkey")).alias("symbol"), "d",
+                                     (F.col("value") / F.col("quantity") / 7).alias("price"))
 
     def px_day(self) -> DataFrame:
-        return self._price(F.col("l_shipdate").cast("date"))
+        lines = self.table("lineitem").select("l_suppkey", F.col("l_shipdate").cast("date").alias("d"), "l_extendedprice", "l_quantity")
+        sums = lines.groupBy("l_suppkey", "d").agg((F.sum("l_extendedprice") / F.sum("l_quantity") / 7).alias("price"))
+        return sums.select(padded(F.col("l_suppkey")).alias("symbol"), "d", "price")
 
     def fx(self) -> DataFrame:
-        lines = self.table("lineitem").select(
-            "l_suppkey", month_of(F.col("l_shipdate")).alias("d"), "l_discount", "l_quantity", "l_tax",
-            F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("returned"))
         gap = (F.col("l_suppkey") + F.month("d")) % 17 == 0
-        return (lines.groupBy("l_suppkey", "d")
-                .agg(F.avg("l_discount").alias("disc"), F.sum("l_quantity").alias("f_qty"),
-                     F.round(F.avg("l_tax"), 10).alias("f_tax"), F.round(F.avg("returned"), 10).alias("f_ret"))
-                .select(padded(F.col("l_suppkey")).alias("symbol"), "d",
-                        F.when(~gap, F.round("disc", 10)).alias("f_disc"), "f_qty", "f_tax", "f_ret"))
+        return self.monthly().select(
+            padded(F.col("l_suppkey")).alias("symbol"), "d", F.when(~gap, F.round("disc", 10)).alias("f_disc"),
+            F.col("quantity").alias("f_qty"), F.round("tax", 10).alias("f_tax"), F.round("ret", 10).alias("f_ret"))
 
     def industry(self) -> DataFrame:
         return self.table("supplier").select(padded(F.col("s_suppkey")).alias("symbol"),
