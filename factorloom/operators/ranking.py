@@ -17,6 +17,9 @@ from factorloom.operators.spread import attach
 from factorloom.session import materialise, max_group_rows
 
 
+MOST_SLICES = 20_000  # tasks of one shuffle; beyond it slices grow and sort on disk
+
+
 def largest_group(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
     """(rows of the largest group, rows in total)."""
     counts = df.groupBy(*by).count() if by else df.select(F.count(F.lit(1)).alias("count"))
@@ -28,7 +31,7 @@ def needs_slices(df: DataFrame, by: Sequence[str]) -> int:
     """0 if windows by ``by`` are small enough, else the number of slices to cut."""
     limit = max_group_rows(df.sparkSession)
     top, total = largest_group(df, by)
-    return 0 if top <= limit else max(2, -(-total // limit))
+    return 0 if top <= limit else min(max(2, -(-total // limit)), MOST_SLICES)
 
 
 def _order(value: str, tie: Sequence[str], ascending: bool) -> list[Column]:

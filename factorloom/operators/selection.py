@@ -17,19 +17,22 @@ def style_score(exposures: DataFrame, weights: DataFrame) -> DataFrame:
     return zscore(score, ["prediction"], limit=None, zero_spread="center")
 
 
+# Spark limits a row-number filter ahead of the shuffle up to this bound (windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+
+
 def top_n(scores: DataFrame, n: int, score: str = "score") -> DataFrame:
     """Best ``n`` names per date (ties by symbol).
 
-    Spark turns the row-number filter into a per-partition limit ahead of the shuffle, so a date of any size
-    sends at most ``n`` rows per task.
+    Up to ``GROUP_LIMIT`` Spark turns the filter into a limit per task ahead of the shuffle, so a date of any
+    size sends at most ``n`` rows per task; a larger ``n`` takes the ranking that measures its groups.
     """
+    known = scores.where(F.col(score).isNotNull())
+    if n > GROUP_LIMIT:
+        ranked = add_rank(known, ("d",), score, prefix="_r", ascending=False)
+        return drop_rank(ranked.where(F.col("_r_pos") <= n).withColumn("rank", F.col("_r_pos").cast("int")), "_r")
     best = Window.partitionBy("d").orderBy(F.col(score).desc(), F.col("symbol"))
-    return scores.where(F.col(score).isNotNull()).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
-
-
-def bottom_n(scores: DataFrame, n: int, score: str = "score") -> DataFrame:
-    worst = Window.partitionBy("d").orderBy(F.col(score).asc(), F.col("symbol"))
-    return scores.where(F.col(score).isNotNull()).withColumn("rank", F.row_number().over(worst)).where(F.col("rank") <= n)
+    return known.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
 def top_quantile(scores: DataFrame, q: float, score: str = "score", slices: int | None = None) -> DataFrame:
@@ -83,16 +86,14 @@ def buffered_replacement(scores: DataFrame, holdings: DataFrame, n: int, ratio:
     return sold.unionByName(_refill(known, holdings, sold, n))
 
 
-def _refill(candidates: DataFrame, holdings: DataFrame, sold: DataFrame, n: int, among: DataFrame | None = None) -> DataFrame:
+def _refill(candidates: DataFrame, holdings: DataFrame, sold: DataFrame, n: int) -> DataFrame:
     """Best candidates not held after the sales, one per free slot."""
     kept = holdings.select("d", "symbol").join(sold.select("d", "symbol"), ["d", "symbol"], "left_anti")
     free = (holdings.groupBy("d").agg(F.count(F.lit(1)).alias("held"))
             .join(sold.groupBy("d").agg(F.count(F.lit(1)).alias("sold")), "d", "left")
             .select("d", F.greatest(F.lit(n) - F.col("held") + F.coalesce("sold", F.lit(0)), F.lit(0)).alias("free")))
     pool = candidates.join(kept, ["d", "symbol"], "left_anti")
-    best = Window.partitionBy("d").orderBy(F.col("score").desc(), F.col("symbol"))
-    # no date has more than n free slots, so the numbering is limited ahead of the shuffle
-    ranked = pool.withColumn("k", F.row_number().over(best)).where(F.col("k") <= n)
+    ranked = top_n(pool, n).withColumnRenamed("rank", "k")  # no date has more than n free slots
     return (ranked.join(calendar_broadcast(free), "d").where(F.col("k") <= F.col("free"))
             .select("d", "symbol", F.lit("buy").alias("action")))
 
@@ -109,6 +110,5 @@ def decile_rotation(scores: DataFrame, holdings: DataFrame, n: int, ratio: float
     worst = Window.partitionBy("d").orderBy(F.col("score").asc_nulls_first(), F.col("symbol"))
     sold = held.withColumn("k", F.row_number().over(worst)).where((F.col("k") <= cap) & (F.col("k") <= quota)).select(
         "d", "symbol", F.lit("sell").alias("action"))
-    # the names sold are not bought back only if they leave the top; the step allows it, as they are no longer held
     front = top_quantile(known, q, slices=slices).drop("rank")
     return sold.unionByName(_refill(front, holdings, sold, n))

@@ -145,7 +145,20 @@ def equal_weight_benchmark(p):
     return portfolio.equal_weight_benchmark(p.px(), p.pool().where("member"), calendar=p.sessions()).withColumn("value", F.round("value", 3))
 
 
-@query("j09_exposure_overlay")
+OVERLAY = """SELECT industry, k+1 AS k, d, target AS e, target*ret AS gained, nav*(1+target*ret) AS nav, greatest(peak, nav*(1+target*ret)) AS peak,
+    list_slice(list_append(recent, target*ret), -60, NULL) AS recent FROM (
+    SELECT *, CASE WHEN len(recent) < 10 THEN e ELSE least(greatest((greatest(list_avg(recent), 0) + 0.0025::DOUBLE*e)/(4.0::DOUBLE*mult*greatest(down, 1e-12::DOUBLE) + 0.0025::DOUBLE),
+        greatest(0.3::DOUBLE, e-0.1::DOUBLE)), least(1.0::DOUBLE, e+0.1::DOUBLE)) END AS target FROM (
+      SELECT f.industry, f.k, s.d, coalesce(s.ret, 0) AS ret, f.e, f.nav, f.peak, f.recent, list_avg(list_transform(f.recent, lambda x: least(x,0)*least(x,0))) AS down,
+        1.0::DOUBLE + 4.0::DOUBLE*pow(greatest(1-f.nav/f.peak, 0)/0.2::DOUBLE, 2) + CASE WHEN month(s.d) = 12 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS mult
+      FROM fold f JOIN ser s ON s.industry = f.industry AND s.k = f.k + 1))"""
+
+
+@query("j09_exposure_overlay", sql(f"SELECT industry, d, {r('e')} AS exposure, {r('gained')} AS overlay_return, {r('nav')} AS nav FROM fold WHERE k > 0", "pxi", "industry", extra={
+    "ser": """SELECT *, row_number() OVER (PARTITION BY industry ORDER BY d) AS k FROM (SELECT i.industry, x.d, avg((b.price/x.price-1)/5) AS ret FROM pxi x JOIN industry i ON i.symbol = x.symbol
+        LEFT JOIN pxi b ON b.symbol = x.symbol AND b.idx = x.idx+1 GROUP BY 1, 2)""",
+    "fold": f"""SELECT DISTINCT industry, CAST(0 AS BIGINT) AS k, CAST(NULL AS DATE) AS d, 1.0::DOUBLE AS e, 0.0::DOUBLE AS gained, 1.0::DOUBLE AS nav, 1.0::DOUBLE AS peak, CAST([] AS DOUBLE[]) AS recent FROM ser
+        UNION ALL {OVERLAY}"""}).replace("WITH ", "WITH RECURSIVE ", 1))
 def exposure_overlay(p):
     rows = monthly_returns(p).join(p.industry(), "symbol")
     by_industry = rows.groupBy("industry", "d").agg(F.avg(F.col("ret") / 5).alias("ret"))

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def write_predictions(predictions: DataFrame, path: str) -> str:
-    """Parquet folders by model and period; rows are spread by (model, period, symbol), so no folder is one task's work."""
-    tasks = F.pmod(F.xxhash64("symbol"), F.lit(16))
-    (predictions.repartition("model", "period", tasks).write.partitionBy("model", "period").parquet(path))
+    """Parquet folders by model and period. Rebalancing gives small folders one file and splits large ones over tasks."""
+    predictions.hint("rebalance", "model", "period").write.partitionBy("model", "period").parquet(path)
     return path
 
 
