@@ -146,7 +146,7 @@ def equal_weight_benchmark(p):
 
 
 OVERLAY = """SELECT industry, k+1 AS k, d, target AS e, target*ret AS gained, nav*(1+target*ret) AS nav, greatest(peak, nav*(1+target*ret)) AS peak,
-    list_slice(list_append(recent, target*ret), -60, NULL) AS recent FROM (
+    list_append(recent, target*ret)[-60:] AS recent FROM (
     SELECT *, CASE WHEN len(recent) < 10 THEN e ELSE least(greatest((greatest(list_avg(recent), 0) + 0.0025::DOUBLE*e)/(4.0::DOUBLE*mult*greatest(down, 1e-12::DOUBLE) + 0.0025::DOUBLE),
         greatest(0.3::DOUBLE, e-0.1::DOUBLE)), least(1.0::DOUBLE, e+0.1::DOUBLE)) END AS target FROM (
       SELECT f.industry, f.k, s.d, coalesce(s.ret, 0) AS ret, f.e, f.nav, f.peak, f.recent, list_avg(list_transform(f.recent, lambda x: least(x,0)*least(x,0))) AS down,
