@@ -35,6 +35,11 @@ def top_n(scores: DataFrame, n: int, score: str = "score") -> DataFrame:
     return known.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
+def worst_n(scores: DataFrame, n: int) -> DataFrame:
+    """Worst ``n`` names per date; a name without a score is the worst."""
+    return top_n(scores.withColumn("score", -F.coalesce("score", F.lit(float("-inf")))), n)
+
+
 def top_quantile(scores: DataFrame, q: float, score: str = "score", slices: int | None = None) -> DataFrame:
     """Best max(1, ceil(n*q)) names per date."""
     ranked = add_rank(scores.where(F.col(score).isNotNull()), ("d",), score, prefix="_r", ascending=False, slices=slices)
@@ -81,8 +86,7 @@ def buffered_replacement(scores: DataFrame, holdings: DataFrame, n: int, ratio:
     else:
         held = held.withColumn("retain", F.lit(False))
     loose = held.where(F.col("_top").isNull() & ~F.coalesce("retain", F.lit(False)))
-    worst = Window.partitionBy("d").orderBy(F.col("score").asc_nulls_first(), F.col("symbol"))
-    sold = loose.withColumn("k", F.row_number().over(worst)).where(F.col("k") <= cap).select("d", "symbol", F.lit("sell").alias("action"))
+    sold = worst_n(loose, cap).select("d", "symbol", F.lit("sell").alias("action"))
     return sold.unionByName(_refill(known, holdings, sold, n))
 
 
@@ -107,8 +111,7 @@ def decile_rotation(scores: DataFrame, holdings: DataFrame, n: int, ratio: float
     held = with_stats(holdings.select("d", "symbol"), ("d",), F.count(F.lit(1)).alias("_held")).join(
         known.select("d", "symbol", "score"), ["d", "symbol"], "left")
     quota = F.least(F.lit(cap), F.greatest(F.lit(1), F.ceil(F.col("_held") * q)))
-    worst = Window.partitionBy("d").orderBy(F.col("score").asc_nulls_first(), F.col("symbol"))
-    sold = held.withColumn("k", F.row_number().over(worst)).where((F.col("k") <= cap) & (F.col("k") <= quota)).select(
+    sold = worst_n(held.withColumn("quota", quota), cap).where(F.col("rank") <= F.col("quota")).select(
         "d", "symbol", F.lit("sell").alias("action"))
     front = top_quantile(known, q, slices=slices).drop("rank")
     return sold.unionByName(_refill(front, holdings, sold, n))
