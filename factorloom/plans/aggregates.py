@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from factorloom.functions import columns as c
-from factorloom.operators import align, calendar, cross_section as xs, gram, ic, quality, style
+from factorloom.operators import align, cross_section as xs, gram, ic, quality, style
 from factorloom.plans.inputs import FACTORS, data, kept, predictions
 from factorloom.plans.oracle import r, sql
 from factorloom.plans.registry import query

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from factorloom.functions import columns as c
-from factorloom.operators import align, calendar, cross_section as xs, ic, portfolio, quality, selection, series
-from factorloom.plans.inputs import FACTORS, data, kept, predictions
+from factorloom.operators import calendar, ic, portfolio, quality, selection, series
+from factorloom.plans.inputs import kept, predictions
 from factorloom.plans.oracle import r, sql
 from factorloom.plans.registry import query
 from factorloom.plans.scalars import FEE_SQL

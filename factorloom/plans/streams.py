@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factorloom.plans.oracle import r, sql
+from factorloom.plans.oracle import r
 from factorloom.plans.registry import query
 from factorloom.session import scratch_path
 from factorloom.streaming import feeds

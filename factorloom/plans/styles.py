@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from factorloom.functions import columns as c
 from factorloom.operators import align, cross_section as xs, ic, models, pca, quality, style, timing, walkforward as wf
 from factorloom.plans.aggregates import STD, STYLE_CTES, style_returns
 from factorloom.plans.inputs import FACTORS, data, kept

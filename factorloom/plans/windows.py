@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from factorloom.functions import columns as c
-from factorloom.operators import align, calendar, cross_section as xs, ic, portfolio, ranking, series, style
-from factorloom.plans.aggregates import LAYERS, METRIC_CTES, STD, STYLE_CTES, style_returns
+from factorloom.operators import calendar, cross_section as xs, ic, portfolio, ranking, series, style
+from factorloom.plans.aggregates import METRIC_CTES, STD, STYLE_CTES, style_returns
 from factorloom.plans.inputs import FACTORS, data, kept, predictions
 from factorloom.plans.joins import LONG, exposures
 from factorloom.plans.oracle import r, sql
