@@ -112,16 +112,15 @@ def residual_ridge(p):
     return p.spark.createDataFrame(table, "factor string, coefficient double, rows bigint")
 
 
-def residual_training(p, cutoff: str):
+def residual_training(p, cutoff: str, z, found):
     """Residual labels of dates realised before the cutoff, under the components of the cutoff's quarter."""
-    z, found, notes = rolled(p)
     day = F.lit(cutoff).cast("date")
     part = found[int(cutoff[:4]) * 4 + (int(cutoff[5:7]) - 1) // 3]
     past = z.where(F.col("d") < day)
     labels = align.labels(p.px(), p.fx(), p.sessions()).where(F.col("label_exit_date") < day)
     rows = past.join(labels, ["d", "symbol"]).join(pca.project(past, part, FACTORS), ["d", "symbol"])
     target, _ = pca.residual_target(materialise(rows), part.names)
-    return z, part, wf.age_weighted(materialise(target), cutoff)
+    return part, wf.age_weighted(materialise(target), cutoff)
 
 
 def validated_weight(p, part, train, weight: float = 1.0):
@@ -136,15 +135,16 @@ def validated_weight(p, part, train, weight: float = 1.0):
 
 @query("i26_validated_residual_weight")
 def validated_residual_weight(p):
-    _, part, train = residual_training(p, "1997-01-01")
+    z, found, _ = rolled(p)
+    part, train = residual_training(p, "1997-01-01", z, found)
     weight, value = validated_weight(p, part, train)
     counts = train.agg(F.count("*").alias("rows"), F.max("label_exit_date").alias("last_exit"))
     return counts.withColumns({"weight": F.lit(weight), "rank_ic": F.lit(value).cast("double")})
 
 
-def timing_rows(p):
+def timing_rows(p, components=None):
     """(styles, exposures, style returns, timing table) under rolling components."""
-    z, found, notes, exposure = exposures(p)
+    z, found, notes, exposure = exposures(p) if components is None else components
     styles = next(iter(found.values())).names
     labels = align.labels(p.px(), p.fx(), p.sessions())
     keep = ["d", "symbol", "label", "label_entry_date", "label_exit_date"]
@@ -239,7 +239,8 @@ def final_score(p):
 @query("i31_style_rotation")
 def style_rotation(p):
     """The full flow for one quarter: forecasts, horizon weights, votes, residual score, final score."""
-    styles, exposure, _, table = timing_rows(p)
+    z, found, notes, exposure = components = exposures(p)
+    styles, _, _, table = timing_rows(p, components)
     forecasts, fits = dual_forecasts(p, table, styles)
     forecasts = kept(forecasts)
     targets = table.select("d", *[F.struct(F.lit(s).alias("style"), *[F.col(f"target_{s}_{h}").alias(f"y_{h}") for h in timing.HORIZONS]).alias(s) for s in styles])
@@ -261,7 +262,7 @@ def style_rotation(p):
     long = quarter.unpivot(["d", "symbol"], styles, "style", "x").join(F.broadcast(mixed), ["d", "style"]).select(
         "d", "symbol", "style", (F.col("x") * F.col("w")).alias("x"))
     scores = xs.consensus(materialise(long), slices=p.slices()).withColumnRenamed("prediction", "style_timing_score")
-    z, part, train = residual_training(p, QUARTER[0])
+    part, train = residual_training(p, QUARTER[0], z, found)
     effective, _ = validated_weight(p, part, train)
     fit = pca.residual_ridge(train, part.loadings, FACTORS, weight="sample_weight")
     residual = xs.zscore(in_quarter(z).select("d", "symbol", pca.gram.linear_score(FACTORS, fit.weights, fit.intercept).alias("residual_prediction_score")),
