@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -29,13 +31,20 @@ def local_session(app: str = "factorloom", cores: str = "8", partitions: int = 8
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach, named by the cluster in spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:  # only where no cluster setting exists, as in tests
-        root = os.path.join(tempfile.gettempdir(), "factorloom")
-    return root
+    """Folder every executor can reach, named by the cluster in spark.checkpoint.dir.
+
+    Where none is named, a session that runs in one process gets a folder of its own, gone when the process ends; a
+    cluster must name one, as its machines do not see each other's temporary folders.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    own = tempfile.mkdtemp(prefix="factorloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(own)
+    return own
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
