@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import chat_format, license_scan, quality_rules, token_counts
+from factorloom.llm import chat_format, license_scan, pii, quality_rules, token_counts, url_reputation
 from factorloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,58 @@ def op4_risk_controlled(spark: SparkSession, folder: str) -> DataFrame:
                          F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+@query(r"""
+WITH parted AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path FROM pages),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
+          WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+counted AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM parted LEFT JOIN marks ON page_id = doc_id GROUP BY host),
+cut AS (SELECT *, regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':[0-9]*$', '') AS bare FROM counted),
+labelled AS (SELECT *, string_split(bare, '.') AS l, regexp_matches(bare, '^(\[.*\]|[0-9.]+)?$') OR len(string_split(bare, '.')) < 2 AS address FROM cut),
+kept AS (SELECT *, CASE WHEN len(l) > 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') AND length(l[-1]) = 2 THEN 2 ELSE 1 END AS k FROM labelled),
+hosts AS (SELECT host, n, bad, CASE WHEN address THEN bare ELSE array_to_string(l[greatest(len(l) - k, 1):], '.') END AS domain,
+                 CASE WHEN address THEN '' ELSE array_to_string(l[len(l) - k + 1:], '.') END AS suffix FROM kept),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
+every AS (SELECT 's' AS level, n, bad FROM suffixes UNION ALL SELECT 'd', n, bad FROM domains UNION ALL SELECT 'h', n, bad FROM hosts),
+sums AS (SELECT level, CAST(sum(n) AS double) AS n, CAST(sum(bad) AS double) / sum(n) AS p, CAST(sum(n * n) AS double) AS nn,
+                sum(CAST(bad AS double) * bad / n) AS bb, count(*) AS k FROM every WHERE n > 0 GROUP BY level),
+rooms AS (SELECT *, n - nn / n - (k - 1) AS room, p * (1 - p) AS inside FROM sums),
+likes AS (SELECT *, CASE WHEN inside > 0 AND room > 0 THEN ((bb - n * p * p) / inside - (k - 1)) / room ELSE 0 END AS r FROM rooms),
+priors AS (SELECT max(CASE WHEN level = 's' THEN p END) AS p, max(CASE WHEN level = 's' THEN w END) AS s,
+                  max(CASE WHEN level = 'd' THEN w END) AS d, max(CASE WHEN level = 'h' THEN w END) AS h
+           FROM (SELECT level, p, CASE WHEN r <= 0 THEN 1e4 ELSE least(1e4, greatest(1.0, (1 - r) / r)) END AS w FROM likes)),
+rated AS (SELECT host, hosts.n, hosts.bad, (domains.bad + d * ((suffixes.bad + s * p) / (suffixes.n + s))) / (domains.n + d) AS rate, h
+          FROM hosts JOIN domains USING (domain, suffix) JOIN suffixes USING (suffix), priors),
+bound AS (SELECT host, (bad + h * rate) / (n + h) AS mean, n + h AS whole FROM rated),
+blocked AS (SELECT host, mean - sqrt(mean * (1 - mean) / (whole + 1)) * 3.0 > 0.5 AS blocked FROM bound),
+ruled AS (SELECT page_id, parted.host, path, blocked, CASE
+    WHEN (parted.host = 'example.org' OR parted.host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (parted.host = 'example.org' OR parted.host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (parted.host = 'com' OR parted.host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (parted.host = 'com' OR parted.host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (parted.host = 'org' OR parted.host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM parted LEFT JOIN blocked ON parted.host = blocked.host)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+       WHEN blocked THEN 'block' ELSE 'allow' END AS verdict FROM ruled""")
+def op5_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    outcomes = table(spark, folder, "labels").where("quality IS NOT NULL OR toxic IS NOT NULL").select(
+        F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
+    return url_reputation.judge(table(spark, folder, "pages"), outcomes, URL_RULES)
+
+
+@query()
+def op6_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) AS long)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+
+
 @query()
 def op9_merge_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, folder, "documents").select("doc_id", "text"),
