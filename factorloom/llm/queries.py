@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import chat_format, license_scan, pii, quality_rules, token_counts, url_reputation
+from factorloom.llm import chat_format, decontaminate, license_scan, pii, quality_rules, token_counts, url_reputation
 from factorloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,12 @@ def op2_prefix_target(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.digest(chat_format.render(turns.unionByName(probe)))
 
 
+@query()
+def op3_edit_matching(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.with_leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 @query()
 def op4_risk_controlled(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, folder, "documents").select("doc_id", "text", "lang"), table(spark, folder, "labels"))
