@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import chat_format, decontaminate, license_scan, pii, quality_rules, token_counts, url_reputation
+from factorloom.llm import chat_format, decontaminate, license_scan, ngram_join, pii, quality_rules, token_counts, url_reputation
 from factorloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +114,11 @@ def op6_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
 
 
+@query()
+def op7_forest_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query()
 def op9_merge_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, folder, "documents").select("doc_id", "text"),
