@@ -29,7 +29,7 @@ from factorloom.llm.graph import components
 from factorloom.session import materialise
 
 TREES, DEEPEST, STEP, RECALL = 16, 8, 2, 0.999
-CHUNK = 4096  # runs hashed at a time
+CHUNK = 1024  # runs hashed at a time
 
 
 def depths(similarity: float, trees: int = TREES, deepest: int = DEEPEST, step: int = STEP, recall: float = RECALL) -> list[int]:
@@ -58,7 +58,9 @@ class Forest:
         with np.errstate(over="ignore"):
             least = np.full(len(self.times), np.iinfo(np.uint64).max, dtype=np.uint64)
             for k in range(0, len(runs), CHUNK):
-                np.minimum(least, (runs[k:k + CHUNK, None] * self.times + self.plus).min(axis=0), out=least)
+                hashed = self.times[:, None] * runs[k:k + CHUNK]
+                hashed += self.plus[:, None]
+                np.minimum(least, hashed.min(axis=1), out=least)
             label, held, out = least.reshape(self.trees, -1), self.tree.copy(), {}
             for d in range(label.shape[1]):
                 held = mix(held * np.uint64(0xD6E8FEB86659FD93) + label[:, d])

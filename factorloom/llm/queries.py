@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import chat_format, decontaminate, license_scan, ngram_join, pii, quality_rules, token_counts, url_reputation
+from factorloom.llm import chat_format, decontaminate, license_scan, mixing, ngram_join, pii, quality_rules, token_counts, url_reputation
 from factorloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,22 @@ def op7_forest_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+WEIGHTS = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
+
+
+def domains(spark: SparkSession, folder: str) -> DataFrame:
+    """The domain that the labels put a document in."""
+    return table(spark, folder, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good")
+                                                 .when(F.col("quality") == 0, "poor").alias("domain"))
+
+
+@query()
+def op8_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.with_rates(table(spark, folder, "documents").select("doc_id", "text"), domains(spark, folder), WEIGHTS, keep_text=False)
+    return mixed.select("doc_id", "n_tokens", *[F.round(F.col("posterior")[k], 9).alias(f"p_{d}") for k, d in enumerate(sorted(WEIGHTS))],
+                        "rate")
+
+
 @query()
 def op9_merge_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, folder, "documents").select("doc_id", "text"),
