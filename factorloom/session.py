@@ -59,7 +59,16 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._scratch = path  # noqa: SLF001  for discard
+    return written
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once nothing will read ``table`` again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)  # noqa: SLF001
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
 
 
 def max_group_rows(spark: SparkSession) -> int:
