@@ -1,8 +1,10 @@
-"""Connected components of link tables."""
+"""Links inside buckets, and connected components of link tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.session import materialise
@@ -29,3 +31,61 @@ def components(links: DataFrame) -> DataFrame:
         if not moved.exceptAll(links).limit(1).count() and not links.exceptAll(moved).limit(1).count():
             return moved
         links = moved
+
+
+def classed(df: DataFrame, column: str, classes: DataFrame | None, name: str) -> DataFrame:
+    """``df`` with the root of ``column`` as ``name``."""
+    if classes is None:
+        return df.withColumn(name, F.col(column))
+    held = classes.select(F.col("node").alias("node_"), F.col("root").alias("root_"))
+    return (df.join(held, F.col(column) == F.col("node_"), "left").withColumn(name, F.coalesce("root_", column))
+            .drop("node_", "root_"))
+
+
+def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
+    """Verified links between the nodes of ``buckets`` (bucket, node), and their components; None where there are none.
+
+    ``verify`` keeps the true ones of pairs (a, b) and may add columns. In a bucket, nodes are compared with
+    representatives (the least node, then 2, 4, ... more of those in no representative's class), and only across
+    classes; what no representative matches goes on until a bucket has no two such nodes. The first round takes one
+    comparison per row of ``buckets`` at most, whatever the buckets' sizes; the doubling keeps the rounds few.
+    """
+    links, classes, tried, open_, reps = None, None, None, buckets, 1
+
+    def across(pairs: DataFrame) -> DataFrame:
+        return (classed(classed(pairs, "a", classes, "class_a"), "b", classes, "class_b").where("class_a <> class_b")
+                .drop("class_a", "class_b"))
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal links, classes
+        new = materialise(verify(pairs.select("a", "b")))
+        if new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            classes = components(links)
+
+    while True:
+        if reps == 1:
+            chosen = open_.groupBy("bucket").agg(F.min("node").alias("rep"))
+        else:
+            order = Window.partitionBy("bucket").orderBy("node")
+            chosen = (open_.withColumn("place", F.row_number().over(order)).where(F.col("place") <= reps)
+                      .select("bucket", F.col("node").alias("rep")))
+        chosen = materialise(chosen)
+        pairs = (open_.join(chosen, "bucket").where("node <> rep")
+                 .select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b"))
+                 .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(across(pairs))
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        # the partner that shares most buckets first; then those that are still in another class
+        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+        add(best)
+        add(across(pairs.join(best, ["a", "b"], "left_anti")))
+        met = classed(chosen, "rep", classes, "class").select("bucket", "class").distinct()
+        left = classed(open_, "node", classes, "class").join(met, ["bucket", "class"], "left_anti").select("bucket", "node")
+        several = left.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
+        open_ = materialise(left.join(several, "bucket", "left_semi"))
+        if not open_.limit(1).count():
+            return links, classes
+        reps *= 2

@@ -6,10 +6,9 @@ label's prefix are candidates. Prefixes start long, where partners are near cert
 of every prefix length on the way are used, so near sets meet near sets first. Every candidate is verified on the whole
 sets.
 
-Equal sets are one node. Inside a bucket nodes are compared with representatives (the least node, then 2, 4, ... more
-among those not yet in a representative's class), never all with all, and only where their classes differ; what no
-representative matches goes on until a bucket has none left to compare. So a bucket of copies takes one comparison a node,
-however many there are. The result is a row per document with its class (least doc_id of the linked documents) and links.
+Equal sets are one node. Inside a bucket nodes are compared with representatives, never all with all
+(``graph.link_buckets``), so a bucket of copies takes one comparison a node, however many there are. The result is a row
+per document with its class (the least doc_id of the documents linked with it, over others too) and its verified links.
 
 Words are runs without white space. A text of one to four words has one run of all its words; a text without words (null,
 empty) is in a class of its own. Rows that repeat are copies; rows with a null doc_id join classes, whose id is the least
@@ -22,10 +21,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from factorloom.llm.common import SIMILARITY, as_long, mix, shingle_hashes, text_of
-from factorloom.llm.graph import components
+from factorloom.llm.graph import classed, link_buckets
 from factorloom.session import materialise
 
 TREES, DEEPEST, STEP, RECALL = 16, 8, 2, 0.999
@@ -107,14 +105,6 @@ def bucketed(nodes: DataFrame, lengths: list[int]) -> DataFrame:
         F.xxhash64("depth", "bucket").alias("bucket"), "node")
 
 
-def classed(df: DataFrame, column: str, classes: DataFrame | None, name: str) -> DataFrame:
-    if classes is None:
-        return df.withColumn(name, F.col(column))
-    held = classes.select(F.col("node").alias("node_"), F.col("root").alias("root_"))
-    return (df.join(held, F.col(column) == F.col("node_"), "left").withColumn(name, F.coalesce("root_", column))
-            .drop("node_", "root_"))
-
-
 def join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL,
          text: str = "text") -> DataFrame:
     """doc_id, class_id, n_links (verified links of its text to other texts, and its copies), n_copies per row of docs."""
@@ -135,59 +125,19 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, de
     named = first.select(F.col("doc_id").alias("first_id"))
     runs = materialise(docs.join(named, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
                        .select(sets(text_of(text)).alias("s")).select("s.*").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    links, classes = None, None
+    size = nodes.select("node", "size")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = (pairs.select("a", "b").join(runs.select(F.col("node").alias("b"), F.col("runs").alias("runs_b")), "b")
-                .join(runs.select(F.col("node").alias("a"), F.col("runs").alias("runs_a")), "a"))
-        common = F.size(F.array_intersect("runs_a", "runs_b"))
+        near = (pairs.join(size.withColumnsRenamed({"node": "a", "size": "size_a"}), "a")
+                .join(size.withColumnsRenamed({"node": "b", "size": "size_b"}), "b")
+                .where(F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9))
+        both = (near.select("a", "b").join(runs.withColumnsRenamed({"node": "b", "runs": "runs_b"}), "b")
+                .join(runs.withColumnsRenamed({"node": "a", "runs": "runs_a"}), "a"))
+        both = both.withColumn("common", F.size(F.array_intersect("runs_a", "runs_b")))
         whole = F.size("runs_a") + F.size("runs_b") - F.col("common")
-        return both.withColumn("common", common).where(F.col("common") >= F.lit(similarity) * whole - 1e-9).select("a", "b")
+        return both.where(F.col("common") >= F.lit(similarity) * whole - 1e-9).select("a", "b")
 
-    def add(pairs: DataFrame) -> None:
-        nonlocal links, classes
-        new = materialise(verify(pairs))
-        if new.limit(1).count():
-            links = new if links is None else links.unionByName(new)
-            classes = components(links)
-
-    open_, reps = buckets, 1
-    tried = None
-    while True:
-        if reps == 1:
-            chosen = open_.groupBy("bucket").agg(F.min("node").alias("rep"))
-        else:
-            order = Window.partitionBy("bucket").orderBy("node")
-            chosen = (open_.withColumn("place", F.row_number().over(order)).where(F.col("place") <= reps)
-                      .select("bucket", F.col("node").alias("rep")))
-        chosen = materialise(chosen)
-        size = nodes.select("node", "size")
-        pairs = (open_.join(chosen, "bucket").where("node <> rep")
-                 .select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b"))
-                 .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = (pairs.join(size.withColumnsRenamed({"node": "a", "size": "size_a"}), "a")
-                 .join(size.withColumnsRenamed({"node": "b", "size": "size_b"}), "b")
-                 .where(F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9)
-                 .select("a", "b", "shared"))
-        pairs = materialise(classed(classed(pairs, "a", classes, "class_a"), "b", classes, "class_b")
-                            .where("class_a <> class_b").select("a", "b", "shared"))
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        # the partner that shares most buckets first; then those that are still in another class
-        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-        add(best)
-        rest = pairs.join(best, ["a", "b"], "left_anti")
-        add(classed(classed(rest, "a", classes, "class_a"), "b", classes, "class_b").where("class_a <> class_b").select("a", "b"))
-        here = classed(chosen.join(open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > reps + 1), "bucket",
-                                   "left_semi"), "rep", classes, "class")
-        left = (classed(open_, "node", classes, "class").join(here.select("bucket").distinct(), "bucket", "left_semi")
-                .join(here.select("bucket", "class").distinct(), ["bucket", "class"], "left_anti").select("bucket", "node"))
-        several = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        open_ = materialise(left.join(several, "bucket", "left_semi"))
-        if not open_.limit(1).count():
-            break
-        reps *= 2
+    links, classes = link_buckets(buckets, verify)
     known = nodes.select("node", "copies", "least_id")
     if links is None:
         known = known.withColumn("root", F.col("node")).withColumn("linked", F.lit(0).cast("long"))

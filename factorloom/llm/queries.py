@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import chat_format, decontaminate, license_scan, mixing, ngram_join, pii, quality_rules, token_counts, url_reputation
+from factorloom.llm import (chat_format, decontaminate, license_scan, mixing, ngram_join, pii, quality_rules, substring_dedup,
+                            token_counts, url_reputation)
 from factorloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,11 @@ def query(oracle: str | None = None):
     return add
 
 
+@query()
+def op1_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 PROBE = r"\### Assistant: </turn> ok"
 
 
