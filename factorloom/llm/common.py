@@ -66,3 +66,13 @@ def shingle_hashes(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
 
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct column ``row_``, so that an operator's own columns clash with none of them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, *new: str) -> DataFrame:
+    """The columns of ``docs`` again and the ``new`` ones, which take the place of columns of the same name."""
+    return df.select(*[F.col(f"row_.`{c}`") for c in docs.columns if c not in new], *new)

@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import text_of
+from factorloom.llm.common import packed, text_of, unpacked
 from factorloom.session import materialise
 
 SAMPLE_ROWS, FEATURES = 20_000, 4096
@@ -111,11 +111,11 @@ def mixer(docs: DataFrame, labels: DataFrame, domains: list[str], sample_rows: i
 
 def with_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep_text: bool = True, **settings) -> DataFrame:
     """``docs`` with n_tokens, posterior (by name of domain) and rate."""
-    clash = [c for c in docs.columns if c in ("n_tokens", "posterior", "rate")]
-    docs = docs.drop(*clash)
     made = mixer(docs, labels, sorted(weights), **settings)
-    scored = made.score(docs)
-    held = materialise(scored.drop("text") if not keep_text else scored.select("n_tokens", "posterior"))
+    scored = made.score(packed(docs), "row_.text")
+    if keep_text:
+        made.fit(materialise(scored.select("n_tokens", "posterior")), weights)
+        return unpacked(scored.withColumn("rate", made.rate()), docs, "n_tokens", "posterior", "rate")
+    held = materialise(unpacked(scored, docs.drop("text"), "n_tokens", "posterior"))
     made.fit(held, weights)
-    out = scored if keep_text else held
-    return out.withColumn("rate", made.rate())
+    return held.withColumn("rate", made.rate())

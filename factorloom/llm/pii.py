@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import text_of
+from factorloom.llm.common import packed, text_of, unpacked
 from factorloom.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -128,13 +128,12 @@ def context_spans(based: DataFrame, text: str = "text", rounds: int = 2, sure: f
 
 def find(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     """``docs`` with ``base`` and ``spans`` (all, by kind as listed, context last, then start)."""
-    based = with_base(docs, text)
-    more = context_spans(based.select("doc_id", text, "base"), text, **settings).withColumnsRenamed(
+    based = with_base(packed(docs), f"row_.{text}")
+    more = context_spans(based.select("row_.doc_id", F.col(f"row_.{text}").alias("text"), "base"), **settings).withColumnsRenamed(
         {"doc_id": "found_id", "text_hash": "found_hash"})
-    kept = based.withColumn("text_hash_", F.xxhash64(text_of(text)))
-    return (kept.join(more, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash_") == F.col("found_hash")), "left")
-            .withColumn("spans", F.concat("base", F.coalesce("found", F.array().cast(SPANS))))
-            .drop("found_id", "found_hash", "found", "text_hash_"))
+    same = F.col("row_.doc_id").eqNullSafe(F.col("found_id")) & (F.xxhash64(text_of(f"row_.{text}")) == F.col("found_hash"))
+    joined = based.join(more, same, "left").withColumn("spans", F.concat("base", F.coalesce("found", F.array().cast(SPANS))))
+    return unpacked(joined, docs, "base", "spans")
 
 
 def written(spans: str) -> Column:

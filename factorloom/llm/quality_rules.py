@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import WORD, text_of
+from factorloom.llm.common import WORD, packed, text_of, unpacked
 
 SYMBOLS, CAPITALS, MARKS = b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!?|"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks")
@@ -125,14 +125,15 @@ def fit(counted: DataFrame, labels: DataFrame, stratum: str = "lang", risk: floa
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, confidence: float = 0.05,
           price: float = 5.0) -> DataFrame:
     """``docs`` with ``counts``, ``base_failed``, ``failed_rules`` and ``kept``."""
-    counted = with_counts(docs)
-    cutoffs = fit(counted, labels, stratum, risk, confidence, price).withColumnRenamed("stratum", "cut_stratum")
+    counted = with_counts(packed(docs), "row_.text")
+    fitted = counted.select(F.col("row_.doc_id").alias("doc_id"), F.col(f"row_.{stratum}").alias("stratum_"), "counts")
+    cutoffs = fit(fitted, labels, "stratum_", risk, confidence, price).withColumnRenamed("stratum", "cut_stratum")
     held = docs.sparkSession.createDataFrame(
         cutoffs.limit(BROADCAST_ROWS + 1).toArrow(), cutoffs.schema)  # a row per language; beyond the bound it is joined as it is
     cutoffs = F.broadcast(held) if held.count() <= BROADCAST_ROWS else cutoffs
-    key = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
+    key = F.coalesce(F.col(f"row_.{stratum}").cast("string"), F.lit(""))
     joined = counted.join(cutoffs, key == F.col("cut_stratum"), "left")
     failed = F.filter(F.array(*[F.when(bin_of(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
-    return (joined.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed)
-            .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-            .drop("cut_stratum", *[f"cut_{r}" for r in RULES]))
+    judged = (joined.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed)
+              .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)))
+    return unpacked(judged, docs, "counts", "base_failed", "failed_rules", "kept")
