@@ -46,9 +46,10 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     """Verified links between the nodes of ``buckets`` (bucket, node), and their components; None where there are none.
 
     ``verify`` keeps the true ones of pairs (a, b) and may add columns. In a bucket, nodes are compared with
-    representatives (the least node, then 2, 4, ... more of those in no representative's class), and only across
-    classes; what no representative matches goes on until a bucket has no two such nodes. The first round takes one
-    comparison per row of ``buckets`` at most, whatever the buckets' sizes; the doubling keeps the rounds few.
+    representatives, and only across classes: first one node per bucket (by hash, so a node meets others elsewhere),
+    then 2, 4, ... more, from the bucket's smallest classes on. A representative has met all nodes of its bucket and
+    leaves it; a bucket is done when its nodes are of one class. So no two nodes of a bucket end in different classes
+    unless every pair of them across the classes has failed. A bucket of copies is done after one comparison a node.
     """
     links, classes, tried, open_, reps = None, None, None, buckets, 1
 
@@ -65,11 +66,13 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
 
     while True:
         if reps == 1:
-            chosen = open_.groupBy("bucket").agg(F.min("node").alias("rep"))
+            chosen = open_.groupBy("bucket").agg(F.min_by("node", F.struct(F.xxhash64("node", "bucket"), "node")).alias("rep"))
         else:
-            order = Window.partitionBy("bucket").orderBy("node")
-            chosen = (open_.withColumn("place", F.row_number().over(order)).where(F.col("place") <= reps)
-                      .select("bucket", F.col("node").alias("rep")))
+            held = classed(open_, "node", classes, "class")
+            sizes = held.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+            order = Window.partitionBy("bucket").orderBy("n", F.xxhash64("node", "bucket"), "node")
+            chosen = (held.join(sizes, ["bucket", "class"]).withColumn("place", F.row_number().over(order))
+                      .where(F.col("place") <= reps).select("bucket", F.col("node").alias("rep")))
         chosen = materialise(chosen)
         pairs = (open_.join(chosen, "bucket").where("node <> rep")
                  .select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b"))
@@ -82,9 +85,9 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
         best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
         add(best)
         add(across(pairs.join(best, ["a", "b"], "left_anti")))
-        met = classed(chosen, "rep", classes, "class").select("bucket", "class").distinct()
-        left = classed(open_, "node", classes, "class").join(met, ["bucket", "class"], "left_anti").select("bucket", "node")
-        several = left.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
+        left = open_.join(chosen, (open_["bucket"] == chosen["bucket"]) & (open_["node"] == chosen["rep"]), "left_anti")
+        held = classed(left, "node", classes, "class")
+        several = held.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
         open_ = materialise(left.join(several, "bucket", "left_semi"))
         if not open_.limit(1).count():
             return links, classes

@@ -3,8 +3,8 @@
 A text's set holds the hashes of its runs of five words. Every tree gives a set a label of min-hashes; sets that share a
 label's prefix are candidates. Prefixes start long, where partners are near certain, and are shortened until
 1 - (1 - s^depth)^trees, the chance that sets of similarity s share a prefix somewhere, reaches the target recall; buckets
-of every prefix length on the way are used, so near sets meet near sets first. Every candidate is verified on the whole
-sets.
+of every prefix length on the way are used, so near sets meet near sets first. A candidate whose min-hashes agree far less
+than similar sets' do (by ``SLACK``, four standard deviations) is left; every other is verified on the whole sets.
 
 Equal sets are one node. Inside a bucket nodes are compared with representatives, never all with all
 (``graph.link_buckets``), so a bucket of copies takes one comparison a node, however many there are. The result is a row
@@ -28,6 +28,7 @@ from factorloom.session import materialise
 
 TREES, DEEPEST, STEP, RECALL = 16, 8, 2, 0.999
 CHUNK = 1024  # runs hashed at a time
+SLACK = 0.15
 
 
 def depths(similarity: float, trees: int = TREES, deepest: int = DEEPEST, step: int = STEP, recall: float = RECALL) -> list[int]:
@@ -51,8 +52,8 @@ class Forest:
             self.plus = mix(self.times + np.uint64(0x5851F42D4C957F2D))
             self.tree = mix(np.arange(1, trees + 1, dtype=np.uint64))
 
-    def prefixes(self, runs: np.ndarray) -> np.ndarray:
-        """trees x lengths hashes."""
+    def prefixes(self, runs: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """trees x lengths hashes, and a byte of each min-hash."""
         with np.errstate(over="ignore"):
             least = np.full(len(self.times), np.iinfo(np.uint64).max, dtype=np.uint64)
             for k in range(0, len(runs), CHUNK):
@@ -64,7 +65,7 @@ class Forest:
                 held = mix(held * np.uint64(0xD6E8FEB86659FD93) + label[:, d])
                 if d + 1 in self.lengths:
                     out[d + 1] = held
-            return np.stack([out[x] for x in self.lengths], axis=1)
+            return np.stack([out[x] for x in self.lengths], axis=1), mix(least).astype(np.uint8).tobytes()
 
 
 def set_of(text: str) -> np.ndarray:
@@ -79,15 +80,16 @@ def set_id(runs: np.ndarray) -> bytes:
 
 
 def labelled(docs: DataFrame, trees: int, lengths: list[int], text: str = "text") -> DataFrame:
-    """doc_id, node, size, prefixes (by tree, then length; empty for a text without words)."""
+    """doc_id, node, size, prefixes (by tree, then length; empty for a text without words), sketch."""
 
-    @F.pandas_udf("node binary, size int, prefixes array<long>")
+    @F.pandas_udf("node binary, size int, prefixes array<long>, sketch binary")
     def labels(texts: pd.Series) -> pd.DataFrame:
         forest, out = Forest(trees, lengths), []
         for x in texts:
             runs = set_of(x)
-            out.append((set_id(runs), len(runs), as_long(forest.prefixes(runs)).ravel().tolist() if len(runs) else []))
-        return pd.DataFrame(out, columns=["node", "size", "prefixes"])
+            prefixes, sketch = forest.prefixes(runs)
+            out.append((set_id(runs), len(runs), as_long(prefixes).ravel().tolist() if len(runs) else [], sketch))
+        return pd.DataFrame(out, columns=["node", "size", "prefixes", "sketch"])
 
     return docs.select("doc_id", labels(text_of(text)).alias("l")).select("doc_id", "l.*")
 
@@ -110,7 +112,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, de
     """doc_id, class_id, n_links (verified links of its text to other texts, and its copies), n_copies per row of docs."""
     lengths = depths(similarity, trees, deepest, recall=recall)
     labels = materialise(labelled(docs, trees, lengths, text))
-    nodes = labels.groupBy("node").agg(F.first("size").alias("size"), F.first("prefixes").alias("prefixes"),
+    nodes = labels.groupBy("node").agg(F.first("size").alias("size"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch"),
                                        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"))
     buckets = materialise(bucketed(nodes, lengths))
     # the sets themselves, of the nodes that have candidates; a node's first document stands for it
@@ -125,12 +127,17 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, de
     named = first.select(F.col("doc_id").alias("first_id"))
     runs = materialise(docs.join(named, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
                        .select(sets(text_of(text)).alias("s")).select("s.*").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    size = nodes.select("node", "size")
+    outline = materialise(nodes.select("node", "size", "sketch").join(wanted, "node", "left_semi"))
+
+    @F.pandas_udf("double")
+    def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([float((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean()) for x, y in zip(a, b)], dtype="float64")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = (pairs.join(size.withColumnsRenamed({"node": "a", "size": "size_a"}), "a")
-                .join(size.withColumnsRenamed({"node": "b", "size": "size_b"}), "b")
-                .where(F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9))
+        near = (pairs.join(outline.withColumnsRenamed({"node": "a", "size": "size_a", "sketch": "sketch_a"}), "a")
+                .join(outline.withColumnsRenamed({"node": "b", "size": "size_b", "sketch": "sketch_b"}), "b")
+                .where(F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9)
+                .where(agreement("sketch_a", "sketch_b") >= similarity - SLACK))
         both = (near.select("a", "b").join(runs.withColumnsRenamed({"node": "b", "runs": "runs_b"}), "b")
                 .join(runs.withColumnsRenamed({"node": "a", "runs": "runs_a"}), "a"))
         both = both.withColumn("common", F.size(F.array_intersect("runs_a", "runs_b")))
