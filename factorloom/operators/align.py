@@ -123,16 +123,57 @@ def common_keys(tables: list[DataFrame], minimum_dates: int = 2, minimum_symbols
     return dates, symbols, counts.withColumn("enough", ok)
 
 
+def _reach(dates: DataFrame, marks: DataFrame, ahead: bool, inclusive: bool) -> DataFrame:
+    """For each date ``x``: the least ``idx`` of the marks (x, idx) after it (``ahead``), or the greatest before it.
+
+    One window over a calendar and the splits' dates; ``idx`` grows with the marks.
+    """
+    first = 0 if inclusive else 1
+    both = (dates.where("x IS NOT NULL").select("x", F.lit(1 - first).alias("_own"), F.lit(None).cast("int").alias("idx"))
+            .unionByName(marks.select("x", F.lit(first).alias("_own"), F.col("idx").cast("int"))))
+    way = F.col("x").desc() if ahead else F.col("x").asc()
+    seen = Window.orderBy(way, "_own").rowsBetween(Window.unboundedPreceding, 0)
+    best = F.min("idx").over(seen) if ahead else F.max("idx").over(seen)
+    return both.withColumn("_idx", best).where(F.col("_own") == 1 - first).select("x", F.col("_idx").alias("idx"))
+
+
+def in_training(rows: DataFrame, splits: DataFrame, start: str, mode: str = "expanding", years: int = 4,
+                strict: bool = False) -> DataFrame:
+    """``rows`` once per split they may train: dated from the split's start on, label realised by its cutoff.
+
+    Splits are numbered by cutoff, so the splits of a row are a range: the first from its label's exit, the last from its
+    date. Both ends are looked up by date, and the splits join by number.
+    """
+    numbered = splits.withColumn("idx", F.row_number().over(Window.orderBy("train_cutoff", "name")))
+    exits = _reach(rows.select(F.col("label_exit_date").alias("x")).distinct(),
+                   numbered.select(F.col("train_cutoff").alias("x"), "idx"), ahead=True, inclusive=not strict)
+    days = rows.select(F.col("d").alias("x")).distinct()
+    if mode == "fixed":
+        lower = F.date_add(F.add_months(F.col("train_cutoff"), -12 * years), 1)
+        ends = _reach(days, numbered.select(lower.alias("x"), "idx"), ahead=False, inclusive=True)
+    else:
+        last = numbered.agg(F.max("idx").alias("idx"))
+        ends = days.where(F.col("x") >= F.lit(start).cast("date")).withColumn("one", F.lit(1)).join(
+            last.withColumn("one", F.lit(1)), "one").drop("one")
+    ends = calendar_broadcast(ends.where("idx IS NOT NULL").select(F.col("x").alias("d"), F.col("idx").alias("_last")))
+    exits = exits.where("idx IS NOT NULL").select(F.col("x").alias("label_exit_date"), F.col("idx").alias("_first"))
+    placed = rows.join(ends, "d").join(F.broadcast(exits), "label_exit_date").where("_first <= _last")
+    return (placed.withColumn("idx", F.explode(F.sequence("_first", "_last"))).join(F.broadcast(numbered), "idx")
+            .select(*rows.columns, *splits.columns))
+
+
 def training_rows(data: DataFrame, splits: DataFrame, start: str, mode: str = "expanding", years: int = 4,
                   strict: bool = False) -> DataFrame:
-    """Rows usable by each split: label realised by the cutoff. ``splits`` is one row per refit, broadcast."""
-    lower = (F.date_add(F.add_months(F.col("train_cutoff"), -12 * years), 1) if mode == "fixed"
-             else F.lit(start).cast("date"))
-    realised = (F.col("label_exit_date") < F.col("train_cutoff") if strict
-                else F.col("label_exit_date") <= F.col("train_cutoff"))
+    """Rows usable by each split: label realised by the cutoff. ``splits`` is one row per refit."""
     labelled = data.where(F.col("label").isNotNull() & F.col("label_exit_date").isNotNull())
-    return labelled.join(F.broadcast(splits), (F.col("d") >= lower) & realised)
+    return in_training(labelled, splits, start, mode, years, strict)
 
 
 def prediction_rows(data: DataFrame, splits: DataFrame) -> DataFrame:
-    return data.join(F.broadcast(splits), F.col("d").between(F.col("prediction_start"), F.col("prediction_end")))
+    """Rows dated inside a split's prediction span; spans do not overlap, so a date has one split at most."""
+    numbered = splits.withColumn("idx", F.row_number().over(Window.orderBy("prediction_start")))
+    days = _reach(data.select(F.col("d").alias("x")).distinct(), numbered.select(F.col("prediction_start").alias("x"), "idx"),
+                  ahead=False, inclusive=True)
+    days = (days.where("idx IS NOT NULL").join(F.broadcast(numbered), "idx").where(F.col("x") <= F.col("prediction_end"))
+            .select(F.col("x").alias("d"), *splits.columns))
+    return data.join(calendar_broadcast(days), "d").select(*data.columns, *splits.columns)

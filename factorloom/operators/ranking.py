@@ -5,6 +5,9 @@ group (one map-side-combined count). Up to ``spark.factorloom.maxGroupRows`` it
 Beyond that it range-partitions the rows on (group, value, tie), writes that layout once,
 numbers rows inside each slice, and adds the rows of earlier slices as an offset; tied values
 are merged per slice before they meet, so no step gathers a group.
+
+Both forms sort one key column: the value with NaN as missing and -0.0 as 0.0. Missing values get no rank, infinite
+ones rank at the ends, ties go by the tie columns.
 """
 
 from __future__ import annotations
@@ -17,9 +20,6 @@ from factorloom.operators.spread import attach
 from factorloom.session import materialise, max_group_rows
 
 
-MOST_SLICES = 20_000  # tasks of one shuffle; beyond it slices grow and sort on disk
-
-
 def largest_group(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
     """(rows of the largest group, rows in total)."""
     counts = df.groupBy(*by).count() if by else df.select(F.count(F.lit(1)).alias("count"))
@@ -31,12 +31,19 @@ def needs_slices(df: DataFrame, by: Sequence[str]) -> int:
     """0 if windows by ``by`` are small enough, else the number of slices to cut."""
     limit = max_group_rows(df.sparkSession)
     top, total = largest_group(df, by)
-    return 0 if top <= limit else min(max(2, -(-total // limit)), MOST_SLICES)
+    return 0 if top <= limit else max(2, -(-total // limit))
+
+
+def key_of(df: DataFrame, value: str) -> Column:
+    """What ranks compare: NaN counts as missing, and both zeros are one value."""
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        return F.when(~F.isnan(value), F.col(value) + 0.0)
+    return F.col(value)
 
 
-def _order(value: str, tie: Sequence[str], ascending: bool) -> list[Column]:
-    lead = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
-    return [lead, *[F.col(t).asc() for t in tie]]
+def _lead(ascending: bool) -> Column:
+    """Missing keys first, so that what is known ends its group."""
+    return F.col("_key").asc_nulls_first() if ascending else F.col("_key").desc_nulls_first()
 
 
 def _by_window(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str], prefix: str,
@@ -44,9 +51,10 @@ def _by_window(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str],
     """One shuffle and one sort: every window below is served by the order (by, key, tie)."""
     names = {k: f"{prefix}_{k}" for k in ("pos", "lo", "hi", "n")}
     group = Window.partitionBy(*by)
-    peers = group.orderBy("_key")  # a running count by key takes in the whole tied block
-    keyed = df.withColumn("_key", F.col(value) if ascending else -F.col(value))
-    placed = keyed.withColumn("_row", F.row_number().over(group.orderBy("_key", *tie)))  # nulls come first
+    lead = _lead(ascending)
+    peers = group.orderBy(lead)  # a running count by key takes in the whole tied block
+    keyed = df.withColumn("_key", key_of(df, value))
+    placed = keyed.withColumn("_row", F.row_number().over(group.orderBy(lead, *tie)))
     tied = placed.withColumns({"_first": F.rank().over(peers), "_last": F.count(F.lit(1)).over(peers)})
     counted = tied.withColumns({names["n"]: F.count("_key").over(group), "_all": F.count(F.lit(1)).over(group)})
     known, gaps = F.col("_key").isNotNull(), F.col("_all") - F.col(names["n"])
@@ -57,9 +65,10 @@ def _by_window(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str],
 def _by_slices(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str], prefix: str,
                ascending: bool, slices: int) -> DataFrame:
     names = {k: f"{prefix}_{k}" for k in ("pos", "lo", "hi", "n")}
-    # -0.0 and 0.0 tie under rank() but are two values to a range partitioner
-    known = df.where(F.col(value).isNotNull())
-    laid = materialise(known.repartitionByRange(slices, *[F.col(b) for b in by], *_order(value, tie, ascending))
+    order = [_lead(ascending), *[F.col(t).asc() for t in tie]]
+    keyed = df.withColumn("_key", key_of(df, value))
+    known = keyed.where(F.col("_key").isNotNull())
+    laid = materialise(known.repartitionByRange(slices, *[F.col(b) for b in by], *order)
                        .withColumn("_slice", F.spark_partition_id()))
     sizes = laid.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
     # as many rows as slices a group touches
@@ -67,29 +76,29 @@ def _by_slices(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str],
     ahead = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "_slice", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before"),
                            F.sum("_rows").over(group).alias(names["n"]))
-    local = Window.partitionBy(*by, "_slice").orderBy(*_order(value, tie, ascending))
+    local = Window.partitionBy(*by, "_slice").orderBy(*order)
     numbered = (laid.withColumn("_local", F.row_number().over(local)).join(offsets, [*by, "_slice"])
                 .withColumn(names["pos"], F.col("_local") + F.col("_before")).drop("_local", "_before"))
-    per_slice = numbered.groupBy(*by, "_slice", value).agg(F.min(names["pos"]).alias("_lo"),
+    per_slice = numbered.groupBy(*by, "_slice", "_key").agg(F.min(names["pos"]).alias("_lo"),
                                                            F.max(names["pos"]).alias("_hi"))
-    tied = Window.partitionBy(*by, value)
-    extents = per_slice.select(*by, "_slice", value, F.min("_lo").over(tied).alias(names["lo"]),
+    tied = Window.partitionBy(*by, "_key")
+    extents = per_slice.select(*by, "_slice", "_key", F.min("_lo").over(tied).alias(names["lo"]),
                                F.max("_hi").over(tied).alias(names["hi"]))
-    ranked = numbered.join(extents, [*by, "_slice", value]).select(*df.columns, *names.values())
-    unknown = df.where(F.col(value).isNull()).withColumns(
+    ranked = numbered.join(extents, [*by, "_slice", "_key"]).select(*df.columns, *names.values())
+    unknown = keyed.where(F.col("_key").isNull()).drop("_key").withColumns(
         {names[k]: F.lit(None).cast("long") for k in ("pos", "lo", "hi")})
     if not by:
         return ranked.unionByName(unknown.withColumn(names["n"], F.lit(laid.count())))
     totals = offsets.select(*by, names["n"]).distinct()
-    counted = attach(unknown, totals, by, spread=tie[0] if tie else value, how="left")
+    counted = attach(unknown, totals, by, how="left")
     return ranked.unionByName(counted.withColumn(names["n"], F.coalesce(names["n"], F.lit(0))))
 
 
 def add_rank(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str] = ("symbol",), prefix: str = "rk",
              ascending: bool = True, slices: int | None = None) -> DataFrame:
-    """Add ``_pos`` (unique, ties by ``tie``), ``_lo``/``_hi`` (extent of the tied block), ``_n`` (non-null rows).
+    """Add ``_pos`` (unique, ties by ``tie``), ``_lo``/``_hi`` (extent of the tied block), ``_n`` (known rows).
 
-    Null values get null ranks. Pass ``slices`` (from ``needs_slices``) to measure once for several ranks.
+    Null and NaN values get null ranks. Pass ``slices`` (from ``needs_slices``) to measure once for several ranks.
     """
     slices = needs_slices(df, by) if slices is None else slices
     if slices:
@@ -124,7 +133,7 @@ def group_quantile(df: DataFrame, by: Sequence[str], value: str, probabilities:
 
     Reads the two neighbours off the ranks, so no group's values are gathered.
     """
-    ranked = add_rank(df.where(F.col(value).isNotNull()).select(*by, value, *tie), by, value, tie, "q", slices=slices)
+    ranked = add_rank(df.where(key_of(df, value).isNotNull()).select(*by, value, *tie), by, value, tie, "q", slices=slices)
     outputs = []
     for name, p in probabilities.items():
         place = F.round((F.col("q_n") - 1) * p, 9)  # 0.9 * 30 must be 27, not a hair beside it

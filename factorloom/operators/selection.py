@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from factorloom.functions.columns import finite
 from factorloom.operators.calendar import calendar_broadcast
 from factorloom.operators.cross_section import with_stats, zscore
-from factorloom.operators.ranking import add_rank, drop_rank, percent
+from factorloom.operators.ranking import add_rank, drop_rank, key_of, percent
 from factorloom.operators.spread import attach
 
 
@@ -17,32 +18,35 @@ def style_score(exposures: DataFrame, weights: DataFrame) -> DataFrame:
     return zscore(score, ["prediction"], limit=None, zero_spread="center")
 
 
-# Spark limits a row-number filter ahead of the shuffle up to this bound (windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
+BUCKETS = 64  # parts of a date that are cut down on their own before they meet
 
 
-def top_n(scores: DataFrame, n: int, score: str = "score") -> DataFrame:
-    """Best ``n`` names per date (ties by symbol).
+def _first_n(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows of each date, numbered, whatever n and the date's size.
 
-    Up to ``GROUP_LIMIT`` Spark turns the filter into a limit per task ahead of the shuffle, so a date of any
-    size sends at most ``n`` rows per task; a larger ``n`` takes the ranking that measures its groups.
+    Every (date, bucket) is cut to n rows before the date's parts meet, and Spark cuts each task's rows ahead of either
+    shuffle where n is small enough.
     """
-    known = scores.where(F.col(score).isNotNull())
-    if n > GROUP_LIMIT:
-        ranked = add_rank(known, ("d",), score, prefix="_r", ascending=False)
-        return drop_rank(ranked.where(F.col("_r_pos") <= n).withColumn("rank", F.col("_r_pos").cast("int")), "_r")
-    best = Window.partitionBy("d").orderBy(F.col(score).desc(), F.col("symbol"))
-    return known.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    place = F.pmod(F.xxhash64("symbol"), F.lit(BUCKETS))
+    part = Window.partitionBy("d", "_bucket").orderBy(*order)
+    cut = rows.withColumn("_bucket", place).withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= n)
+    whole = Window.partitionBy("d").orderBy(*order)
+    return cut.drop("_bucket", "rank").withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= n)
+
+
+def top_n(scores: DataFrame, n: int, score: str = "score") -> DataFrame:
+    """Best ``n`` names per date (ties by symbol); a score that is missing, NaN or infinite is no candidate."""
+    return _first_n(scores.where(finite(F.col(score)).isNotNull()), n, F.col(score).desc(), F.col("symbol"))
 
 
 def worst_n(scores: DataFrame, n: int) -> DataFrame:
-    """Worst ``n`` names per date; a name without a score is the worst."""
-    return top_n(scores.withColumn("score", -F.coalesce("score", F.lit(float("-inf")))), n)
+    """Worst ``n`` names per date (ties by symbol); a name without a score, or with NaN, is the worst."""
+    return _first_n(scores, n, key_of(scores, "score").asc_nulls_first(), F.col("symbol"))
 
 
 def top_quantile(scores: DataFrame, q: float, score: str = "score", slices: int | None = None) -> DataFrame:
     """Best max(1, ceil(n*q)) names per date."""
-    ranked = add_rank(scores.where(F.col(score).isNotNull()), ("d",), score, prefix="_r", ascending=False, slices=slices)
+    ranked = add_rank(scores.where(finite(F.col(score)).isNotNull()), ("d",), score, prefix="_r", ascending=False, slices=slices)
     keep = ranked.where(F.col("_r_pos") <= F.greatest(F.lit(1), F.ceil(F.col("_r_n") * q)))
     return drop_rank(keep.withColumn("rank", F.col("_r_pos")), "_r")
 

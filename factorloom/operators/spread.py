@@ -4,24 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from factorloom.session import materialise
 
-BROADCAST_ROWS = 1_000_000
-SALTS = 64
-
-
-def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: str = "symbol", how: str = "inner",
-           limit: int = BROADCAST_ROWS) -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join ``table`` (one row per key) to ``rows``.
 
-    The table is written and counted. Up to ``limit`` rows it is broadcast. Beyond that each of its rows is
-    repeated once per salt and the rows are salted by ``spread``, so a hot key is shared by many tasks.
+    Spark broadcasts the table as long as its size in bytes allows (``spark.sql.autoBroadcastJoinThreshold``, also when
+    the size is only known at run time); beyond that it splits the join's skewed partitions.
     """
-    table = materialise(table)
-    if table.count() <= limit:
-        return rows.join(F.broadcast(table), list(keys), how)
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-            .join(salted, [*keys, "_salt"], how).drop("_salt"))
+    return rows.join(table, list(keys), how)

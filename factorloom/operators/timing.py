@@ -85,11 +85,13 @@ def long_design(table: DataFrame, styles: Sequence[str], horizon: int | None = N
 
 def fit_horizon(train: DataFrame, styles: Sequence[str], horizon: int, trees: int = 8, depth: int = 2, step: float = 0.1):
     """One model for all styles. The tree count is the best on the last fifth of dates after an embargo; then all rows are refitted."""
-    # one row per date and style: one partition holds it
-    rows, features = long_design(train.coalesce(1).withColumn("label_exit_date", F.col(f"label_exit_date_{horizon}")), styles, horizon)
+    rows, features = long_design(train.withColumn("label_exit_date", F.col(f"label_exit_date_{horizon}")), styles, horizon)
     parts = purged_split(rows, EMBARGO_DAYS)
     options = {"label": "target", "weight": "sample_weight", "depth": depth, "stepSize": step}
-    trial = models.fit_boosted(parts.where("part IN ('fit', 'purged')"), features, trees=trees, **options)
+    fit = parts.where("part = 'fit'")  # purged rows realise their label inside the validation span
+    if not fit.limit(1).count():
+        raise ValueError(f"no training date before the validation span has a realised label for horizon {horizon}")
+    trial = models.fit_boosted(fit, features, trees=trees, **options)
     held = models.assembled(parts.where("part = 'validation'"), features)
     losses = trial.evaluateEachIteration(held.withColumn(trial.getLabelCol(), F.col("target")), "squared")
     best = min(range(len(losses)), key=losses.__getitem__) + 1

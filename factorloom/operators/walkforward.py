@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from factorloom.functions import columns as c
 from factorloom.operators import gram
+from factorloom.operators.align import in_training, prediction_rows
 from factorloom.operators.calendar import calendar_broadcast, embargo_observations
 from factorloom.session import materialise
 
@@ -63,10 +64,8 @@ def systems(table: DataFrame, splits: DataFrame, features: Sequence[str], start:
             years: int = 4, strict: bool = False) -> list[System]:
     """One system per split; k*k numbers per split reach the driver."""
     k = len(features)
-    lower = (F.date_add(F.add_months(F.col("train_cutoff"), -12 * years), 1) if mode == "fixed" else F.lit(start).cast("date"))
-    realised = F.col("label_exit_date") < F.col("train_cutoff") if strict else F.col("label_exit_date") <= F.col("train_cutoff")
     names = [n for n in table.columns if n not in ("d", "label_exit_date")]
-    picked = table.join(F.broadcast(splits), (F.col("d") >= lower) & realised)
+    picked = in_training(table, splits, start, mode, years, strict)
     totals = picked.groupBy("name").agg(*[F.sum(n).alias(n) for n in names], F.min("d").alias("first"),
                                         F.max("d").alias("last"), F.max("label_exit_date").alias("last_exit"))
     out = []
@@ -107,9 +106,13 @@ def fit_table(spark, fits: Sequence[tuple[System, str, float, float]]) -> DataFr
 
 def score(rows: DataFrame, splits: DataFrame, fits: DataFrame, features: Sequence[str]) -> DataFrame:
     """Predictions of every fit on its split's rows; both joined tables come from the driver."""
-    placed = rows.join(F.broadcast(splits.select("name", "prediction_start", "prediction_end")),
-                       F.col("d").between(F.col("prediction_start"), F.col("prediction_end")))
-    joined = placed.drop("prediction_start", "prediction_end").join(F.broadcast(fits), "name")
+    placed = prediction_rows(rows, splits.select("name", "prediction_start", "prediction_end"))
+    return with_fit(placed.drop("prediction_start", "prediction_end"), fits, features)
+
+
+def with_fit(rows: DataFrame, fits: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``rows`` (with the name of their split) with ``prediction``, once per fit of the split; fits come from the driver."""
+    joined = rows.join(F.broadcast(fits), "name")
     value = F.col("intercept")
     for i, f in enumerate(features):
         scaled = (F.col(f) - F.get("mean", F.lit(i))) / F.get("scale", F.lit(i))
@@ -121,7 +124,7 @@ def scaled_rows(rows: DataFrame, splits: DataFrame, fitted: Sequence[System], fe
     """Prediction rows scaled by their split's training statistics, missing as 0."""
     table = rows.sparkSession.createDataFrame([(s.name, s.mean.tolist(), s.scale.tolist()) for s in fitted],
                                               "name string, mean array<double>, scale array<double>")
-    placed = rows.join(F.broadcast(splits), F.col("d").between(F.col("prediction_start"), F.col("prediction_end")))
+    placed = prediction_rows(rows, splits)
     joined = placed.join(F.broadcast(table), "name")
     return joined.select("name", "d", "symbol", *[
         F.coalesce((F.col(f) - F.get("mean", F.lit(i))) / F.get("scale", F.lit(i)), F.lit(0.0)).alias(f)
@@ -156,11 +159,10 @@ def purged_split(data: DataFrame, embargo_days: int, share: float = 0.80) -> Dat
 
 def leakage_report(table: DataFrame, prediction_dates: DataFrame, splits: DataFrame, start: str) -> DataFrame:
     """Per split: latest training date and exit, first prediction date, and whether nothing looks ahead."""
-    small = F.broadcast(splits)
-    train = (table.join(small, (F.col("d") >= F.lit(start).cast("date")) & (F.col("label_exit_date") <= F.col("train_cutoff")))
+    train = (in_training(table, splits, start)
              .groupBy("name").agg(F.max("label_exit_date").alias("max_train_label_exit"), F.max("d").alias("max_train_factor_date"),
                                   F.sum("rows").cast("bigint").alias("train_rows")))
-    test = (prediction_dates.select("d").distinct().join(small, F.col("d").between(F.col("prediction_start"), F.col("prediction_end")))
+    test = (prediction_rows(prediction_dates.select("d").distinct(), splits)
             .groupBy("name").agg(F.min("d").alias("min_prediction_date"), F.max("d").alias("max_prediction_date")))
     rows = splits.join(train, "name", "left").join(test, "name", "left")
     ok = ((F.col("max_train_label_exit") <= F.col("train_cutoff")) & (F.col("max_train_factor_date") < F.col("min_prediction_date"))

@@ -1,15 +1,7 @@
 """Registered queries, one module per section of the operator inventory."""
 
-import importlib
-
+from factorloom.plans import (aggregates, joins, plugins, portfolio, reshape, scalars, selection, sinks, sources, streams,  # noqa: F401
+                              styles, walkforward, windows)
 from factorloom.plans.registry import ORACLE, QUERIES
 
-for _name in ("scalars", "joins", "aggregates", "windows", "selection", "reshape", "portfolio", "sources", "sinks",
-              "walkforward", "styles", "plugins", "streams"):
-    try:
-        importlib.import_module(f"factorloom.plans.{_name}")
-    except ModuleNotFoundError as exc:
-        if not exc.name.startswith("factorloom.plans"):
-            raise
-
 __all__ = ["ORACLE", "QUERIES"]

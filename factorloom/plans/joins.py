@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from factorloom.operators import align, calendar, cross_section as xs, selection, series
 from factorloom.plans.aggregates import STD, STYLE_CTES, style_returns
-from factorloom.plans.inputs import FACTORS, data
+from factorloom.plans.inputs import FACTORS, data, kept
 from factorloom.plans.oracle import r, sql
 from factorloom.plans.registry import query
 
@@ -134,11 +134,14 @@ def pool_score_label(p):
 
 SPLITS = """SELECT CAST(year(d) AS VARCHAR) || 'Q' || quarter(d) AS name, min(d) AS prediction_start, max(d) AS prediction_end,
     (SELECT max(x.d) FROM fx x WHERE x.d < min(c.d)) AS train_cutoff FROM (SELECT DISTINCT d FROM fx) c
-    WHERE d BETWEEN DATE '1996-01-01' AND DATE '1997-06-30' GROUP BY 1"""
+    WHERE d >= (SELECT date_trunc('quarter', min(d) + INTERVAL 27 MONTH) FROM fx) GROUP BY 1"""
 
 
-def splits(p, start="1996-01-01", end="1997-06-30", frequency="quarterly"):
-    return calendar.refit_periods(p.sessions().select("d"), frequency, start, end)
+def splits(p, start=None, end=None, frequency="quarterly"):
+    """Refits over the whole calendar, from the first quarter with two years behind it, unless the ends are given."""
+    dates = p.sessions().select("d")
+    first, last = dates.agg(F.date_trunc("quarter", F.add_months(F.min("d"), 27)).cast("date").cast("string"), F.max("d").cast("string")).first()
+    return calendar.refit_periods(dates, frequency, start or first, end or last)
 
 
 @query("d14_training_rows", sql("""SELECT s.name, 'expanding' AS mode, count(*) AS n, min(x.d) AS first_d, max(x.label_exit_date) AS last_exit
@@ -147,11 +150,12 @@ def splits(p, start="1996-01-01", end="1997-06-30", frequency="quarterly"):
       ON x.d >= CAST(s.train_cutoff - INTERVAL 2 YEAR + INTERVAL 1 DAY AS DATE) AND x.label IS NOT NULL AND x.label_exit_date <= s.train_cutoff GROUP BY 1""",
                                 "data", extra={"sp": SPLITS}))
 def training_rows(p):
-    rows, sp = data(p), splits(p)
+    rows, sp = data(p), kept(splits(p))
+    counts = kept(rows.where("label IS NOT NULL").groupBy("d", "label_exit_date").agg(F.count("*").alias("rows")))
 
     def summary(mode):
-        picked = align.training_rows(rows, sp, "1993-01-01", mode, years=2)
-        return picked.groupBy("name").agg(F.lit(mode).alias("mode"), F.count("*").alias("n"), F.min("d").alias("first_d"),
+        picked = align.in_training(counts, sp, "1993-01-01", mode, years=2)  # sums per date, not rows, go to the splits
+        return picked.groupBy("name").agg(F.lit(mode).alias("mode"), F.sum("rows").alias("n"), F.min("d").alias("first_d"),
                                           F.max("label_exit_date").alias("last_exit"))
 
     return summary("expanding").unionByName(summary("fixed"))

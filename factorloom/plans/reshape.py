@@ -47,14 +47,15 @@ def keep_last(p):
     return reshape.keep_last(p.ledger(), ["symbol"], ["d", "order_id"])
 
 
-NATIONS = [f"{i:06d}" for i in range(1, 9)]
+INDUSTRIES = [str(k) for k in range(5)]
 
 
-@query("h06_long_to_wide", sql("SELECT d, " + ", ".join(f"{r(f'''max(price) FILTER (WHERE symbol = '{n}')''')} AS \"{n}\"" for n in NATIONS)
-                               + f" FROM px WHERE symbol <= '{NATIONS[-1]}' GROUP BY d", "px"))
+@query("h06_long_to_wide", sql("SELECT d, " + ", ".join(f"{r(f'sum(price) FILTER (WHERE industry = {k})')} AS \"{k}\"" for k in INDUSTRIES)
+                               + " FROM px JOIN industry USING (symbol) GROUP BY d", "px", "industry"))
 def long_to_wide(p):
-    # the axis is a fixed list of eight names; the rows are every date
-    return reshape.widen(p.px().where(F.col("symbol") <= NATIONS[-1]), "d", "symbol", "price", NATIONS, "d")
+    # the axis is the fixed list of industries; every price is in a cell
+    cells = p.px().join(p.industry(), "symbol").groupBy("d", F.col("industry").cast("string").alias("industry")).agg(F.sum("price").alias("price"))
+    return reshape.widen(cells, "d", "industry", "price", INDUSTRIES, "d")
 
 
 @query("h07_wide_to_long", sql(" UNION ALL ".join(f"SELECT d, symbol, '{f}' AS factor, {r(f)} AS value FROM fx WHERE {f} IS NOT NULL" for f in FACTORS), "fx"))

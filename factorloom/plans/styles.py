@@ -126,7 +126,7 @@ def residual_training(p, cutoff: str, z, found):
 def validated_weight(p, part, train, weight: float = 1.0):
     """(effective weight, validation rank IC): the weight stands only if the purged validation IC is positive."""
     split = materialise(wf.purged_split(train, 20))
-    fit = pca.residual_ridge(split.where("part IN ('fit', 'purged')"), part.loadings, FACTORS, weight="sample_weight")
+    fit = pca.residual_ridge(split.where("part = 'fit'"), part.loadings, FACTORS, weight="sample_weight")
     score = pca.gram.linear_score(FACTORS, fit.weights, fit.intercept)
     held = split.where("part = 'validation'").withColumn("prediction", score)
     value = ic.daily_ic(held, ("d",), "prediction", "residual_label", slices=p.slices()).agg(F.avg("rank_ic")).first()[0]

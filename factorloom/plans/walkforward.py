@@ -46,7 +46,8 @@ FOLD_DATES = """SELECT CAST(year(d) AS VARCHAR) || 'Q' || quarter(d) AS name, mi
 
 
 def fold_counts(rows, table):
-    train = align.training_rows(rows, table, "0001-01-01", strict=True).groupBy("name").agg(F.count("*").alias("train_rows"))
+    counts = rows.where("label IS NOT NULL").groupBy("d", "label_exit_date").agg(F.count("*").alias("rows"))
+    train = align.in_training(counts, table, "0001-01-01", strict=True).groupBy("name").agg(F.sum("rows").alias("train_rows"))
     valid = align.prediction_rows(rows.where("label IS NOT NULL"), table).groupBy("name", F.col("prediction_start").alias("validation_start")).agg(
         F.count("*").alias("validation_rows"))
     return valid.join(train, "name", "left").withColumn("train_rows", F.coalesce("train_rows", F.lit(0)))
@@ -195,15 +196,22 @@ def boosted_trees(p):
 
 @query("i14_parameter_search")
 def parameter_search(p):
-    train, test = tree_split(p)
-    train = materialise(train)
+    """Drawn parameters scored on the last two folds inside the training window of 1996Q1; prediction rows play no part."""
+    rows = materialise(data(p))
+    cutoff = splits(p).where("name = '1996Q1'").first()["train_cutoff"].isoformat()
+    window = rows.where(F.col("label_exit_date") <= F.lit(cutoff).cast("date"))
+    fold_table = kept(wf.folds(window, START, cutoff, last=2))
+    train = materialise(align.training_rows(window, fold_table, START, strict=True).select("name", "d", "symbol", "label", *FACTORS))
+    held = materialise(align.prediction_rows(window.where("label IS NOT NULL"), fold_table).select("name", "d", "symbol", "label", *FACTORS))
     out = []
     for i, params in enumerate(models.candidates(2)):
-        model = models.fit_boosted(train, FACTORS, trees=3, **params)
-        out.append(models.predict(model, test.where("label IS NOT NULL"), FACTORS).select(
-            F.lit(f"{i}|{params['stepSize']:.4f}|{params['depth']}").alias("model"), "d", "symbol", "label", "prediction"))
+        for fold in (x["name"] for x in fold_table.select("name").collect()):  # two folds
+            model = models.fit_boosted(train.where(F.col("name") == fold), FACTORS, trees=3, **params)
+            out.append(models.predict(model, held.where(F.col("name") == fold), FACTORS).select(
+                F.lit(f"{i}|{params['stepSize']:.4f}|{params['depth']}|{fold}").alias("model"), "d", "symbol", "label", "prediction"))
     scored = ic.metric_summary(materialise(quality.union_all(out)), slices=p.slices())
-    return scored.select("model", c.selection_score(F.col("mean_rank_ic"), F.col("pearson_ic"), F.col("top_bottom_return")).alias("score"))
+    value = c.selection_score(F.col("mean_rank_ic"), F.col("pearson_ic"), F.col("top_bottom_return"))
+    return scored.groupBy(F.substring_index("model", "|", 3).alias("model")).agg(F.avg(value).alias("score"))
 
 
 @query("i15_walk_forward", sql(f"""SELECT model, name, {r('avg(ic)')} AS mean_rank_ic, {r('avg(pic)')} AS pearson_ic, CAST(sum(n) AS BIGINT) AS samples FROM (
@@ -256,17 +264,21 @@ def training_records(p):
     return table.join(tests, "name").join(counts, "name")
 
 
-@query("i17_train_fit")
+@query("i17_train_fit", sql(f"""SELECT name, {r('avg(ic)')} AS mean_rank_ic, {r('avg(pic)')} AS pearson_ic, CAST(sum(n) AS BIGINT) AS samples FROM (
+    SELECT name, d, corr(ra, rb) AS ic, corr(prediction, label) AS pic, count(*) AS n FROM (
+      SELECT *, rank() OVER (PARTITION BY name, d ORDER BY prediction) + (count(*) OVER (PARTITION BY name, d, prediction)-1)/2.0 AS ra,
+        rank() OVER (PARTITION BY name, d ORDER BY label) + (count(*) OVER (PARTITION BY name, d, label)-1)/2.0 AS rb FROM (
+        SELECT t.name, t.d, t.label, round(intercept + coalesce((f_disc-ma)/sa,0)*wa + (f_qty-mb)/sb*wb, 12) AS prediction
+        FROM tr t JOIN fit f ON f.name = t.name AND f.model = 'linear_regression')) GROUP BY name, d) GROUP BY name""", "data",
+                             extra={k: FIT[k] for k in ("sp", "tr", "sc", "zs", "gm", "fit")}))
 def train_fit(p):
-    """Rank IC on an evenly spaced sample of one split's training rows, the fit shown beside the test figure."""
+    """Rank IC of every split's fit on all its training rows, to set beside the test figure."""
     rows, sp, systems = fitted(p)
-    last = systems[-1]
-    fits = wf.fit_table(p.spark, [(last, "linear_regression", 0.0, 0.0)])
-    train = rows.where(F.col("label").isNotNull() & F.col("d").between(F.lit(last.first), F.lit(last.last)))
-    sample = ranking.even_sample(train, ("d", "symbol"), 5000)
-    own = p.spark.createDataFrame([(last.name, last.first, last.last)], "name string, prediction_start date, prediction_end date")
-    daily = ic.daily_ic(wf.score(sample, own, fits, PAIR), ("d",), slices=p.slices())
-    return ic.ic_statistics(daily.withColumn("name", F.lit(last.name)), ("name",))
+    fits = wf.fit_table(p.spark, [(s, "linear_regression", 0.0, 0.0) for s in systems])
+    train = align.training_rows(rows, sp.select("name", "train_cutoff"), START)
+    scored = wf.with_fit(train, fits, PAIR).withColumn("prediction", F.round("prediction", 12))
+    daily = ic.daily_ic(scored, ("name", "d"), slices=p.slices())
+    return daily.groupBy("name").agg(F.avg("rank_ic").alias("mean_rank_ic"), F.avg("pearson_ic").alias("pearson_ic"), F.sum("stock_count").alias("samples"))
 
 
 @query("i18_importance")

@@ -118,12 +118,50 @@ def test_top_quantile_on_both_paths(spark):
     assert a.groupBy("d").count().where("count < 1").count() == 0
 
 
-def test_attach_gives_the_same_rows_salted(spark):
+def test_attach_gives_the_same_rows_broadcast_or_not(spark):
     df = panel(spark)
     means = df.groupBy("d").agg(F.avg("w").alias("m"))
     small = attach(df, means, ["d"]).select("d", "symbol", "m").collect()
-    salted = attach(df, means, ["d"], limit=0).select("d", "symbol", "m").collect()
-    assert sorted(small) == sorted(salted) and len(small) == 71
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    shuffled = attach(df, means, ["d"]).select("d", "symbol", "m").collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert sorted(small) == sorted(shuffled) and len(small) == 71
+
+
+ODD = [1.0, float("nan"), 3.0, 2.0, 0.0, -0.0, None, float("inf"), float("-inf"), 3.0]
+
+
+def odd_panel(spark):
+    return spark.createDataFrame([(day(0), f"{i:06d}", v) for i, v in enumerate(ODD)], "d date, symbol string, score double")
+
+
+def test_both_forms_rank_odd_values_alike(spark):
+    df = odd_panel(spark)
+    for ascending in (True, False):
+        rows = [{r.symbol: (r.rk_pos, r.rk_lo, r.rk_hi, r.rk_n) for r in ranking.add_rank(df, ("d",), "score", ascending=ascending, slices=s).collect()}
+                for s in (0, 3)]
+        assert rows[0] == rows[1]
+        assert rows[0]["000001"][:3] == rows[0]["000006"][:3] == (None,) * 3 and rows[0]["000000"][3] == 8
+        assert rows[0]["000004"][1:3] == rows[0]["000005"][1:3]  # both zeros tie
+        assert rows[0]["000007"][0] == (8 if ascending else 1)
+
+
+def test_one_order_for_every_n(spark):
+    df = odd_panel(spark)
+    best, worst = (["000002", "000009", "000003", "000000", "000004", "000005"],
+                   ["000001", "000006", "000008", "000004", "000005", "000000", "000003", "000002", "000009", "000007"])
+    for n in (1, 2, 5, 999, 1000, 1001, 5000):
+        got = {r.symbol: r["rank"] for r in selection.top_n(df, n).collect()}
+        assert got == {s: i + 1 for i, s in enumerate(best[:n])}
+        low = {r.symbol: r["rank"] for r in selection.worst_n(df, n).collect()}
+        assert low == {s: i + 1 for i, s in enumerate(worst[:n])}
+
+
+def test_whole_smallest_number_ranks(spark):
+    df = spark.createDataFrame([(day(0), "a", -2**63), (day(0), "b", 5)], "d date, symbol string, k long")
+    for slices in (0, 2):
+        assert {r.symbol: r.rk_pos for r in ranking.add_rank(df, ("d",), "k", ascending=False, slices=slices).collect()} == {"a": 2, "b": 1}
 
 
 def test_consensus_same_on_both_paths(spark):
