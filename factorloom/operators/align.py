@@ -147,14 +147,8 @@ def in_training(rows: DataFrame, splits: DataFrame, start: str, mode: str = "exp
     numbered = splits.withColumn("idx", F.row_number().over(Window.orderBy("train_cutoff", "name")))
     exits = _reach(rows.select(F.col("label_exit_date").alias("x")).distinct(),
                    numbered.select(F.col("train_cutoff").alias("x"), "idx"), ahead=True, inclusive=not strict)
-    days = rows.select(F.col("d").alias("x")).distinct()
-    if mode == "fixed":
-        lower = F.date_add(F.add_months(F.col("train_cutoff"), -12 * years), 1)
-        ends = _reach(days, numbered.select(lower.alias("x"), "idx"), ahead=False, inclusive=True)
-    else:
-        last = numbered.agg(F.max("idx").alias("idx"))
-        ends = days.where(F.col("x") >= F.lit(start).cast("date")).withColumn("one", F.lit(1)).join(
-            last.withColumn("one", F.lit(1)), "one").drop("one")
+    lower = F.date_add(F.add_months(F.col("train_cutoff"), -12 * years), 1) if mode == "fixed" else F.lit(start).cast("date")
+    ends = _reach(rows.select(F.col("d").alias("x")).distinct(), numbered.select(lower.alias("x"), "idx"), ahead=False, inclusive=True)
     ends = calendar_broadcast(ends.where("idx IS NOT NULL").select(F.col("x").alias("d"), F.col("idx").alias("_last")))
     exits = exits.where("idx IS NOT NULL").select(F.col("x").alias("label_exit_date"), F.col("idx").alias("_first"))
     placed = rows.join(ends, "d").join(F.broadcast(exits), "label_exit_date").where("_first <= _last")

@@ -15,8 +15,7 @@ def z(expr: str) -> str:
 
 @query("k01_factor_registry", sql(f"SELECT d, symbol, {r(z('(f_qty/f_tax)'))} AS qty_per_tax FROM (SELECT d, symbol, f_qty, nullif(f_tax,0) AS f_tax FROM fx) WINDOW w AS (PARTITION BY d)", "fx"))
 def factor_registry(p):
-    items = fx_ops.FactorRegistry()
-    items.register("per", lambda a, b: fx_ops.Factor("per", lambda df: F.try_divide(F.col(a), F.col(b)), (a, b)))
+    items = {**fx_ops.BUILT_IN, "per": lambda a, b: fx_ops.Factor("per", lambda df: F.try_divide(F.col(a), F.col(b)), (a, b))}
     spec = {"name": "per", "output": "qty_per_tax", "parameters": {"a": "f_qty", "b": "f_tax"}}
     return fx_ops.run_factors(p.fx(), [spec], items).values
 
@@ -26,7 +25,7 @@ def column_factor(p):
     qty = F.col("f_qty").cast("bigint")
     text = F.when(F.col("f_disc").isNotNull(), F.when(qty % 3 == 0, "n/a").otherwise(qty.cast("string")))
     rows = p.fx().withColumn("text", text)
-    return rows.select("d", "symbol", fx_ops.registry.create("column", column="text").compute(rows).alias("value"))
+    return rows.select("d", "symbol", fx_ops.column_factor("text").compute(rows).alias("value"))
 
 
 @query("k03_factor_pipeline", sql(f"""SELECT 'disc' AS factor, count(z) AS valid, {r('1-count(z)/count(*)')} AS missing_rate, 'kept' AS status FROM (SELECT {z('f_disc')} AS z FROM fx WINDOW w AS (PARTITION BY d))

@@ -21,26 +21,31 @@ def label_rows(spark, px, signal):
 
 
 def test_daily_label(spark):
-    px = prices(spark, {"a": [(day(i), p) for i, p in enumerate((10, 11, 12, 13, 14))]})
-    got = label_rows(spark, px, keys(spark, [day(i) for i in range(5)]))
-    assert abs(got[day(0)]["label"] - (12 / 11 - 1)) < 1e-12
-    assert got[day(4)]["label"] is None and got[day(3)]["label"] is None
+    path = (20, 25, 24, 30, 27, 33)
+    px = prices(spark, {"a": [(day(i), p) for i, p in enumerate(path)]})
+    got = label_rows(spark, px, keys(spark, [day(i) for i in range(6)]))
+    # bought one session later, sold two sessions later
+    want = {0: -0.04, 1: 0.25, 2: -0.1, 3: 33 / 27 - 1}
+    assert all(abs(got[day(i)]["label"] - v) < 1e-12 for i, v in want.items())
+    assert got[day(4)]["label"] is None and got[day(5)]["label"] is None
 
 
 def test_sparse_signal_label(spark):
-    px = prices(spark, {"a": [(day(i), 10 + i) for i in range(6)]})
-    got = label_rows(spark, px, keys(spark, [day(0), day(2), day(4)]))
-    first = got[day(0)]
-    assert abs(first["label"] - (13 / 11 - 1)) < 1e-12
-    assert (first["label_entry_date"], first["label_exit_date"]) == (day(1), day(3))
-    assert got[day(4)]["label"] is None
+    path = (8, 9, 16, 11, 10, 20, 21, 40)
+    px = prices(spark, {"a": [(day(i), p) for i, p in enumerate(path)]})
+    got = label_rows(spark, px, keys(spark, [day(1), day(4), day(6)]))
+    want = {1: (20 / 16 - 1, 2, 5), 4: (40 / 20 - 1, 5, 7)}
+    for i, (label, entry, out) in want.items():
+        assert abs(got[day(i)]["label"] - label) < 1e-12
+        assert (got[day(i)]["label_entry_date"], got[day(i)]["label_exit_date"]) == (day(entry), day(out))
+    assert got[day(6)]["label"] is None
 
 
-def test_month_end_off_session(spark):
-    sess = [date(2024, 5, 30), date(2024, 6, 3), date(2024, 6, 28), date(2024, 7, 1)]
-    px = prices(spark, {"a": [(d, 10 + i) for i, d in enumerate(sess)]})
-    got = label_rows(spark, px, keys(spark, [date(2024, 5, 31), date(2024, 6, 30)]))[date(2024, 5, 31)]
-    assert (got["label_entry_date"], got["label_exit_date"]) == (date(2024, 6, 3), date(2024, 7, 1))
+def test_signals_between_sessions(spark):
+    sess = [date(2023, 2, 24), date(2023, 2, 27), date(2023, 3, 31), date(2023, 4, 3), date(2023, 4, 4)]
+    px = prices(spark, {"a": [(d, 50 - i) for i, d in enumerate(sess)]})
+    got = label_rows(spark, px, keys(spark, [date(2023, 2, 25), date(2023, 4, 1)]))[date(2023, 2, 25)]
+    assert (got["label_entry_date"], got["label_exit_date"]) == (date(2023, 2, 27), date(2023, 4, 3))
 
 
 def test_no_look_ahead_in_labels(spark):
@@ -53,10 +58,10 @@ def test_no_look_ahead_in_labels(spark):
 
 
 def test_holiday_rows_are_dropped(spark):
-    d = [date(2024, 4, 30), date(2024, 5, 1), date(2024, 5, 2), date(2024, 5, 3), date(2024, 5, 6)]
-    px = spark.createDataFrame([(d[0], "a", 1.0), (d[1], "a", 1.0), (d[2], "a", 2.0), (d[2], "b", 5.0), (d[3], "a", 2.0),
-                                (d[3], "b", 5.0), (d[4], "a", 2.0)], "d date, symbol string, price double")
-    assert sorted(r["d"] for r in calendar.changed_sessions(px).collect()) == [d[0], d[2], d[4]]
+    table = [{"x": 4.0, "y": 7.0}, {"x": 4.0, "y": 7.0}, {"x": 4.0, "y": 7.5}, {"x": 4.0, "y": 7.5, "z": 1.0}, {"x": 4.0, "y": 7.5, "z": 1.0},
+             {"x": 3.9, "y": 7.5, "z": 1.0}]
+    px = spark.createDataFrame([(day(i), s, v) for i, row in enumerate(table) for s, v in row.items()], "d date, symbol string, price double")
+    assert sorted(r["d"] for r in calendar.changed_sessions(px).collect()) == [day(0), day(2), day(3), day(5)]
 
 
 def test_rebalance_counts(spark):
@@ -108,13 +113,49 @@ def test_compounding_survives_total_loss_and_sign_change(spark):
 
 
 def test_embargo_and_purged_split(spark):
-    days = [d.date() for d in pd.bdate_range("2024-01-01", periods=100)]
+    days = [d.date() for d in pd.bdate_range("2021-06-01", periods=60)]
     df = spark.createDataFrame([(d, "a", 1.0, d) for d in days], "d date, symbol string, label double, label_exit_date date")
-    parts = {r["d"]: r["part"] for r in wf.purged_split(df, 20).collect()}
-    assert min(d for d, p in parts.items() if p == "validation") == days[80]
-    assert max(d for d, p in parts.items() if p == "fit") == days[59]
-    months = [d.date() for d in pd.date_range("2023-01-31", periods=12, freq="ME")]
-    assert calendar.embargo_observations(keys(spark, months), 20).first()["observations"] == 1
+    parts = {r["d"]: r["part"] for r in wf.purged_split(df, 10).collect()}
+    assert [days.index(min(d for d, p in parts.items() if p == "validation")), days.index(max(d for d, p in parts.items() if p == "fit"))] == [48, 37]
+    quarters = [d.date() for d in pd.date_range("2015-03-31", periods=9, freq="QE")]
+    assert calendar.embargo_observations(keys(spark, quarters), 15).first()["observations"] == 1
+
+
+def test_labels_realised_after_the_validation_start_do_not_train(spark):
+    days = [d.date() for d in pd.date_range("2012-01-31", periods=83, freq="ME")]
+    rows = [(d, "a", 1.0, days[i + 21]) for i, d in enumerate(days[:-21])]
+    df = spark.createDataFrame(rows, "d date, symbol string, label double, label_exit_date date")
+    parts = wf.purged_split(df, 20).collect()
+    start = min(r["d"] for r in parts if r["part"] == "validation")
+    assert all(r["label_exit_date"] < start for r in parts if r["part"] == "fit") and sum(r["part"] == "purged" for r in parts) == 20
+
+
+def loop_training(rows, splits, start, years=None, strict=False):
+    out = set()
+    for d, exit_ in rows:
+        for name, cutoff, *_ in splits:
+            low = start if years is None else date(cutoff.year - years, cutoff.month, cutoff.day) + pd.Timedelta(days=1).to_pytimedelta()
+            if exit_ is not None and d >= low and (exit_ < cutoff if strict else exit_ <= cutoff):
+                out.add((d, exit_, name))
+    return out
+
+
+def test_rows_meet_splits_as_in_a_loop(spark):
+    days = [day(9 * i, date(2019, 1, 1)) for i in range(120)]
+    rows = [(d, None if i % 11 == 0 else days[min(i + 1 + i % 4, 119)]) for i, d in enumerate(days)]
+    cut = [days[k] for k in (30, 55, 56, 90, 110)]
+    spans = [(f"s{k}", c, day(1, c), day(40, c) if k != 1 else day(5, c)) for k, c in enumerate(cut)]
+    sp = spark.createDataFrame(spans, "name string, train_cutoff date, prediction_start date, prediction_end date")
+    df = spark.createDataFrame([(d, "a", 1.0, e) for d, e in rows], "d date, symbol string, label double, label_exit_date date")
+    for strict in (False, True):
+        for mode, years in (("expanding", None), ("fixed", 1)):
+            got = align.training_rows(df, sp, "2019-03-01", mode, years or 4, strict)
+            assert {(r["d"], r["label_exit_date"], r["name"]) for r in got.collect()} == loop_training(rows, spans, date(2019, 3, 1), years, strict)
+            assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    got = align.prediction_rows(df, sp)
+    first = {d: name for name, _, a, b in spans for d in days if a <= d <= b}
+    assert {r["d"]: r["name"] for r in got.collect()} == first
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_refit_periods_skip_dates_without_history(spark):

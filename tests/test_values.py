@@ -14,10 +14,11 @@ def scalar(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
+# 3 in 10,000 with 5 at least, 1 in 100,000 for transfer, and for sales a duty of 10, from 2023-08-28 of 5, in 10,000
 @pytest.mark.parametrize("when,side,gross,options,fee", [
-    ("2023-08-25", "BUY", 100_000.0, {}, 31.0), ("2023-08-25", "SELL", 100_000.0, {}, 131.0), ("2023-08-28", "SELL", 100_000.0, {}, 81.0),
-    ("2024-01-02", "BUY", 1_000.0, {}, 5.01), ("2024-01-02", "SELL", 100_000.0, {"flat_rate": 0.0014}, 140.0),
-    ("2024-01-02", "BUY", 100_000.0, {"flat_rate": 0.0}, 0.0)])
+    ("2022-03-01", "BUY", 250_000.0, {}, 77.5), ("2021-05-06", "SELL", 40_000.0, {}, 52.4), ("2023-09-01", "SELL", 40_000.0, {}, 32.4),
+    ("2022-03-01", "BUY", 2_000.0, {}, 5.02), ("2025-02-03", "SELL", 30_000.0, {"flat_rate": 0.002}, 60.0),
+    ("2025-02-03", "SELL", 30_000.0, {"flat_rate": 0.0}, 0.0)])
 def test_fee_schedule(spark, when, side, gross, options, fee):
     got = scalar(spark, c.transaction_fee(F.lit(when).cast("date"), F.lit(side), F.lit(gross), **options))
     assert abs(got - fee) < 1e-9
@@ -81,9 +82,11 @@ def test_neutral_scores(spark):
 
 
 def test_tilted_weights_resist_outliers(spark):
-    df = spark.createDataFrame([(day(0), "a", 1.0), (day(0), "b", 2.0), (day(0), "c", 1e6)], "d date, symbol string, score double")
+    scores = {"p": 3.0, "q": 5.0, "r": -2.0, "s": 4e7}
+    df = spark.createDataFrame([(day(4), k, v) for k, v in scores.items()], "d date, symbol string, score double")
     w = {r["symbol"]: r["weight"] for r in selection.weights(df, "tilted").collect()}
-    assert abs(sum(w.values()) - 1) < 1e-12 and w["a"] < w["b"] < w["c"] < 0.5
+    # a fifth in equal parts, the rest by rank over 10
+    assert w == pytest.approx({"r": 0.05 + 0.08, "p": 0.05 + 0.16, "q": 0.05 + 0.24, "s": 0.05 + 0.32})
 
 
 def test_retain_flags(spark):
@@ -100,10 +103,12 @@ def test_conflicting_flags_fail(spark):
 
 
 def test_style_return_is_long_short(spark):
-    rows = [(day(0), f"{i:06d}", "style_1", float(i), float(i) / 100, day(1), day(2)) for i in range(20)]
-    df = spark.createDataFrame(rows, "d date, symbol string, style string, x double, label double, label_entry_date date, label_exit_date date")
-    got = style.style_returns(df).collect()
-    assert len(got) == 1 and got[0]["style_return"] > 0 and got[0]["style_exit_date"] == day(2)
+    places = [(7 * i) % 30 for i in range(30)]
+    kind = "d date, symbol string, style string, x double, label double, label_entry_date date, label_exit_date date"
+    rows = [(day(3), f"{i:06d}", s, float(x), way * x / 500, day(4), day(9)) for i, x in enumerate(places) for s, way in (("up", 1), ("down", -1))]
+    got = {r.style: r for r in style.style_returns(spark.createDataFrame(rows, kind)).collect()}
+    assert got["up"].style_return > 0 and got["down"].style_return == pytest.approx(-got["up"].style_return)
+    assert got["up"].style_exit_date == day(9)
 
 
 def test_timing_uses_realised_returns_only(spark):
@@ -193,13 +198,14 @@ def test_overlay_matches_a_loop(spark):
 
 
 def test_relative_nav_identity(spark):
-    asset = spark.createDataFrame([(day(i), v, 1) for i, v in enumerate((100.0, 110.0, 99.0, 118.8))], "d date, asset double, holding_count int")
-    bench = spark.createDataFrame([(day(i), v) for i, v in enumerate((100.0, 105.0, 94.5, 103.95))], "d date, value double")
+    values, index = (80.0, 92.0, 69.0, 115.0, 110.4), (50.0, 55.0, 44.0, 60.0, 61.0)
+    asset = spark.createDataFrame([(day(i), v, 2) for i, v in enumerate(values)], "d date, asset double, holding_count int")
+    bench = spark.createDataFrame([(day(i), v) for i, v in enumerate(index)], "d date, value double")
     nav = portfolio.relative_nav(asset, bench).orderBy("d").toPandas()
-    np.testing.assert_allclose(nav.excess, nav.strategy / nav.benchmark)
+    np.testing.assert_allclose(nav.excess, [1, 92 / 80 / (55 / 50), 69 / 80 / (44 / 50), 115 / 80 / (60 / 50), 110.4 / 80 / (61 / 50)])
     figures = {r["side"]: r for r in portfolio.account_performance(asset, bench).collect()}
-    assert abs(figures["absolute"]["max_drawdown"] - (99 / 110 - 1)) < 1e-12
-    broken = asset.withColumn("asset", F.when(F.col("d") == day(2), float("nan")).otherwise(F.col("asset")))
+    assert figures["absolute"]["max_drawdown"] == pytest.approx(-0.25)
+    broken = asset.withColumn("asset", F.when(F.col("d") == day(3), float("nan")).otherwise(F.col("asset")))
     with pytest.raises(Exception, match="non-finite account value"):
         portfolio.account_performance(broken, bench).collect()
 
@@ -221,16 +227,19 @@ def test_no_trade_band_counts_only_when_scaling_binds(spark):
     assert bound["a"] == 0.595 and bound["b"] < 0.4
 
 
-def test_registry_rules(spark):
-    items = factors.FactorRegistry()
-    items.register("column", factors.column_factor)
-    for bad in (("column", factors.column_factor), ("", factors.column_factor)):
-        with pytest.raises(ValueError):
-            items.register(*bad)
-    with pytest.raises(KeyError):
-        items.create("none")
+def test_factor_runs(spark):
+    def broken(column):
+        """Fails while it is built."""
+        raise RuntimeError(column)
+
+    own = {**factors.BUILT_IN, "twice": lambda column: factors.Factor("twice", lambda df: F.col(column) * 2, (column,)), "broken": broken}
+    names = {r.factor: r.description for r in factors.catalogue(spark, own).collect()}
+    assert set(names) == {"column", "ratio", "twice", "broken"} and names["broken"] == "Fails while it is built." and names["twice"] == ""
+    specs = [{"name": "twice", "output": "t", "parameters": {"column": "alpha"}}, {"name": "ratio", "output": "flat", "parameters": {"top": "alpha", "bottom": "alpha"}},
+             {"name": "twice", "output": "gone", "parameters": {"column": "beta"}}, {"name": "broken", "parameters": {"column": "x"}}, {"name": "nothing"},
+             {"name": "column", "output": "wrong", "parameters": {"colour": "red"}}]
+    run = factors.run_factors(section(spark, [3.0, 7.0, 8.0]), specs, own)
+    assert run.values.columns == ["d", "symbol", "t"] and [r.factor for r in run.coverage.collect()] == ["t"]
+    assert set(run.skipped) == {"flat", "gone", "broken", "nothing", "wrong"} and "beta" in run.skipped["gone"]
     with pytest.raises(ValueError):
         factors.score_transform("other")
-    run = factors.run_factors(section(spark, [1.0, 2.0, 4.0]), [{"name": "column", "output": "a", "parameters": {"column": "alpha"}},
-                                                               {"name": "column", "output": "b", "parameters": {"column": "beta"}}])
-    assert list(run.skipped) == ["b"] and run.values.columns == ["d", "symbol", "a"]
