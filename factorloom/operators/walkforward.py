@@ -26,22 +26,22 @@ ELASTIC_ALPHAS = (0.001, 0.01, 0.1, 1.0)
 ELASTIC_L1_RATIOS = (0.2, 0.8)
 
 
+def pairwise_sums(values: np.ndarray) -> np.ndarray:
+    """Sums over rows of (features..., label): for each pair the rows where both are known, the products, and the sums of
+    the first where the second is known; then per feature its product with the label and the label where it is known;
+    then the label and the rows."""
+    x, y = values[:, :-1], values[:, -1]
+    seen = ~np.isnan(x)
+    filled, mask = np.where(seen, x, 0.0), seen.astype(float)
+    return np.concatenate([(mask.T @ mask).ravel(), (filled.T @ filled).ravel(), (filled.T @ mask).ravel(), filled.T @ y, mask.T @ y,
+                           [y.sum(), len(y)]])
+
+
 def moments(data: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
-    """(d, label_exit_date, sums): pairwise-observed sums of labelled rows, written once."""
+    """(d, label_exit_date, rows, block): pairwise-observed sums of labelled rows, written once."""
     rows = data.where(F.col(label).isNotNull() & F.col("label_exit_date").isNotNull())
-    sums = {"rows": F.count(F.lit(1)), "y": F.sum(label)}
-    for i, a in enumerate(features):
-        seen = F.col(a).isNotNull()
-        sums[f"xy_{i}"] = F.sum(F.col(a) * F.col(label))
-        sums[f"my_{i}"] = F.sum(F.when(seen, F.col(label)))
-        for j, b in enumerate(features):
-            both = F.col(b).isNotNull()
-            sums[f"s_{i}_{j}"] = F.sum(F.when(both, F.col(a)))  # sum of a where b is known
-            if j >= i:
-                sums[f"n_{i}_{j}"] = F.count(F.when(seen & both, 1))
-                sums[f"p_{i}_{j}"] = F.sum(F.col(a) * F.col(b))
-    filled = [F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in sums.items()]
-    return materialise(rows.groupBy("d", "label_exit_date").agg(*filled))
+    sums = gram.block_sums(rows, ["d", "label_exit_date"], [*features, label], pairwise_sums)
+    return materialise(sums.withColumn("rows", F.element_at("block", -1).cast("long")))
 
 
 @dataclass
@@ -64,15 +64,14 @@ def systems(table: DataFrame, splits: DataFrame, features: Sequence[str], start:
             years: int = 4, strict: bool = False) -> list[System]:
     """One system per split; k*k numbers per split reach the driver."""
     k = len(features)
-    names = [n for n in table.columns if n not in ("d", "label_exit_date")]
     picked = in_training(table, splits, start, mode, years, strict)
-    totals = picked.groupBy("name").agg(*[F.sum(n).alias(n) for n in names], F.min("d").alias("first"),
-                                        F.max("d").alias("last"), F.max("label_exit_date").alias("last_exit"))
+    spans = picked.groupBy("name").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.max("label_exit_date").alias("last_exit"))
+    totals = spans.join(gram.added(picked, ["name"]), "name")
     out = []
     for row in totals.orderBy("name").collect():
-        full = np.array([[row[f"n_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        cross = np.array([[row[f"p_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        given = np.array([[row[f"s_{i}_{j}"] for j in range(k)] for i in range(k)])
+        block = np.array(row["block"])
+        full, cross, given = (block[i * k * k:(i + 1) * k * k].reshape(k, k) for i in range(3))
+        xy_sum, label_seen, (label_sum, rows) = block[3 * k * k:3 * k * k + k], block[3 * k * k + k:-2], block[-2:]
         seen = np.diag(full)
         if (seen == 0).any():
             empty = [f for f, n in zip(features, seen) if n == 0]
@@ -81,9 +80,9 @@ def systems(table: DataFrame, splits: DataFrame, features: Sequence[str], start:
         spread = np.sqrt(np.maximum(np.diag(cross) / seen - mean ** 2, 0.0))
         scale = np.where(spread > 0, spread, 1.0)
         centred = cross - given * mean[None, :] - (given * mean[None, :]).T + full * np.outer(mean, mean)
-        xy = np.array([row[f"xy_{i}"] for i in range(k)]) - mean * np.array([row[f"my_{i}"] for i in range(k)])
-        out.append(System(row["name"], int(row["rows"]), row["first"], row["last"], row["last_exit"], mean, scale,
-                          centred / np.outer(scale, scale), xy / scale, row["y"] / row["rows"]))
+        xy = xy_sum - mean * label_seen
+        out.append(System(row["name"], int(rows), row["first"], row["last"], row["last_exit"], mean, scale,
+                          centred / np.outer(scale, scale), xy / scale, label_sum / rows))
     return out
 
 

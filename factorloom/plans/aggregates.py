@@ -201,6 +201,16 @@ def second_moments(p):
     return gram.mean_second_moments(xs.standardise(p.fx(), FACTORS), FACTORS)
 
 
+@query("e13_wide_moments", sql(f"""SELECT printf('v%02d', i) AS a, printf('v%02d', j) AS b, {r('avg(m)')} AS moment, count(*) AS dates FROM (
+    SELECT label, i, j, sum(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE)) / count(*) AS m
+    FROM embeddings, (SELECT unnest(range(64)) AS i) x, (SELECT unnest(range(64)) AS j) y WHERE i <= j GROUP BY ALL) GROUP BY ALL"""))
+def wide_moments(p):
+    """Moments of 64 columns, a group per label: the block's form does not change with their number."""
+    names = [f"v{k:02d}" for k in range(64)]
+    rows = p.table("embeddings").select("label", *[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(names)])
+    return gram.mean_second_moments(rows, names, date="label", least=0)
+
+
 @query("e14_retain_audit", sql(f"""SELECT d, count(DISTINCT symbol) AS stock_count, count(*) FILTER (WHERE v < 2) AS retained_count,
     {r('avg(v)')} AS average_sell_votes FROM (SELECT d, symbol, CAST(f_qty AS BIGINT) % 4 AS v FROM fx) GROUP BY d""", "fx"))
 def retain_audit(p):

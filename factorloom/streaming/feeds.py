@@ -3,10 +3,15 @@
 Both group by the event's day, which is also the event-time column, and append a day once the watermark
 has passed it. State holds only the open days' partial sums, spread by the grouping key. Sinks are parquet
 folders with their own checkpoint, so a lost executor or a restart neither repeats nor drops a day.
+
+The last days stay open until a later row moves the watermark. ``with_open_days`` closes a run: it sums the days not yet
+written from the feed's files as they are. A row that arrives after its day was written is late and left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factorloom.functions.columns import transaction_fee
@@ -41,3 +46,11 @@ def run_available(stream: DataFrame, target: str, checkpoint: str) -> None:
     query = (stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
+
+
+def with_open_days(written: DataFrame, files: DataFrame, work: Callable[[DataFrame], DataFrame], ts: str = "ts") -> DataFrame:
+    """The days a run has written, and ``work`` over the rows of ``files`` after the last of them."""
+    last = written.agg(F.max("day")).first()[0]
+    day = F.col(ts).cast("date").cast("timestamp")
+    rest = files.where(F.col(ts).isNotNull()) if last is None else files.where(day > F.lit(last))
+    return written.unionByName(work(rest).select(*written.columns))
