@@ -161,44 +161,52 @@ def scored_candidates(p, rows, fold_table, features, model, grid):
     parts = F.split("model", "\\|")
     flat = F.coalesce(F.col("rank_ic_std").isNull() & F.col("mean_rank_ic").isNull(), F.lit(True))
     return scored.select(parts[0].alias("name"), parts[1].cast("double").alias("alpha"), parts[2].cast("double").alias("l1_ratio"),
-                         F.when(~flat, c.selection_score(F.col("mean_rank_ic"), F.col("pearson_ic"), F.col("top_bottom_return"))).alias("score"))
+                         flat.alias("constant"), c.selection_score(F.col("mean_rank_ic"), F.col("pearson_ic"), F.col("top_bottom_return")).alias("score"))
 
 
 def chosen(scores):
-    """Mean score per candidate; one that predicts a constant on any fold is rejected."""
-    table = scores.groupBy("alpha", "l1_ratio").agg(F.when(F.count("score") == F.count("*"), F.avg("score")).alias("score"))
-    best = F.max_by(F.struct("alpha", "l1_ratio"), "score")
+    """Mean score per candidate over the folds that have one; a candidate that predicts a constant on any fold is rejected.
+    Of equal scores the first candidate of the (ascending) grid is taken."""
+    table = scores.groupBy("alpha", "l1_ratio").agg(F.when(~F.bool_or("constant"), F.avg("score")).alias("score"))
+    best = F.min_by(F.struct("alpha", "l1_ratio"), F.struct(-F.col("score"), "alpha", "l1_ratio"))
     return table, table.where("score IS NOT NULL").agg(best.alias("b")).select("b.*")
 
 
 @query("i12_grid_search")
 def grid_search(p):
+    """Both grids on the last four folds."""
     rows = materialise(data(p))
-    fold_table = kept(wf.folds(rows, "1996-01-01", "1996-12-31"))
-    ridge_scores = scored_candidates(p, rows, fold_table, FACTORS, "ridge", [(a, 0.0) for a in wf.RIDGE_ALPHAS])
-    return chosen(ridge_scores)[0].withColumn("model", F.lit("ridge"))
+    first, last = rows.agg(F.min("d"), F.max("d")).first()
+    fold_table = kept(wf.folds(rows, first.isoformat(), last.isoformat(), last=4))
+    grids = {"ridge": [(a, 0.0) for a in wf.RIDGE_ALPHAS], "elasticnet": [(a, l1) for a in wf.ELASTIC_ALPHAS for l1 in wf.ELASTIC_L1_RATIOS]}
+    return quality.union_all([chosen(scored_candidates(p, rows, fold_table, FACTORS, model, grid))[0].withColumn("model", F.lit(model))
+                              for model, grid in grids.items()])
 
 
-def tree_split(p, name="1996Q1"):
-    rows = materialise(data(p))
-    sp = kept(splits(p).where(F.col("name") == name))
-    train = align.training_rows(rows, sp, START).select("d", "symbol", "label", *FACTORS)
-    test = align.prediction_rows(rows, sp).select("d", "symbol", "label", *FACTORS)
-    return train, test
+TREES = 5  # boosting rounds of the queries; a parameter of models.fit_boosted
+
+
+def tree_fits(p, trees: int = TREES):
+    """(split name, fitted model, its prediction rows) for every split of the calendar."""
+    rows, sp = materialise(data(p)), kept(splits(p))
+    train = materialise(align.training_rows(rows, sp, START).select("name", "d", "symbol", "label", *FACTORS))
+    test = align.prediction_rows(rows, sp).select("name", "d", "symbol", "label", *FACTORS)
+    for name in (x["name"] for x in sp.select("name").orderBy("name").collect()):  # one row per refit
+        own = F.col("name") == name
+        yield name, models.fit_boosted(train.where(own), FACTORS, trees=trees), test.where(own)
 
 
 @query("i13_boosted_trees")
 def boosted_trees(p):
-    train, test = tree_split(p)
-    model = models.fit_boosted(train, FACTORS, trees=5)
-    return models.predict(model, test, FACTORS).select("d", "symbol", "label", "prediction")
+    parts = [models.predict(model, test, FACTORS).select("name", "d", "symbol", "label", "prediction") for _, model, test in tree_fits(p)]
+    return quality.union_all(parts)
 
 
 @query("i14_parameter_search")
 def parameter_search(p):
-    """Drawn parameters scored on the last two folds inside the training window of 1996Q1; prediction rows play no part."""
+    """Drawn parameters scored on the last two folds inside the first split's training window; prediction rows play no part."""
     rows = materialise(data(p))
-    cutoff = splits(p).where("name = '1996Q1'").first()["train_cutoff"].isoformat()
+    cutoff = splits(p).agg(F.min("train_cutoff")).first()[0].isoformat()
     window = rows.where(F.col("label_exit_date") <= F.lit(cutoff).cast("date"))
     fold_table = kept(wf.folds(window, START, cutoff, last=2))
     train = materialise(align.training_rows(window, fold_table, START, strict=True).select("name", "d", "symbol", "label", *FACTORS))
@@ -233,12 +241,12 @@ def yearly_retune(p):
     """Penalty chosen once a year on trailing folds inside that year's training window, then used for its splits."""
     rows = materialise(data(p))
     picks = []
-    for year in (1996, 1997):
+    sp = kept(splits(p))
+    for year in sorted({int(x["name"][:4]) for x in sp.select("name").collect()}):  # one row per refit
         window = rows.where(F.col("label_exit_date") < F.lit(f"{year}-01-01").cast("date"))
         fold_table = kept(wf.folds(window, START, f"{year - 1}-12-31", last=2))
         best = chosen(scored_candidates(p, window, fold_table, FACTORS, "ridge", [(a, 0.0) for a in wf.RIDGE_ALPHAS]))[1].first()
         picks.append((year, best["alpha"]))
-    sp = kept(splits(p))
     alpha = dict(picks)
     systems = wf.systems(wf.moments(rows, FACTORS), sp, FACTORS, START)
     fits = wf.fit_table(p.spark, [(s, "ridge", alpha[int(s.name[:4])], 0.0) for s in systems])
@@ -283,8 +291,7 @@ def train_fit(p):
 
 @query("i18_importance")
 def importance(p):
-    train, _ = tree_split(p)
-    trees = models.importance_rows(p.spark, models.fit_boosted(train, FACTORS, trees=5), FACTORS, model="boosted_trees", name="1996Q1")
+    trees = quality.union_all([models.importance_rows(p.spark, model, FACTORS, model="boosted_trees", name=name) for name, model, _ in tree_fits(p)])
     _, _, systems = fitted(p, features=tuple(FACTORS))
     fits = wf.fit_table(p.spark, [(s, "ridge", 1.0, 0.0) for s in systems])
     linear = coefficient_rows(fits, FACTORS).where("feature <> 'intercept'").select(
