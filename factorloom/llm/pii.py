@@ -131,9 +131,12 @@ def find(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     based = with_base(packed(docs), f"row_.{text}")
     more = context_spans(based.select("row_.doc_id", F.col(f"row_.{text}").alias("text"), "base"), **settings).withColumnsRenamed(
         {"doc_id": "found_id", "text_hash": "found_hash"})
-    same = F.col("row_.doc_id").eqNullSafe(F.col("found_id")) & (F.xxhash64(text_of(f"row_.{text}")) == F.col("found_hash"))
-    joined = based.join(more, same, "left").withColumn("spans", F.concat("base", F.coalesce("found", F.array().cast(SPANS))))
-    return unpacked(joined, docs, "base", "spans")
+    same = F.col("row_.doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash_") == F.col("found_hash"))
+    # a text without a digit has no identifier, so only the others are dealt out to meet the found spans
+    digits = text_of(f"row_.{text}").rlike("[0-9]")
+    met = (based.where(digits).withColumn("text_hash_", F.xxhash64(text_of(f"row_.{text}"))).join(more, same, "left")
+           .withColumn("spans", F.concat("base", F.coalesce("found", F.array().cast(SPANS)))))
+    return unpacked(met, docs, "base", "spans").unionByName(unpacked(based.where(~digits).withColumn("spans", F.col("base")), docs, "base", "spans"))
 
 
 def written(spans: str) -> Column:
