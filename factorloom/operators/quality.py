@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from factorloom.functions.columns import transaction_fee
+from factorloom.functions.columns import is_infinite, transaction_fee
 from factorloom.operators import ic
 from factorloom.operators.calendar import calendar_broadcast
 from factorloom.operators.series import last_known_many
@@ -81,17 +81,35 @@ def mark_to_market(book: DataFrame, closes: DataFrame) -> DataFrame:
                                    F.count(F.when(F.col("close").isNull(), 1)).alias("at_cost"))
 
 
-def consistency(daily: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(check, value, passed) rows for a portfolio curve."""
-    rows = daily.join(calendar_broadcast(calendar), "d")
-    facts = rows.agg(
-        F.count(F.when(F.col("nav").isNull() | F.isnan("nav"), 1)).cast("double").alias("nonfinite_assets"),
-        F.count("nav").cast("double").alias("same_dates"), F.count("gross_nav").cast("double").alias("_gross_dates"),
+def consistency(curve: DataFrame, account: DataFrame, calendar: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(check, value, passed) rows for a portfolio.
+
+    ``curve``: d, nav, gross_nav, turnover. ``account``: d, asset. ``benchmark``: d, value. All are keyed by date.
+    The curve must be the account scaled to one, on the account's dates, from the calendar's first session on; the
+    first trade must follow the first signal by one session; without fees it must not end lower. The largest moves are
+    reported, and fail only if they are no numbers.
+    """
+    order = Window.orderBy("d")
+    both = (curve.select("d", "nav", "gross_nav", "turnover").join(account.select("d", "asset"), "d", "full")
+            .join(calendar.select("d", "idx"), "d", "left"))
+    paths = both.select("*", (F.col("nav") / F.first("nav", True).over(order)).alias("_curve"),
+                        (F.col("asset") / F.first("asset", True).over(order)).alias("_account"),
+                        F.abs(F.col("nav") / F.lag("nav").over(order) - 1).alias("_move"))
+    number = lambda c: c.isNotNull() & ~F.isnan(c) & ~is_infinite(c)
+    facts = paths.agg(
+        F.count(F.when(F.col("asset").isNotNull() & ~number(F.col("asset")), 1)).cast("double").alias("nonfinite_assets"),
+        F.max(F.abs(F.col("_curve") - F.col("_account"))).alias("curve_matches_account"),
+        F.count(F.when(F.col("nav").isNull() | F.col("asset").isNull(), 1)).cast("double").alias("dates_in_one_only"),
+        F.min(F.when(F.col("nav").isNotNull(), F.col("idx"))).cast("double").alias("first_date_kept"),
+        F.min(F.when(F.col("turnover") > 0, F.col("idx"))).cast("double").alias("first_trade_session"),
         (F.max_by("gross_nav", "d") - F.max_by("nav", "d")).alias("no_fee_not_below_net"),
-        F.max(F.abs("net_return")).alias("max_abs_return"),
-        F.min(F.when(F.col("turnover") > 0, F.col("idx"))).cast("double").alias("first_trade_on_first_session"))
-    tests = {"nonfinite_assets": F.col("nonfinite_assets") == 0, "same_dates": F.col("same_dates") == F.col("_gross_dates"),
-             "no_fee_not_below_net": F.col("no_fee_not_below_net") >= 0, "max_abs_return": F.col("max_abs_return").isNotNull(),
-             "first_trade_on_first_session": F.col("first_trade_on_first_session") == 1}
-    return facts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("value"), t.alias("passed"))
+        F.max("_move").alias("max_abs_move"))
+    tests = {"nonfinite_assets": F.col("nonfinite_assets") == 0, "curve_matches_account": F.col("curve_matches_account") <= 1e-8,
+             "dates_in_one_only": F.col("dates_in_one_only") == 0, "first_date_kept": F.col("first_date_kept") == 1,
+             "first_trade_session": F.col("first_trade_session") == 2, "no_fee_not_below_net": F.col("no_fee_not_below_net") >= 0,
+             "max_abs_move": number(F.col("max_abs_move"))}
+    rows = facts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("value"), F.coalesce(t, F.lit(False)).alias("passed"))
                                             for k, t in tests.items()])).alias("c")).select("c.*")
+    moves = benchmark.select(F.abs(F.col("value") / F.lag("value").over(order) - 1).alias("m")).agg(F.max("m").alias("value"))
+    return rows.unionByName(moves.select(F.lit("max_abs_benchmark_move").alias("check"), "value", number(F.col("value")).alias("passed")))
+

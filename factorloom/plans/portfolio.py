@@ -196,13 +196,19 @@ def closed_trades(p):
 
 
 @query("j13_consistency_audit", sql(f"""SELECT 'nonfinite_assets' AS "check", 0.0::DOUBLE AS value, true AS passed FROM pf HAVING count(*) > 0
-    UNION ALL SELECT 'same_dates', CAST(count(*) AS DOUBLE), true FROM pf
+    UNION ALL SELECT 'curve_matches_account', 0.0::DOUBLE, true FROM pf HAVING count(*) > 0
+    UNION ALL SELECT 'dates_in_one_only', 0.0::DOUBLE, true FROM pf HAVING count(*) > 0
+    UNION ALL SELECT 'first_date_kept', CAST(min(idx) AS DOUBLE), min(idx) = 1 FROM sess WHERE d IN (SELECT d FROM pf)
     UNION ALL SELECT 'no_fee_not_below_net', {r('product(1+gross)-product(1+gross-cost)')}, product(1+gross) >= product(1+gross-cost) FROM pf
-    UNION ALL SELECT 'max_abs_return', {r('max(abs(gross-cost))')}, true FROM pf
-    UNION ALL SELECT 'first_trade_on_first_session', CAST(min(idx) AS DOUBLE), min(idx) = 1 FROM (SELECT sess.idx FROM pf JOIN sess ON sess.d = pf.d WHERE turnover > 0)""",
-                                    "fx", "pxi", extra=DRIFT))
+    UNION ALL SELECT 'max_abs_move', {r('max(abs(gross-cost))')}, true FROM pf WHERE d > (SELECT min(d) FROM pf)
+    UNION ALL SELECT 'max_abs_benchmark_move', {r('max(abs(m))')}, true FROM (SELECT value/lag(value) OVER (ORDER BY d) - 1 AS m FROM benchmark)
+    UNION ALL SELECT 'first_trade_session', CAST(min(idx) AS DOUBLE), min(idx) = 2 FROM (SELECT sess.idx FROM pf JOIN sess ON sess.d = pf.d WHERE turnover > 0)""",
+                                    "fx", "pxi", "benchmark", extra=DRIFT))
 def consistency_audit(p):
-    return quality.consistency(drifting(p), p.sessions())
+    """The curve beside an account booked by the cost stages, two ways to the same money."""
+    daily = drifting(p)
+    account = portfolio.cost_scenarios(daily, {"net": (0.0003, 0.0005)}).select("d", (F.col("nav") * 1e6).alias("asset"))
+    return quality.consistency(daily, account, p.sessions(), p.benchmark())
 
 
 @query("j14_cost_stages", sql(f"""SELECT scenario, {r('arg_max(nav, d)')} AS terminal_nav, {r('max(s)')} AS sharpe, {r('max(s0) - max(s)')} AS sharpe_given_up FROM (

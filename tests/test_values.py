@@ -243,3 +243,23 @@ def test_factor_runs(spark):
     assert set(run.skipped) == {"flat", "gone", "broken", "nothing", "wrong"} and "beta" in run.skipped["gone"]
     with pytest.raises(ValueError):
         factors.score_transform("other")
+
+
+def test_consistency_checks_can_fail(spark):
+    nav = [1.0, 1.02, 0.99, 1.05]
+    curve = spark.createDataFrame([(day(i), v, v + 0.01 * i, 0.5 * (i == 1)) for i, v in enumerate(nav)], "d date, nav double, gross_nav double, turnover double")
+    account = spark.createDataFrame([(day(i), 200 * v) for i, v in enumerate(nav)], "d date, asset double")
+    calendar = spark.createDataFrame([(day(i), i + 1) for i in range(4)], "d date, idx int")
+    bench = spark.createDataFrame([(day(i), 10.0 + i) for i in range(4)], "d date, value double")
+    got = {r["check"]: r for r in quality.consistency(curve, account, calendar, bench).collect()}
+    assert all(r.passed for r in got.values()) and got["max_abs_benchmark_move"].value == pytest.approx(0.1)
+
+    def failing(curve=curve, account=account, calendar=calendar, bench=bench):
+        return {r["check"] for r in quality.consistency(curve, account, calendar, bench).collect() if not r.passed}
+
+    assert failing(account=account.withColumn("asset", F.when(F.col("d") == day(2), 1.0).otherwise(F.col("asset")))) == {"curve_matches_account"}
+    assert failing(account=account.where(F.col("d") < F.lit(day(3)))) == {"dates_in_one_only"}
+    assert "nonfinite_assets" in failing(account=account.withColumn("asset", F.when(F.col("d") == day(3), float("nan")).otherwise(F.col("asset"))))
+    assert failing(calendar=calendar.withColumn("idx", F.col("idx") + 1)) == {"first_date_kept", "first_trade_session"}
+    assert failing(curve=curve.withColumn("gross_nav", F.lit(1.0))) == {"no_fee_not_below_net"}
+    assert failing(bench=bench.limit(0)) == {"max_abs_benchmark_move"}
