@@ -15,6 +15,7 @@ from factorloom.plans.windows import timing as style_features
 from factorloom.session import materialise
 
 LEAST = 2
+STOCK_HISTORY = 8  # quarters of components before the first stock model
 # Fixed loadings for the queries that check projection alone (4 factors, 2 components).
 LOADINGS = np.array([[0.8, -0.1], [0.3, 0.7], [-0.2, 0.6], [0.1, 0.4]])
 
@@ -198,23 +199,32 @@ def dual_horizon(p):
 
 @query("i29_stock_boosting")
 def stock_boosting(p):
-    """Boosted trees on exposures for two quarters with one shared parameter set, then the confidence gate."""
+    """Boosted trees on exposures for the last quarters with one shared parameter set, each with its purged validation IC,
+    then the confidence gate on that and the components' quality."""
     z, found, notes, exposure = exposures(p)
     styles = next(iter(found.values())).names
     labels = align.labels(p.px(), p.fx(), p.sessions())
     rows = materialise(exposure.join(labels, ["d", "symbol"], "left"))
     parts, validation = [], []
-    for start, end in (("1997-01-01", "1997-03-31"), ("1997-04-01", "1997-06-30")):
-        day = F.lit(start).cast("date")
-        train = wf.age_weighted(rows.where(F.col("label").isNotNull() & (F.col("label_exit_date") < day)), start)
+    # the quarters with components whose training span has room for a purged validation
+    quarters = sorted(found)[STOCK_HISTORY:]
+    for number in quarters:
+        day = F.make_date(F.lit(number // 4), F.lit(3 * (number % 4) + 1), F.lit(1))
+        start = f"{number // 4}-{3 * (number % 4) + 1:02d}-01"
+        train = materialise(wf.purged_split(wf.age_weighted(rows.where(F.col("label").isNotNull() & (F.col("label_exit_date") < day)), start), 20))
+        trial = models.fit_boosted(train.where("part = 'fit'"), styles, weight="sample_weight", trees=4)
+        held = models.predict(trial, train.where("part = 'validation'"), styles).select("d", "symbol", "label", "prediction")
+        value = ic.daily_ic(held, ("d",), slices=p.slices()).agg(F.avg("rank_ic")).first()[0]
+        validation.append((pca.quarter_label(number), value))
         model = models.fit_boosted(train, styles, weight="sample_weight", trees=4)
-        test = rows.where(F.col("d").between(day, F.lit(end).cast("date")))
+        test = rows.where(pca.quarter_number(F.col("d")) == number)
         parts.append(models.predict(model, test, styles).select("d", "symbol", "label", "label_exit_date", "prediction"))
     predictions = materialise(quality.union_all(parts).withColumn("pool", F.lit("all")))
     exits = predictions.groupBy("pool", "d").agg(F.max("label_exit_date").alias("label_exit_date"))
     daily = ic.daily_ic(predictions, ("pool", "d"), slices=p.slices()).join(exits, ["pool", "d"])
-    structure = note_rows(p, notes).select(F.lit("all").alias("pool"), "quarter", "explained", "alignment", F.lit(0.0).alias("validation_ic"))
-    gated, _ = style.confidence_gate(predictions, daily, structure, 2, explained_floor=0.5, alignment_floor=0.5)
+    measured = p.spark.createDataFrame(validation, "quarter string, validation_ic double")
+    structure = note_rows(p, notes).join(measured, "quarter").select(F.lit("all").alias("pool"), "quarter", "explained", "alignment", "validation_ic")
+    gated, _ = style.confidence_gate(predictions, daily, structure, 2)
     return gated.select("d", "symbol", "label", "prediction", "trade_prediction", "mode", "retain", "trade_enabled")
 
 
