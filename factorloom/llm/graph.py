@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from factorloom.session import materialise
 
 
+def _mark(links: DataFrame) -> tuple:
+    """The number of links and a sum over them, which tell whether a step has changed any."""
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) as (node, root), the least node of its component, for every node but the roots.
 
@@ -18,6 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     links; links that leave nothing to move end it.
     """
     links = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct())
+    mark = _mark(links)
     while True:
         both = links.unionByName(links.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("m")).select("node", F.least("m", "node").alias("m"))
@@ -28,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
         moved = (small.where("root <> m").select(F.col("root").alias("node"), F.col("m").alias("root"))
                  .unionByName(small.select("node", F.col("m").alias("root"))).distinct())
         moved = materialise(moved)
-        if not moved.exceptAll(links).limit(1).count() and not links.exceptAll(moved).limit(1).count():
+        mark, last = _mark(moved), mark
+        if mark == last:
             return moved
         links = moved
 
@@ -47,11 +54,15 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
 
     ``verify`` keeps the true ones of pairs (a, b) and may add columns. In a bucket, nodes are compared with
     representatives, and only across classes: first one node per bucket (by hash, so a node meets others elsewhere),
-    then 2, 4, ... more, from the bucket's smallest classes on. A representative has met all nodes of its bucket and
+    then 4, 16, ... more, from the bucket's smallest classes on. A representative has met all nodes of its bucket and
     leaves it; a bucket is done when its nodes are of one class. So no two nodes of a bucket end in different classes
     unless every pair of them across the classes has failed. A bucket of copies is done after one comparison a node.
+    Once all pairs that are left are no more than the rows there were at first, they are compared in one last round.
     """
     links, classes, tried, open_, reps = None, None, None, buckets, 1
+    rows = buckets.count()
+
+    last = False
 
     def across(pairs: DataFrame) -> DataFrame:
         return (classed(classed(pairs, "a", classes, "class_a"), "b", classes, "class_b").where("class_a <> class_b")
@@ -65,7 +76,9 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
             classes = components(links)
 
     while True:
-        if reps == 1:
+        if last:
+            chosen = open_.select("bucket", F.col("node").alias("rep"))
+        elif reps == 1:
             chosen = open_.groupBy("bucket").agg(F.min_by("node", F.struct(F.xxhash64("node", "bucket"), "node")).alias("rep"))
         else:
             held = classed(open_, "node", classes, "class")
@@ -73,7 +86,7 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
             order = Window.partitionBy("bucket").orderBy("n", F.xxhash64("node", "bucket"), "node")
             chosen = (held.join(sizes, ["bucket", "class"]).withColumn("place", F.row_number().over(order))
                       .where(F.col("place") <= reps).select("bucket", F.col("node").alias("rep")))
-        chosen = materialise(chosen)
+        chosen = chosen if last else materialise(chosen)
         pairs = (open_.join(chosen, "bucket").where("node <> rep")
                  .select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b"))
                  .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
@@ -81,14 +94,20 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(across(pairs))
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        # the partner that shares most buckets first; then those that are still in another class
-        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-        add(best)
-        add(across(pairs.join(best, ["a", "b"], "left_anti")))
+        if reps == 1:  # the partner that shares most buckets first; then those that are still in another class
+            best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+            add(best)
+            add(across(pairs.join(best, ["a", "b"], "left_anti")))
+        else:
+            add(pairs)
+        if last:
+            return links, classes
         left = open_.join(chosen, (open_["bucket"] == chosen["bucket"]) & (open_["node"] == chosen["rep"]), "left_anti")
         held = classed(left, "node", classes, "class")
         several = held.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
         open_ = materialise(left.join(several, "bucket", "left_semi"))
-        if not open_.limit(1).count():
+        n = F.col("n").cast("decimal(38,0)")
+        left_pairs = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(n * (n - 1) / 2)).first()[0]
+        if left_pairs is None:
             return links, classes
-        reps *= 2
+        last, reps = left_pairs <= rows, reps * 4
