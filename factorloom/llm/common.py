@@ -68,6 +68,10 @@ def as_long(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def as_unsigned(x: np.ndarray) -> np.ndarray:
+    return x.view(np.uint64)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """``docs`` as one struct column ``row_``, so that an operator's own columns clash with none of them."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
