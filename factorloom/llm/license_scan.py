@@ -4,6 +4,8 @@ A text becomes its lower-case words joined by single spaces. A notice that may d
 at least one piece survives any k edits, so an exact search for all pieces (one automaton) finds every place a notice
 can be. A place goes on only if it holds as many of the notice's three-letter runs as k edits must leave (each edit
 spoils three at most, so none is lost); then the regex library's bounded-error match verifies it and gives span and edits.
+Of overlapping places the best counts; those before and after it count too. Exact places and stretches are walked in
+loops, so a text may repeat a notice as often as it likes.
 
 Base phrases are places where a phrase's words stand one after another. Null and empty texts have no words, no place and
 score 0. Nothing else than the text is looked at; repeated rows are searched each.
@@ -53,8 +55,8 @@ class Finder:
         held: dict[str, list[tuple[int, int]]] = {}
         for number, (notice, label) in enumerate(notices):
             edits = int(len(notice) * error_rate)
-            self.notices.append((label, len(notice), edits, regex.compile(
-                rf"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}"), notice))
+            form = rf"(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}"
+            self.notices.append((label, len(notice), edits, (regex.compile(form), regex.compile(f"(?b){form}")), notice))
             bounds = [len(notice) * k // (edits + 1) for k in range(edits + 2)]
             for lo, hi in zip(bounds, bounds[1:]):
                 held.setdefault(notice[lo:hi], []).append((number, lo))
@@ -82,17 +84,33 @@ class Finder:
         return found
 
     def verify(self, number: int, text: str, start: int, stop: int) -> list[tuple[str, int, int, int]]:
-        label, length, edits, pattern, notice = self.notices[number]
+        label, length, _, _, notice = self.notices[number]
+        found, exact = [], text.find(notice, start, stop)
+        while exact >= 0:
+            found += self.inexact(number, text, start, exact)
+            found.append((label, exact, exact + length, 0))
+            start = exact + length
+            exact = text.find(notice, start, stop)
+        return found + self.inexact(number, text, start, stop)
+
+    def inexact(self, number: int, text: str, start: int, stop: int) -> list[tuple[str, int, int, int]]:
+        """The places in a stretch without an exact one, by start."""
+        label, length, edits, (first, best), notice = self.notices[number]
         if stop - start < length - edits:
             return []
-        exact = text.find(notice, start, stop)
-        if exact >= 0:
-            return [*self.verify(number, text, start, exact), (label, exact, exact + length, 0),
-                    *self.verify(number, text, exact + length, stop)]
         held = {text[i:i + RUN] for i in range(start, stop - RUN + 1)}
         if sum(notice[i:i + RUN] in held for i in range(length - RUN + 1)) < length - RUN + 1 - RUN * edits:
             return []
-        return [(label, m.start(), m.end(), sum(m.fuzzy_counts)) for m in pattern.finditer(text, start, stop)]
+        found = []
+        while m := first.search(text, start, stop):
+            # the best of the places that overlap the first one, then those before it
+            begun, end = m.start(), min(stop, m.start() + 2 * (length + edits))
+            start, before = None, []
+            while m := best.search(text, begun, end):
+                before.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                start, end = start or m.end(), m.start()
+            found += before[::-1]
+        return found
 
 
 @lru_cache(maxsize=4)

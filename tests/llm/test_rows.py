@@ -142,6 +142,14 @@ def test_seeds_lose_no_notice():
             assert label in {x[0] for x in finder.find("some words " + "".join(text) + " more words")}
 
 
+def test_repeated_notices_are_all_found(spark):
+    notice = "licensed under the apache license version 2 0"
+    worse = notice.replace("apache", "apoche").replace("version", "versoin")
+    texts = [" ".join([notice] * 3000), " ".join([worse] * 1500), f"{worse} {notice.replace('apache', 'apoche')} {notice} {worse}"]
+    got = {r.doc_id: [x.edits for x in r.found.notices if x.label == "apache-2"] for r in license_scan.scan(made(spark, texts)).collect()}
+    assert got == {0: [0] * 3000, 1: [3] * 1500, 2: [3, 1, 0, 3]}
+
+
 def test_urls_rules_and_reputation(spark):
     rules = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
     urls = ["http://A.Example.ORG/es/x?q", "https://example.org/en/12", "https://example.org", "x://y.org/#f", "http://notexample.org/es/",
