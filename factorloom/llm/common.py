@@ -72,6 +72,15 @@ def as_unsigned(x: np.ndarray) -> np.ndarray:
     return x.view(np.uint64)
 
 
+def widen(spans: list[list[int]], start: int, stop: int) -> None:
+    """Add [start, stop] to ascending ``spans`` that do not meet. It may begin before the last ones: a later hit of a
+    piece from further along implies an earlier start."""
+    while spans and start <= spans[-1][1]:
+        lo, hi = spans.pop()
+        start, stop = min(start, lo), max(stop, hi)
+    spans.append([start, stop])
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """``docs`` as one struct column ``row_``, so that an operator's own columns clash with none of them."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import text_of
+from factorloom.llm.common import text_of, widen
 
 # Words are runs of letters, digits and anything beyond ASCII that is no white space.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\s]+")
@@ -94,11 +94,7 @@ class Items:
                 _, item, edits, _ = self.items[number]
                 start = last + 1 - size - at - edits
                 stop = start + len(item) + 2 * edits
-                spans = windows.setdefault(number, [])
-                if spans and start <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], stop)
-                else:
-                    spans.append([start, stop])
+                widen(windows.setdefault(number, []), start, stop)
         found = []
         for number, spans in windows.items():
             best = None

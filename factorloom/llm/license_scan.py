@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import text_of
+from factorloom.llm.common import text_of, widen
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 # Fixed phrases and their labels.
@@ -72,11 +72,7 @@ class Finder:
                 _, length, edits, _, _ = self.notices[number]
                 start = last + 1 - size - at - edits
                 stop = start + length + 2 * edits
-                held = windows.setdefault(number, [])
-                if held and start <= held[-1][1]:
-                    held[-1][1] = max(held[-1][1], stop)
-                else:
-                    held.append([start, stop])
+                widen(windows.setdefault(number, []), start, stop)
         found = []
         for number, spans in windows.items():
             for start, stop in spans:

@@ -168,6 +168,24 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.with_leaks(docs, benchmark.where("false")).where("size(leaks) > 0").count() == 0
 
 
+def test_items_that_repeat_themselves_are_found():
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    for _ in range(300):
+        phrase = letters(rng.randint(5, 14))
+        item = f"{phrase} {letters(rng.randint(10, 30))} {phrase} {letters(rng.randint(10, 30))}"
+        text = list(item)  # its first phrase, and so its first pieces, are edited; the phrase recurs further on
+        for _ in range(int(len(item) * decontaminate.RATE)):
+            text[rng.randrange(len(phrase) + 3)] = rng.choice("xyz")
+        text = "q " * 8 + "".join(text) + " r" * 5
+        found = decontaminate.Items([(0, item)], decontaminate.RATE, decontaminate.LEAST).find(text)
+        assert [f[3] for f in found] == [distance(item, text)], (item, text)
+    spans = []
+    for start, stop in ((0, 5), (10, 20), (30, 40), (12, 35), (50, 60)):
+        common.widen(spans, start, stop)
+    assert spans == [[0, 5], [10, 40], [50, 60]]
+
+
 def test_mixing_meets_its_targets(spark):
     rng = random.Random(8)
     kinds = {"a": "red green blue", "b": "one two three", "c": "cat dog cow"}
