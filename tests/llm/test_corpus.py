@@ -94,6 +94,18 @@ def test_compact_windows_equal_brute_force():
         assert set(substring_dedup.compact_windows(h, t)) == want
 
 
+def test_passages_are_verified_beside_repeated_lines():
+    rng = random.Random(3)
+    line = words(rng, 9)
+    for _ in range(20):
+        passage = words(rng, 25) + line + words(rng, 26)
+        a, b = (common.shingle_hashes(" ".join(x)).view(np.int64) for x in (passage, line + words(rng, 100) + passage + line))
+        for found in (substring_dedup.verified(a, b, 46, 0.8), np.roll(substring_dedup.verified(b, a, 46, 0.8), 2)):
+            assert tuple(found[:2]) == (0, 55) and found[2] <= 109 and 164 <= found[3] < 184
+    again = np.tile(common.shingle_hashes(" ".join(words(rng, 300))).view(np.int64)[:7], 900)  # one offset in seven
+    assert substring_dedup.verified(again, again[:3000], 46, 0.8) == (0, 6299, 0, 2999)
+
+
 def test_repeated_passages(spark):
     rng = random.Random(9)
     passage, near, line = words(rng, 60), words(rng, 80), words(rng, 9)
