@@ -132,6 +132,19 @@ def test_repeated_passages(spark):
     assert substring_dedup.duplicates(docs.where("doc_id < 40")).count() == 0
 
 
+def test_near_passages_reach_the_recall(spark):
+    assert substring_dedup.needed(0.8) == 3
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        passage = words(rng, 50)
+        near = passage[:25] + ["changed"] + passage[26:]  # 41 of 51 runs are shared: 0.804
+        rows += [(2 * i + k, " ".join(words(rng, 80) + x + words(rng, 80))) for k, x in enumerate((passage, near))]
+    got = {r.doc_id: r for r in substring_dedup.duplicates(table(spark, rows)).collect()}
+    found = [i for i in range(300) if 2 * i in got and 2 * i + 1 in got and got[2 * i].class_id == got[2 * i + 1].class_id == 2 * i]
+    assert len(found) >= 297, len(found)
+
+
 def distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(pattern):
