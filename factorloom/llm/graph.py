@@ -49,7 +49,8 @@ def classed(df: DataFrame, column: str, classes: DataFrame | None, name: str) ->
             .drop("node_", "root_"))
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
+def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
+                 covered: Callable[[DataFrame | None], DataFrame] | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """Verified links between the nodes of ``buckets`` (bucket, node), and their components; None where there are none.
 
     ``verify`` keeps the true ones of pairs (a, b) and may add columns. In a bucket, nodes are compared with
@@ -58,56 +59,82 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     leaves it; a bucket is done when its nodes are of one class. So no two nodes of a bucket end in different classes
     unless every pair of them across the classes has failed. A bucket of copies is done after one comparison a node.
     Once all pairs that are left are no more than the rows there were at first, they are compared in one last round.
+
+    With ``covered`` (the links so far as node, first, last), ``buckets`` also says which places [lo, hi] of the node its
+    bucket stands for. Nodes of one class are then compared too, unless what their shared buckets stand for is covered in
+    both; a bucket is done when that holds of all its nodes, and the nodes of which it does not are representatives first.
     """
+    if covered is None:
+        buckets = buckets.select("bucket", "node", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
     links, classes, tried, open_, reps = None, None, None, buckets, 1
+    cover = None if covered is None else materialise(covered(None))
     rows = buckets.count()
 
     last = False
 
-    def across(pairs: DataFrame) -> DataFrame:
-        return (classed(classed(pairs, "a", classes, "class_a"), "b", classes, "class_b").where("class_a <> class_b")
-                .drop("class_a", "class_b"))
+    def bare(df: DataFrame, node: str, lo: str, hi: str, name: str) -> DataFrame:
+        """``df`` with whether [lo, hi] of the node is not covered."""
+        if cover is None:
+            return df.withColumn(name, F.lit(False))
+        held = cover.select(F.col("node").alias("node_"), F.col("first").alias("first_"), F.col("last").alias("last_"))
+        within = F.coalesce((F.col(lo) >= F.col("first_")) & (F.col(hi) <= F.col("last_")), F.lit(False))
+        return df.join(held, F.col(node) == F.col("node_"), "left").withColumn(name, ~within).drop("node_", "first_", "last_")
+
+    def wanted(pairs: DataFrame) -> DataFrame:
+        """The pairs across classes, and those with places that are not covered."""
+        pairs = classed(classed(pairs, "a", classes, "class_a"), "b", classes, "class_b")
+        pairs = bare(bare(pairs, "a", "a_lo", "a_hi", "bare_a"), "b", "b_lo", "b_hi", "bare_b")
+        return pairs.where("class_a <> class_b OR bare_a OR bare_b").drop("class_a", "class_b", "bare_a", "bare_b")
 
     def add(pairs: DataFrame) -> None:
-        nonlocal links, classes
+        nonlocal links, classes, cover
         new = materialise(verify(pairs.select("a", "b")))
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
             classes = components(links)
+            cover = None if covered is None else materialise(covered(links))
 
     while True:
         if last:
-            chosen = open_.select("bucket", F.col("node").alias("rep"))
+            chosen = open_.where("bare OR mixed").select("bucket", "node", "lo", "hi")
         elif reps == 1:
-            chosen = open_.groupBy("bucket").agg(F.min_by("node", F.struct(F.xxhash64("node", "bucket"), "node")).alias("rep"))
+            least = open_.groupBy("bucket").agg(F.min_by(F.struct("node", "lo", "hi"), F.struct(F.xxhash64("node", "bucket"), "node")).alias("rep"))
+            chosen = least.select("bucket", "rep.*")
         else:
             held = classed(open_, "node", classes, "class")
             sizes = held.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-            order = Window.partitionBy("bucket").orderBy("n", F.xxhash64("node", "bucket"), "node")
+            order = Window.partitionBy("bucket").orderBy(F.desc("bare"), "n", F.xxhash64("node", "bucket"), "node")
             chosen = (held.join(sizes, ["bucket", "class"]).withColumn("place", F.row_number().over(order))
-                      .where(F.col("place") <= reps).select("bucket", F.col("node").alias("rep")))
-        chosen = chosen if last else materialise(chosen)
-        pairs = (open_.join(chosen, "bucket").where("node <> rep")
-                 .select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b"))
-                 .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
+                      .where(F.col("place") <= reps).select("bucket", "node", "lo", "hi"))
+        chosen = (chosen if last else materialise(chosen)).select("bucket", *[F.col(c).alias(f"rep_{c}") for c in ("node", "lo", "hi")])
+        swap = F.col("node") > F.col("rep_node")
+        sides = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (
+            ("lo", "rep_lo", "a_lo"), ("hi", "rep_hi", "a_hi"), ("rep_lo", "lo", "b_lo"), ("rep_hi", "hi", "b_hi"))]
+        pairs = (open_.join(chosen, "bucket").where("node <> rep_node")
+                 .select(F.greatest("node", "rep_node").alias("a"), F.least("node", "rep_node").alias("b"), "bucket", *sides).distinct()
+                 .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("a_lo").alias("a_lo"), F.max("a_hi").alias("a_hi"),
+                                        F.min("b_lo").alias("b_lo"), F.max("b_hi").alias("b_hi")))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(across(pairs))
+        pairs = materialise(wanted(pairs))
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        if reps == 1:  # the partner that shares most buckets first; then those that are still in another class
+        if reps == 1:  # the partner that shares most buckets first; then those that are still wanted
             best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
             add(best)
-            add(across(pairs.join(best, ["a", "b"], "left_anti")))
+            add(wanted(pairs.join(best, ["a", "b"], "left_anti")))
         else:
             add(pairs)
         if last:
             return links, classes
-        left = open_.join(chosen, (open_["bucket"] == chosen["bucket"]) & (open_["node"] == chosen["rep"]), "left_anti")
-        held = classed(left, "node", classes, "class")
-        several = held.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
-        open_ = materialise(left.join(several, "bucket", "left_semi"))
-        n = F.col("n").cast("decimal(38,0)")
-        left_pairs = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(n * (n - 1) / 2)).first()[0]
+        left = open_.join(chosen, (open_["bucket"] == chosen["bucket"]) & (open_["node"] == chosen["rep_node"]), "left_anti")
+        held = bare(classed(left.select("bucket", "node", "lo", "hi"), "node", classes, "class"), "node", "lo", "hi", "bare")
+        several = (held.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"),
+                                              F.sum(F.col("bare").cast("long")).alias("u"))
+                   .where("low <> high OR (u > 0 AND n > 1)").select("bucket", (F.col("low") != F.col("high")).alias("mixed"), "n", "u"))
+        open_ = materialise(held.drop("class").join(several.select("bucket", "mixed"), "bucket"))
+        n, u = F.col("n").cast("decimal(38,0)"), F.col("u").cast("decimal(38,0)")
+        left_pairs = (open_.groupBy("bucket", "mixed").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bare").cast("long")).alias("u"))
+                      .agg(F.sum(F.when(F.col("mixed"), n * (n - 1) / 2).otherwise(u * n - u * (u + 1) / 2))).first()[0])
         if left_pairs is None:
             return links, classes
         last, reps = left_pairs <= rows, reps * 4

@@ -145,6 +145,24 @@ def test_near_passages_reach_the_recall(spark):
     assert len(found) >= 297, len(found)
 
 
+def test_every_passage_of_linked_texts_is_reported(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for g in range(12):
+        p = [words(rng, 70) for _ in range(3)]
+        near = lambda x: [*x[:35], str(rng.random()), *x[36:]]
+        # C holds all three, D the last two, E the last and then the first
+        for k, order in enumerate(((0, 1, 2), (1, 2), (2, 0), (1, 2))):
+            body = [near(p[i]) for i in order]
+            rows.append((10 * g + k, " ".join(sum(body, words(rng, 60)) + words(rng, 60))))
+            want[10 * g + k] = (60, 60 + 70 * len(order))
+    got = {}
+    for r in substring_dedup.duplicates(table(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    lost = [i for i, (lo, hi) in want.items() if len(got.get(i, set()) & set(range(lo, hi))) < hi - lo - 12]
+    assert not lost, lost
+
+
 def distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(pattern):
