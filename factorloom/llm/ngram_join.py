@@ -7,8 +7,10 @@ of every prefix length on the way are used, so near sets meet near sets first. A
 than similar sets' do (by ``SLACK``, four standard deviations) is left; every other is verified on the whole sets.
 
 Equal sets are one node. Inside a bucket nodes are compared with representatives, never all with all
-(``graph.link_buckets``), so a bucket of copies takes one comparison a node, however many there are. The result is a row
-per document with its class (the least doc_id of the documents linked with it, over others too) and its verified links.
+(``graph.link_buckets``), so a bucket of copies takes one comparison a node, however many there are. That gives the
+classes; then the sets of a class are counted against each other exactly, in blocks of about ``BLOCK`` elements, and only
+each node's count leaves a block. The result is a row per document with its class (the least doc_id of the documents
+linked with it, over others too) and its links: all other texts of its class that are similar, and its copies.
 
 Words are runs without white space. A text of one to four words has one run of all its words; a text without words (null,
 empty) is in a class of its own. Rows that repeat are copies; rows with a null doc_id join classes, whose id is the least
@@ -29,6 +31,7 @@ from factorloom.session import materialise
 TREES, DEEPEST, STEP, RECALL = 16, 8, 2, 0.999
 CHUNK = 1024  # runs hashed at a time
 SLACK = 0.15
+BLOCK = 1 << 18  # elements of a class's block
 
 
 def depths(similarity: float, trees: int = TREES, deepest: int = DEEPEST, step: int = STEP, recall: float = RECALL) -> list[int]:
@@ -107,9 +110,55 @@ def bucketed(nodes: DataFrame, lengths: list[int]) -> DataFrame:
         F.xxhash64("depth", "bucket").alias("bucket"), "node")
 
 
+def partners(mine: list[np.ndarray], theirs: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of ``mine`` the similar ones of ``theirs``, and the other way round; no set is empty."""
+    flat = np.concatenate(theirs)
+    sizes = np.array([len(x) for x in theirs])
+    starts = np.cumsum(sizes) - sizes
+    known, flat = np.unique(flat, return_inverse=True)
+    here, there = np.zeros(len(mine), np.int64), np.zeros(len(theirs), np.int64)
+    for k, x in enumerate(mine):
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        mask = np.zeros(len(known), bool)
+        mask[at[known[at] == x]] = True
+        common = np.add.reduceat(mask[flat], starts, dtype=np.int64)
+        near = common >= similarity * (len(x) + sizes - common) - 1e-9
+        here[k] = near.sum()
+        there += near
+    return here, there
+
+
+def linked(runs: DataFrame, classes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """node, linked: the other nodes of its class whose sets are similar, for the nodes of ``classes``.
+
+    A class is cut into blocks by hash, each pair of blocks is a group. Similar sets are of one class, so none is missed.
+    """
+    held = classed(runs, "node", classes, "root")
+    sizes = held.groupBy("root").agg(F.ceil(F.sum(F.size("runs").cast("long")) / block).alias("blocks"), F.count(F.lit(1)).alias("n"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = (held.join(sizes.where("n > 1").drop("n"), "root").withColumn("own", own).withColumn("other", other)
+             .select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "runs"))
+
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, x, y = key
+        first = rows["own"].to_numpy() == x
+        one, two = rows[first], rows[~first]
+        if x == y:
+            return pd.DataFrame({"node": one["node"], "n": partners(list(one["runs"]), list(one["runs"]), similarity)[0] - 1})
+        if not len(one) or not len(two):
+            return pd.DataFrame({"node": [], "n": []})
+        here, there = partners(list(one["runs"]), list(two["runs"]), similarity)
+        return pd.DataFrame({"node": [*one["node"], *two["node"]], "n": np.concatenate([here, there])})
+
+    return (dealt.groupBy("root", "x", "y").applyInPandas(count, "node binary, n long")
+            .groupBy("node").agg(F.sum("n").alias("linked")))
+
+
 def join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL,
-         text: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links (verified links of its text to other texts, and its copies), n_copies per row of docs."""
+         text: str = "text", counted: bool = True) -> DataFrame:
+    """doc_id, class_id, n_links (links of its text to other texts, and its copies), n_copies per row of docs; without
+    n_links where they are not ``counted``."""
     lengths = depths(similarity, trees, deepest, recall=recall)
     labels = materialise(labelled(docs, trees, lengths, text))
     nodes = labels.groupBy("node").agg(F.first("size").alias("size"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch"),
@@ -149,23 +198,28 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, de
     if links is None:
         known = known.withColumn("root", F.col("node")).withColumn("linked", F.lit(0).cast("long"))
     else:
-        ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("linked"))
-        known = classed(known, "node", classes, "root").join(ends, "node", "left").withColumn("linked", F.coalesce("linked", F.lit(0)))
+        known = classed(known, "node", classes, "root")
+        if counted:
+            known = known.join(linked(runs, classes, similarity), "node", "left")
+        else:
+            known = known.withColumn("linked", F.lit(None).cast("long"))
+        known = known.withColumn("linked", F.coalesce("linked", F.lit(0)))
     known = materialise(known)
     roots = known.groupBy("root").agg(F.min("least_id").alias("class_id"))
     known = known.join(roots, "root").select("node", "copies", "linked", "class_id")
     with_class = labels.select("doc_id", "node", "size").join(known, "node")
     alone = F.col("size") == 0
-    return with_class.select(
+    out = with_class.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(0)).otherwise(F.col("linked") + F.col("copies") - 1).cast("long").alias("n_links"),
         F.when(alone, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("n_copies"))
+    return out if counted else out.drop("n_links")
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` without the documents whose class has one with a smaller doc_id; a repeated row stays once, a document
     without doc_id stays."""
-    found = materialise(join(docs.select("doc_id", "text"), **settings))
+    found = materialise(join(docs.select("doc_id", "text"), counted=False, **settings))
     rest = docs.join(found.where("doc_id <> class_id").select("doc_id").distinct(), "doc_id", "left_anti")
     repeated = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if not repeated.limit(1).count():

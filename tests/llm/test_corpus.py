@@ -71,6 +71,31 @@ def test_join_equals_brute_force(spark):
     assert ngram_join.join(docs.where("false")).count() == 0
 
 
+def test_links_are_counted_whole(spark):
+    rng = random.Random(17)
+    hub = words(rng, 120)
+    texts = [" ".join(edited(rng, hub, s)) for s in (0, 0.005, 0.01, 0.015, 0.02) for _ in range(16)]
+    texts += [texts[3], texts[3], None, " ".join(words(rng, 50))]
+    sets = [frozenset(ngram_join.set_of(t or "").tolist()) for t in texts]
+    whole, copies = Counter(), Counter(sets)
+    for a, b in combinations(set(sets) - {frozenset()}, 2):
+        if len(a & b) >= 0.8 * len(a | b) - 1e-9:
+            whole.update((a, b))
+    got = {r.doc_id: r.n_links for r in ngram_join.join(table(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: whole[x] + copies[x] - 1 if x else 0 for i, x in enumerate(sets)}
+
+
+def test_blocks_of_a_class_count_alike(spark):
+    rng = random.Random(18)
+    hub = words(rng, 120)
+    sets = {ngram_join.set_id(x): x for x in (ngram_join.set_of(" ".join(edited(rng, hub, 0.01))) for _ in range(40))}
+    rows = [(bytearray(k), common.as_long(v).tolist()) for k, v in sets.items()]
+    runs = spark.createDataFrame(rows, "node binary, runs array<long>")
+    classes = spark.createDataFrame([(r[0], bytearray(min(sets))) for r in rows], "node binary, root binary")
+    counts = [{bytes(r.node): r.linked for r in ngram_join.linked(runs, classes, 0.8, block).collect()} for block in (1 << 18, 900)]
+    assert counts[0] == counts[1] and sum(counts[0].values()) > 0
+
+
 def test_join_of_repeated_rows_and_null_ids(spark):
     text = " ".join(words(random.Random(1), 60))
     docs = table(spark, [(1, text), (1, text), (2, text), (None, text), (5, "a b c"), (5, "a b c")])
