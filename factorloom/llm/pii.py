@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in Spark functions only.
 
-Seeds are the spans that fixed forms find (email, ip, card, phone). Identifier-like tokens (six characters or more, with a
-digit) are instances; the word before and the word after an occurrence are its patterns, digits written as 9. On the graph
+Seeds are the spans that fixed forms find (email, ip, card, phone), each one instance, with blanks or without digits too.
+Identifier-like tokens (six characters or more, with a digit) that meet no seed are the other instances. The word before
+and the word after an occurrence are its patterns, digits written as 9; marks that adjoin a span are no word. On the graph
 of patterns and instances, a pattern's score is the mean score of its instances, ``doubt`` unknown ones added, and an
 instance's score is 1 for a seed, else the best of its patterns; this is repeated ``rounds`` times. Patterns that reach
 ``sure`` and know ``support`` seeds or more tag the other instances they stand beside as ``context`` spans.
@@ -32,14 +33,18 @@ FORMS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TOKEN = rf"(?<![^{SPACE}])[^0-9{SPACE}]*+[0-9][^{SPACE}]*+"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
+MARKS = r"\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E"
+# what stands beside a match: its gap and the match beyond
+BESIDE = ("'left', right(concat(right(x.p, 200), right(x.g, 200)), 200), 'right', left(concat(left(x.h, 200), left(x.q, 200)), 200)")
 
 
 def located(found: str, gaps: str, fields: str, kind: str) -> Column:
-    """Structs of ``fields`` (SQL over match m, its place at, the gap g before and h behind) for the matches in column
-    ``found``, whose surroundings are in ``gaps``."""
+    """Structs of ``fields`` (SQL over match m, its place at, the gaps g before and h behind and the matches p and q beyond
+    them) for the matches in column ``found``, whose surroundings are in ``gaps``."""
     return F.expr(f"""
       aggregate(
-        zip_with({found}, sequence(1, size({found})), (m, i) -> struct(m, element_at({gaps}, i) AS g, element_at({gaps}, i + 1) AS h)),
+        zip_with({found}, sequence(1, size({found})), (m, i) -> struct(m, element_at({gaps}, i) AS g, element_at({gaps}, i + 1) AS h,
+          coalesce(get({found}, i - 2), '') AS p, coalesce(get({found}, i), '') AS q)),
         named_struct('at', 0, 'out', cast(array() AS {kind})),
         (acc, x) -> named_struct('at', acc.at + length(x.g) + length(x.m), 'out', concat(acc.out, array({fields}))),
         acc -> acc.out)""")
@@ -58,8 +63,9 @@ def valid(kind: str) -> str:
     return "true"
 
 
-def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base``: the spans of the fixed forms by kind, then start."""
+def with_base(docs: DataFrame, text: str = "text", seeds: bool = False) -> DataFrame:
+    """``docs`` with ``base``: the spans of the fixed forms by kind, then start; with ``seeds_``, the same with each one's
+    match and what stands beside it, if they are asked for."""
     out = docs.withColumn("body_", text_of(text)).withColumn("digits_", F.col("body_").rlike("[0-9]"))
     names = []
     for kind, form in FORMS.items():
@@ -67,34 +73,44 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
         may = F.contains(F.col("body_"), F.lit(NEEDS[kind])) if kind == "email" else F.col("digits_") & F.contains(F.col("body_"), F.lit(NEEDS[kind]))
         out = out.withColumn(found, F.when(may, F.regexp_extract_all("body_", F.lit(form), F.lit(0))).otherwise(F.array().cast("array<string>")))
         out = out.withColumn(gaps, F.when(F.size(found) > 0, F.split("body_", form, -1)).otherwise(F.array().cast("array<string>")))
-        fields = f"named_struct('kind', '{kind}', 'start', acc.at + length(x.g), 'end', acc.at + length(x.g) + length(x.m), 'match', x.m)"
-        all_ = located(found, gaps, fields, "array<struct<kind:string,start:int,end:int,match:string>>")
+        fields = f"named_struct('kind', '{kind}', 'start', acc.at + length(x.g), 'end', acc.at + length(x.g) + length(x.m), 'match', x.m"
+        fields += f", {BESIDE})" if seeds else ")"
+        held = "kind:string,start:int,end:int,match:string" + (",left:string,right:string" if seeds else "")
+        all_ = located(found, gaps, fields, f"array<struct<{held}>>")
         out = out.withColumn(f"spans_{kind}_", F.when(F.size(found) > 0, all_))
         names += [found, gaps, f"spans_{kind}_"]
-    kept = [F.expr(f"transform(filter(coalesce(spans_{k}_, array()), x -> {valid(k)}), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))")
-            .cast(SPANS) for k in KINDS]
+    good = [F.expr(f"filter(coalesce(spans_{k}_, array()), x -> {valid(k)})") for k in KINDS]
+    if seeds:
+        out = out.withColumn("seeds_", F.concat(*good))
+    kept = [F.transform(x, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).cast(SPANS) for x in good]
     return out.withColumn("base", F.concat(*kept)).drop("digits_", "body_", *names)
 
 
 def occurrences(based: DataFrame, text: str = "text") -> DataFrame:
-    """Identifier-like tokens: doc_id, text_hash, instance, start, end, before, after, seed."""
+    """Base spans and identifier-like tokens that meet none: doc_id, text_hash, instance, start, end, before, after, seed."""
     body = text_of(text)
-    tokens = (based.select("doc_id", F.xxhash64(body).alias("text_hash"), body.alias("body_"), "base").where(F.col("body_").rlike("[0-9]"))
+    texts = based.select("doc_id", F.xxhash64(body).alias("text_hash"), body.alias("body_"), "base", "seeds_")
+    spans = texts.where(F.size("seeds_") > 0).select("doc_id", "text_hash", F.explode("seeds_").alias("t")).select(
+        "doc_id", "text_hash", F.col("t.match").alias("instance"), "t.start", "t.end", "t.left", "t.right", F.lit(True).alias("seed"))
+    tokens = (texts.where(F.col("body_").rlike("[0-9]"))
               .withColumn("found_", F.regexp_extract_all("body_", F.lit(TOKEN), F.lit(0)))
               .withColumn("gaps_", F.split("body_", TOKEN, -1)))
-    fields = ("named_struct('m', x.m, 'at', acc.at + length(x.g), 'g', right(x.g, 200), 'h', left(x.h, 200))")
+    fields = f"named_struct('m', x.m, 'at', acc.at + length(x.g), {BESIDE})"
     placed = tokens.where(F.size("found_") > 0).select(
-        "doc_id", "text_hash", "base", F.explode(located("found_", "gaps_", fields, "array<struct<m:string,at:int,g:string,h:string>>")).alias("t"))
+        "doc_id", "text_hash", "base", F.explode(located("found_", "gaps_", fields, "array<struct<m:string,at:int,left:string,right:string>>")).alias("t"))
     core = F.regexp_extract("t.m", r"[A-Za-z0-9+](?:.*[A-Za-z0-9])?", 0)
-    mask = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "9")
     placed = (placed.withColumn("instance", core).where(F.length("instance") >= 6)
               .withColumn("start", F.expr("t.at + locate(instance, t.m) - 1"))
-              .withColumn("end", F.col("start") + F.length("instance")))
-    return placed.select(
+              .withColumn("end", F.col("start") + F.length("instance"))
+              .where("NOT exists(base, b -> b.start < end AND start < b.end)"))
+    both = spans.unionByName(placed.select("doc_id", "text_hash", "instance", "start", "end", "t.left", "t.right", F.lit(False).alias("seed")))
+    mask = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "9")
+    left = F.regexp_replace("left", rf"(^|[{SPACE}])[{MARKS}]+$", "$1")
+    right = F.regexp_replace("right", rf"^[{MARKS}]+([{SPACE}]|$)", "$1")
+    return both.select(
         "doc_id", "text_hash", "instance", "start", "end",
-        mask(F.regexp_extract("t.g", rf"([^{SPACE}]+)[{SPACE}]*$", 1)).alias("before"),
-        mask(F.regexp_extract("t.h", rf"^[{SPACE}]*([^{SPACE}]+)", 1)).alias("after"),
-        F.expr("exists(base, b -> b.start < end AND start < b.end)").alias("seed"))
+        mask(F.regexp_extract(left, rf"([^{SPACE}]+)[{SPACE}]*$", 1)).alias("before"),
+        mask(F.regexp_extract(right, rf"^[{SPACE}]*([^{SPACE}]+)", 1)).alias("after"), "seed")
 
 
 def sure_patterns(found: DataFrame, rounds: int, sure: float, support: int, doubt: float) -> DataFrame:
@@ -128,12 +144,13 @@ def context_spans(based: DataFrame, text: str = "text", rounds: int = 2, sure: f
 
 def find(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     """``docs`` with ``base`` and ``spans`` (all, by kind as listed, context last, then start)."""
-    based = with_base(packed(docs), f"row_.{text}")
-    more = context_spans(based.select("row_.doc_id", F.col(f"row_.{text}").alias("text"), "base"), **settings).withColumnsRenamed(
+    based = with_base(packed(docs), f"row_.{text}", seeds=True)
+    more = context_spans(based.select("row_.doc_id", F.col(f"row_.{text}").alias("text"), "base", "seeds_"), **settings).withColumnsRenamed(
         {"doc_id": "found_id", "text_hash": "found_hash"})
     same = F.col("row_.doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash_") == F.col("found_hash"))
     # a text without a digit has no identifier, so only the others are dealt out to meet the found spans
     digits = text_of(f"row_.{text}").rlike("[0-9]")
+    based = based.drop("seeds_")
     met = (based.where(digits).withColumn("text_hash_", F.xxhash64(text_of(f"row_.{text}"))).join(more, same, "left")
            .withColumn("spans", F.concat("base", F.coalesce("found", F.array().cast(SPANS)))))
     return unpacked(met, docs, "base", "spans").unionByName(unpacked(based.where(~digits).withColumn("spans", F.col("base")), docs, "base", "spans"))

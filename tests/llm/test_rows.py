@@ -192,6 +192,24 @@ def test_pii_forms(spark):
         assert [tuple(s) for s in got[i]] == plain_spans(text or ""), text
 
 
+def test_pii_seeds_are_whole_spans_with_their_words(spark):
+    texts = ["Write to <jane.doe@example.com>, please", "call +1 (988) 555-2485 now", "card 4111 1111 1111 1111 ok",
+             "room 12 abc123def 7b end", "a@b.co c@d.eu"]
+    seen = pii.occurrences(pii.with_base(made(spark, texts), seeds=True)).collect()
+    got = {(r.doc_id, r.instance, r.before, r.after, r.seed) for r in seen}
+    assert got == {(0, "jane.doe@example.com", "to", "please", True), (1, "+1 (988) 555-2485", "call", "now", True),
+                   (2, "4111 1111 1111 1111", "card", "ok", True), (3, "abc123def", "99", "9b", False),
+                   (4, "a@b.co", "", "c@d.eu", True), (4, "c@d.eu", "a@b.co", "", True)}
+    assert all(texts[r.doc_id][r.start:r.end] == r.instance for r in seen)
+    seeds = {"mail": [f"mail {a}{b}@example.com end" for a in "abc" for b in "xyz"],
+             "ring": [f"ring +1 988 555 {i}485 end" for i in range(1, 9)],
+             "paid": [f"paid {x} end" for x in ("4111 1111 1111 1111", "4242 4242 4242 4242", "4012 8888 8888 1881", "5555 5555 5555 4444",
+                                                "5105 1051 0510 5100", "4000 0566 5566 5556")]}
+    for word, known in seeds.items():
+        found = pii.find(made(spark, [*known, f"{word} hidden77handle end"])).where(f"doc_id = {len(known)}").first()
+        assert [tuple(x) for x in found.spans] == [("context", 5, 19)], word
+
+
 def test_pii_patterns_find_unseen_identifiers(spark):
     texts = [f"please mail user{i}x@mail{i}.org today" for i in range(30)] + [f"the word {i}abcdef stands" for i in range(30)]
     texts += ["please mail hidden77handle today", None, "", "please mail hidden77handle today"]
