@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import (chat_format, decontaminate, license_scan, mixing, ngram_join, pii, quality_rules, substring_dedup,
-                            token_counts, url_reputation)
+from factorloom.llm import (chat_format, decontaminate, hard_negatives, license_scan, line_dedup, merkle, mixing, ngram_join, pii,
+                            quality_rules, substring_dedup, token_counts, url_reputation)
 from factorloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,97 @@ def op10_notice_search(spark: SparkSession, folder: str) -> DataFrame:
     found = license_scan.scan(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", *[f"found.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels",
                                                            "labels", "score", "notices")])
+
+
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query(r"""
+WITH RECURSIVE
+-- fixed values: the sixteen entries of the CRC-32 table by half bytes
+crc(t) AS (SELECT [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+                   3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]),
+own AS (SELECT row_number() OVER () AS row_no, * FROM documents),
+checked AS (SELECT *, CASE WHEN doc_id IS NULL THEN NULL ELSE xor(CAST(4294967295 AS bigint), list_reduce(
+    list_prepend(CAST(4294967295 AS bigint), flatten(list_transform(string_split(CAST(doc_id AS varchar), ''),
+                 lambda c: [CAST(ord(c) AS bigint) & 15, CAST(ord(c) AS bigint) >> 4]))),
+    lambda s, x: xor(CAST(t[CAST((xor(s, x) & 15) + 1 AS int)] AS bigint), s >> 4))) END AS crc32 FROM own, crc),
+parts AS (SELECT *, coalesce(octet_length(encode(CAST(doc_id AS varchar))) || ':' || doc_id, '-')
+       || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+       || coalesce(octet_length(encode(CAST(n_chars AS varchar))) || ':' || n_chars, '-') AS head,
+       CASE WHEN crc32 % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM checked),
+leaves AS (SELECT row_no, doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+                  sha256(head || coalesce(octet_length(encode(other)) || ':' || other, '-')) AS claim FROM parts),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, claim) - 1 AS place,
+                  count(*) OVER (PARTITION BY source) AS n FROM leaves),
+low AS (SELECT 0 AS level, source, place, n, leaf AS h FROM placed
+        UNION ALL SELECT level + 1, source, place // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY place)) FROM low
+        WHERE n > 1 GROUP BY level, source, place // 3, n),
+subs AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (SELECT 0 AS level, place, n, subroot AS h FROM subs
+         UNION ALL SELECT level + 1, place // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY place)) FROM high
+         WHERE n > 1 GROUP BY level, place // 3, n),
+nodes AS (SELECT level, coalesce('s' || source, '') AS tree, place, n, h FROM low UNION ALL SELECT 1000 + level, 'top', place, n, h FROM high),
+runs AS (SELECT level, tree, place // 3 AS run, string_agg(h, '' ORDER BY place) FILTER (place % 3 < 1) AS a,
+                string_agg(h, '' ORDER BY place) FILTER (place % 3 = 1) AS b, string_agg(h, '' ORDER BY place) FILTER (place % 3 = 2) AS c
+         FROM nodes WHERE n > 1 GROUP BY level, tree, place // 3),
+ways AS (SELECT row_no, level, tree, place, place AS pos, n, claim AS h, '' AS proof, placed.source AS src FROM placed
+         JOIN (SELECT DISTINCT level, tree FROM nodes WHERE level = 0) z ON z.tree = coalesce('s' || placed.source, '')
+         UNION ALL
+         SELECT row_no, ways.level + 1, ways.tree, ways.place // 3, ways.place // 3, (n + 2) // 3,
+                sha256(CASE ways.place % 3 WHEN 0 THEN h || coalesce(b, '') || coalesce(c, '') WHEN 1 THEN a || h || coalesce(c, '') ELSE a || b || h END),
+                proof || CASE ways.place % 3 WHEN 0 THEN coalesce(b, '') || coalesce(c, '') WHEN 1 THEN a || coalesce(c, '') ELSE a || b END, src
+         FROM ways JOIN runs ON runs.level = ways.level AND runs.tree = ways.tree AND run = ways.place // 3 WHERE n > 1),
+grown AS (SELECT row_no, 1000 AS level, subs.place, subs.n, h, proof, subroot FROM ways JOIN subs ON subs.source IS NOT DISTINCT FROM src WHERE ways.n = 1
+          UNION ALL
+          SELECT row_no, grown.level + 1, grown.place // 3, (n + 2) // 3,
+                 sha256(CASE grown.place % 3 WHEN 0 THEN h || coalesce(b, '') || coalesce(c, '') WHEN 1 THEN a || h || coalesce(c, '') ELSE a || b || h END),
+                 proof || CASE grown.place % 3 WHEN 0 THEN coalesce(b, '') || coalesce(c, '') WHEN 1 THEN a || coalesce(c, '') ELSE a || b END, subroot
+          FROM grown JOIN runs ON runs.level = grown.level AND runs.tree = 'top' AND run = grown.place // 3 WHERE n > 1),
+whole AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM placed JOIN grown USING (row_no), whole WHERE grown.n = 1""")
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(*LEAF_FIELDS)
+    other = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    head = [F.col(c) for c in LEAF_FIELDS[:-1]]
+    leaves = docs.select(F.col("source").alias("group"), F.col("doc_id").alias("key"), F.col("doc_id").cast("string").alias("id"),
+                         merkle.digest_of(*head, F.col("text")).alias("leaf"), merkle.digest_of(*head, other).alias("claim"))
+    found = merkle.proofs(merkle.build(leaves))
+    return found.select(F.col("id").cast("long").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query(r"""
+WITH valid AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS double)) AS bigint)) AS v FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (SELECT a.id AS anchor, a.label AS label, b.id AS id, b.label AS other,
+                  CAST(list_sum(list_transform(generate_series(1, len(a.v)), lambda k: a.v[k] * b.v[k])) AS bigint) AS score
+           FROM valid a JOIN valid b ON a.id % 50 = 0 AND a.id <> b.id),
+pos AS (SELECT anchor, label, id, score FROM scored WHERE label = other
+        QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+SELECT p.anchor AS anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id) AS int) AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM pos p JOIN scored n ON n.anchor = p.anchor AND n.other <> p.label AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id) <= 3""")
+def op12_zone_mined_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").where("forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("long"))
+    return hard_negatives.mine(rows.select(F.col("vec_id").alias("id"), label.alias("label"), vector.alias("vector")), F.col("id") % 50 == 0)
+
+
+@query(r"""
+WITH texts AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT row_no, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM texts),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+repeated AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) < max(doc_id)),
+marked AS (SELECT row_no, doc_id, line, pos, coalesce(doc_id <> first, false) AS gone FROM keyed LEFT JOIN repeated USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY row_no, doc_id""")
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.drop_repeated(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
