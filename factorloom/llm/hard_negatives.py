@@ -287,12 +287,14 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
            .where("id IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)"))
     single = own.groupBy("id").agg(F.min(F.struct("label", "vector")).alias("m")).select("id", "m.label", "m.vector")
     flagged = single.withColumn("anchor", F.coalesce(is_anchor, F.lit(False)))
-    dims = own.agg(F.max(F.size("vector"))).first()[0]
+    dims, count = own.agg(F.max(F.size("vector")), F.count(F.lit(1))).first()
     empty = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if dims is None:
         return rows.sparkSession.createDataFrame([], empty)
     dims = max(1, dims)
-    sample = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
+    share = max(1, count // SAMPLE)
+    sample = own.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("vector").limit(3 * SAMPLE).collect()
+    sample = sample or own.select("vector").limit(SAMPLE).collect()
     blocks = materialise(blocks_of(flagged, Curve.fitted(matrix([r.vector for r in sample], dims).astype(float)), dims))
     n_blocks = blocks.count()
 
