@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+from dataclasses import astuple, replace
+
 from pyspark.sql import functions as F
 
 from factorloom.functions import columns as c
-from factorloom.operators import align, calendar, ic, models, quality, ranking, walkforward as wf
+from factorloom.operators import align, boosting, calendar, ic, quality, ranking, walkforward as wf
 from factorloom.plans.inputs import FACTORS, data, kept
 from factorloom.plans.joins import SPLITS, splits
 from factorloom.plans.oracle import r, sql
@@ -13,6 +16,7 @@ from factorloom.plans.registry import query
 from factorloom.session import materialise
 
 START = "1993-01-01"
+EPOCH = datetime.date(1970, 1, 1)
 PAIR = ["f_disc", "f_qty"]
 
 
@@ -183,43 +187,66 @@ def grid_search(p):
                               for model, grid in grids.items()])
 
 
-TREES = 5  # boosting rounds of the queries; a parameter of models.fit_boosted
+TREES = 30  # boosting rounds of all splits together
+ROUNDS, DRAWS = 6, 8  # of the search: rounds between two halvings, and candidates
+
+
+def days(date) -> int:
+    return (date - EPOCH).days
+
+
+def split_models(sp, start: str = START, strict: bool = False, **options) -> list[boosting.Model]:
+    """One model per split; the rows it trains on follow from its dates. One row per refit reaches the driver."""
+    first = days(datetime.date.fromisoformat(start))
+    return [boosting.Model(x["name"], first, boosting.NEVER, days(x["train_cutoff"]) + (not strict), **options)
+            for x in sp.select("name", "train_cutoff").orderBy("name").collect()]
 
 
 def tree_fits(p, trees: int = TREES):
-    """(split name, fitted model, its prediction rows) for every split of the calendar."""
+    """(labelled panel, splits, one forest per split), all grown in the same passes."""
     rows, sp = materialise(data(p)), kept(splits(p))
-    train = materialise(align.training_rows(rows, sp, START).select("name", "d", "symbol", "label", *FACTORS))
-    test = align.prediction_rows(rows, sp).select("name", "d", "symbol", "label", *FACTORS)
-    for name in (x["name"] for x in sp.select("name").orderBy("name").collect()):  # one row per refit
-        own = F.col("name") == name
-        yield name, models.fit_boosted(train.where(own), FACTORS, trees=trees), test.where(own)
+    booster = boosting.Booster(rows, FACTORS, split_models(sp))
+    booster.advance(trees)
+    return rows, sp, booster.close()
 
 
 @query("i13_boosted_trees")
 def boosted_trees(p):
-    parts = [models.predict(model, test, FACTORS).select("name", "d", "symbol", "label", "prediction") for _, model, test in tree_fits(p)]
-    return quality.union_all(parts)
+    rows, sp, forests = tree_fits(p)
+    test = align.prediction_rows(rows, sp.select("name", "prediction_start", "prediction_end"))
+    return boosting.predict(test, forests, FACTORS).select("name", "d", "symbol", "label", "prediction")
 
 
 @query("i14_parameter_search")
 def parameter_search(p):
-    """Drawn parameters scored on the last two folds inside the first split's training window; prediction rows play no part."""
+    """Seeded candidates over all nine parameters on the last four folds before the calendar's last year, all grown in the
+    same passes; after every ``ROUNDS`` rounds the better half goes on. Rows of the last year play no part."""
     rows = materialise(data(p))
-    cutoff = splits(p).agg(F.min("train_cutoff")).first()[0].isoformat()
-    window = rows.where(F.col("label_exit_date") <= F.lit(cutoff).cast("date"))
-    fold_table = kept(wf.folds(window, START, cutoff, last=2))
-    train = materialise(align.training_rows(window, fold_table, START, strict=True).select("name", "d", "symbol", "label", *FACTORS))
-    held = materialise(align.prediction_rows(window.where("label IS NOT NULL"), fold_table).select("name", "d", "symbol", "label", *FACTORS))
-    out = []
-    for i, params in enumerate(models.candidates(2)):
-        for fold in (x["name"] for x in fold_table.select("name").collect()):  # two folds
-            model = models.fit_boosted(train.where(F.col("name") == fold), FACTORS, trees=3, **params)
-            out.append(models.predict(model, held.where(F.col("name") == fold), FACTORS).select(
-                F.lit(f"{i}|{params['stepSize']:.4f}|{params['depth']}|{fold}").alias("model"), "d", "symbol", "label", "prediction"))
-    scored = ic.metric_summary(materialise(quality.union_all(out)), slices=p.slices())
+    cutoff = sorted(x["train_cutoff"] for x in splits(p).select("train_cutoff").collect())[-4]  # one row per refit
+    window = rows.where(F.col("label_exit_date") <= F.lit(cutoff))
+    fold_table = kept(wf.folds(window, START, cutoff.isoformat(), last=4))
+    draws = boosting.drawn(DRAWS, boosting.Params(rate=0.03, subsample=0.75, min_child_weight=10.0))
+    models = [replace(m, name=f"{i}|{m.name}", params=params, seed=boosting.SEED + i)
+              for i, params in enumerate(draws) for m in split_models(fold_table, strict=True)]
+    booster = boosting.Booster(window, FACTORS, models)
+    held = materialise(align.prediction_rows(window.where("label IS NOT NULL"), fold_table.select("name", "prediction_start", "prediction_end")))
     value = c.selection_score(F.col("mean_rank_ic"), F.col("pearson_ic"), F.col("top_bottom_return"))
-    return scored.groupBy(F.substring_index("model", "|", 3).alias("model")).agg(F.avg(value).alias("score"))
+    alive, table = list(range(DRAWS)), []
+    while alive:
+        wanted = [m.name for m in models if int(m.name.split("|")[0]) in alive]
+        forests = [f for f in booster.advance(ROUNDS, wanted) if f.name in set(wanted)]
+        placed = held.select("d", "symbol", "label", *FACTORS, F.col("name").alias("fold"), F.explode(F.array(*[F.lit(i) for i in alive])).alias("candidate"))
+        named = placed.withColumn("name", F.concat_ws("|", "candidate", "fold"))
+        predicted = boosting.predict(named, forests, FACTORS).withColumn("model", F.col("candidate").cast("string"))
+        # a candidate that predicts a constant on every date has no score and ranks last
+        scores = {int(r["model"]): (r["score"], r["folds"]) for r in ic.metric_summary(materialise(predicted), slices=p.slices()).select(
+            "model", value.alias("score")).join(predicted.groupBy("model").agg(F.countDistinct("fold").alias("folds")), "model").collect()}
+        ranked = sorted(alive, key=lambda i: (scores[i][0] is None, -(scores[i][0] or 0.0), i))
+        table += [(i, booster.rounds, *astuple(draws[i]), *scores[i], place + 1) for place, i in enumerate(ranked)]
+        alive = sorted(ranked[:len(ranked) // 2])
+    booster.close()
+    return p.spark.createDataFrame(table, "candidate int, rounds int, depth int, learning_rate double, min_child_weight double, gamma double, "
+                                   "reg_alpha double, reg_lambda double, subsample double, colsample double, max_bin int, score double, folds bigint, place int")
 
 
 @query("i15_walk_forward", sql(f"""SELECT model, name, {r('avg(ic)')} AS mean_rank_ic, {r('avg(pic)')} AS pearson_ic, CAST(sum(n) AS BIGINT) AS samples FROM (
@@ -291,9 +318,9 @@ def train_fit(p):
 
 @query("i18_importance")
 def importance(p):
-    trees = quality.union_all([models.importance_rows(p.spark, model, FACTORS, model="boosted_trees", name=name) for name, model, _ in tree_fits(p)])
+    trees = boosting.importance_rows(p.spark, tree_fits(p)[2], FACTORS).withColumn("model", F.lit("boosted_trees"))
     _, _, systems = fitted(p, features=tuple(FACTORS))
     fits = wf.fit_table(p.spark, [(s, "ridge", 1.0, 0.0) for s in systems])
     linear = coefficient_rows(fits, FACTORS).where("feature <> 'intercept'").select(
         "feature", F.col("coefficient").alias("importance"), "model", "name")
-    return trees.unionByName(linear)
+    return linear.unionByName(trees)
