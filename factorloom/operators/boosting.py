@@ -68,7 +68,7 @@ class Model:
     """A model and its rows: dated from ``start`` to before ``until``, label realised before ``realised``, of one ``kind``.
 
     Days are numbers since 1970-01-01. ``reference`` makes a row's weight halve with every year of age; ``hold`` is the
-    span (first day, day after the last) whose loss is measured after every round.
+    span (first day, day after the last, day by which labels are realised) whose loss is measured after every round.
     """
     name: str
     start: int
@@ -76,7 +76,7 @@ class Model:
     realised: int
     kind: int = 0
     reference: int | None = None
-    hold: tuple[int, int] | None = None
+    hold: tuple[int, int, int] | None = None
     params: Params = field(default_factory=Params)
     squared: bool = False
     seed: int = SEED
@@ -182,8 +182,8 @@ class Block:
         return at, self.weight[at] * np.exp2(-np.asarray(age, dtype=float))
 
     def held(self, m: Model) -> np.ndarray:
-        lo, hi = m.hold
-        return np.flatnonzero((self.kind == m.kind) & (self.day >= lo) & (self.day < hi) & (self.exit < m.realised))
+        lo, hi, realised = m.hold
+        return np.flatnonzero((self.kind == m.kind) & (self.day >= lo) & (self.day < hi) & (self.exit < realised))
 
     def scores(self, k: int, at: np.ndarray, trees: Sequence[Tree]) -> np.ndarray:
         out = self.margin[at, k].copy()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from factorloom.operators import align, cross_section as xs, ic, models, pca, quality, style, timing, walkforward as wf
+from factorloom.operators import align, boosting, cross_section as xs, ic, pca, quality, rotation, style, timing, walkforward as wf
 from factorloom.plans.aggregates import STD, STYLE_CTES, style_returns
 from factorloom.plans.inputs import FACTORS, data, kept
 from factorloom.plans.oracle import r, sql
@@ -15,7 +15,15 @@ from factorloom.plans.windows import timing as style_features
 from factorloom.session import materialise
 
 LEAST = 2
-STOCK_HISTORY = 8  # quarters of components before the first stock model
+EMBARGO = 20  # trading days before a validation span
+FEWEST = 4  # realised dates before a quarter's models are fitted
+# Most boosting rounds, and rounds without a better held-out loss before growing stops.
+STOCK_ROUNDS, STOCK_PATIENCE = 24, 6
+HORIZON_ROUNDS, HORIZON_PATIENCE = 16, 4
+TIMER_ROUNDS = 8
+STOCK = boosting.Params(depth=2, rate=0.1, subsample=0.75, colsample=0.70)
+HORIZON = boosting.Params(depth=2, rate=0.1, subsample=0.75, colsample=0.70, bins=64)
+TIMER = boosting.Params(depth=2, rate=0.1, bins=32)
 # Fixed loadings for the queries that check projection alone (4 factors, 2 components).
 LOADINGS = np.array([[0.8, -0.1], [0.3, 0.7], [-0.2, 0.6], [0.1, 0.4]])
 
@@ -113,40 +121,40 @@ def residual_ridge(p):
     return p.spark.createDataFrame(table, "factor string, coefficient double, rows bigint")
 
 
-def residual_training(p, cutoff: str, z, found):
-    """Residual labels of dates realised before the cutoff, under the components of the cutoff's quarter."""
-    day = F.lit(cutoff).cast("date")
-    part = found[int(cutoff[:4]) * 4 + (int(cutoff[5:7]) - 1) // 3]
-    past = z.where(F.col("d") < day)
-    labels = align.labels(p.px(), p.fx(), p.sessions()).where(F.col("label_exit_date") < day)
-    rows = past.join(labels, ["d", "symbol"]).join(pca.project(past, part, FACTORS), ["d", "symbol"])
-    target, _ = pca.residual_target(materialise(rows), part.names)
-    return part, wf.age_weighted(materialise(target), cutoff)
+def pools(p):
+    """Names and members; no members means every name."""
+    return {"all": None, "core": p.pool()}
 
 
-def validated_weight(p, part, train, weight: float = 1.0):
-    """(effective weight, validation rank IC): the weight stands only if the purged validation IC is positive."""
-    split = materialise(wf.purged_split(train, 20))
-    fit = pca.residual_ridge(split.where("part = 'fit'"), part.loadings, FACTORS, weight="sample_weight")
-    score = pca.gram.linear_score(FACTORS, fit.weights, fit.intercept)
-    held = split.where("part = 'validation'").withColumn("prediction", score)
-    value = ic.daily_ic(held, ("d",), "prediction", "residual_label", slices=p.slices()).agg(F.avg("rank_ic")).first()[0]
-    return (weight if value is not None and value > 0 else 0.0), value
+def residual_models(p, z, found, weight: float = 1.0):
+    """(pooled panel, one fit per pool and quarter with its effective weight): the weight stands only where the rank IC on
+    the purged validation span is positive."""
+    labels = align.labels(p.px(), p.fx(), p.sessions()).select("d", "symbol", "label", "label_exit_date")
+    labelled = z.join(labels, ["d", "symbol"], "left")
+    rows = materialise(quality.union_all([align.in_pool(labelled, pool).withColumn("pool", F.lit(name)) for name, pool in pools(p).items()]))
+    sums = kept(rotation.date_sums(rows, FACTORS))
+    known = {name: [(r["d"], r["x"]) for r in sums.where(F.col("pool") == name).groupBy("d").agg(F.max("label_exit_date").alias("x"))
+                    .orderBy("d").collect()] for name in pools(p)}
+    spans = rotation.quarters_of([r["d"] for r in z.select("d").distinct().collect()])
+    named = {pca.quarter_label(q): part for q, part in found.items()}
+    specs, held = rotation.residual_specs(p.spark, {name: spans for name in known}, known, named, EMBARGO)
+    fits = kept(rotation.residual_fits(sums, specs))
+    checked = rotation.residual_validation(rows, sums, fits, held, FACTORS, p.slices())
+    whole = fits.where("part = 'all'").drop("part").join(checked, ["pool", "quarter"], "left")
+    return rows, kept(whole.withColumn("weight", F.when(F.col("rank_ic") > 0, F.lit(weight)).otherwise(F.lit(0.0))))
 
 
 @query("i26_validated_residual_weight")
 def validated_residual_weight(p):
     z, found, _ = rolled(p)
-    part, train = residual_training(p, "1997-01-01", z, found)
-    weight, value = validated_weight(p, part, train)
-    counts = train.agg(F.count("*").alias("rows"), F.max("label_exit_date").alias("last_exit"))
-    return counts.withColumns({"weight": F.lit(weight), "rank_ic": F.lit(value).cast("double")})
+    return residual_models(p, z, found)[1].drop("weights", "intercept")
 
 
-def timing_rows(p, components=None):
-    """(styles, exposures, style returns, timing table) under rolling components."""
+def timing_rows(p, components=None, members=None):
+    """(styles, exposures, style returns, timing table) under rolling components, of one pool's names."""
     z, found, notes, exposure = exposures(p) if components is None else components
     styles = next(iter(found.values())).names
+    exposure = align.in_pool(exposure, members)
     labels = align.labels(p.px(), p.fx(), p.sessions())
     keep = ["d", "symbol", "label", "label_entry_date", "label_exit_date"]
     long = exposure.join(labels, ["d", "symbol"]).select(*keep, *styles).unpivot(keep, styles, "style", "x")
@@ -155,85 +163,164 @@ def timing_rows(p, components=None):
     return styles, exposure, returns, table
 
 
-QUARTER = ("2000-01-01", "2000-03-31")
+def contexts(p, components=None):
+    """(styles, exposures by pool, timing tables by pool, quarters by pool)."""
+    components = exposures(p) if components is None else components
+    parts = {name: timing_rows(p, components, members) for name, members in pools(p).items()}
+    tables = {name: part[3] for name, part in parts.items()}
+    dates = rotation.decision_dates(tables, [])
+    return (next(iter(parts.values()))[0], {name: part[1] for name, part in parts.items()}, tables,
+            {name: rotation.quarters_of([r[0] for r in ds]) for name, ds in dates.items()})
 
 
-def in_quarter(table):
-    return table.where(F.col("d").between(*[F.lit(x).cast("date") for x in QUARTER]))
+def trained_quarters(p, tables, spans):
+    """(pool, quarter, first, last) of quarters with ``FEWEST`` realised dates before them."""
+    rows = []
+    for name, ds in rotation.decision_dates(tables, ["label_exit_date"]).items():
+        rows += [(name, q.name, q.first, q.last) for q in spans[name] if sum(x is not None and x < q.first for _, x in ds) >= FEWEST]
+    return rows, p.spark.createDataFrame(rows, "pool string, quarter string, first date, last date")
 
 
 @query("i27_style_timers")
 def style_timers(p):
-    styles, _, _, table = timing_rows(p)
-    train = kept(timing.weighted_training(table, QUARTER[0], "label_exit_date", margin=True)).coalesce(1)  # one row per date
-    test = in_quarter(table)
-    features = timing.feature_names(styles)[:-1]
-    out = {"equal_weight": timing.equal_weights(test, styles),
-           "momentum_rule": timing.softmax_weights(test, {s: f"{s}_momentum_20" for s in styles})}
-    for name, kind in (("multinomial_logistic", "logistic"), ("forest_classifier", "forest")):
-        out[name] = models.class_weights(models.fit_classifier(train, features, styles, kind), test, features, styles)
-    scored = test
-    for s in styles:
-        scored = models.predict(models.fit_boosted(train, features, f"target_{s}_5", "sample_weight", trees=2), scored, features, f"{s}_forecast")
-    out["boosted_regressors"] = timing.softmax_weights(scored, {s: f"{s}_forecast" for s in styles})
-    return quality.union_all([frame.withColumn("model", F.lit(name)) for name, frame in out.items()])
-
-
-def dual_forecasts(p, table, styles):
-    """Both horizons' forecasts for the quarter, and (trees, validation IC) per horizon."""
-    fits, frames = {}, []
-    for h in timing.HORIZONS:
-        train = kept(timing.weighted_training(table, QUARTER[0], f"label_exit_date_{h}"))
-        model, features, trees, validation = timing.fit_horizon(train, styles, h, trees=3)
-        fits[h] = (trees, validation)
-        frames.append(timing.forecast(model, features, in_quarter(table), styles, f"forecast_{h}"))
-    return frames[0].join(frames[1], ["d", "style"]), fits
+    """Style weights of five timers on every date of every quarter with enough history, in both pools."""
+    styles, _, tables, spans = contexts(p)
+    rows, quarters = trained_quarters(p, tables, spans)
+    names = {(pool, q) for pool, q, *_ in rows}
+    spans = {pool: [q for q in qs if (pool, q.name) in names] for pool, qs in spans.items()}
+    rules = []
+    for pool, table in tables.items():
+        test = quality.union_all([table.select("d", *[f"{s}_momentum_20" for s in styles])])
+        for name, w in (("equal_weight", timing.equal_weights(test, styles)),
+                        ("momentum_rule", timing.softmax_weights(test, {s: f"{s}_momentum_20" for s in styles}))):
+            rules.append(w.withColumns({"pool": F.lit(pool), "quarter": rotation.quarter_name(F.col("d")), "model": F.lit(name)}))
+    rules = quality.union_all(rules).join(F.broadcast(quarters.select("pool", "quarter")), ["pool", "quarter"])
+    logistic = rotation.logistic_weights(tables, styles, quarters).withColumn("model", F.lit("multinomial_logistic"))
+    wins, returns = rotation.tree_timers(tables, styles, spans, TIMER, TIMER_ROUNDS)
+    keys = ["pool", "quarter", "d"]
+    share = F.greatest(F.col("x"), F.lit(1e-6))  # shares of classes are positive
+    total = wins.groupBy(*keys).agg(F.sum(share).alias("total"))
+    classes = wins.join(total, keys).select(*keys, "style", (share / F.col("total")).alias("w"), F.lit("boosted_classifier").alias("model"))
+    wide = returns.groupBy(*keys).agg(*[F.max(F.when(F.col("style") == s, F.col("x"))).alias(f"{s}_forecast") for s in styles])
+    boosted = timing.softmax_weights(wide.where(F.col("pool") == "all"), {s: f"{s}_forecast" for s in styles}).withColumn("pool", F.lit("all"))
+    for pool in list(tables)[1:]:
+        boosted = boosted.unionByName(timing.softmax_weights(wide.where(F.col("pool") == pool), {s: f"{s}_forecast" for s in styles})
+                                      .withColumn("pool", F.lit(pool)))
+    boosted = boosted.withColumns({"quarter": rotation.quarter_name(F.col("d")), "model": F.lit("boosted_regressors")})
+    return quality.union_all([rules.select("pool", "quarter", "d", "style", "w", "model"), logistic.select("pool", "quarter", "d", "style", "w", "model"),
+                              classes.select("pool", "quarter", "d", "style", "w", "model"), boosted.select("pool", "quarter", "d", "style", "w", "model")])
 
 
 @query("i28_dual_horizon")
 def dual_horizon(p):
-    styles, _, _, table = timing_rows(p)
-    forecasts, fits = dual_forecasts(p, table, styles)
-    return forecasts.withColumns({f"trees_{h}": F.lit(t) for h, (t, _) in fits.items()})
+    """Both horizons' forecasts for every quarter with enough history, in both pools, with the tree counts kept."""
+    styles, _, tables, _ = contexts(p)
+    forecasts, _, notes = rotation.dual_horizon(tables, styles, HORIZON, HORIZON_ROUNDS, HORIZON_PATIENCE)
+    trees = notes.groupBy("pool", "quarter").agg(*[F.max(F.when(F.col("horizon") == h, F.col("trees"))).alias(f"trees_{h}") for h in timing.HORIZONS])
+    return forecasts.join(trees, ["pool", "quarter"])
 
 
-@query("i29_stock_boosting")
-def stock_boosting(p):
-    """Boosted trees on exposures for the last quarters with one shared parameter set, each with its purged validation IC,
-    then the confidence gate on that and the components' quality."""
+@query("i28_horizon_choices")
+def horizon_choices(p):
+    styles, _, tables, _ = contexts(p)
+    return rotation.dual_horizon(tables, styles, HORIZON, HORIZON_ROUNDS, HORIZON_PATIENCE)[2]
+
+
+def stock_models(p):
+    """(components, exposures with labels, one forest per quarter, notes per quarter).
+
+    One model on all names serves every pool. Its tree count and validation IC are chosen on the first quarter with enough
+    history and kept; quarters before it take all rounds and no validation.
+    """
     z, found, notes, exposure = exposures(p)
     styles = next(iter(found.values())).names
-    labels = align.labels(p.px(), p.fx(), p.sessions())
-    rows = materialise(exposure.join(labels, ["d", "symbol"], "left"))
-    parts, validation = [], []
-    # the quarters with components whose training span has room for a purged validation
-    quarters = sorted(found)[STOCK_HISTORY:]
-    for number in quarters:
-        day = F.make_date(F.lit(number // 4), F.lit(3 * (number % 4) + 1), F.lit(1))
-        start = f"{number // 4}-{3 * (number % 4) + 1:02d}-01"
-        train = materialise(wf.purged_split(wf.age_weighted(rows.where(F.col("label").isNotNull() & (F.col("label_exit_date") < day)), start), 20))
-        trial = models.fit_boosted(train.where("part = 'fit'"), styles, weight="sample_weight", trees=4)
-        held = models.predict(trial, train.where("part = 'validation'"), styles).select("d", "symbol", "label", "prediction")
+    rows = materialise(exposure.join(align.labels(p.px(), p.fx(), p.sessions()), ["d", "symbol"], "left"))
+    known = [(r["d"], r["x"]) for r in rows.where("label IS NOT NULL").groupBy("d").agg(F.max("label_exit_date").alias("x")).orderBy("d").collect()]
+    quarters = rotation.quarters_of([r["d"] for r in rows.select("d").distinct().collect()])
+    pick = rotation.selection(quarters, known, 0, FEWEST)
+    trees, value, first = STOCK_ROUNDS, None, None
+    if pick:
+        first, end, start = pick
+        cutoff = rotation.day_number(first.first)
+        trial = boosting.Model("trial", 0, rotation.day_number(end), rotation.day_number(start), 0, cutoff, (rotation.day_number(start), cutoff, cutoff), STOCK)
+        booster = boosting.Booster(rows, styles, [trial])
+        forest = booster.advance(STOCK_ROUNDS, patience=STOCK_PATIENCE)[0]
+        booster.close()
+        trees = forest.best_rounds()
+        span = (F.col("d") >= F.lit(start)) & (F.col("label_exit_date") < F.lit(first.first)) & F.col("label").isNotNull()
+        held = boosting.predict(rows.where(span).withColumn("name", F.lit("trial")), [boosting.truncated(forest, trees)], styles)
         value = ic.daily_ic(held, ("d",), slices=p.slices()).agg(F.avg("rank_ic")).first()[0]
-        validation.append((pca.quarter_label(number), value))
-        model = models.fit_boosted(train, styles, weight="sample_weight", trees=4)
-        test = rows.where(pca.quarter_number(F.col("d")) == number)
-        parts.append(models.predict(model, test, styles).select("d", "symbol", "label", "label_exit_date", "prediction"))
-    predictions = materialise(quality.union_all(parts).withColumn("pool", F.lit("all")))
+    models, table = [], []
+    for q in quarters:
+        seen = sum(x < q.first for _, x in known)
+        kept_choice = first is not None and q.first >= first.first
+        if not seen:
+            table.append((q.name, seen, None, None, "no label is realised before the quarter"))
+            continue
+        cutoff = rotation.day_number(q.first)
+        models.append(boosting.Model(q.name, 0, cutoff, cutoff, 0, cutoff, None, STOCK))
+        reason = "chosen here" if kept_choice and q.name == first.name else f"kept from {first.name}" if kept_choice else "too few realised dates for a purged validation"
+        table.append((q.name, seen, trees if kept_choice else STOCK_ROUNDS, value if kept_choice else None, reason))
+    count = {name: n for name, _, n, _, _ in table}
+    forests = rotation.grown(boosting.Booster(rows, styles, models), models, lambda m: count[m.name])
+    choices = p.spark.createDataFrame(table, "quarter string, realised_dates int, trees int, validation_ic double, reason string")
+    return styles, notes, rows, forests, choices
+
+
+@query("i29_stock_boosting")
+def stock_boosting(p):
+    """Boosted trees on exposures for every quarter, read off for two pools, then the confidence gate on realised and
+    validated rank IC and the components' quality."""
+    styles, notes, rows, forests, choices = stock_models(p)
+    named = rows.withColumn("name", rotation.quarter_name(F.col("d")))
+    scored = materialise(boosting.predict(named, forests, styles).select("d", "symbol", "label", "label_exit_date", "prediction"))
+    predictions = materialise(quality.union_all([align.in_pool(scored, members).withColumn("pool", F.lit(name)) for name, members in pools(p).items()]))
     exits = predictions.groupBy("pool", "d").agg(F.max("label_exit_date").alias("label_exit_date"))
     daily = ic.daily_ic(predictions, ("pool", "d"), slices=p.slices()).join(exits, ["pool", "d"])
-    measured = p.spark.createDataFrame(validation, "quarter string, validation_ic double")
-    structure = note_rows(p, notes).join(measured, "quarter").select(F.lit("all").alias("pool"), "quarter", "explained", "alignment", "validation_ic")
+    measured = note_rows(p, notes).join(choices.select("quarter", "validation_ic"), "quarter")
+    structure = measured.select(F.explode(F.array(*[F.lit(name) for name in pools(p)])).alias("pool"), "quarter", "explained", "alignment", "validation_ic")
     gated, _ = style.confidence_gate(predictions, daily, structure, 2)
-    return gated.select("d", "symbol", "label", "prediction", "trade_prediction", "mode", "retain", "trade_enabled")
+    return gated.select("pool", "d", "symbol", "label", "prediction", "trade_prediction", "mode", "retain", "trade_enabled")
+
+
+@query("i29_stock_choices")
+def stock_choices(p):
+    return stock_models(p)[4]
 
 
 @query("i30_quarter_context")
 def quarter_context(p):
-    styles, _, _, table = timing_rows(p)
-    day = F.lit(QUARTER[0]).cast("date")
-    role = F.when(F.col("d").between(*[F.lit(x).cast("date") for x in QUARTER]), "test").when(F.col("label_exit_date") < day, "train")
-    return table.withColumn("role", role).where("role IS NOT NULL")
+    """The training and test rows of every pool and quarter: a row is training where its label is realised before the
+    quarter's first decision date."""
+    styles, _, tables, spans = contexts(p)
+    out = []
+    for pool, table in tables.items():
+        quarters = rotation.quarter_table(p.spark, spans[pool])
+        with_ic = table
+        for h in timing.HORIZONS:
+            with_ic = with_ic.join(timing.momentum_ic(table, styles, h).withColumnRenamed("rank_ic", f"momentum_ic_{h}"), "d", "left")
+        with_ic = kept(with_ic)
+        train = align.in_training(with_ic, quarters.select("name", "train_cutoff"), "0001-01-01", strict=True).withColumn("role", F.lit("train"))
+        test = align.prediction_rows(with_ic, quarters).drop("prediction_start", "prediction_end").withColumn("role", F.lit("test"))
+        out.append(train.unionByName(test).withColumn("pool", F.lit(pool)))
+    return quality.union_all(out).withColumnsRenamed({"name": "quarter", "train_cutoff": "cutoff"})
+
+
+# quarters with components: those whose two predecessors both have a date with more names than factors
+CONTEXT_DATES = f"""SELECT pool, d, q FROM (SELECT x.d, x.symbol, x.q, 'all' AS pool FROM dated x UNION ALL
+    SELECT x.d, x.symbol, x.q, 'core' FROM dated x JOIN (SELECT d, avg(f_qty) AS level FROM fx GROUP BY d) l ON l.d = x.d WHERE x.f_qty >= l.level)
+    WHERE q IN (SELECT a.q FROM (SELECT DISTINCT q FROM dated) a JOIN full_q b ON b.q = a.q - 1 JOIN full_q c ON c.q = a.q - 2) GROUP BY pool, d, q"""
+
+
+@query("i30_context_counts", sql("""SELECT a.pool, CAST(a.q // 4 AS VARCHAR) || 'Q' || (a.q % 4 + 1) AS quarter, a.cutoff, a.test_rows, a.last_date,
+    true AS information_available FROM (SELECT pool, q, min(d) AS cutoff, max(d) AS last_date, count(*) AS test_rows FROM cd GROUP BY pool, q) a""", "fx", extra={
+    "dated": "SELECT *, year(d)*4 + quarter(d) - 1 AS q FROM fx", "full_q": f"SELECT DISTINCT q FROM (SELECT q, d, count(*) AS n FROM dated GROUP BY q, d) WHERE n > {len(FACTORS)}",
+    "cd": CONTEXT_DATES}))
+def context_counts(p):
+    rows = quarter_context(p)
+    test = F.col("role") == "test"
+    return rows.groupBy("pool", "quarter", "cutoff").agg(F.count(F.when(test, 1)).alias("test_rows"), F.max(F.when(test, F.col("d"))).alias("last_date"),
+                                                         F.bool_and("information_available").alias("information_available"))
 
 
 @query("i31_final_score", sql(f"""SELECT d, symbol, {r('a + 0.5*CASE WHEN sb > 1e-12 THEN (b-mb)/sb ELSE 0 END')} AS prediction, a IS NULL AS not_candidate FROM (
@@ -246,39 +333,48 @@ def final_score(p):
                     F.col("style_timing_score").isNull().alias("not_candidate"))
 
 
-@query("i31_style_rotation")
-def style_rotation(p):
-    """The full flow for one quarter: forecasts, horizon weights, votes, residual score, final score."""
-    z, found, notes, exposure = components = exposures(p)
-    styles, _, _, table = timing_rows(p, components)
-    forecasts, fits = dual_forecasts(p, table, styles)
-    forecasts = kept(forecasts)
+def horizon_mix(p, table, forecasts, styles, priors):
+    """(d, weight_5, weight_20, risk_off) of one pool: reliability of the forecasts realised so far, and the market's state."""
     targets = table.select("d", *[F.struct(F.lit(s).alias("style"), *[F.col(f"target_{s}_{h}").alias(f"y_{h}") for h in timing.HORIZONS]).alias(s) for s in styles])
     realised = targets.select("d", F.explode(F.array(*styles)).alias("leg")).select("d", "leg.*")
-    both = forecasts.join(realised, ["d", "style"])
-    test = kept(in_quarter(table))
+    both, dates = forecasts.join(realised, ["d", "style"]), forecasts.select("d").distinct()
     legs = []
     for h in timing.HORIZONS:
         daily = style.cross_style_ic(both, f"forecast_{h}", f"y_{h}").select("d", "rank_ic").join(
-            test.select("d", F.col(f"label_exit_date_{h}").alias("label_exit_date")), "d")
-        legs.append(style.rolling_reliability(daily, test.select("d"), 60).select(
-            "d", F.col("rolling_icir").alias(f"icir_{h}"), F.col("observations").alias(f"n_{h}")))
-    state = style.market_state(p.benchmark())
-    priors = [fits[h][1] or 0.0 for h in timing.HORIZONS]
-    weights = kept(style.horizon_weights(legs[0].join(legs[1], "d").join(state, "d", "left"), *priors))
-    mixed = forecasts.join(weights, "d").select(
-        "d", "style", (F.col("weight_5") * F.col("forecast_5") + F.col("weight_20") * F.col("forecast_20")).alias("w"))
-    quarter = in_quarter(exposure)
-    long = quarter.unpivot(["d", "symbol"], styles, "style", "x").join(F.broadcast(mixed), ["d", "style"]).select(
-        "d", "symbol", "style", (F.col("x") * F.col("w")).alias("x"))
-    scores = xs.consensus(materialise(long), slices=p.slices()).withColumnRenamed("prediction", "style_timing_score")
-    part, train = residual_training(p, QUARTER[0], z, found)
-    effective, _ = validated_weight(p, part, train)
-    fit = pca.residual_ridge(train, part.loadings, FACTORS, weight="sample_weight")
-    residual = xs.zscore(in_quarter(z).select("d", "symbol", pca.gram.linear_score(FACTORS, fit.weights, fit.intercept).alias("residual_prediction_score")),
-                         ["residual_prediction_score"], limit=None, zero_spread="center")
-    out = scores.join(residual, ["d", "symbol"], "left").join(F.broadcast(weights.select("d", "risk_off")), "d")
-    return out.withColumn("prediction", pca.combined_score("style_timing_score", "residual_prediction_score", effective))
+            table.select("d", F.col(f"label_exit_date_{h}").alias("label_exit_date")), "d")
+        legs.append(style.rolling_reliability(daily, dates, 60).select("d", F.col("rolling_icir").alias(f"icir_{h}"), F.col("observations").alias(f"n_{h}")))
+    return style.horizon_weights(legs[0].join(legs[1], "d").join(style.market_state(p.benchmark()), "d", "left"), *priors)
+
+
+@query("i31_style_rotation")
+def style_rotation(p):
+    """The full flow for every quarter with enough history and both pools: forecasts, horizon weights, votes, residual score,
+    final score."""
+    z, found, notes, exposure = components = exposures(p)
+    styles, exposed, tables, _ = contexts(p, components)
+    forecasts, choices, _ = rotation.dual_horizon(tables, styles, HORIZON, HORIZON_ROUNDS, HORIZON_PATIENCE)
+    forecasts = kept(forecasts)
+    rows, fits = residual_models(p, z, found)
+    residual = F.col("intercept")
+    for i, f in enumerate(FACTORS):
+        residual = residual + F.coalesce(F.col(f), F.lit(0.0)) * F.get("weights", F.lit(i))
+    placed = rows.withColumn("quarter", rotation.quarter_name(F.col("d"))).join(fits.select("pool", "quarter", "weights", "intercept", "weight"), ["pool", "quarter"])
+    residuals = placed.select("pool", "quarter", "d", "symbol", residual.alias("residual_prediction_score"), F.col("weight").alias("residual_weight"))
+    out = []
+    for pool, table in tables.items():
+        own = forecasts.where(F.col("pool") == pool).drop("pool")
+        priors = [(choices[pool, h].value or 0.0) if (pool, h) in choices else 0.0 for h in timing.HORIZONS]
+        weights = kept(horizon_mix(p, table, own, styles, priors))
+        mixed = own.join(weights, "d").select(
+            "d", "style", (F.col("weight_5") * F.col("forecast_5") + F.col("weight_20") * F.col("forecast_20")).alias("w"))
+        long = exposed[pool].unpivot(["d", "symbol"], styles, "style", "x").join(F.broadcast(mixed), ["d", "style"]).select(
+            "d", "symbol", "style", (F.col("x") * F.col("w")).alias("x"))
+        scores = xs.consensus(materialise(long), slices=p.slices()).withColumnRenamed("prediction", "style_timing_score")
+        score = xs.zscore(residuals.where(F.col("pool") == pool).drop("pool"), ["residual_prediction_score"], limit=None, zero_spread="center")
+        out.append(scores.join(score, ["d", "symbol"], "left").join(F.broadcast(weights.select("d", "risk_off")), "d").withColumn("pool", F.lit(pool)))
+    whole = quality.union_all(out)
+    blend = F.col("style_timing_score") + F.coalesce("residual_weight", F.lit(0.0)) * F.coalesce("residual_prediction_score", F.lit(0.0))
+    return whole.withColumn("prediction", blend)
 
 
 @query("i32_retain_flags", sql("""SELECT d, symbol, coalesce(CASE WHEN f_disc IS NULL THEN NULL ELSE CAST(f_qty AS BIGINT) % 4 END, 0) < 2 AS retain FROM fx""", "fx"))

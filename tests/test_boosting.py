@@ -97,7 +97,7 @@ def test_models_grow_together_as_alone(spark, squared):
 def test_held_loss_stops_and_samples_repeat(spark):
     rows = panel(600, 5)
     last = date(2021, 6, 1)
-    m = bo.Model("x", 0, day(date(2020, 8, 1)), day(last), hold=(day(date(2020, 8, 25)), day(last)),
+    m = bo.Model("x", 0, day(date(2020, 8, 1)), day(last), hold=(day(date(2020, 8, 25)), day(last), day(last)),
                  params=bo.Params(depth=3, rate=0.9, subsample=0.7, colsample=0.7, bins=32))
     runs = []
     for _ in range(2):
