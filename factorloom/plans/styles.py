@@ -373,8 +373,9 @@ def style_rotation(p):
         score = xs.zscore(residuals.where(F.col("pool") == pool).drop("pool"), ["residual_prediction_score"], limit=None, zero_spread="center")
         out.append(scores.join(score, ["d", "symbol"], "left").join(F.broadcast(weights.select("d", "risk_off")), "d").withColumn("pool", F.lit(pool)))
     whole = quality.union_all(out)
-    blend = F.col("style_timing_score") + F.coalesce("residual_weight", F.lit(0.0)) * F.coalesce("residual_prediction_score", F.lit(0.0))
-    return whole.withColumn("prediction", blend)
+    blend = F.col("style_timing_score") + F.col("residual_weight") * F.col("residual_prediction_score")
+    # a quarter without a residual model has the style score alone
+    return whole.withColumn("prediction", F.when(F.col("residual_weight").isNull(), F.col("style_timing_score")).otherwise(blend))
 
 
 @query("i32_retain_flags", sql("""SELECT d, symbol, coalesce(CASE WHEN f_disc IS NULL THEN NULL ELSE CAST(f_qty AS BIGINT) % 4 END, 0) < 2 AS retain FROM fx""", "fx"))
