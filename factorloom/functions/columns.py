@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -173,6 +175,33 @@ def qp_exposure(mean: Column, downside: Column, drawdown: Column, previous: Colu
             F.when(warm, before).otherwise(F.least(F.greatest(free, low), high)))
 
 
+class OverlayState:
+    """One series' overlay, a row at a time: what ``qp_exposure`` gives from the trailing overlay returns, their downside
+    and the drawdown of the overlaid path."""
+
+    def __init__(self, lookback: int = QP_LOOKBACK):
+        self.nav = self.peak = self.exposure = 1.0
+        self.recent: deque[float] = deque(maxlen=lookback)
+
+    def step(self, ret: float, risk_off: bool) -> tuple[float, float, float]:
+        """(exposure, overlay return, nav) of the next row."""
+        before = min(max(self.exposure, QP_MIN_EXPOSURE), 1.0)
+        n = len(self.recent)
+        if n < QP_MIN_OBSERVATIONS:
+            target = before
+        else:
+            down = math.fsum(min(x, 0.0) ** 2 for x in self.recent) / n
+            excess = max(1 - self.nav / self.peak, 0.0) / QP_DRAWDOWN_TRIGGER
+            curvature = QP_RISK_AVERSION * (1 + 4 * excess * excess + 2 * risk_off) * max(down, 1e-12) + QP_TURNOVER_PENALTY
+            free = (QP_RETURN_REWARD * max(math.fsum(self.recent) / n, 0.0) + QP_TURNOVER_PENALTY * before) / curvature
+            target = min(max(free, QP_MIN_EXPOSURE, before - QP_MAX_STEP), 1.0, before + QP_MAX_STEP)
+        gained = target * ret
+        self.nav *= 1 + gained
+        self.peak, self.exposure = max(self.peak, self.nav), target
+        self.recent.append(gained)
+        return target, gained, self.nav
+
+
 def any_not_null(columns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns])
 

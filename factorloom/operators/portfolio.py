@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factorloom.functions import columns as c
@@ -225,30 +226,24 @@ def cost_scenarios(daily: DataFrame, scenarios: dict[str, tuple[float, float]])
 def exposure_overlay(returns: DataFrame, by: str, lookback: int = c.QP_LOOKBACK) -> DataFrame:
     """Scale each series by an exposure that reacts to its own past overlay returns and drawdown.
 
-    Tomorrow's exposure depends on today's, so a series is folded in order; it holds one row per date
-    (d, ret, risk_off). Returns (by, d, exposure, overlay_return, nav).
+    Tomorrow's exposure depends on today's, so a task walks its series in order, batch by batch, and keeps the last
+    ``lookback`` overlay returns of the series it is in: time is linear in the rows, memory does not grow with them.
+    Rows: by, d, ret (missing is 0), risk_off. Returns (by, d, exposure, overlay_return, nav).
     """
-    steps = F.sort_array(F.collect_list(F.struct("d", "ret", "risk_off")))
-    point = "array<struct<d:date,exposure:double,overlay_return:double,nav:double>>"
-    start = F.struct(F.lit(1.0).alias("nav"), F.lit(1.0).alias("peak"), F.lit(1.0).alias("exposure"),
-                     F.array().cast("array<double>").alias("recent"), F.array().cast(point).alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        recent = state["recent"]
-        n = F.size(recent)
-        zero = F.lit(0.0)
-        mean = F.try_divide(F.aggregate(recent, zero, lambda a, x: a + x), n)
-        down = F.try_divide(F.aggregate(recent, zero, lambda a, x: a + F.least(x, zero) * F.least(x, zero)), n)
-        fall = state["nav"] / state["peak"] - 1
-        target = c.qp_exposure(mean, down, fall, state["exposure"], row["risk_off"], n)[2]
-        gained = target * F.coalesce(row["ret"], zero)
-        nav = state["nav"] * (1 + gained)
-        tail = F.concat(recent, F.array(gained))
-        tail = F.when(F.size(tail) > lookback, F.slice(tail, 2, lookback)).otherwise(tail)
-        done = F.concat(state["out"], F.array(F.struct(row["d"].alias("d"), target.alias("exposure"),
-                                                       gained.alias("overlay_return"), nav.alias("nav"))))
-        return F.struct(nav.alias("nav"), F.greatest(state["peak"], nav).alias("peak"), target.alias("exposure"),
-                        tail.alias("recent"), done.alias("out"))
-
-    folded = returns.groupBy(by).agg(steps.alias("steps")).select(by, F.aggregate("steps", start, step)["out"].alias("out"))
-    return folded.select(by, F.explode("out").alias("o")).select(by, "o.*")
+    kind = returns.schema[by].dataType.simpleString()
+
+    def walk(frames):
+        series, state = None, None
+        for frame in frames:
+            out = []
+            for key, d, ret, off in zip(frame["_by"], frame["d"], frame["ret"], frame["risk_off"]):
+                if state is None or key != series:
+                    series, state = key, c.OverlayState(lookback)
+                out.append((key, d, *state.step(ret, bool(off))))
+            yield pd.DataFrame(out, columns=["_by", "d", "exposure", "overlay_return", "nav"])
+
+    rows = returns.select(F.col(by).alias("_by"), "d", F.coalesce(F.col("ret").cast("double"), F.lit(0.0)).alias("ret"),
+                          F.coalesce("risk_off", F.lit(False)).alias("risk_off"))
+    walked = rows.repartition("_by").sortWithinPartitions("_by", "d").mapInPandas(
+        walk, f"_by {kind}, d date, exposure double, overlay_return double, nav double")
+    return walked.withColumnRenamed("_by", by)

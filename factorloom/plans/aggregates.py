@@ -152,11 +152,14 @@ def factor_coverage(p):
     return ic.coverage(p.fx(), FACTORS)
 
 
-@query("e11_double_sort", sql(f"""SELECT CAST(yb AS INT) AS yb, CAST(xb AS INT) AS xb, {r('avg(label)')} AS mean_return, count(*) AS n FROM (SELECT label, n,
+SORTED = f"""SELECT CAST(yb AS INT) AS yb, CAST(xb AS INT) AS xb, {r('avg(label)')} AS mean_return, count(*) AS n FROM (SELECT label, n,
       greatest(((px-1)*3 + n-2)//nullif(n-1,0) - 1, 0) AS xb, greatest(((py-1)*3 + n-2)//nullif(n-1,0) - 1, 0) AS yb FROM (
       SELECT label, count(*) OVER (PARTITION BY d) AS n, row_number() OVER (PARTITION BY d ORDER BY f_qty, symbol) AS px,
       row_number() OVER (PARTITION BY d ORDER BY f_disc, symbol) AS py FROM data WHERE f_disc IS NOT NULL AND label IS NOT NULL))
-    WHERE n >= 30 GROUP BY 1,2""", "data"))
+    WHERE n >= 30 GROUP BY 1,2"""
+
+
+@query("e11_double_sort", sql(SORTED, "data"))
 def double_sort(p):
     rows = data(p).select("d", "symbol", F.col("f_qty").alias("x"), F.col("f_disc").alias("y"), F.col("label").alias("r"))
     return ic.double_sort(rows, slices=p.slices())

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from factorloom.operators import calendar, ic, portfolio, quality, selection, series
-from factorloom.plans.inputs import kept, predictions
+from factorloom.operators import calendar, ic, portfolio, quality, research, selection, series
+from factorloom.plans.aggregates import SORTED, _spearman
+from factorloom.plans.inputs import FACTORS, data, kept, predictions
 from factorloom.plans.oracle import r, sql
 from factorloom.plans.registry import query
 from factorloom.plans.scalars import FEE_SQL
@@ -36,22 +37,6 @@ def score_layer_nav(p):
     return portfolio.layer_curves(returns, 10, ("model",)).withColumn("nav", F.round("nav", 6))
 
 
-@query("j03_factor_research", sql(f"""SELECT 'ic' AS part, model AS name, {r('avg(rank_ic)')} AS value FROM ic GROUP BY model
-    UNION ALL SELECT 'quintile', model || '_' || layer, {r('avg(ret)')} FROM lr GROUP BY model, layer
-    UNION ALL SELECT 'coverage', 'f_disc', CAST(count(f_disc) AS DOUBLE) FROM fx
-    UNION ALL SELECT 'coverage', 'f_qty', CAST(count(f_qty) AS DOUBLE) FROM fx""", "ic", extra={"lr": layer_sql(5)["lr"]}))
-def factor_research(p):
-    rows = valid(p)
-    daily = ic.daily_ic(rows, ("model", "d"), slices=p.slices()).groupBy("model").agg(F.avg("rank_ic").alias("value"))
-    layers = portfolio.layer_summary(portfolio.layer_returns(rows, "prediction", "label", 5, ("model",), p.slices()), ("model",))
-    cover = ic.coverage(p.fx(), ["f_disc", "f_qty"])
-    return quality.union_all([
-        daily.select(F.lit("ic").alias("part"), F.col("model").alias("name"), "value"),
-        layers.select(F.lit("quintile").alias("part"), F.concat_ws("_", "model", F.col("layer").cast("string")).alias("name"),
-                      F.col("mean_return").alias("value")),
-        cover.select(F.lit("coverage").alias("part"), F.col("factor").alias("name"), F.col("valid").cast("double").alias("value"))])
-
-
 def monthly_returns(p):
     rows = calendar.with_index(p.px(), p.sessions())
     return rows.select("d", "symbol", (F.try_divide(series.at_offset("price", 1), F.col("price")) - 1).alias("ret"))
@@ -88,6 +73,55 @@ def drifting_portfolio(p):
     return drifting(p)
 
 
+LAYERED = {k: v for q in (10, 5) for k, v in {
+    f"lr{q}": layer_sql(q)["lr"], f"le{q}": layer_sql(q)["le"].replace(" lr", f" lr{q}")}.items()}
+MEASURED = {"mean": "avg(rank_ic)", "std": "stddev_samp(rank_ic)", "icir": "CASE WHEN stddev_samp(rank_ic) > 1e-12 THEN avg(rank_ic)/stddev_samp(rank_ic) END",
+            "win_rate": "avg(CASE WHEN rank_ic > 0 THEN 1.0::DOUBLE WHEN rank_ic IS NOT NULL THEN 0.0::DOUBLE END)", "absolute_mean": "avg(abs(rank_ic))",
+            "observations": "CAST(count(rank_ic) AS DOUBLE)"}
+NAMED = {10: "decile", 5: "quintile"}
+RESEARCHED = " UNION ALL ".join([
+    *[f"SELECT 'ic' AS part, model AS factor, '{k}' AS name, {r(v)} AS value FROM ic GROUP BY model" for k, v in MEASURED.items()],
+    *[f"""SELECT '{NAMED[q]}', model, layer || '_{k}', {v} FROM (SELECT *, product(1+ret) OVER (PARTITION BY model, layer ORDER BY d) AS nav FROM le{q}) GROUP BY model, layer"""
+      for q in NAMED for k, v in (("mean_return", r("avg(ret)")), ("win_rate", r("avg(CASE WHEN ret > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)")),
+                                  ("nav", "round(arg_max(nav, d),4)+0.0"))],
+    *[f"SELECT 'top_20', model, '{k}', {r('avg(x)')} FROM (SELECT model, d, {v} AS x FROM pairs WHERE pos > n - 20 GROUP BY model, d) GROUP BY model"
+      for k, v in (("equal", "avg(label)"), ("weighted", "sum(rp*label)/sum(rp)"))],
+    "SELECT 'portfolio', 'qty', 'nav', round(product(1+gross-cost),6)+0.0 FROM pf", "SELECT 'portfolio', 'qty', 'gross_nav', round(product(1+gross),6)+0.0 FROM pf",
+    f"SELECT 'portfolio', 'qty', 'turnover', {r('avg(turnover)')} FROM pf",
+    *[f"SELECT 'correlation', '{a}', '{b}', spearman FROM ({_spearman(a, b)})" for i, a in enumerate(FACTORS) for b in FACTORS[i + 1:]],
+    f"SELECT 'return_matrix', 'qty', yb || '_' || xb, mean_return FROM ({SORTED})",
+    *[f"SELECT 'coverage', '{f}', '{k}', {v} FROM fx" for f in FACTORS for k, v in (("valid", f"CAST(count({f}) AS DOUBLE)"), ("missing_rate", r(f"1-count({f})/count(*)")))]])
+
+
+@query("j03_factor_research", sql(RESEARCHED, "ic", "data", "pxi", extra=LAYERED | DRIFT))
+def factor_research(p):
+    """The whole report of two factors: coefficients, deciles and quintiles with their paths, top-20 portfolios, the drifting
+    portfolio, rank correlations, the 3x3 return matrix, coverage. One written pass of ranks serves the first three."""
+    rows = data(p)
+    scored = rows.select("d", "symbol", "label", F.explode(F.array(
+        F.struct(F.lit("qty").alias("factor"), F.col("f_qty").cast("double").alias("score")),
+        F.struct(F.lit("disc").alias("factor"), F.col("f_disc").alias("score")))).alias("s")).select("s.factor", "d", "symbol", "s.score", "label")
+    ranks = research.ranked(scored, p.slices())
+    figures = research.layer_figures(research.layers(ranks, (10, 5))).withColumn("nav", F.round("nav", 4))
+    name = F.when(F.col("layers") == 10, "decile").otherwise("quintile")
+    layered = figures.withColumn("part", name).unpivot(["part", "factor", "layer"], ["mean_return", "win_rate", "nav"], "k", "value").select(
+        "part", "factor", F.concat_ws("_", F.col("layer").cast("string"), "k").alias("name"), "value")
+    tops = research.top_portfolios(ranks, 20).groupBy("factor").agg(F.avg("equal").alias("equal"), F.avg("weighted").alias("weighted"))
+    path = drifting(p).agg(F.round(F.max_by("nav", "d"), 6).alias("nav"), F.round(F.max_by("gross_nav", "d"), 6).alias("gross_nav"), F.avg("turnover").alias("turnover"))
+    paired = ic.pooled_spearman(p.fx(), FACTORS)
+    sorted_rows = rows.select("d", "symbol", F.col("f_qty").alias("x"), F.col("f_disc").alias("y"), F.col("label").alias("r"))
+    matrix = ic.double_sort(sorted_rows, slices=p.slices())
+    cover = ic.coverage(p.fx(), FACTORS).withColumn("valid", F.col("valid").cast("double"))
+    part = lambda df, name: df.select(F.lit(name).alias("part"), "factor", "name", "value")
+    return quality.union_all([
+        part(research.coefficients(ranks), "ic"), layered, part(tops.unpivot(["factor"], ["equal", "weighted"], "name", "value"), "top_20"),
+        part(path.withColumn("factor", F.lit("qty")).unpivot(["factor"], ["nav", "gross_nav", "turnover"], "name", "value"), "portfolio"),
+        part(paired.select(F.col("x").alias("factor"), F.col("y").alias("name"), F.col("spearman").alias("value")), "correlation"),
+        part(matrix.select(F.lit("qty").alias("factor"), F.concat_ws("_", F.col("yb").cast("string"), F.col("xb").cast("string")).alias("name"),
+                           F.col("mean_return").alias("value")), "return_matrix"),
+        part(cover.unpivot(["factor"], ["valid", "missing_rate"], "name", "value"), "coverage")])
+
+
 @query("j05_constrained_step", sql(f"""SELECT d, symbol, {r('greatest(CASE WHEN dd <= -0.05::DOUBLE THEN t2*greatest(0, 1+dd/0.05) ELSE t2 END, 0)')} AS constrained FROM (
     SELECT *, CASE WHEN to_ > 0.8::DOUBLE THEN cur + dl*(0.8::DOUBLE/to_) ELSE tgt END AS t2 FROM (SELECT *, sum(abs(dl)) OVER (PARTITION BY d) AS to_ FROM (
       SELECT *, CASE WHEN abs(tgt-cur) < 0.01::DOUBLE THEN 0 ELSE tgt-cur END AS dl FROM (
