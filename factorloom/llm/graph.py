@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.session import materialise
+from factorloom.session import discard, materialise
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -35,6 +35,7 @@ def components(links: DataFrame) -> DataFrame:
                  .unionByName(small.select("node", F.col("m").alias("root"))).distinct())
         moved = materialise(moved)
         mark, last = _mark(moved), mark
+        discard(links)  # what was read from it is written
         if mark == last:
             return moved
         links = moved

@@ -1,16 +1,21 @@
 """Jaccard join of word n-gram sets by a min-hash forest.
 
-A text's set holds the hashes of its runs of five words. Every tree gives a set a label of min-hashes; sets that share a
-label's prefix are candidates. Prefixes start long, where partners are near certain, and are shortened until
-1 - (1 - s^depth)^trees, the chance that sets of similarity s share a prefix somewhere, reaches the target recall; buckets
-of every prefix length on the way are used, so near sets meet near sets first. A candidate whose min-hashes agree far less
-than similar sets' do (by ``SLACK``, four standard deviations) is left; every other is verified on the whole sets.
-
-Equal sets are one node. Inside a bucket nodes are compared with representatives, never all with all
-(``graph.link_buckets``), so a bucket of copies takes one comparison a node, however many there are. That gives the
-classes; then the sets of a class are counted against each other exactly, in blocks of about ``BLOCK`` elements, and only
-each node's count leaves a block. The result is a row per document with its class (the least doc_id of the documents
-linked with it, over others too) and its links: all other texts of its class that are similar, and its copies.
+A text's set holds the hashes of its runs of five words. Every tree of the forest gives a set a label of min-hashes; sorted
+labels are a trie, whose nodes are the prefixes that labels share. Matched prefixes start long, where partners are near
+certain, and are shortened level by level until 1 - (1 - s^depth)^trees, the chance that sets of similarity s share a
+prefix in some tree, reaches the target recall (which also covers what the sketch below may lose). How far a prefix is
+shortened depends on what stands below it: a trie node whose only child holds the same sets is skipped, and once a
+node's sets are all of one class nothing above it compares them again; only nodes where classes meet are opened.
+
+A candidate whose min-hashes agree far less than similar sets' do (by ``SLACK``) is left; every other is verified on the
+whole sets. Inside a trie node sets are compared with representatives across classes, never all with all, until one class is
+left or every pair across classes has failed. Representatives are the same sets in all trees (one order by hash), so a large
+group of near copies meets few of them. That gives the classes; then the sets of a class are counted against each other
+exactly, in blocks of about ``BLOCK`` elements, and only each node's count leaves a block.
+
+The result is a row per document with its class (the least doc_id of the documents linked with it, over others too) and
+its links: all other documents whose text is similar, copies of its own text among them. Equal sets are one node, and a
+node's partners count with all their documents, so the links of the two ends agree.
 
 Words are runs without white space. A text of one to four words has one run of all its words; a text without words (null,
 empty) is in a class of its own. Rows that repeat are copies; rows with a null doc_id join classes, whose id is the least
@@ -19,27 +24,39 @@ that is not null. Other columns are not looked at.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factorloom.llm.common import SIMILARITY, as_long, mix, shingle_hashes, text_of
-from factorloom.llm.graph import classed, link_buckets
-from factorloom.session import materialise
+from factorloom.llm.graph import classed, components
+from factorloom.session import discard, materialise
 
 TREES, DEEPEST, STEP, RECALL = 16, 8, 2, 0.999
 CHUNK = 1024  # runs hashed at a time
 SLACK = 0.15
-BLOCK = 1 << 18  # elements of a class's block
+BLOCK = 1 << 20  # elements of a class's block
+ROWS = 400  # texts whose results a task holds at a time
+
+
+def sketch_loss(similarity: float, hashes: int) -> float:
+    """Chance that fewer than similarity - SLACK of so many min-hashes agree in sets of that similarity."""
+    least = math.ceil((similarity - SLACK) * hashes)
+    return sum(math.comb(hashes, k) * similarity ** k * (1 - similarity) ** (hashes - k) for k in range(least))
 
 
 def depths(similarity: float, trees: int = TREES, deepest: int = DEEPEST, step: int = STEP, recall: float = RECALL) -> list[int]:
-    """Prefix lengths from the longest to the first that reaches the recall."""
-    out, depth = [], deepest
+    """Prefix lengths from the longest to the first that reaches the recall, the sketch's loss taken off."""
+    out, depth, kept = [], deepest, 1 - sketch_loss(similarity, trees * deepest)
     while True:
         out.append(depth)
-        if 1 - (1 - similarity ** depth) ** trees >= recall or depth == 1:
+        if (1 - (1 - similarity ** depth) ** trees) * kept >= recall or depth == 1:
             return out
         depth = max(1, depth - step)
 
@@ -82,23 +99,44 @@ def set_id(runs: np.ndarray) -> bytes:
         return np.array([*sums], dtype=">u8").tobytes()
 
 
+def sliced(rows: DataFrame, schema: str, make: Callable[[list[str]], list[pa.Array]]) -> DataFrame:
+    """``rows`` (text last) with the text replaced by the columns of ``schema``, made for ``ROWS`` texts at a time."""
+    new = T._parse_datatype_string(schema)  # noqa: SLF001
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                made = make([x.as_py() for x in part.column(part.num_columns - 1)])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*part.schema.names[:-1], *(f.name for f in new)])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *new.fields]))
+
+
+def long_lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)]), pa.int64()))
+
+
 def labelled(docs: DataFrame, trees: int, lengths: list[int], text: str = "text") -> DataFrame:
     """doc_id, node, size, prefixes (by tree, then length; empty for a text without words), sketch."""
-
-    @F.pandas_udf("node binary, size int, prefixes array<long>, sketch binary")
-    def labels(texts: pd.Series) -> pd.DataFrame:
-        forest, out = Forest(trees, lengths), []
+    def make(texts: list[str]) -> list[pa.Array]:
+        forest, nodes, sizes, paths, sketches = Forest(trees, lengths), [], [], [], []
         for x in texts:
             runs = set_of(x)
             prefixes, sketch = forest.prefixes(runs)
-            out.append((set_id(runs), len(runs), as_long(prefixes).ravel().tolist() if len(runs) else [], sketch))
-        return pd.DataFrame(out, columns=["node", "size", "prefixes", "sketch"])
+            nodes.append(set_id(runs))
+            sizes.append(len(runs))
+            paths.append(as_long(prefixes).ravel() if len(runs) else np.zeros(0, np.int64))
+            sketches.append(sketch)
+        return [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), long_lists(paths), pa.array(sketches, pa.binary())]
 
-    return docs.select("doc_id", labels(text_of(text)).alias("l")).select("doc_id", "l.*")
+    return sliced(docs.select("doc_id", text_of(text).alias("text_")), "node binary, size int, prefixes array<long>, sketch binary", make)
 
 
-def bucketed(nodes: DataFrame, lengths: list[int]) -> DataFrame:
-    """bucket, node: rows of buckets with two nodes or more, for every tree and prefix length."""
+def trie(nodes: DataFrame, lengths: list[int]) -> DataFrame:
+    """level, bucket, node: the sets below every trie node with two or more (level 0 has the longest prefixes), but for
+    those whose parent holds the same sets."""
     k = len(lengths)
     rows = nodes.where("size > 0").select("node", F.explode(F.expr(
         f"transform(sequence(0, size(prefixes) div {k} - 1), t -> slice(prefixes, t * {k} + 1, {k}))")).alias("path"))
@@ -106,12 +144,81 @@ def bucketed(nodes: DataFrame, lengths: list[int]) -> DataFrame:
               .where("low <> high").select("bucket"))
     # only sets that share the shortest prefix can share a longer one
     rows = materialise(rows.withColumn("bucket", F.col("path")[k - 1]).join(shared, "bucket", "left_semi").select("node", "path"))
-    return rows.select("node", F.posexplode("path").alias("depth", "bucket")).select(
-        F.xxhash64("depth", "bucket").alias("bucket"), "node")
+    each = rows.select("node", F.posexplode("path").alias("level", "bucket"), F.col("path"))
+    parent = F.get("path", F.col("level") + 1)
+    counts = each.groupBy("level", "bucket").agg(F.count(F.lit(1)).alias("n"), F.first(parent).alias("parent")).where("n > 1")
+    above = counts.select((F.col("level") - 1).alias("level"), F.col("bucket").alias("parent"), F.col("n").alias("whole"))
+    own = counts.join(above, ["level", "parent"], "left").where("whole IS NULL OR n < whole").select("level", "bucket")
+    return each.drop("path").join(own, ["level", "bucket"], "left_semi")
+
 
+def forest_links(tries: DataFrame, levels: int, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
+    """Verified links between sets below a common trie node, and their components; None where there are none.
 
-def partners(mine: list[np.ndarray], theirs: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each set of ``mine`` the similar ones of ``theirs``, and the other way round; no set is empty."""
+    From the longest prefixes to the shortest, nodes of the trie where classes meet are opened: their sets meet one
+    representative each, then 4, 16, ... of the smallest classes, across classes only. A representative that has met all
+    leaves; a node is done when one class is left. When what is left has no more pairs across classes than ``tries`` has rows
+    at the level, they are all compared.
+    """
+    links, classes, tried = None, None, None
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal links, classes
+        new = materialise(verify(pairs))
+        if new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            before, classes = classes, components(links)
+            if before is not None:
+                discard(before)
+
+    for level in range(levels):
+        below, held, reps = tries.where(F.col("level") == level).select("bucket", "node"), None, 1
+        rows = below.count()
+        while rows:
+            placed = classed(below if held is None else held, "node", classes, "class")
+            sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
+            mixed = (sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("classes"))
+                     .where("classes > 1").select("bucket", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs")))
+            opened = materialise(placed.join(mixed, "bucket").join(sizes, ["bucket", "class"]))
+            if held is not None:
+                discard(held)
+            left = opened.groupBy("bucket").agg(F.first("pairs").alias("pairs")).agg(F.sum("pairs")).first()[0]
+            if not left:
+                discard(opened)
+                break
+            last = left <= rows
+            order = Window.partitionBy("bucket").orderBy("n", F.xxhash64("node"), "node")
+            if last:
+                chosen = opened.select("bucket", F.col("node").alias("rep"), F.col("class").alias("rep_class"))
+            elif reps == 1:
+                least = opened.groupBy("bucket").agg(F.min_by(F.struct("node", "class"), F.struct("n", F.xxhash64("node"), "node")).alias("r"))
+                chosen = least.select("bucket", F.col("r.node").alias("rep"), F.col("r.class").alias("rep_class"))
+            else:
+                chosen = opened.withColumn("place", F.row_number().over(order)).where(F.col("place") <= reps).select(
+                    "bucket", F.col("node").alias("rep"), F.col("class").alias("rep_class"))
+            pairs = (opened.join(chosen, "bucket").where("class <> rep_class")
+                     .groupBy(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).agg(F.count(F.lit(1)).alias("shared")))
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = materialise(pairs)
+            tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+            # the partner that shares most prefixes first; then those still across classes
+            best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+            add(best.select("a", "b"))
+            rest = classed(classed(pairs.join(best, ["a", "b"], "left_anti"), "a", classes, "x"), "b", classes, "y")
+            add(rest.where("x <> y").select("a", "b"))
+            if last:
+                discard(opened)
+                break
+            met = chosen.select("bucket", F.col("rep").alias("node"))
+            held = materialise(opened.select("bucket", "node").join(met, ["bucket", "node"], "left_anti"))
+            discard(opened)
+            reps *= 4
+    return links, classes
+
+
+def partners(mine: list[np.ndarray], theirs: list[np.ndarray], copies: np.ndarray, others: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of ``mine`` the documents of the similar ones of ``theirs``, and the other way round; no set is empty."""
     flat = np.concatenate(theirs)
     sizes = np.array([len(x) for x in theirs])
     starts = np.cumsum(sizes) - sizes
@@ -123,32 +230,33 @@ def partners(mine: list[np.ndarray], theirs: list[np.ndarray], similarity: float
         mask[at[known[at] == x]] = True
         common = np.add.reduceat(mask[flat], starts, dtype=np.int64)
         near = common >= similarity * (len(x) + sizes - common) - 1e-9
-        here[k] = near.sum()
-        there += near
+        here[k] = others[near].sum()
+        there[near] += copies[k]
     return here, there
 
 
-def linked(runs: DataFrame, classes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """node, linked: the other nodes of its class whose sets are similar, for the nodes of ``classes``.
+def linked(runs: DataFrame, known: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """node, linked: the documents of the other nodes of its class whose sets are similar. ``known``: node, root, copies.
 
     A class is cut into blocks by hash, each pair of blocks is a group. Similar sets are of one class, so none is missed.
     """
-    held = classed(runs, "node", classes, "root")
+    held = runs.join(known.select("node", "root", "copies"), "node")
     sizes = held.groupBy("root").agg(F.ceil(F.sum(F.size("runs").cast("long")) / block).alias("blocks"), F.count(F.lit(1)).alias("n"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = (held.join(sizes.where("n > 1").drop("n"), "root").withColumn("own", own).withColumn("other", other)
-             .select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "runs"))
+             .select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "copies", "runs"))
 
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, x, y = key
         first = rows["own"].to_numpy() == x
         one, two = rows[first], rows[~first]
+        docs = [part["copies"].to_numpy(dtype=np.int64) for part in (one, two)]
         if x == y:
-            return pd.DataFrame({"node": one["node"], "n": partners(list(one["runs"]), list(one["runs"]), similarity)[0] - 1})
+            return pd.DataFrame({"node": one["node"], "n": partners(list(one["runs"]), list(one["runs"]), docs[0], docs[0], similarity)[0] - docs[0]})
         if not len(one) or not len(two):
             return pd.DataFrame({"node": [], "n": []})
-        here, there = partners(list(one["runs"]), list(two["runs"]), similarity)
+        here, there = partners(list(one["runs"]), list(two["runs"]), *docs, similarity)
         return pd.DataFrame({"node": [*one["node"], *two["node"]], "n": np.concatenate([here, there])})
 
     return (dealt.groupBy("root", "x", "y").applyInPandas(count, "node binary, n long")
@@ -157,25 +265,24 @@ def linked(runs: DataFrame, classes: DataFrame, similarity: float, block: int =
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL,
          text: str = "text", counted: bool = True) -> DataFrame:
-    """doc_id, class_id, n_links (links of its text to other texts, and its copies), n_copies per row of docs; without
+    """doc_id, class_id, n_links (other documents with a similar or the same text), n_copies per row of docs; without
     n_links where they are not ``counted``."""
     lengths = depths(similarity, trees, deepest, recall=recall)
     labels = materialise(labelled(docs, trees, lengths, text))
     nodes = labels.groupBy("node").agg(F.first("size").alias("size"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch"),
                                        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"))
-    buckets = materialise(bucketed(nodes, lengths))
+    tries = materialise(trie(nodes, lengths))
     # the sets themselves, of the nodes that have candidates; a node's first document stands for it
-    wanted = buckets.select("node").distinct()
+    wanted = materialise(tries.select("node").distinct())
     first = labels.select("node", "doc_id").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
-    @F.pandas_udf("node binary, runs array<long>")
-    def sets(texts: pd.Series) -> pd.DataFrame:
+    def sets(texts: list[str]) -> list[pa.Array]:
         held = [set_of(x) for x in texts]
-        return pd.DataFrame({"node": [set_id(x) for x in held], "runs": [as_long(x).tolist() for x in held]})
+        return [pa.array([set_id(x) for x in held], pa.binary()), long_lists([as_long(x) for x in held])]
 
     named = first.select(F.col("doc_id").alias("first_id"))
-    runs = materialise(docs.join(named, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-                       .select(sets(text_of(text)).alias("s")).select("s.*").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    shown = docs.join(named, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select(text_of(text).alias("text_"))
+    runs = materialise(sliced(shown, "node binary, runs array<long>", sets).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     outline = materialise(nodes.select("node", "size", "sketch").join(wanted, "node", "left_semi"))
 
     @F.pandas_udf("double")
@@ -193,14 +300,16 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, de
         whole = F.size("runs_a") + F.size("runs_b") - F.col("common")
         return both.where(F.col("common") >= F.lit(similarity) * whole - 1e-9).select("a", "b")
 
-    links, classes = link_buckets(buckets, verify)
+    links, classes = forest_links(tries, len(lengths), verify)
     known = nodes.select("node", "copies", "least_id")
     if links is None:
         known = known.withColumn("root", F.col("node")).withColumn("linked", F.lit(0).cast("long"))
     else:
         known = classed(known, "node", classes, "root")
         if counted:
-            known = known.join(linked(runs, classes, similarity), "node", "left")
+            known = materialise(known)
+            several = known.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+            known = known.join(linked(runs, known.join(several, "root", "left_semi"), similarity), "node", "left")
         else:
             known = known.withColumn("linked", F.lit(None).cast("long"))
         known = known.withColumn("linked", F.coalesce("linked", F.lit(0)))

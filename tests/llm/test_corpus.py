@@ -45,7 +45,7 @@ def test_components(spark):
 
 
 def test_prefixes_reach_the_recall():
-    assert ngram_join.depths(0.8, 16, 8, 2, 0.999) == [8, 6, 4]
+    assert ngram_join.depths(0.8, 16, 8, 2, 0.999) == [8, 6, 4] and 0 < ngram_join.sketch_loss(0.8, 128) < 1e-4
     assert ngram_join.depths(0.8, 1, 3, 2, 0.999) == [3, 1]
 
 
@@ -80,18 +80,28 @@ def test_links_are_counted_whole(spark):
     whole, copies = Counter(), Counter(sets)
     for a, b in combinations(set(sets) - {frozenset()}, 2):
         if len(a & b) >= 0.8 * len(a | b) - 1e-9:
-            whole.update((a, b))
+            whole[a] += copies[b]
+            whole[b] += copies[a]
     got = {r.doc_id: r.n_links for r in ngram_join.join(table(spark, list(enumerate(texts)))).collect()}
     assert got == {i: whole[x] + copies[x] - 1 if x else 0 for i, x in enumerate(sets)}
 
 
+def test_trie_skips_nodes_whose_parent_holds_the_same(spark):
+    paths = {b"a": [1, 10, 100, 7, 70, 700], b"b": [1, 10, 100, 8, 70, 700], b"c": [2, 10, 100, 9, 90, 900], b"d": [3, 30, 300, 6, 60, 600]}
+    nodes = spark.createDataFrame([(bytearray(k), 5, v) for k, v in paths.items()], "node binary, size int, prefixes array<long>")
+    got = {}
+    for r in ngram_join.trie(nodes, [8, 6, 4]).collect():
+        got.setdefault((r.level, r.bucket), set()).add(bytes(r.node))
+    assert got == {(0, 1): {b"a", b"b"}, (2, 100): {b"a", b"b", b"c"}, (2, 700): {b"a", b"b"}}
+
+
 def test_blocks_of_a_class_count_alike(spark):
     rng = random.Random(18)
     hub = words(rng, 120)
     sets = {ngram_join.set_id(x): x for x in (ngram_join.set_of(" ".join(edited(rng, hub, 0.01))) for _ in range(40))}
     rows = [(bytearray(k), common.as_long(v).tolist()) for k, v in sets.items()]
     runs = spark.createDataFrame(rows, "node binary, runs array<long>")
-    classes = spark.createDataFrame([(r[0], bytearray(min(sets))) for r in rows], "node binary, root binary")
+    classes = spark.createDataFrame([(r[0], bytearray(min(sets)), 1 + k % 3) for k, r in enumerate(rows)], "node binary, root binary, copies long")
     counts = [{bytes(r.node): r.linked for r in ngram_join.linked(runs, classes, 0.8, block).collect()} for block in (1 << 18, 900)]
     assert counts[0] == counts[1] and sum(counts[0].values()) > 0
 
