@@ -7,8 +7,8 @@ prefix in some tree, reaches the target recall (which also covers what the sketc
 shortened depends on what stands below it: a trie node whose only child holds the same sets is skipped, and once a
 node's sets are all of one class nothing above it compares them again; only nodes where classes meet are opened.
 
-A candidate whose min-hashes agree far less than similar sets' do (by ``SLACK``) is left; every other is verified on the
-whole sets. Inside a trie node sets are compared with representatives across classes, never all with all, until one class is
+Two bits of every min-hash are a sketch; a candidate whose sketches differ in more bits than those of similar sets do (but
+for a chance of ``LOSS``) is left where it is met, every other is verified on the whole sets. Inside a trie node sets are compared with representatives across classes, never all with all, until one class is
 left or every pair across classes has failed. Representatives are the same sets in all trees (one order by hash), so a large
 group of near copies meets few of them. That gives the classes; then the sets of a class are counted against each other
 exactly, in blocks of about ``BLOCK`` elements, and only each node's count leaves a block.
@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,22 +38,32 @@ from factorloom.llm.common import SIMILARITY, as_long, mix, shingle_hashes, text
 from factorloom.llm.graph import classed, components
 from factorloom.session import discard, materialise
 
-TREES, DEEPEST, STEP, RECALL = 16, 8, 2, 0.999
+TREES, DEEPEST, STEP, RECALL = 16, 8, 4, 0.999
 CHUNK = 1024  # runs hashed at a time
-SLACK = 0.15
+LOSS = 1e-4
+ALL = 8
 BLOCK = 1 << 20  # elements of a class's block
 ROWS = 400  # texts whose results a task holds at a time
 
 
-def sketch_loss(similarity: float, hashes: int) -> float:
-    """Chance that fewer than similarity - SLACK of so many min-hashes agree in sets of that similarity."""
-    least = math.ceil((similarity - SLACK) * hashes)
-    return sum(math.comb(hashes, k) * similarity ** k * (1 - similarity) ** (hashes - k) for k in range(least))
+def allowed(similarity: float, hashes: int, loss: float = LOSS) -> int:
+    """Least number of differing sketch bits that sets of that similarity exceed with a chance of ``loss`` at most: each of
+    the hashes differs with 1 - similarity, and then each of its two bits with a half."""
+    chance = [0.0] * (2 * hashes + 1)
+    for k in range(hashes + 1):
+        differ = math.comb(hashes, k) * (1 - similarity) ** k * similarity ** (hashes - k)
+        for bits in range(2 * k + 1):
+            chance[bits] += differ * math.comb(2 * k, bits) / 4.0 ** k
+    tail, bits = 0.0, 2 * hashes
+    while tail + chance[bits] <= loss:
+        tail += chance[bits]
+        bits -= 1
+    return bits
 
 
 def depths(similarity: float, trees: int = TREES, deepest: int = DEEPEST, step: int = STEP, recall: float = RECALL) -> list[int]:
     """Prefix lengths from the longest to the first that reaches the recall, the sketch's loss taken off."""
-    out, depth, kept = [], deepest, 1 - sketch_loss(similarity, trees * deepest)
+    out, depth, kept = [], deepest, 1 - LOSS
     while True:
         out.append(depth)
         if (1 - (1 - similarity ** depth) ** trees) * kept >= recall or depth == 1:
@@ -72,8 +82,8 @@ class Forest:
             self.plus = mix(self.times + np.uint64(0x5851F42D4C957F2D))
             self.tree = mix(np.arange(1, trees + 1, dtype=np.uint64))
 
-    def prefixes(self, runs: np.ndarray) -> tuple[np.ndarray, bytes]:
-        """trees x lengths hashes, and a byte of each min-hash."""
+    def prefixes(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """trees x lengths hashes, and the sketch: two bits of each min-hash."""
         with np.errstate(over="ignore"):
             least = np.full(len(self.times), np.iinfo(np.uint64).max, dtype=np.uint64)
             for k in range(0, len(runs), CHUNK):
@@ -85,7 +95,9 @@ class Forest:
                 held = mix(held * np.uint64(0xD6E8FEB86659FD93) + label[:, d])
                 if d + 1 in self.lengths:
                     out[d + 1] = held
-            return np.stack([out[x] for x in self.lengths], axis=1), mix(least).astype(np.uint8).tobytes()
+            pairs = mix(least) & np.uint64(3)
+            bits = np.packbits(np.concatenate([pairs & np.uint64(1), pairs >> np.uint64(1)]).astype(np.uint8))
+            return np.stack([out[x] for x in self.lengths], axis=1), np.resize(bits, -(-len(bits) // 8) * 8).view(np.int64)
 
 
 def set_of(text: str) -> np.ndarray:
@@ -129,9 +141,9 @@ def labelled(docs: DataFrame, trees: int, lengths: list[int], text: str = "text"
             sizes.append(len(runs))
             paths.append(as_long(prefixes).ravel() if len(runs) else np.zeros(0, np.int64))
             sketches.append(sketch)
-        return [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), long_lists(paths), pa.array(sketches, pa.binary())]
+        return [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), long_lists(paths), long_lists(sketches)]
 
-    return sliced(docs.select("doc_id", text_of(text).alias("text_")), "node binary, size int, prefixes array<long>, sketch binary", make)
+    return sliced(docs.select("doc_id", text_of(text).alias("text_")), "node binary, size int, prefixes array<long>, sketch array<long>", make)
 
 
 def trie(nodes: DataFrame, lengths: list[int]) -> DataFrame:
@@ -152,13 +164,15 @@ def trie(nodes: DataFrame, lengths: list[int]) -> DataFrame:
     return each.drop("path").join(own, ["level", "bucket"], "left_semi")
 
 
-def forest_links(tries: DataFrame, levels: int, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
+def forest_links(tries: DataFrame, levels: int, outline: DataFrame, near: Callable[[str, str], Column],
+                 verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
     """Verified links between sets below a common trie node, and their components; None where there are none.
 
     From the longest prefixes to the shortest, nodes of the trie where classes meet are opened: their sets meet one
-    representative each, then 4, 16, ... of the smallest classes, across classes only. A representative that has met all
-    leaves; a node is done when one class is left. When what is left has no more pairs across classes than ``tries`` has rows
-    at the level, they are all compared.
+    representative each, then 16, 256, ... of the smallest classes, across classes only. A representative that has met all
+    leaves; a node is done when one class is left. When what is left has no more pairs across classes than ``ALL`` times the
+    rows of the level, they are all compared. ``near`` says of two rows of ``outline`` (by node), given their prefixes,
+    whether they are worth verifying.
     """
     links, classes, tried = None, None, None
 
@@ -179,41 +193,37 @@ def forest_links(tries: DataFrame, levels: int, verify: Callable[[DataFrame], Da
             sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
             mixed = (sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("classes"))
                      .where("classes > 1").select("bucket", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs")))
-            opened = materialise(placed.join(mixed, "bucket").join(sizes, ["bucket", "class"]))
+            opened = materialise(placed.join(mixed, "bucket").join(sizes, ["bucket", "class"]).join(outline, "node"))
             if held is not None:
                 discard(held)
             left = opened.groupBy("bucket").agg(F.first("pairs").alias("pairs")).agg(F.sum("pairs")).first()[0]
             if not left:
                 discard(opened)
                 break
-            last = left <= rows
-            order = Window.partitionBy("bucket").orderBy("n", F.xxhash64("node"), "node")
+            last = left <= ALL * rows
             if last:
-                chosen = opened.select("bucket", F.col("node").alias("rep"), F.col("class").alias("rep_class"))
+                chosen = opened
             elif reps == 1:
-                least = opened.groupBy("bucket").agg(F.min_by(F.struct("node", "class"), F.struct("n", F.xxhash64("node"), "node")).alias("r"))
-                chosen = least.select("bucket", F.col("r.node").alias("rep"), F.col("r.class").alias("rep_class"))
+                first = F.min_by(F.struct(*opened.columns), F.struct("n", F.xxhash64("node"), "node")).alias("r")
+                chosen = opened.groupBy("bucket").agg(first).select("r.*")
             else:
-                chosen = opened.withColumn("place", F.row_number().over(order)).where(F.col("place") <= reps).select(
-                    "bucket", F.col("node").alias("rep"), F.col("class").alias("rep_class"))
-            pairs = (opened.join(chosen, "bucket").where("class <> rep_class")
-                     .groupBy(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).agg(F.count(F.lit(1)).alias("shared")))
+                order = Window.partitionBy("bucket").orderBy("n", F.xxhash64("node"), "node")
+                chosen = opened.withColumn("place", F.row_number().over(order)).where(F.col("place") <= reps).drop("place")
+            reps_ = chosen.select("bucket", *[F.col(c).alias(f"rep_{c}") for c in ("node", "class", *outline.columns) if c != "node"], F.col("node").alias("rep_node"))
+            pairs = (opened.join(reps_, (opened["bucket"] == reps_["bucket"]) & (F.col("class") != F.col("rep_class")) & near("", "rep_"))
+                     .select(F.greatest("node", "rep_node").alias("a"), F.least("node", "rep_node").alias("b")).distinct())
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = materialise(pairs)
-            tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-            # the partner that shares most prefixes first; then those still across classes
-            best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-            add(best.select("a", "b"))
-            rest = classed(classed(pairs.join(best, ["a", "b"], "left_anti"), "a", classes, "x"), "b", classes, "y")
-            add(rest.where("x <> y").select("a", "b"))
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            add(pairs)
             if last:
                 discard(opened)
                 break
-            met = chosen.select("bucket", F.col("rep").alias("node"))
+            met = chosen.select("bucket", "node")
             held = materialise(opened.select("bucket", "node").join(met, ["bucket", "node"], "left_anti"))
             discard(opened)
-            reps *= 4
+            reps *= 16
     return links, classes
 
 
@@ -285,22 +295,21 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, de
     runs = materialise(sliced(shown, "node binary, runs array<long>", sets).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     outline = materialise(nodes.select("node", "size", "sketch").join(wanted, "node", "left_semi"))
 
-    @F.pandas_udf("double")
-    def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean()) for x, y in zip(a, b)], dtype="float64")
+    most = allowed(similarity, trees * deepest)
+
+    def near(one: str, two: str) -> Column:
+        a, b = F.col(f"{one}size"), F.col(f"{two}size")
+        differ = sum((F.bit_count(F.col(f"{one}sketch")[k].bitwiseXOR(F.col(f"{two}sketch")[k])) for k in range(-(-trees * deepest // 32))), F.lit(0))
+        return (F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9) & (differ <= most)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = (pairs.join(outline.withColumnsRenamed({"node": "a", "size": "size_a", "sketch": "sketch_a"}), "a")
-                .join(outline.withColumnsRenamed({"node": "b", "size": "size_b", "sketch": "sketch_b"}), "b")
-                .where(F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9)
-                .where(agreement("sketch_a", "sketch_b") >= similarity - SLACK))
-        both = (near.select("a", "b").join(runs.withColumnsRenamed({"node": "b", "runs": "runs_b"}), "b")
+        both = (pairs.join(runs.withColumnsRenamed({"node": "b", "runs": "runs_b"}), "b")
                 .join(runs.withColumnsRenamed({"node": "a", "runs": "runs_a"}), "a"))
         both = both.withColumn("common", F.size(F.array_intersect("runs_a", "runs_b")))
         whole = F.size("runs_a") + F.size("runs_b") - F.col("common")
         return both.where(F.col("common") >= F.lit(similarity) * whole - 1e-9).select("a", "b")
 
-    links, classes = forest_links(tries, len(lengths), verify)
+    links, classes = forest_links(tries, len(lengths), outline, near, verify)
     known = nodes.select("node", "copies", "least_id")
     if links is None:
         known = known.withColumn("root", F.col("node")).withColumn("linked", F.lit(0).cast("long"))
