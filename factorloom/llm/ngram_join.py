@@ -41,7 +41,7 @@ from factorloom.session import discard, materialise
 TREES, DEEPEST, STEP, RECALL = 16, 8, 4, 0.999
 CHUNK = 1024  # runs hashed at a time
 LOSS = 1e-4
-ALL = 8
+ALL = 32
 BLOCK = 1 << 20  # elements of a class's block
 ROWS = 400  # texts whose results a task holds at a time
 
@@ -169,7 +169,7 @@ def forest_links(tries: DataFrame, levels: int, outline: DataFrame, near: Callab
     """Verified links between sets below a common trie node, and their components; None where there are none.
 
     From the longest prefixes to the shortest, nodes of the trie where classes meet are opened: their sets meet one
-    representative each, then 16, 256, ... of the smallest classes, across classes only. A representative that has met all
+    representative each, then 64, 4096, ... of the smallest classes, across classes only. A representative that has met all
     leaves; a node is done when one class is left. When what is left has no more pairs across classes than ``ALL`` times the
     rows of the level, they are all compared. ``near`` says of two rows of ``outline`` (by node), given their prefixes,
     whether they are worth verifying.
@@ -223,7 +223,7 @@ def forest_links(tries: DataFrame, levels: int, outline: DataFrame, near: Callab
             met = chosen.select("bucket", "node")
             held = materialise(opened.select("bucket", "node").join(met, ["bucket", "node"], "left_anti"))
             discard(opened)
-            reps *= 16
+            reps *= 64
     return links, classes
 
 

@@ -45,7 +45,7 @@ def test_components(spark):
 
 
 def test_prefixes_reach_the_recall():
-    assert ngram_join.depths(0.8, 16, 8, 2, 0.999) == [8, 4]
+    assert ngram_join.depths(0.8, 16, 8, 4, 0.999) == [8, 4]
     assert ngram_join.depths(0.8, 1, 3, 2, 0.999) == [3, 1]
 
 
