@@ -8,7 +8,7 @@ from dataclasses import astuple, replace
 from pyspark.sql import functions as F
 
 from factorloom.functions import columns as c
-from factorloom.operators import align, boosting, calendar, ic, quality, ranking, walkforward as wf
+from factorloom.operators import align, boosting, calendar, ic, quality, ranking, rotation, walkforward as wf
 from factorloom.plans.inputs import FACTORS, data, kept
 from factorloom.plans.joins import SPLITS, splits
 from factorloom.plans.oracle import r, sql
@@ -263,19 +263,53 @@ def walk_forward(p):
                                               F.sum("stock_count").alias("samples"))
 
 
+def yearly_folds(dates, years, last: int = 2) -> list[tuple]:
+    """(year, quarter, first, last date) of each year's trailing folds: quarters whose labels are realised before the year.
+    ``dates``: ascending (d, label_exit_date)."""
+    out = []
+    for year in years:
+        begin = datetime.date(year, 1, 1)
+        known = [d for d, x in dates if d < begin and x < begin]
+        out += [(year, q.name, q.first, q.last) for q in rotation.quarters_of(known)[-last:]]
+    return out
+
+
+def yearly_penalties(p, rows, table, years) -> dict[int, float]:
+    """The ridge penalty of every year, chosen on its trailing folds. All folds of all years are fitted from one table of
+    moments and scored in one frame; a choice per year reaches the driver."""
+    first = datetime.date.fromisoformat(START)
+    dates = sorted(tuple(r) for r in table.select("d", "label_exit_date").distinct().collect() if r["d"] >= first)
+    folds = yearly_folds(dates, years)
+    spans = p.spark.createDataFrame([(f"{y}/{q}", a, a, b) for y, q, a, b in folds], "name string, train_cutoff date, prediction_start date, prediction_end date")
+    systems = wf.systems(table, spans, FACTORS, START, strict=True)
+    fits = wf.fit_table(p.spark, [(s, "ridge", a, 0.0) for s in systems for a in wf.RIDGE_ALPHAS])
+    parts, rest = [], sorted(folds, key=lambda f: f[2])
+    while rest:  # spans of one pass do not overlap; two years share a quarter only where the calendar has gaps
+        own, later, end = [], [], datetime.date.min
+        for f in rest:
+            (own if f[2] > end else later).append(f)
+            end = max(end, f[3]) if f[2] > end else end
+        named = spans.where(F.col("name").isin([f"{y}/{q}" for y, q, *_ in own]))
+        parts.append(wf.score(rows.where("label IS NOT NULL"), named, fits, FACTORS))
+        rest = later
+    scored = quality.union_all(parts).withColumn("model", F.concat_ws("|", "name", F.col("alpha").cast("string")))
+    figures = ic.metric_summary(materialise(scored), slices=p.slices())
+    value = c.selection_score(F.col("mean_rank_ic"), F.col("pearson_ic"), F.col("top_bottom_return"))
+    split = F.split("model", "\\|")
+    flat = F.coalesce(F.col("rank_ic_std").isNull() & F.col("mean_rank_ic").isNull(), F.lit(True))
+    each = figures.select(F.substring_index(split[0], "/", 1).cast("int").alias("year"), split[1].cast("double").alias("alpha"), value.alias("score"), flat.alias("flat"))
+    mean = each.groupBy("year", "alpha").agg(F.when(~F.bool_or("flat"), F.avg("score")).alias("score")).where("score IS NOT NULL")
+    best = mean.groupBy("year").agg(F.min_by("alpha", F.struct(-F.col("score"), "alpha")).alias("alpha"))
+    return {r["year"]: r["alpha"] for r in best.collect()}
+
+
 @query("i16_yearly_retune")
 def yearly_retune(p):
     """Penalty chosen once a year on trailing folds inside that year's training window, then used for its splits."""
-    rows = materialise(data(p))
-    picks = []
-    sp = kept(splits(p))
-    for year in sorted({int(x["name"][:4]) for x in sp.select("name").collect()}):  # one row per refit
-        window = rows.where(F.col("label_exit_date") < F.lit(f"{year}-01-01").cast("date"))
-        fold_table = kept(wf.folds(window, START, f"{year - 1}-12-31", last=2))
-        best = chosen(scored_candidates(p, window, fold_table, FACTORS, "ridge", [(a, 0.0) for a in wf.RIDGE_ALPHAS]))[1].first()
-        picks.append((year, best["alpha"]))
-    alpha = dict(picks)
-    systems = wf.systems(wf.moments(rows, FACTORS), sp, FACTORS, START)
+    rows, sp = materialise(data(p)), kept(splits(p))
+    table = wf.moments(rows, FACTORS)
+    systems = wf.systems(table, sp, FACTORS, START)
+    alpha = yearly_penalties(p, rows, table, sorted({int(s.name[:4]) for s in systems}))
     fits = wf.fit_table(p.spark, [(s, "ridge", alpha[int(s.name[:4])], 0.0) for s in systems])
     scored = wf.score(rows, sp, fits, FACTORS)
     return scored.groupBy("name", "alpha").agg(F.count("*").alias("rows"), F.avg("prediction").alias("mean_prediction"))
