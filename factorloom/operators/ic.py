@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factorloom.functions.columns import quarter_name
+from factorloom.operators import gram
 from factorloom.operators.calendar import calendar_broadcast
 from factorloom.operators.cross_section import TINY, correlation
 from factorloom.operators.ranking import add_rank, average, bucket, needs_slices, percent
@@ -128,15 +131,56 @@ def double_sort(rows: DataFrame, q: int = 3, least: int = 30, slices: int | None
     return cells.groupBy("yb", "xb").agg(F.avg("r").alias("mean_return"), F.count("r").alias("n"))
 
 
-def pooled_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rank correlation of each column pair over rows where both are known, dates pooled."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    legs = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).cast("double").alias("xv"),
-                                        F.col(b).cast("double").alias("yv")) for a, b in pairs]))
-    long = df.select("d", "symbol", legs.alias("leg")).select("d", "symbol", "leg.*")
-    ranked = ranked_pairs(long, ("x", "y"), "xv", "yv", ("d", "symbol"))
-    half = ranked.groupBy("x", "y").agg(correlation(average("rp"), average("rl")).alias("spearman"), F.count("_p").alias("n"))
-    return half
+def known_together(values: np.ndarray) -> np.ndarray:
+    seen = (~np.isnan(values)).astype(float)
+    return (seen.T @ seen).ravel()
+
+
+def rank_products(values: np.ndarray) -> np.ndarray:
+    """Per pair of columns, over rows where both are known: the rows, the products, the first's sums and squares."""
+    seen = (~np.isnan(values)).astype(float)
+    x = np.nan_to_num(values)
+    return np.stack([seen.T @ seen, x.T @ x, x.T @ seen, (x * x).T @ seen]).ravel()
+
+
+def pooled_spearman(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("d", "symbol")) -> DataFrame:
+    """(x, y, spearman, n): rank correlation of each column pair over rows where both are known, dates pooled.
+
+    A column is ranked once; it is ranked anew only for partners that are missing where it is known, once for all that are
+    missing in the same rows. So a row is copied per ranking and not per pair, and all pairs come from one sum of products.
+    ``keys`` tell rows apart. k*k numbers reach the driver.
+    """
+    k = len(columns)
+    rows = df.select(*keys, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"_x{i}") for i, c in enumerate(columns)])
+    own = [f"_x{i}" for i in range(k)]
+    found = gram.block_sums(rows.withColumn("_all", F.lit(0)), ["_all"], own, known_together).first()
+    both = np.array(found["block"]).reshape(k, k) if found else np.zeros((k, k))
+    n = np.diag(both)
+    alike = [next(j for j in range(k) if both[i, j] == n[i] == n[j]) if n[i] else i for i in range(k)]  # the first with the same gaps
+    rankings = sorted({(i, -1 if both[i, j] == n[i] else alike[j]) for i in range(k) for j in range(k)})
+    place = {r: v for v, r in enumerate(rankings)}
+    legs = [F.struct(F.lit(v).alias("v"), (F.col(own[i]) if j < 0 else F.when(F.col(own[j]).isNotNull(), F.col(own[i]))).alias("x"))
+            for v, (i, j) in enumerate(rankings)]
+    long = rows.select(*keys, F.explode(F.array(*legs)).alias("leg")).select(*keys, "leg.*").where("x IS NOT NULL")
+    ranked = add_rank(long, ("v",), "x", keys, "rp")
+    centred = (average("rp") - (F.col("rp_n") + 1) / 2) / F.col("rp_n")
+    # a row has as many entries as there are rankings
+    wide = ranked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("v", centred.alias("r")))).alias("m"))
+    names = [f"_r{v}" for v in range(len(rankings))]
+    vectors = wide.select(F.lit(0).alias("_all"), *[F.try_element_at("m", F.lit(v)).alias(name) for v, name in enumerate(names)])
+    summed = gram.block_sums(vectors, ["_all"], names, rank_products).first()
+    size = len(rankings)
+    count, product, total, square = np.array(summed["block"]).reshape(4, size, size) if summed else np.zeros((4, size, size))
+    out = []
+    for i in range(k):
+        for j in range(i + 1, k):
+            a, b = (place[p, -1 if both[p, q] == n[p] else alike[q]] for p, q in ((i, j), (j, i)))
+            m = count[a, b]
+            spread = [square[u, v] - total[u, v] ** 2 / m if m else 0.0 for u, v in ((a, b), (b, a))]
+            value = (product[a, b] - total[a, b] * total[b, a] / m) / math.sqrt(spread[0] * spread[1]) if min(spread) > 1e-12 else None
+            value = None if value is None else float(value)
+            out.append((columns[i], columns[j], value, int(m)))
+    return df.sparkSession.createDataFrame(out, "x string, y string, spearman double, n bigint")
 
 
 def coverage(df: DataFrame, columns: Sequence[str], total: str = "rows") -> DataFrame:

@@ -146,6 +146,15 @@ def factor_correlation(p):
     return ic.pooled_spearman(p.fx(), FACTORS)
 
 
+@query("e09_wide_correlation", f"""WITH c AS (SELECT vec_id, unnest(generate_series(1, 64)) AS k, unnest(embedding) AS x FROM embeddings),
+    r AS (SELECT vec_id, k, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x)-1)/2.0 AS r FROM c)
+    SELECT 'c' || a.k AS x, 'c' || b.k AS y, {r('corr(a.r, b.r)')} AS spearman, count(*) AS n FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.k < b.k GROUP BY a.k, b.k""")
+def wide_correlation(p):
+    """Rank correlations of the 64 columns of ``embeddings``."""
+    columns = [F.get("embedding", F.lit(k)).alias(f"c{k + 1}") for k in range(64)]
+    return ic.pooled_spearman(p.table("embeddings").select("vec_id", *columns), [f"c{k + 1}" for k in range(64)], ("vec_id",))
+
+
 @query("e10_factor_coverage", sql(" UNION ALL ".join(
     f"SELECT '{f}' AS factor, count({f}) AS valid, {r(f'1-count({f})/count(*)')} AS missing_rate FROM fx" for f in FACTORS), "fx"))
 def factor_coverage(p):

@@ -263,3 +263,23 @@ def test_consistency_checks_can_fail(spark):
     assert failing(calendar=calendar.withColumn("idx", F.col("idx") + 1)) == {"first_date_kept", "first_trade_session"}
     assert failing(curve=curve.withColumn("gross_nav", F.lit(1.0))) == {"no_fee_not_below_net"}
     assert failing(bench=bench.limit(0)) == {"max_abs_benchmark_move"}
+
+
+def test_pooled_rank_correlation_with_gaps(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(80, 5)).round(1)
+    x[:20, 0] = x[:20, 1] = np.nan  # the same gaps
+    x[10:40, 2] = np.nan
+    x[:, 4] = np.nan
+    names = ["a", "b", "c", "e", "f"]
+    rows = [(k, *[None if np.isnan(v) else float(v) for v in row]) for k, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{n} double" for n in names))
+    got = {(r.x, r.y): r for r in ic.pooled_spearman(df, names, ("id",)).collect()}
+    frame = pd.DataFrame(x, columns=names)
+    for i, a in enumerate(names):
+        for b in names[i + 1:]:
+            both = frame[[a, b]].dropna()
+            want = both[a].rank().corr(both[b].rank()) if len(both) else np.nan
+            assert got[a, b].n == len(both)
+            assert (got[a, b].spearman is None) if np.isnan(want) else abs(got[a, b].spearman - want) < 1e-9
+    assert len(got) == 10 and all(r.spearman is None for r in ic.pooled_spearman(df.where("false"), names, ("id",)).collect())
