@@ -41,7 +41,7 @@ from factorloom.session import discard, materialise
 TREES, DEEPEST, STEP, RECALL = 16, 8, 4, 0.999
 CHUNK = 1024  # runs hashed at a time
 LOSS = 1e-4
-ALL = 32
+ALL = 4
 BLOCK = 1 << 20  # elements of a class's block
 ROWS = 400  # texts whose results a task holds at a time
 
@@ -200,7 +200,7 @@ def forest_links(tries: DataFrame, levels: int, outline: DataFrame, near: Callab
             if not left:
                 discard(opened)
                 break
-            last = left <= ALL * rows
+            last = left <= ALL * rows and (reps > 1 or level > 0)  # near copies meet their representatives first
             if last:
                 chosen = opened
             elif reps == 1:
