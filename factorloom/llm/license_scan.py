@@ -14,7 +14,9 @@ score 0. Nothing else than the text is looked at; repeated rows are searched eac
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
@@ -118,18 +120,19 @@ def scan_text(text: str, phrases: tuple[tuple[str, str], ...], notices: tuple[tu
     words = WORDS.findall(text.encode().lower().decode())
     joined = " ".join(words)
     padded, places, labels = f" {joined} ", [], set()
+    starts = list(accumulate((len(w) + 1 for w in words), initial=0))  # of the words in joined, and one beyond the last
+    word_at = lambda at: bisect_right(starts, at) - 1
     for phrase, label in phrases:
         at = padded.find(f" {phrase} ")
         while at >= 0:
-            places.append(padded.count(" ", 0, at))
+            places.append(word_at(at))
             labels.add(label)
             at = padded.find(f" {phrase} ", at + 1)
     spans, score = [], 1.0 if places else 0.0
     for label, start, end, edits in finder(notices, error_rate).find(joined):
         likeness = 1.0 - edits / max(end - start, edits, 1)
         score = max(score, likeness)
-        first = joined.count(" ", 0, start)
-        spans.append({"label": label, "first_word": first, "last_word": first + joined.count(" ", start, end), "edits": edits})
+        spans.append({"label": label, "first_word": word_at(start), "last_word": word_at(end), "edits": edits})
     return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)),
             ",".join(sorted(labels | {s["label"] for s in spans})), score, spans)
 
