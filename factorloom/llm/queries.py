@@ -63,7 +63,8 @@ def op3_edit_matching(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op4_risk_controlled(spark: SparkSession, folder: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, folder, "documents").select("doc_id", "text", "lang"), table(spark, folder, "labels"))
+    judged = quality_rules.judge(table(spark, folder, "documents").select("doc_id", "text", "lang"), table(spark, folder, "labels"),
+                                 with_text=False)
     return judged.select("doc_id", *[F.col(f"counts.{c}").alias(c) for c in quality_rules.COUNTS[:5]], "base_failed", "kept",
                          F.array_join("failed_rules", ",").alias("failed_rules"))
 
@@ -86,18 +87,37 @@ hosts AS (SELECT host, n, bad, CASE WHEN address THEN bare ELSE array_to_string(
                  CASE WHEN address THEN '' ELSE array_to_string(l[len(l) - k + 1:], '.') END AS suffix FROM kept),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
-every AS (SELECT 's' AS level, n, bad FROM suffixes UNION ALL SELECT 'd', n, bad FROM domains UNION ALL SELECT 'h', n, bad FROM hosts),
-sums AS (SELECT level, CAST(sum(n) AS double) AS n, CAST(sum(bad) AS double) / sum(n) AS p, CAST(sum(n * n) AS double) AS nn,
-                sum(CAST(bad AS double) * bad / n) AS bb, count(*) AS k FROM every WHERE n > 0 GROUP BY level),
-rooms AS (SELECT *, n - nn / n - (k - 1) AS room, p * (1 - p) AS inside FROM sums),
-likes AS (SELECT *, CASE WHEN inside > 0 AND room > 0 THEN ((bb - n * p * p) / inside - (k - 1)) / room ELSE 0 END AS r FROM rooms),
-priors AS (SELECT max(CASE WHEN level = 's' THEN p END) AS p, max(CASE WHEN level = 's' THEN w END) AS s,
+every AS (SELECT 's' AS level, '' AS parent, n, bad FROM suffixes UNION ALL SELECT 'd', suffix, n, bad FROM domains
+          UNION ALL SELECT 'h', domain || '/' || suffix, n, bad FROM hosts),
+parents AS (SELECT level, CAST(sum(n) AS double) AS n, CAST(sum(bad) AS double) AS bad, CAST(sum(n * n) AS double) AS nn,
+                   sum(CAST(bad AS double) * bad / n) AS bb, count(*) AS k FROM every WHERE n > 0 GROUP BY level, parent),
+sums AS (SELECT level, sum(n) AS n, sum(bad) AS bad, sum(bb - bad * bad / n) AS between_, sum(n - nn / n) AS room, sum(k - 1) AS free,
+                sum(bad - bb) AS inside, sum(n - k) AS pages FROM parents GROUP BY level),
+likes AS (SELECT *, CASE WHEN free > 0 AND pages > 0 AND between_ / free + (room / free - 1) * inside / pages > 0
+                         THEN (between_ / free - inside / pages) / (between_ / free + (room / free - 1) * inside / pages) ELSE 0 END AS r FROM sums),
+priors AS (SELECT max(CASE WHEN level = 's' THEN bad / n END) AS p, max(n) AS all_n, max(CASE WHEN level = 's' THEN w END) AS s,
                   max(CASE WHEN level = 'd' THEN w END) AS d, max(CASE WHEN level = 'h' THEN w END) AS h
-           FROM (SELECT level, p, CASE WHEN r <= 0 THEN 1e4 ELSE least(1e4, greatest(1.0, (1 - r) / r)) END AS w FROM likes)),
-rated AS (SELECT host, hosts.n, hosts.bad, (domains.bad + d * ((suffixes.bad + s * p) / (suffixes.n + s))) / (domains.n + d) AS rate, h
-          FROM hosts JOIN domains USING (domain, suffix) JOIN suffixes USING (suffix), priors),
-bound AS (SELECT host, (bad + h * rate) / (n + h) AS mean, n + h AS whole FROM rated),
-blocked AS (SELECT host, mean - sqrt(mean * (1 - mean) / (whole + 1)) * 3.0 > 0.5 AS blocked FROM bound),
+           FROM (SELECT level, n, bad, CASE WHEN r <= 0 THEN 1e4 ELSE least(1e4, greatest(1.0, (1 - r) / r)) END AS w FROM likes)),
+limits AS (SELECT *, p * 2.0 / (1 - p + p * 2.0) AS x, least(s, greatest(all_n, 1.0)) AS ws FROM priors),
+first AS (SELECT host, hosts.n, hosts.bad, domains.n AS dn, domains.bad AS db, x, h, suffixes.n - domains.n + ws AS sp,
+                 (suffixes.bad - domains.bad + ws * p) / (suffixes.n - domains.n + ws) AS rate, d
+          FROM hosts JOIN domains USING (domain, suffix) JOIN suffixes USING (suffix), limits),
+second AS (SELECT *, dn - n + least(d, sp) AS dp, (db - bad + least(d, sp) * rate) / (dn - n + least(d, sp)) AS host_rate FROM first),
+beta AS (SELECT host, x, bad + least(h, dp) * host_rate AS a, n - bad + least(h, dp) * (1 - host_rate) AS b FROM second),
+turned AS (SELECT *, x >= (a + 1) / (a + b + 2) AS flip, a > 0 AND b > 0 AND x > 0 AND x < 1 AS sound FROM beta),
+sides AS (SELECT *, CASE WHEN NOT sound THEN 1 WHEN flip THEN b ELSE a END AS p, CASE WHEN NOT sound THEN 1 WHEN flip THEN a ELSE b END AS q,
+                 CASE WHEN NOT sound THEN 0.5 WHEN flip THEN 1 - x ELSE x END AS y FROM turned),
+terms AS (SELECT sides.*, m FROM sides, LATERAL (SELECT unnest(range(CAST(floor(30 + 4 * sqrt(greatest(p, q))) AS bigint) + 1)) AS m)),
+fractions AS (SELECT host, any_value(a) AS a, any_value(b) AS b, any_value(x) AS x, any_value(flip) AS flip, any_value(sound) AS sound,
+                     any_value(p) AS p, any_value(q) AS q, any_value(y) AS y,
+                     list({'u': (p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1)),
+                           'v': (m + 1) * (q - m - 1) * y / ((p + 2 * m + 1) * (p + 2 * m + 2)), 't': 1.0::double} ORDER BY m DESC) AS l
+              FROM terms GROUP BY host),
+below AS (SELECT *, exp(p * ln(y) + q * ln(1 - y) + lgamma(p + q) - lgamma(p) - lgamma(q)) / p
+                 / list_reduce(list_prepend({'u': 0.0::double, 'v': 0.0::double, 't': 1.0::double}, l),
+                               lambda g, f: {'u': 0.0::double, 'v': 0.0::double, 't': 1 - f.u / (1 + f.v / g.t)}).t AS low FROM fractions),
+blocked AS (SELECT host, CASE WHEN x <= 0 OR x >= 1 OR a <= 0 THEN false WHEN b <= 0 THEN true
+                              ELSE (CASE WHEN flip THEN 1 - low ELSE low END) <= 0.1 END AS blocked FROM below),
 ruled AS (SELECT page_id, parted.host, path, blocked, CASE
     WHEN (parted.host = 'example.org' OR parted.host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
     WHEN (parted.host = 'example.org' OR parted.host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
