@@ -15,14 +15,14 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import text_of, widen
+from factorloom.llm.common import packed, text_of, unpacked, widen
+from factorloom.session import materialise
 
 # Words are runs of letters, digits and anything beyond ASCII that is no white space.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\s]+")
@@ -106,13 +106,12 @@ class Items:
                 found.append((number, *best))
         if not found:
             return []
-        words = [m.span() for m in WORD.finditer(raw)] if len(raw.lower()) == len(raw) else None
-        out = []
+        # lower-casing may change a word's length, never the number of words
+        words, out = [m.span() for m in WORD.finditer(raw)], []
         for number, edits, start, end in found:
-            if words:
-                first = text.count(" ", 0, start + (text[start:start + 1] == " "))
-                last = text.count(" ", 0, max(start, end - 1))
-                start, end = words[first][0], words[min(last, len(words) - 1)][1]
+            first = text.count(" ", 0, start + (text[start:start + 1] == " "))
+            last = text.count(" ", 0, max(start, end - 1))
+            start, end = words[first][0], words[min(last, len(words) - 1)][1]
             out.append((self.items[number][0], start, end, edits, len(self.items[number][1])))
         return out
 
@@ -136,34 +135,23 @@ class Items:
         return got[0], end - (back[1] if back else len(item)), end
 
 
-@lru_cache(maxsize=4)
-def block_items(token: str, shared, rate: float, least: int) -> Items:
-    return Items(shared.value, rate, least)
+BUILT: dict[str, Items] = {}  # the automaton a worker is using
 
 
-class Shared:
-    """A broadcast that compares by its name, so that a worker builds its automaton once."""
+def block_items(block: str, items: list[tuple[int, str]], rate: float, least: int) -> Items:
+    if block not in BUILT:
+        BUILT.clear()
+        BUILT[block] = Items(items, rate, least)
+    return BUILT[block]
 
-    def __init__(self, broadcast):
-        self.broadcast = broadcast
 
-    @property
-    def value(self):
-        return self.broadcast.value
-
-    def __hash__(self):
-        return 0
-
-    def __eq__(self, other):
-        return isinstance(other, Shared)
-
-
-def searcher(held: Shared, rate: float, least: int):
-    token = uuid.uuid4().hex
+def searcher(held, rate: float, least: int):
+    """A column function over texts for one broadcast block of items."""
+    block = uuid.uuid4().hex
 
     @F.pandas_udf(LEAKS)
     def leaks(texts: pd.Series) -> pd.Series:
-        search = block_items(token, held, rate, least).find
+        search = block_items(block, held.value, rate, least).find
         return texts.map(lambda x: [dict(zip(("item_id", "start", "end", "edits", "item_chars"), r)) for r in search(x)])
 
     return leaks
@@ -171,14 +159,32 @@ def searcher(held: Shared, rate: float, least: int):
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST, block_chars: int = BLOCK_CHARS,
                text: str = "text") -> DataFrame:
-    """``docs`` with ``leaks``: item_id, start, end, edits, item_chars of each item found."""
+    """``docs`` with ``leaks`` (in place of a column of that name): item_id, start, end, edits, item_chars of each item found.
+
+    One block of items is broadcast at a time. With more than one, a pass over the texts per block writes what it finds
+    under the text's SHA-256, its broadcast is given up, and the found rows meet their texts in the end.
+    """
     spark = docs.sparkSession
     items = benchmark.select("item_id", text_of("text").alias("item_text"))
-    size = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
-    blocks = math.ceil(size / block_chars)
-    column = F.array().cast(LEAKS)
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == block)
-        held = Shared(spark.sparkContext.broadcast([(r.item_id, r.item_text) for r in part.collect()]))
-        column = F.concat(column, searcher(held, rate, least)(text_of(text)))
-    return docs.withColumn("leaks", column)
+    blocks = math.ceil((items.agg(F.sum(F.length("item_text"))).first()[0] or 0) / block_chars)
+    none = F.array().cast(LEAKS)
+
+    def block_of(number: int):
+        part = items.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == number)
+        return spark.sparkContext.broadcast([(r.item_id, r.item_text) for r in part.collect()])
+
+    if blocks == 0:
+        return docs.withColumn("leaks", none)
+    if blocks == 1:
+        return docs.withColumn("leaks", searcher(block_of(0), rate, least)(text_of(text)))
+    found = None
+    for number in range(blocks):
+        held = block_of(number)
+        hits = (docs.select(text_of(text).alias("body")).withColumn("leaks", searcher(held, rate, least)("body"))
+                .where(F.size("leaks") > 0).select(F.sha2("body", 256).alias("key"), "leaks"))
+        hits = materialise(hits.groupBy("key").agg(F.first("leaks").alias("leaks")))
+        held.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    found = found.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("found_leaks"))
+    met = packed(docs).withColumn("key_", F.sha2(text_of(f"row_.{text}"), 256)).join(found, F.col("key_") == F.col("key"), "left")
+    return unpacked(met.withColumn("leaks", F.coalesce("found_leaks", none)), docs, "leaks")
