@@ -259,6 +259,14 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.with_leaks(docs, benchmark.where("false")).where("size(leaks) > 0").count() == 0
 
 
+def test_offsets_where_lower_casing_changes_lengths():
+    item = "the quick brown fox jumps over the lazy dog again and again"
+    for lead in ("\u0130\u0130\u0130\u0130,, --  ", "\u212a\u0130 \u1e9e ", ""):
+        text = lead + "The  quick   brown fox jumps \u2013over the lazy DOG, again and again!"
+        found = decontaminate.Items([(7, item)], decontaminate.RATE, decontaminate.LEAST).find(text)
+        assert [(f[0], text[f[1]:f[2]]) for f in found] == [(7, text[len(lead):-1])], lead
+
+
 def test_items_that_repeat_themselves_are_found():
     rng = random.Random(5)
     letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))

@@ -114,9 +114,55 @@ def test_quality_cutoffs_hold_their_risk(spark):
 
 def test_fixed_sequence_stops_at_the_first_failure():
     import pandas as pd
-    bins = pd.DataFrame({"bin": [0, 10, 50], "good": [990, 10, 0], "bad": [0, 5, 95]})
-    assert 10 <= quality_rules.choose(bins, 0.05, 0.01, 5.0) < 50
-    assert quality_rules.choose(bins, 0.0005, 0.01, 5.0) == quality_rules.BINS
+    places = pd.DataFrame({"step": [0, 3, 9, 41], "good": [0, 10, 60, 930], "bad": [40, 20, 30, 10]})
+    assert quality_rules.certified(places, 0.05, 0.01, 1.0) == 3  # step 9 would reject 70 of 1000
+    assert quality_rules.certified(places, 0.05, 0.01, 5.0) == 0
+    assert quality_rules.certified(places, 0.0005, 0.01, 5.0) == -1
+    bins = pd.DataFrame({"rule": [0] * 3 + [2], "bin": [0, 10, 50, 7], "good": [960, 40, 0, 1000], "bad": [0, 5, 95, 0]})
+    steps = quality_rules.ladder(bins, 1.0)
+    assert steps[0] == [10, 100, 100, 100, 100] and steps[16] == [0, 100, 100, 100, 100]
+    assert all(x >= y for one, two in zip(steps, steps[1:]) for x, y in zip(one, two))
+
+
+def test_kept_equals_a_plain_version(spark):
+    import pandas as pd
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randint(0, 9999)}{'#' * (rng.random() < (0.5 if i % 4 == 0 else 0.001))}" for _ in range(rng.randint(45, 80))) for i in range(900)]
+    docs = made(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "en").otherwise("de"))
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(850)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality_rules.judge(docs, labels).collect()}
+    assert got == {r.doc_id: r.kept for r in quality_rules.judge(docs, labels, with_text=False).collect()}
+    halves = {r.doc_id: r.h for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2)).alias("h")).collect()}
+    count = [dict(zip(quality_rules.COUNTS, quality_rules.measure(t))) for t in texts]
+    bins = [[min(100, 100 * c[a] // c[b]) if c[b] else 0 for a, b in quality_rules.RULES.values()] for c in count]
+    failed = [c["n_words"] < 50 or 2 * c["n_repeat_words"] > c["n_words"] for c in count]
+    want, acted = {}, 0
+    for rest in ({0}, {1, 2}):
+        mine = [i for i in range(900) if i % 3 in rest]
+        labelled = [i for i in mine if i < 850 and not failed[i]]
+        chosen, held = ([i for i in labelled if halves[i] == h] for h in (0, 1))
+        steps, last = [], [100] * 5
+        n = sum(i % 4 > 0 for i in chosen)
+        for share in quality_rules.LADDER:
+            cuts = []
+            for r in range(5):
+                good = lambda c: sum(bins[i][r] > c and i % 4 > 0 for i in chosen)  # noqa: E731, B023
+                cut = min(c for c in range(101) if good(c) <= share * n)
+                bad = sum(bins[i][r] > cut and i % 4 == 0 for i in chosen)
+                cuts.append(cut if bad > 5 * good(cut) else last[r])
+            steps.append(cuts)
+            last = cuts
+        rejects = lambda i, cuts: any(b > c for b, c in zip(bins[i], cuts))
+        best, use, n = 0, [100] * 5, sum(i % 4 > 0 for i in held)
+        for cuts in steps:
+            g, w = (sum(rejects(i, cuts) for i in held if (i % 4 > 0) == x) for x in (True, False))
+            if g >= 0.05 * n or quality_rules.tail(g, n, 0.05) > 0.05 / 2:
+                break
+            if w - 5 * g > best:
+                best, use = w - 5 * g, cuts
+        acted += use != [100] * 5
+        want |= {i: not failed[i] and not rejects(i, use) for i in mine}
+    assert got == want and acted == 2
 
 
 def test_notices_with_errors(spark):
@@ -150,6 +196,49 @@ def test_repeated_notices_are_all_found(spark):
     assert got == {0: [0] * 3000, 1: [3] * 1500, 2: [3, 1, 0, 3]}
 
 
+def test_many_places_of_a_phrase_and_base_columns(spark):
+    import time
+    rng, words = random.Random(4), "under the mit license apache version 2 cc by nc x CC, é".split()
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(600)] + ["cc by nc " * 60000]
+    began = time.time()
+    many = license_scan.scan_text(texts[-1], tuple(license_scan.BASE.items()), tuple(license_scan.NOTICES.items()), license_scan.ERROR_RATE)
+    assert many[:4] == (180000, 60000, 0, 179997) and time.time() - began < 5
+    for text in texts[:-1]:
+        plain = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        places = [(i, label) for p, label in license_scan.BASE.items() for i in range(len(plain)) if plain[i:i + len(p.split())] == p.split()]
+        got = license_scan.scan_text(text, tuple(license_scan.BASE.items()), tuple(license_scan.NOTICES.items()), license_scan.ERROR_RATE)
+        assert got[:5] == (len(plain), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None),
+                           ",".join(sorted({x for _, x in places})))
+
+
+def test_bad_hosts_with_enough_labels_are_blocked(spark):
+    pages, outcomes, n = [], [], 0
+    for host, all_, bad in [("a.big.com", 200, 20), ("b.big.com", 150, 15), ("spam.big.com", 20, 18), ("new.big.com", 2, 2), ("none.big.com", 0, 0),
+                            *[(f"h{i}.d{i % 7}.net", 30, 3 + i % 3) for i in range(30)], *[(f"x{i}.farm.org", 25, 24) for i in range(6)], ("y.farm.org", 0, 0)]:
+        for k in range(all_ + 1):  # the last page has no label
+            pages.append((n, f"http://{host}/{k}"))
+            if k < all_:
+                outcomes.append((n, int(k < bad)))
+            n += 1
+    got = {r.host: r.verdict for r in url_reputation.judge(spark.createDataFrame(pages, "page_id long, url string"),
+                                                           spark.createDataFrame(outcomes, "page_id long, bad int"), []).distinct().collect()}
+    blocked = {h for h, v in got.items() if v == "block"}
+    assert blocked >= {"spam.big.com", *[f"x{i}.farm.org" for i in range(6)]}
+    assert not blocked & {"a.big.com", "b.big.com", "new.big.com", "none.big.com", *[f"h{i}.d{i % 7}.net" for i in range(30)]}
+
+
+def test_beta_probabilities(spark):
+    from math import comb
+    cases = [(a, b) for a in (1, 2, 7, 40) for b in (1, 3, 25, 400)] + [(3000, 2000)]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in cases], "a double, b double")
+    for limit in (0.07, 0.5, 0.61):
+        got = {(r.a, r.b): r.low for r in url_reputation.with_below(df, "a", "b", limit, "low").collect()}
+        for a, b in cases[:-1]:
+            n = a + b - 1
+            assert got[(a, b)] == pytest.approx(sum(comb(n, i) * limit ** i * (1 - limit) ** (n - i) for i in range(a, n + 1)), rel=1e-9, abs=1e-15)
+        assert got[(3000, 2000)] == pytest.approx({0.07: 0.0, 0.5: 0.0, 0.61: 0.9262}[limit], abs=2e-3)
+
+
 def test_urls_rules_and_reputation(spark):
     rules = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
     urls = ["http://A.Example.ORG/es/x?q", "https://example.org/en/12", "https://example.org", "x://y.org/#f", "http://notexample.org/es/",
@@ -222,3 +311,37 @@ def test_pii_patterns_find_unseen_identifiers(spark):
     texts = pii.find(docs.where("doc_id IN (0, 60, 61)")).select("doc_id", pii.redacted("text", "spans").alias("t"))
     assert texts.where("doc_id = 0").first().t == "please mail <EMAIL> today"
     assert pii.find(made(spark, [])).count() == 0
+
+
+def test_pii_patterns_are_learnt_from_discovered_instances(spark):
+    seeds = [f"mail user{i}x@mail{i}.org today" for i in range(20)]
+    # the same unknown names stand after "mail" and after "login : name"; other names only after the latter
+    both = [t for i in range(8) for t in (f"mail handle{i}77 today", f"login : handle{i}77 end")]
+    only = [f"login : hidden{i}99 end" for i in range(2)]
+    stop = [f"of {w}" for w in ("123456789", "x@y.org", *["word"] * 30)]
+    texts = seeds + both + only + stop
+    got = {r.doc_id: r for r in pii.find(made(spark, texts)).collect()}
+    spans = lambda i: [texts[i][s.start:s.end] for s in got[i].spans if s.kind == "context"]
+    at = len(seeds) + len(both)
+    assert [spans(i) for i in (20, at, at + 1)] == [["handle077"], ["hidden099"], ["hidden199"]]
+    assert not any(spans(i) for i in range(at + 2, len(texts)))
+    one = {r.doc_id: r for r in pii.find(made(spark, texts), rounds=0).collect()}
+    assert not one[at].spans[:]
+
+
+def test_pii_keys_after_key_marks(spark):
+    rng = random.Random(5)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts = [f'x token = "{key()}" y' for _ in range(8)] + ['z token = "sk-short-17" y', f"commit {key()} of"] + ["of word"] * 9
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans] for r in pii.find(made(spark, texts)).collect()}
+    assert all(len(got[i]) == 1 and len(got[i][0]) == 40 for i in range(8)) and got[8] == ["sk-short-17"] and got[9] == []
+
+
+def test_pii_long_neighbours_and_thousands_of_matches(spark):
+    word = "w" * 5000
+    texts = [f"{word} a@b.org{' ' * 500}{word}", " ".join(f"id{i:06d}" for i in range(30000)), "9" * 20000]
+    seen = pii.occurrences(pii.with_base(made(spark, texts), seeds=True))
+    first = seen.where("doc_id = 0").first()
+    assert (first.before, first.after) == (word, word)
+    rows = seen.where("doc_id = 1").orderBy("start").collect()
+    assert len(rows) == 30000 and all(texts[1][r.start:r.end] == r.instance == f"id{i:06d}" for i, r in enumerate(rows))
