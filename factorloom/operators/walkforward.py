@@ -8,10 +8,11 @@ it, hence the pairwise sums.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from factorloom.functions import columns as c
@@ -60,30 +61,36 @@ class System:
     label_mean: float
 
 
-def systems(table: DataFrame, splits: DataFrame, features: Sequence[str], start: str, mode: str = "expanding",
-            years: int = 4, strict: bool = False) -> list[System]:
-    """One system per split; k*k numbers per split reach the driver."""
-    k = len(features)
+def split_sums(table: DataFrame, splits: DataFrame, start: str, mode: str = "expanding", years: int = 4,
+               strict: bool = False) -> DataFrame:
+    """(name, first, last, last_exit, block): each split's dates and the sums over its training rows, written once."""
     picked = in_training(table, splits, start, mode, years, strict)
     spans = picked.groupBy("name").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.max("label_exit_date").alias("last_exit"))
-    totals = spans.join(gram.added(picked, ["name"]), "name")
-    out = []
-    for row in totals.orderBy("name").collect():
-        block = np.array(row["block"])
-        full, cross, given = (block[i * k * k:(i + 1) * k * k].reshape(k, k) for i in range(3))
-        xy_sum, label_seen, (label_sum, rows) = block[3 * k * k:3 * k * k + k], block[3 * k * k + k:-2], block[-2:]
-        seen = np.diag(full)
-        if (seen == 0).any():
-            empty = [f for f, n in zip(features, seen) if n == 0]
-            raise ValueError(f"{row['name']}: no training value in {empty}")
-        mean = np.diag(given) / seen
-        spread = np.sqrt(np.maximum(np.diag(cross) / seen - mean ** 2, 0.0))
-        scale = np.where(spread > 0, spread, 1.0)
-        centred = cross - given * mean[None, :] - (given * mean[None, :]).T + full * np.outer(mean, mean)
-        xy = xy_sum - mean * label_seen
-        out.append(System(row["name"], int(rows), row["first"], row["last"], row["last_exit"], mean, scale,
-                          centred / np.outer(scale, scale), xy / scale, label_sum / rows))
-    return out
+    return materialise(spans.join(gram.added(picked, ["name"]), "name"))
+
+
+def solved(row, features: Sequence[str]) -> System:
+    """The system of one row of ``split_sums``."""
+    k, block = len(features), np.array(row["block"])
+    full, cross, given = (block[i * k * k:(i + 1) * k * k].reshape(k, k) for i in range(3))
+    xy_sum, label_seen, (label_sum, rows) = block[3 * k * k:3 * k * k + k], block[3 * k * k + k:-2], block[-2:]
+    seen = np.diag(full)
+    if (seen == 0).any():
+        empty = [f for f, n in zip(features, seen) if n == 0]
+        raise ValueError(f"{row['name']}: no training value in {empty}")
+    mean = np.diag(given) / seen
+    spread = np.sqrt(np.maximum(np.diag(cross) / seen - mean ** 2, 0.0))
+    scale = np.where(spread > 0, spread, 1.0)
+    centred = cross - given * mean[None, :] - (given * mean[None, :]).T + full * np.outer(mean, mean)
+    xy = xy_sum - mean * label_seen
+    return System(row["name"], int(rows), row["first"], row["last"], row["last_exit"], mean, scale,
+                  centred / np.outer(scale, scale), xy / scale, label_sum / rows)
+
+
+def systems(table: DataFrame, splits: DataFrame, features: Sequence[str], start: str, mode: str = "expanding",
+            years: int = 4, strict: bool = False) -> list[System]:
+    """The systems of a few splits on the driver (k*k numbers each); ``fits`` solves any number of them in tasks."""
+    return [solved(row, features) for row in split_sums(table, splits, start, mode, years, strict).orderBy("name").collect()]
 
 
 def coefficients(system: System, model: str, alpha: float = 0.0, l1_ratio: float = 0.0) -> np.ndarray:
@@ -97,21 +104,39 @@ FIT_SCHEMA = ("name string, model string, alpha double, l1_ratio double, interce
               "scale array<double>, weight array<double>")
 
 
+def fit_row(s: System, model: str, alpha: float, l1: float) -> tuple:
+    return (s.name, model, float(alpha), float(l1), float(s.label_mean), s.mean.tolist(), s.scale.tolist(),
+            [float(x) for x in coefficients(s, model, alpha, l1)])
+
+
 def fit_table(spark, fits: Sequence[tuple[System, str, float, float]]) -> DataFrame:
-    rows = [(s.name, m, float(a), float(l1), float(s.label_mean), s.mean.tolist(), s.scale.tolist(),
-             [float(x) for x in coefficients(s, m, a, l1)]) for s, m, a, l1 in fits]
-    return spark.createDataFrame(rows, FIT_SCHEMA)
+    return spark.createDataFrame([fit_row(*f) for f in fits], FIT_SCHEMA)
+
+
+def fits(sums: DataFrame, features: Sequence[str], candidates: Callable[[str], Sequence[tuple[str, float, float]]]) -> DataFrame:
+    """Every split of ``split_sums`` fitted with its ``candidates`` (model, alpha, l1_ratio; by the split's name). A split is
+    solved in the task that holds its sums; the fits are written, so that their size is known where they are joined."""
+    names = [x.split()[0] for x in FIT_SCHEMA.split(", ")]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, row in batch.iterrows():
+                system = solved(row, features)
+                yield pd.DataFrame([fit_row(system, *c) for c in candidates(system.name)], columns=names)
+
+    return materialise(sums.mapInPandas(solve, FIT_SCHEMA))
 
 
 def score(rows: DataFrame, splits: DataFrame, fits: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Predictions of every fit on its split's rows; both joined tables come from the driver."""
+    """Predictions of every fit on its split's rows."""
     placed = prediction_rows(rows, splits.select("name", "prediction_start", "prediction_end"))
     return with_fit(placed.drop("prediction_start", "prediction_end"), fits, features)
 
 
 def with_fit(rows: DataFrame, fits: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``rows`` (with the name of their split) with ``prediction``, once per fit of the split; fits come from the driver."""
-    joined = rows.join(F.broadcast(fits), "name")
+    """``rows`` (with the name of their split) with ``prediction``, once per fit of the split. Fits are sent to the rows as long as
+    their size allows (Spark's threshold); beyond it Spark splits the join's skewed partitions."""
+    joined = rows.join(fits, "name")
     value = F.col("intercept")
     for i, f in enumerate(features):
         scaled = (F.col(f) - F.get("mean", F.lit(i))) / F.get("scale", F.lit(i))
@@ -119,12 +144,9 @@ def with_fit(rows: DataFrame, fits: DataFrame, features: Sequence[str]) -> DataF
     return joined.withColumn("prediction", value).drop("intercept", "mean", "scale", "weight")
 
 
-def scaled_rows(rows: DataFrame, splits: DataFrame, fitted: Sequence[System], features: Sequence[str]) -> DataFrame:
-    """Prediction rows scaled by their split's training statistics, missing as 0."""
-    table = rows.sparkSession.createDataFrame([(s.name, s.mean.tolist(), s.scale.tolist()) for s in fitted],
-                                              "name string, mean array<double>, scale array<double>")
-    placed = prediction_rows(rows, splits)
-    joined = placed.join(F.broadcast(table), "name")
+def scaled_rows(rows: DataFrame, splits: DataFrame, fits: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Prediction rows scaled by their split's training statistics (one fit per split), missing as 0."""
+    joined = prediction_rows(rows, splits).join(fits.select("name", "mean", "scale"), "name")
     return joined.select("name", "d", "symbol", *[
         F.coalesce((F.col(f) - F.get("mean", F.lit(i))) / F.get("scale", F.lit(i)), F.lit(0.0)).alias(f)
         for i, f in enumerate(features)])

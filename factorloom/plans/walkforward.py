@@ -109,18 +109,23 @@ FIT = {
 }
 
 
-def fitted(p, rows=None, features=tuple(PAIR)):
-    """(labelled panel, splits, systems): the panel and the split list are written once."""
-    rows = materialise(data(p)) if rows is None else rows
-    sp = kept(splits(p))
-    return rows, sp, wf.systems(wf.moments(rows, features), sp, features, START)
+def fitted(p, candidates, features=tuple(PAIR)):
+    """(labelled panel, splits, their sums, fits): panel, splits and sums are written once, and every split is fitted with
+    the same candidates (model, alpha, l1_ratio)."""
+    rows, sp = materialise(data(p)), kept(splits(p))
+    sums = wf.split_sums(wf.moments(rows, features), sp, START)
+    return rows, sp, sums, wf.fits(sums, features, lambda name: candidates)
+
+
+OLS = [("linear_regression", 0.0, 0.0)]
+ELASTIC = [("elasticnet", a, l1) for a in wf.ELASTIC_ALPHAS for l1 in wf.ELASTIC_L1_RATIOS]
 
 
 @query("i08_split_scaler", sql(f"""SELECT s.name, x.d, x.symbol, {r('coalesce((f_disc-ma)/sa,0)')} AS f_disc, {r('(f_qty-mb)/sb')} AS f_qty FROM data x
     JOIN sp s ON x.d BETWEEN s.prediction_start AND s.prediction_end JOIN sc ON sc.name = s.name""", "data", extra={k: FIT[k] for k in ("sp", "tr", "sc")}))
 def split_scaler(p):
-    rows, sp, systems = fitted(p)
-    return wf.scaled_rows(rows, sp, systems, PAIR)
+    rows, sp, _, fits = fitted(p, OLS)
+    return wf.scaled_rows(rows, sp, fits, PAIR)
 
 
 def coefficient_rows(fits, features):
@@ -136,29 +141,46 @@ def _coefficients(model: str) -> str:
 
 @query("i09_ols", _coefficients("linear_regression"))
 def ols(p):
-    _, _, systems = fitted(p)
-    fits = wf.fit_table(p.spark, [(s, "linear_regression", 0.0, 0.0) for s in systems])
+    fits = fitted(p, OLS)[3]
     return coefficient_rows(fits, PAIR).drop("model", "l1_ratio")
 
 
 @query("i10_ridge", _coefficients("ridge"))
 def ridge(p):
-    _, _, systems = fitted(p)
-    fits = wf.fit_table(p.spark, [(s, "ridge", a, 0.0) for s in systems for a in wf.RIDGE_ALPHAS])
+    fits = fitted(p, [("ridge", a, 0.0) for a in wf.RIDGE_ALPHAS])[3]
     return coefficient_rows(fits, PAIR).drop("model", "l1_ratio")
 
 
 @query("i11_elastic_net")
 def elastic_net(p):
-    _, _, systems = fitted(p, features=tuple(FACTORS))
-    fits = wf.fit_table(p.spark, [(s, "elasticnet", a, l1) for s in systems for a in wf.ELASTIC_ALPHAS for l1 in wf.ELASTIC_L1_RATIOS])
-    return coefficient_rows(fits, FACTORS)
+    return coefficient_rows(fitted(p, ELASTIC, tuple(FACTORS))[3], FACTORS)
+
+
+# The minimum for two features by cases: for each pair of signs, weights that have these signs and no slope left.
+ELASTIC_FIT = {
+    **{k: FIT[k] for k in ("sp", "tr", "sc", "zs", "gm")},
+    "me": "SELECT g.name, sc.my, g.aa/n AS aa, g.ab/n AS ab, g.bb/n AS bb, (g.ay - sa_ * my)/n AS ca, (g.by_ - sb_ * my)/n AS cb FROM gm g JOIN sc ON sc.name = g.name"
+          " JOIN (SELECT name, sum(a) AS sa_, sum(b) AS sb_ FROM zs GROUP BY name) z ON z.name = g.name",
+    "ca": "SELECT me.*, alpha, l1_ratio, alpha*l1_ratio AS soft, alpha*(1-l1_ratio) AS flat, ga, gb FROM me, (VALUES (0.001::DOUBLE), (0.01), (0.1), (1.0)) x(alpha),"
+          " (VALUES (0.2::DOUBLE), (0.8)) y(l1_ratio), (VALUES (-1), (0), (1)) u(ga), (VALUES (-1), (0), (1)) v(gb)",
+    "so": """SELECT *, CASE WHEN ga = 0 THEN 0 WHEN gb = 0 THEN (ca - soft*ga)/(aa + flat) ELSE ((bb+flat)*(ca - soft*ga) - ab*(cb - soft*gb))/((aa+flat)*(bb+flat) - ab*ab) END AS wa,
+        CASE WHEN gb = 0 THEN 0 WHEN ga = 0 THEN (cb - soft*gb)/(bb + flat) ELSE ((aa+flat)*(cb - soft*gb) - ab*(ca - soft*ga))/((aa+flat)*(bb+flat) - ab*ab) END AS wb FROM ca""",
+    "fi": """SELECT name, alpha, l1_ratio, any_value(my) AS intercept, any_value(wa) AS wa, any_value(wb) AS wb FROM so
+        WHERE sign(wa) = ga AND sign(wb) = gb AND (ga <> 0 OR abs(ca - ab*wb) <= soft) AND (gb <> 0 OR abs(cb - ab*wa) <= soft) GROUP BY name, alpha, l1_ratio""",
+}
+
+
+@query("i11_elastic_net_pair", sql(f"""SELECT name, 'elasticnet' AS model, alpha, l1_ratio, feature, {r('v')} AS coefficient FROM (
+    SELECT name, alpha, l1_ratio, 'f_disc' AS feature, wa AS v FROM fi UNION ALL SELECT name, alpha, l1_ratio, 'f_qty', wb FROM fi
+    UNION ALL SELECT name, alpha, l1_ratio, 'intercept', intercept FROM fi)""", "data", extra=ELASTIC_FIT))
+def elastic_net_pair(p):
+    return coefficient_rows(fitted(p, ELASTIC)[3], PAIR)
 
 
 def scored_candidates(p, rows, fold_table, features, model, grid):
     """Selection score of every (alpha, l1_ratio) on every fold, all scored in one frame."""
-    systems = wf.systems(wf.moments(rows, features), fold_table, features, START, strict=True)
-    fits = wf.fit_table(p.spark, [(s, model, a, l1) for s in systems for a, l1 in grid])
+    sums = wf.split_sums(wf.moments(rows, features), fold_table, START, strict=True)
+    fits = wf.fits(sums, features, lambda name: [(model, a, l1) for a, l1 in grid])
     predictions = wf.score(rows.where("label IS NOT NULL"), fold_table, fits, features)
     candidate = F.concat_ws("|", "name", F.col("alpha").cast("string"), F.col("l1_ratio").cast("string"))
     scored = ic.metric_summary(materialise(predictions.withColumn("model", candidate)), slices=p.slices())
@@ -255,8 +277,7 @@ def parameter_search(p):
         rank() OVER (PARTITION BY model, name, d ORDER BY label) + (count(*) OVER (PARTITION BY model, name, d, label)-1)/2.0 AS rb
       FROM pr WHERE label IS NOT NULL AND alpha IN (0, 10)) GROUP BY model, name, d) GROUP BY model, name""", "data", extra=FIT))
 def walk_forward(p):
-    rows, sp, systems = fitted(p)
-    fits = wf.fit_table(p.spark, [f for s in systems for f in ((s, "linear_regression", 0.0, 0.0), (s, "ridge", 10.0, 0.0))])
+    rows, sp, _, fits = fitted(p, [*OLS, ("ridge", 10.0, 0.0)])
     predictions = wf.score(rows, sp, fits, PAIR).withColumn("prediction", F.round("prediction", 12))
     daily = ic.daily_ic(predictions.where("label IS NOT NULL"), ("model", "name", "d"), slices=p.slices())
     return daily.groupBy("model", "name").agg(F.avg("rank_ic").alias("mean_rank_ic"), F.avg("pearson_ic").alias("pearson_ic"),
@@ -281,8 +302,7 @@ def yearly_penalties(p, rows, table, years) -> dict[int, float]:
     dates = sorted(tuple(r) for r in table.select("d", "label_exit_date").distinct().collect() if r["d"] >= first)
     folds = yearly_folds(dates, years)
     spans = p.spark.createDataFrame([(f"{y}/{q}", a, a, b) for y, q, a, b in folds], "name string, train_cutoff date, prediction_start date, prediction_end date")
-    systems = wf.systems(table, spans, FACTORS, START, strict=True)
-    fits = wf.fit_table(p.spark, [(s, "ridge", a, 0.0) for s in systems for a in wf.RIDGE_ALPHAS])
+    fits = wf.fits(wf.split_sums(table, spans, START, strict=True), FACTORS, lambda name: [("ridge", a, 0.0) for a in wf.RIDGE_ALPHAS])
     parts, rest = [], sorted(folds, key=lambda f: f[2])
     while rest:  # spans of one pass do not overlap; two years share a quarter only where the calendar has gaps
         own, later, end = [], [], datetime.date.min
@@ -308,9 +328,10 @@ def yearly_retune(p):
     """Penalty chosen once a year on trailing folds inside that year's training window, then used for its splits."""
     rows, sp = materialise(data(p)), kept(splits(p))
     table = wf.moments(rows, FACTORS)
-    systems = wf.systems(table, sp, FACTORS, START)
-    alpha = yearly_penalties(p, rows, table, sorted({int(s.name[:4]) for s in systems}))
-    fits = wf.fit_table(p.spark, [(s, "ridge", alpha[int(s.name[:4])], 0.0) for s in systems])
+    sums = wf.split_sums(table, sp, START)
+    years = sums.select(F.substring("name", 1, 4).cast("int").alias("year")).distinct().collect()
+    alpha = yearly_penalties(p, rows, table, sorted(x["year"] for x in years))
+    fits = wf.fits(sums, FACTORS, lambda name: [("ridge", alpha[int(name[:4])], 0.0)])
     scored = wf.score(rows, sp, fits, FACTORS)
     return scored.groupBy("name", "alpha").agg(F.count("*").alias("rows"), F.avg("prediction").alias("mean_prediction"))
 
@@ -322,14 +343,13 @@ def yearly_retune(p):
         CASE WHEN label IS NOT NULL THEN rank() OVER (PARTITION BY name, d ORDER BY label NULLS LAST) + (count(*) OVER (PARTITION BY name, d, label)-1)/2.0 END AS rb
       FROM pr WHERE model = 'linear_regression') GROUP BY name, d) GROUP BY name) v ON v.name = t.name""", "data", extra=FIT))
 def training_records(p):
-    rows, sp, systems = fitted(p)
-    fits = wf.fit_table(p.spark, [(s, "linear_regression", 0.0, 0.0) for s in systems])
+    rows, sp, sums, fits = fitted(p, OLS)
     predictions = wf.score(rows, sp, fits, PAIR).withColumn("prediction", F.round("prediction", 12))
     daily = ic.daily_ic(predictions, ("name", "d"), slices=p.slices())
     tests = daily.groupBy("name").agg(F.avg("rank_ic").alias("test_rank_ic"))
     counts = predictions.groupBy("name").agg(F.count("*").alias("prediction_rows"))
-    table = p.spark.createDataFrame([(s.name, s.rows, s.first, s.last, s.last_exit, len(PAIR)) for s in systems],
-                                    "name string, train_rows bigint, first_d date, last_d date, last_exit date, feature_count int")
+    table = sums.select("name", F.element_at("block", -1).cast("bigint").alias("train_rows"), F.col("first").alias("first_d"),
+                        F.col("last").alias("last_d"), "last_exit", F.lit(len(PAIR)).alias("feature_count"))
     return table.join(tests, "name").join(counts, "name")
 
 
@@ -342,8 +362,7 @@ def training_records(p):
                              extra={k: FIT[k] for k in ("sp", "tr", "sc", "zs", "gm", "fit")}))
 def train_fit(p):
     """Rank IC of every split's fit on all its training rows, to set beside the test figure."""
-    rows, sp, systems = fitted(p)
-    fits = wf.fit_table(p.spark, [(s, "linear_regression", 0.0, 0.0) for s in systems])
+    rows, sp, _, fits = fitted(p, OLS)
     train = align.training_rows(rows, sp.select("name", "train_cutoff"), START)
     scored = wf.with_fit(train, fits, PAIR).withColumn("prediction", F.round("prediction", 12))
     daily = ic.daily_ic(scored, ("name", "d"), slices=p.slices())
@@ -353,8 +372,7 @@ def train_fit(p):
 @query("i18_importance")
 def importance(p):
     trees = boosting.importance_rows(p.spark, tree_fits(p)[2], FACTORS).withColumn("model", F.lit("boosted_trees"))
-    _, _, systems = fitted(p, features=tuple(FACTORS))
-    fits = wf.fit_table(p.spark, [(s, "ridge", 1.0, 0.0) for s in systems])
+    fits = fitted(p, [("ridge", 1.0, 0.0)], tuple(FACTORS))[3]
     linear = coefficient_rows(fits, FACTORS).where("feature <> 'intercept'").select(
         "feature", F.col("coefficient").alias("importance"), "model", "name")
     return linear.unionByName(trees)

@@ -48,12 +48,22 @@ def test_every_split_from_one_scan_matches_direct_fits(spark):
             np.testing.assert_allclose(mine, t @ beta + train.label.mean(), atol=1e-8)
 
 
+def test_fits_in_tasks_equal_those_on_the_driver(spark):
+    df, sp = panel(spark), splits(spark)
+    table = wf.moments(df, FEATURES)
+    each = {"one": [("linear_regression", 0.0, 0.0)], "two": [("ridge", 10.0, 0.0), ("elasticnet", 0.01, 0.8)]}
+    got = wf.fits(wf.split_sums(table, sp, "2000-01-01"), FEATURES, lambda name: each[name]).collect()
+    want = wf.fit_table(spark, [(s, *c) for s in wf.systems(table, sp, FEATURES, "2000-01-01") for c in each[s.name]]).collect()
+    assert len(got) == 3 and sorted(got) == sorted(want)
+
+
 def test_scaler_example(spark):
     rows = [(day(0), "a", 1.0, 0.0, day(0)), (day(0), "b", 3.0, 1.0, day(0)), (day(0), "c", None, 2.0, day(0)), (day(1), "a", 5.0, None, None), (day(1), "b", None, None, None)]
     df = spark.createDataFrame(rows, "d date, symbol string, alpha double, label double, label_exit_date date")
     sp = spark.createDataFrame([("s", day(0), day(1), day(1))], "name string, train_cutoff date, prediction_start date, prediction_end date")
     systems = wf.systems(wf.moments(df, ["alpha"]), sp, ["alpha"], "2000-01-01")
-    assert [r["alpha"] for r in wf.scaled_rows(df, sp, systems, ["alpha"]).orderBy("symbol").collect()] == [3.0, 0.0]
+    fits = wf.fit_table(spark, [(s, "linear_regression", 0.0, 0.0) for s in systems])
+    assert [r["alpha"] for r in wf.scaled_rows(df, sp, fits, ["alpha"]).orderBy("symbol").collect()] == [3.0, 0.0]
 
 
 def test_all_missing_column_is_an_error(spark):
