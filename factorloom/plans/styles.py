@@ -72,6 +72,90 @@ def component_alignment(p):
     return p.spark.createDataFrame(rows, "quarter string, style string, source_component int, signed_similarity double")
 
 
+# Components of two factors in closed form: the axes of a 2x2 matrix, and the one angle that varimax turns a pair of columns by.
+TWO = ["f_disc", "f_qty"]
+QUARTER_OF = "year({0})*4 + quarter({0}) - 1"
+
+
+def closed_form(matrices: str) -> dict[str, str]:
+    """Loadings of ``matrices`` (key, aa, ab, bb) as expressions: tu (key, columns 1 and 2 of factors a and b)."""
+    flip = lambda c: f"CASE WHEN abs(a{c}) >= abs(b{c}) THEN sign(a{c}) ELSE sign(b{c}) END"
+    return {
+        "mx": matrices,
+        "ei": "SELECT *, atan2(2*ab, aa-bb)/2 AS t, sqrt((aa+bb)/2 + sqrt(((aa-bb)/2)**2 + ab*ab)) AS r1, sqrt(greatest((aa+bb)/2 - sqrt(((aa-bb)/2)**2 + ab*ab), 0)) AS r2 FROM mx",
+        "ld": "SELECT key, r1*cos(t) AS ax, -r2*sin(t) AS ay, r1*sin(t) AS bx, r2*cos(t) AS bw FROM ei",
+        "sq": "SELECT *, ax*ax-ay*ay AS au, 2*ax*ay AS av, bx*bx-bw*bw AS bu, 2*bx*bw AS bv FROM ld",
+        "an": """SELECT *, atan2(au*av + bu*bv - (au+bu)*(av+bv)/2, (au*au-av*av+bu*bu-bv*bv)/2 - (((au+bu)/2)**2 - ((av+bv)/2)**2))/4 AS g FROM sq""",
+        "ro": "SELECT key, ax*cos(g)+ay*sin(g) AS a1, ay*cos(g)-ax*sin(g) AS a2, bx*cos(g)+bw*sin(g) AS b1, bw*cos(g)-bx*sin(g) AS b2 FROM an",
+        "tu": f"SELECT key, a1*{flip(1)} AS a1, b1*{flip(1)} AS b1, a2*{flip(2)} AS a2, b2*{flip(2)} AS b2 FROM ro",
+    }
+
+
+DAILY = {**STD, "dm": "SELECT d, avg(f_disc*f_disc) AS aa, avg(f_disc*f_qty) AS ab, avg(f_qty*f_qty) AS bb FROM zx GROUP BY d HAVING count(*) > 2"}
+ROLLED = {
+    **DAILY, "dq": f"SELECT *, {QUARTER_OF.format('d')} AS q FROM dm",
+    "tg": """SELECT t.q AS key, min(x.d) AS fit_start, max(x.d) AS fit_end, count(*) AS dates, avg(aa) AS aa, avg(ab) AS ab, avg(bb) AS bb
+        FROM (SELECT DISTINCT q FROM dq) t JOIN dq x ON x.q BETWEEN t.q - 2 AND t.q - 1 GROUP BY t.q HAVING count(DISTINCT x.q) = 2""",
+    **closed_form("SELECT key, aa, ab, bb FROM tg"),
+    "un": """SELECT row_number() OVER (ORDER BY key) AS k, key, a1, b1, a2, b2, sqrt(a1*a1+b1*b1) AS n1, sqrt(a2*a2+b2*b2) AS n2 FROM tu""",
+    # one quarter after another: keep or swap the columns, then turn each to the side of the earlier one
+    "al": """SELECT k, key, a1, b1, a2, b2, n1, n2, 1 AS s1, 2 AS s2, NULL::DOUBLE AS c1, NULL::DOUBLE AS c2 FROM un WHERE k = 1
+        UNION ALL SELECT k, key, a1*sign(c1), b1*sign(c1), a2*sign(c2), b2*sign(c2), n1, n2, s1, s2, abs(c1), abs(c2) FROM (
+          SELECT k, key, CASE WHEN keep THEN x1 ELSE x2 END AS a1, CASE WHEN keep THEN y1 ELSE y2 END AS b1, CASE WHEN keep THEN x2 ELSE x1 END AS a2,
+            CASE WHEN keep THEN y2 ELSE y1 END AS b2, CASE WHEN keep THEN m1 ELSE m2 END AS n1, CASE WHEN keep THEN m2 ELSE m1 END AS n2,
+            CASE WHEN keep THEN 1 ELSE 2 END AS s1, CASE WHEN keep THEN 2 ELSE 1 END AS s2,
+            CASE WHEN keep THEN p11 ELSE p12 END AS c1, CASE WHEN keep THEN p22 ELSE p21 END AS c2 FROM (
+            SELECT *, abs(p11) + abs(p22) >= abs(p12) + abs(p21) AS keep FROM (
+              SELECT u.k, u.key, u.a1 AS x1, u.b1 AS y1, u.a2 AS x2, u.b2 AS y2, u.n1 AS m1, u.n2 AS m2,
+                (al.a1*u.a1 + al.b1*u.b1)/(al.n1*u.n1) AS p11, (al.a1*u.a2 + al.b1*u.b2)/(al.n1*u.n2) AS p12,
+                (al.a2*u.a1 + al.b2*u.b1)/(al.n2*u.n1) AS p21, (al.a2*u.a2 + al.b2*u.b2)/(al.n2*u.n2) AS p22
+              FROM al JOIN un u ON u.k = al.k + 1)))""",
+    "qu": "SELECT *, CAST(key // 4 AS VARCHAR) || 'Q' || CAST(key % 4 + 1 AS VARCHAR) AS quarter FROM al",
+}
+
+
+def rolling_sql(body: str) -> str:
+    return "WITH RECURSIVE" + sql(body, "fx", extra=ROLLED).removeprefix("WITH")
+
+
+def rolled_pair(p):
+    z = materialise(xs.standardise(p.fx(), TWO))
+    return z, *pca.rolling_components(pca.daily_moments(z, TWO), TWO, least=LEAST)
+
+
+@query("i19_style_components_pair", sql(f"""SELECT 'f_disc' AS factor, 'style_1' AS style, {r('a1')} AS loading FROM tu UNION ALL SELECT 'f_disc', 'style_2', {r('a2')} FROM tu
+    UNION ALL SELECT 'f_qty', 'style_1', {r('b1')} FROM tu UNION ALL SELECT 'f_qty', 'style_2', {r('b2')} FROM tu""", "fx", extra={**DAILY, **closed_form(
+    "SELECT 1 AS key, avg(aa) AS aa, avg(ab) AS ab, avg(bb) AS bb FROM dm WHERE d BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'")}))
+def style_components_pair(p):
+    part = pca.fixed_components(pca.daily_moments(xs.standardise(p.fx(), TWO), TWO), TWO, "1994-01-01", "1996-12-31", least=LEAST)
+    return pca.loading_rows(p.spark, {0: part}, TWO).drop("quarter")
+
+
+@query("i21_rolling_components_pair", rolling_sql(f"""SELECT quarter, fit_start, fit_end, dates, 1.0::DOUBLE AS explained, {r('coalesce((c1+c2)/2, 1)')} AS alignment
+    FROM qu JOIN tg ON tg.key = qu.key"""))
+def rolling_components_pair(p):
+    return note_rows(p, rolled_pair(p)[2])
+
+
+@query("i22_component_alignment_pair", rolling_sql(f"""SELECT quarter, 'style_1' AS style, s1 AS source_component, {r('c1')} AS signed_similarity FROM qu WHERE c1 IS NOT NULL
+    UNION ALL SELECT quarter, 'style_2', s2, {r('c2')} FROM qu WHERE c2 IS NOT NULL"""))
+def component_alignment_pair(p):
+    rows = [(n["quarter"], s, src, sim) for n in rolled_pair(p)[2] for s, src, sim in n["match"]]
+    return p.spark.createDataFrame(rows, "quarter string, style string, source_component int, signed_similarity double")
+
+
+def _centred(c: str) -> str:
+    over = "OVER (PARTITION BY d)"
+    return r(f"CASE WHEN stddev_pop({c}) {over} > 1e-12 THEN ({c}-avg({c}) {over})/stddev_pop({c}) {over} ELSE 0 END")
+
+
+@query("i23_rolling_exposure_pair", rolling_sql(f"""SELECT d, symbol, {_centred('x1')} AS style_1, {_centred('x2')} AS style_2 FROM (
+    SELECT d, symbol, f_disc*a1 + f_qty*b1 AS x1, f_disc*a2 + f_qty*b2 AS x2 FROM zx JOIN qu ON qu.key = {QUARTER_OF.format('d')})"""))
+def rolling_exposure_pair(p):
+    z, found, _ = rolled_pair(p)
+    return pca.rolling_exposure(z, found, TWO)
+
+
 def exposures(p):
     z, found, notes = rolled(p)
     return z, found, notes, materialise(pca.rolling_exposure(z, found, FACTORS))
@@ -390,6 +474,12 @@ def component_tables(p):
     return pca.loading_rows(p.spark, found, FACTORS)
 
 
+@query("i33_component_tables_pair", rolling_sql(" UNION ALL ".join(
+    f"SELECT quarter, '{f}' AS factor, 'style_{j}' AS style, {r(c + str(j))} AS loading FROM qu" for f, c in zip(TWO, "ab") for j in (1, 2))))
+def component_tables_pair(p):
+    return pca.loading_rows(p.spark, rolled_pair(p)[1], TWO)
+
+
 @query("i34_information_audit", sql(f"""SELECT x.d, x.max_information_date, x.max_information_date IS NULL OR x.max_information_date <= x.d AS information_available, {r('m.rank_ic')} AS momentum_ic FROM (
     SELECT d, max(max_information_date) AS max_information_date FROM ft GROUP BY d) x LEFT JOIN (
     SELECT d, CASE WHEN count(*) >= 3 AND stddev_samp(x) > 1e-12 AND stddev_samp(y) > 1e-12 THEN corr(ra, rb) END AS rank_ic FROM (SELECT d, x, y,
