@@ -100,6 +100,43 @@ def test_feed_restarts_where_it_stopped_and_drops_late_rows(spark, tmp_path):
     assert got == {(1, 1): 2.0, (3, 1): 4.0}
 
 
+def test_late_rows_are_counted_and_applied_after_a_restart(spark, tmp_path):
+    source, out, parts = (str(tmp_path / n) for n in ("in", "out", "parts"))
+    schema = "ts timestamp, event_id long, user_id long, value double, side string"
+    at = lambda n, h=1: datetime(2024, 1, n, h)
+
+    def add(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        feed = lambda: feeds.read_feed(spark, source, "*.parquet", spark.read.parquet(source).schema)
+        feeds.run_available(feeds.daily_activity(feed()), out, out + "-mark")
+        feeds.run_available(feeds.activity_parts(feed()), parts, parts + "-mark")
+        whole = feeds.whole_activity(spark.read.parquet(parts))
+        written = spark.read.schema(whole.schema).parquet(out)
+        days = {r["day"].day: (r["orders"], r["gross"], r["state"]) for r in feeds.corrected(written, whole).collect()}
+        late = {r["day"].day: (r["earlier"]["orders"] if r["earlier"] else None, r["now"]["orders"]) for r in feeds.corrections(written, whole).collect()}
+        return days, late
+
+    days, late = add([(at(1), 1, 1, 1.0, "BUY"), (at(1, 5), 2, 1, 2.0, "SELL"), (at(3), 3, 1, 3.0, "BUY"), (None, 9, 1, 3.0, "BUY")])
+    assert days == {1: (2, 3.0, "written"), 3: (1, 3.0, "open")} and late == {}
+    days, late = add([(at(1, 9), 4, 1, 9.0, "BUY"), (at(2), 7, 1, None, "BUY"), (at(3, 2), 5, 1, 4.0, "BUY"), (at(6), 6, 2, 5.0, "BUY")])
+    assert days == {1: (3, 12.0, "corrected"), 2: (1, None, "written"), 3: (2, 7.0, "written"), 6: (1, 5.0, "open")} or days[2][2] == "corrected"
+    assert late[1] == (2, 3) and days[1] == (3, 12.0, "corrected") and days[3] == (2, 7.0, "written")
+    days, late = add([(at(6, 3), 8, 2, 5.0, "BUY"), (at(1, 2), 10, 1, 1.0, "BUY")])
+    assert days[6] == (2, 10.0, "open") and late[1] == (2, 4)
+
+
+def test_signal_parts_keep_the_last_row(spark, tmp_path):
+    source, parts = str(tmp_path / "in"), str(tmp_path / "parts")
+    at = lambda n, h=1: datetime(2024, 1, n, h)
+    rows = [(at(d, h), i, u, float(i)) for i, (d, h, u) in enumerate([(1, 1, 1), (1, 3, 1), (1, 3, 1), (1, 2, 1), (2, 1, 1), (1, 1, 2)])] + [(None, 99, 1, 9.0)]
+    spark.createDataFrame(rows, "ts timestamp, event_id long, user_id long, value double").repartition(3).write.parquet(source)
+    signal = ("user_id", "value", "event_id")
+    feed = feeds.read_feed(spark, source, "*.parquet", spark.read.parquet(source).schema, files_per_batch=1)
+    feeds.run_available(feeds.signal_parts(feed, *signal), parts, parts + "-mark")
+    got = {(r["day"].day, r["user_id"]): r["value"] for r in feeds.whole_signals(spark.read.parquet(parts), *signal).collect()}
+    assert got == {(1, 1): 2.0, (2, 1): 4.0, (1, 2): 5.0}
+
+
 def test_every_oracle_has_a_query_and_entry_runs(spark):
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and len(names) >= 173
