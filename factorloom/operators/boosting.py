@@ -2,7 +2,7 @@
 
 Walk-forward splits, folds, candidates and horizons train on overlapping rows of one panel. The panel is binned and written
 once, in blocks; a model is a rule over a row's date, label exit and kind (which rows train it, with what weight), so no
-row is copied per model. Each level of each tree is one pass: tasks add up gradients by (model, node, feature, bin), the
+row is copied per model. A task reads blocks in place from Arrow batches, whose bytes Spark bounds, one after another. Each level of each tree is one pass: tasks add up gradients by (model, node, feature, bin), the
 sums meet by (model, node), where the best split is found, and only splits reach the driver. All models advance in the same
 pass, so its cost is that of one scan and not of one job chain per model. Margins are written every ``KEEP`` rounds; passes
 between add the trees grown since.
@@ -20,6 +20,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from factorloom.functions.columns import finite
@@ -29,8 +30,10 @@ KEEP = 8  # rounds between two writings of the margins
 UNIT = float(1 << 26)
 NEVER = 1 << 30  # the exit day of a label that is never realised
 HALF_LIFE = 365.25  # days; 252 sessions a year, and a half-life of 252 sessions
+# A reader holds a row group's blocks at once.
+WRITTEN = {"parquet.block.row.count.limit": 16, "compression": "lz4_raw"}
 SENT = 64 << 20  # bytes of trees that one scoring pass sends to the tasks
-BLOCKS = "kind binary, day binary, exit binary, label binary, weight binary, uid binary, bins binary, margin binary"
+BLOCKS = "kind binary, day binary, exit binary, label binary, weight binary, uid binary, bins binary, of binary, margin binary"
 
 
 @dataclass(frozen=True)
@@ -96,11 +99,41 @@ class Tree:
         return Tree(np.full(n, -1, dtype=np.int32), np.zeros(n, dtype=np.int32), np.zeros(n), np.zeros(n))
 
     def place(self, bins: np.ndarray) -> np.ndarray:
-        node, rows = np.zeros(len(bins), dtype=np.int64), np.arange(len(bins))
-        for _ in range(int(math.log2(len(self.feature) + 1)) - 1):
-            f = self.feature[node]
-            right = bins[rows, np.maximum(f, 0)] > self.cut[node]
-            node = np.where(f >= 0, 2 * node + 1 + right, node)
+        """The node each row ends in; ``bins`` is features x rows."""
+        return Route(self).place(bins)
+
+
+class Route:
+    """A tree's way from bins to nodes: the splits of its first levels are compared as whole columns, and a table gives the
+    node for each outcome of them all; further levels are looked up row by row."""
+    TOP = 3
+
+    def __init__(self, tree: Tree):
+        self.levels = int(math.log2(len(tree.feature) + 1)) - 1
+        self.value, self.feature = tree.value, np.maximum(tree.feature, 0).astype(np.intp)
+        node, splits = np.arange(len(tree.feature), dtype=np.intp), tree.feature >= 0
+        self.cut = np.where(splits, tree.cut, np.iinfo(np.int32).max)  # no bin lies beyond a leaf's
+        self.left = np.where(splits, 2 * node + 1, node)
+        top = [j for j in range((1 << min(self.levels, self.TOP)) - 1) if splits[j]]
+        self.tests = [(int(tree.feature[j]), int(tree.cut[j])) for j in top]
+        outcome = np.arange(1 << len(top))
+        self.after = np.zeros(len(outcome), dtype=np.intp)
+        for _ in range(min(self.levels, self.TOP)):
+            went = np.zeros(len(outcome), dtype=np.intp)
+            for i, j in enumerate(top):
+                went[self.after == j] = (outcome >> i & 1)[self.after == j]
+            self.after = self.left[self.after] + went
+
+    def place(self, bins: np.ndarray) -> np.ndarray:
+        outcome = np.zeros(bins.shape[1], dtype=np.uint8)
+        for i, (f, cut) in enumerate(self.tests):
+            outcome |= (bins[f] > cut).view(np.uint8) << np.uint8(i)
+        node = self.after.take(outcome)
+        if self.levels > self.TOP:
+            flat, rows = bins.ravel(), np.arange(bins.shape[1])
+            start = self.feature * bins.shape[1]
+            for _ in range(self.levels - self.TOP):
+                node = self.left.take(node) + (flat.take(start.take(node) + rows) > self.cut.take(node))
         return node
 
 
@@ -118,7 +151,7 @@ class Forest:
         bins = binned(x, self.cuts)
         out = np.full(len(x), self.base)
         for tree in self.trees:
-            out += tree.value[tree.place(bins)]
+            out += tree.value.take(tree.place(bins))
         return out
 
     def best_rounds(self) -> int:
@@ -137,9 +170,9 @@ class Forest:
 
 
 def binned(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
-    """The number of cuts below each value; missing and infinite values count as 0."""
+    """The number of cuts below each value, features x rows; missing and infinite values count as 0."""
     clean = np.where(np.isfinite(x), x, 0.0)
-    return np.column_stack([np.searchsorted(c, clean[:, k], side="left") for k, c in enumerate(cuts)]).astype(np.int32)
+    return np.array([np.searchsorted(c, clean[:, k], side="left") for k, c in enumerate(cuts)], dtype=np.uint16).reshape(len(cuts), len(x))
 
 
 def chance(uid: np.ndarray, salt: int) -> np.ndarray:
@@ -165,15 +198,17 @@ def loss(model: Model, f: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The arrays of one written block."""
+    """The arrays of one written block, read in place from a row of an Arrow batch; bins are features x rows, margins
+    models x rows, of the models ``of`` that use rows of the block (none before margins are first written: they are 0)."""
 
-    def __init__(self, row, features: int, models: int):
-        read = lambda name, kind: np.frombuffer(bytes(getattr(row, name)), dtype=kind)
+    def __init__(self, batch: pa.RecordBatch, row: int, features: int):
+        read = lambda name, kind: np.frombuffer(batch.column(name)[row].as_buffer(), dtype=kind)
         self.kind, self.day, self.exit = (read(c, np.int32) for c in ("kind", "day", "exit"))
         self.label, self.weight = read("label", np.float64), read("weight", np.float64)
         self.uid = read("uid", np.int64)
-        self.bins = read("bins", np.uint16).reshape(-1, features).astype(np.int32)
-        self.margin = read("margin", np.float64).reshape(-1, models)
+        self.bins = read("bins", np.uint16).reshape(features, -1)
+        self.of = {k: i for i, k in enumerate(read("of", np.int32).tolist())}
+        self.margin = read("margin", np.float64).reshape(len(self.of), len(self.day))
 
     def training(self, m: Model) -> tuple[np.ndarray, np.ndarray]:
         """Rows that train ``m`` and their weights."""
@@ -185,10 +220,14 @@ class Block:
         lo, hi, realised = m.hold
         return np.flatnonzero((self.kind == m.kind) & (self.day >= lo) & (self.day < hi) & (self.exit < realised))
 
-    def scores(self, k: int, at: np.ndarray, trees: Sequence[Tree]) -> np.ndarray:
-        out = self.margin[at, k].copy()
+    def uses(self, m: Model) -> bool:
+        return bool(len(self.training(m)[0]) or m.hold and len(self.held(m)))
+
+    def scores(self, k: int, at: np.ndarray, bins: np.ndarray, trees: Sequence[Route]) -> np.ndarray:
+        """Margins of the rows ``at``, whose bins are ``bins``."""
+        out = self.margin[self.of[k]].take(at) if self.of else np.zeros(len(at))
         for tree in trees:
-            out += tree.value[tree.place(self.bins[at])]
+            out += tree.value.take(tree.place(bins))
         return out
 
 
@@ -232,7 +271,7 @@ class Booster:
             (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"), F.xxhash64(*keys).alias("uid"),
             *[F.coalesce(finite(F.col(f).cast("double")), F.lit(0.0)).alias(f"x{k}") for k, f in enumerate(self.features)])
         self.cuts = self._cuts(own)
-        self.blocks = materialise(self._blocks(own))
+        self.blocks = materialise(self._blocks(own), **WRITTEN)
         sums = self._passed(self._means)
         base = [sums.get((k, 0), (0.0, 0.0))[:2] for k in range(len(self.models))]
         self.forests = [Forest(m.name, y / w if w else 0.0, [], self.cuts, []) for m, (y, w) in zip(self.models, base)]
@@ -247,19 +286,20 @@ class Booster:
         return [np.unique(np.array(found[f"x{k}"] or [0.0], dtype=float)) for k in range(len(self.features))]
 
     def _blocks(self, own: DataFrame) -> DataFrame:
-        cuts, models = self.cuts, len(self.models)
+        cuts = self.cuts
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 if not len(frame):
                     continue
-                bins = binned(frame[[f"x{k}" for k in range(len(cuts))]].to_numpy(dtype=float), cuts).astype(np.uint16)
+                bins = binned(frame[[f"x{k}" for k in range(len(cuts))]].to_numpy(dtype=float), cuts)
                 raw = lambda c, kind: frame[c].to_numpy(dtype=kind).tobytes()
                 yield pd.DataFrame([(raw("kind", np.int32), raw("day", np.int32), raw("exit", np.int32), raw("label", np.float64),
                                      raw("weight", np.float64), raw("uid", np.int64), bins.tobytes(),
-                                     np.zeros((len(frame), models)).tobytes())], columns=[c.split()[0] for c in BLOCKS.split(", ")])
+                                     b"", b"")], columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
-        return own.mapInPandas(run, BLOCKS)
+        # in order of the exit, most blocks have rows of few models, or all their rows in a model
+        return own.sortWithinPartitions("kind", "exit").mapInPandas(run, BLOCKS)
 
     def _means(self):
         models, features = self.models, len(self.features)
@@ -275,20 +315,25 @@ class Booster:
     def _passed(self, work) -> dict[tuple[int, int], tuple]:
         """One pass: ``add`` puts arrays by (model, node) for each block, they are added up, ``end`` makes one row of each sum."""
         add, end = work()
-        features, models = len(self.features), len(self.models)
+        features = len(self.features)
 
-        def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[tuple[int, int], np.ndarray] = {}
 
             def put(k: int, node: int, x: np.ndarray) -> None:
-                held[k, node] = held[k, node] + x if (k, node) in held else x
-
-            for frame in frames:
-                for row in frame.itertuples(index=False):
-                    add(Block(row, features, models), put)
+                if (k, node) in held:
+                    held[k, node] += x
+                else:
+                    held[k, node] = x.copy()
+
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    add(Block(batch, row, features), put)
             keys = list(held)
             for lo in range(0, len(keys), 64):
-                yield pd.DataFrame([(k, node, held[k, node].tobytes()) for k, node in keys[lo:lo + 64]], columns=["model", "node", "sums"])
+                part = keys[lo:lo + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int32()), pa.array([node for _, node in part], pa.int32()),
+                                                  pa.array([held[key].tobytes() for key in part], pa.binary())], ["model", "node", "sums"])
 
         def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: dict[tuple[int, int], np.ndarray] = {}
@@ -299,40 +344,45 @@ class Booster:
             yield pd.DataFrame([(k, node, *end(k, node, x)) for (k, node), x in held.items()],
                                columns=["model", "node", "g", "h", "gain", "feature", "cut", "left_g", "left_h"])
 
-        met = self.blocks.mapInPandas(gather, "model int, node int, sums binary").repartition("model", "node").mapInPandas(
+        met = self.blocks.mapInArrow(gather, "model int, node int, sums binary").repartition("model", "node").mapInPandas(
             meet, "model int, node int, g double, h double, gain double, feature int, cut int, left_g double, left_h double")
         return {(r[0], r[1]): tuple(r[2:]) for r in met.collect()}  # a row per model and open node
 
-    def _since(self) -> list[list[Tree]]:
-        return [f.trees[self.kept:] for f in self.forests]
+    def _since(self) -> list[list[Route]]:
+        return [[Route(t) for t in f.trees[self.kept:]] for f in self.forests]
 
     def _level(self, level: int, growing: dict[int, Tree], measured: Sequence[int]):
         models, base, since, features, cuts = self.models, [f.base for f in self.forests], self._since(), len(self.features), self.cuts
         width, most, turn = max(map(len, cuts)) + 1, self.most, self.rounds
         first = (1 << level) - 1
+        routes = {k: Route(tree) for k, tree in growing.items()}
 
         def add(block: Block, put) -> None:
-            for k, tree in growing.items():
+            for k, route in routes.items():
                 m = models[k]
                 at, w = block.training(m)
                 if m.params.subsample < 1:
                     taken = chance(block.uid[at], m.seed + 1_000_003 * turn) < m.params.subsample
                     at, w = at[taken], w[taken]
-                node = tree.place(block.bins[at]) - first
+                bins = block.bins.take(at, axis=1)
+                node = route.place(bins) - first
                 here = node >= 0  # rows in leaves above stay out
-                at, w, node = at[here], w[here], node[here]
+                if not here.all():
+                    at, w, node, bins = at[here], w[here], node[here], bins[:, here]
                 if not len(at):
                     continue
-                g, h = slopes(m, base[k] + block.scores(k, at, since[k]), block.label[at])
-                cell = ((node[:, None] * features + np.arange(features)) * width + block.bins[at]).ravel()
-                size = (1 << level) * features * width
-                sums = np.stack([np.bincount(cell, np.repeat(np.rint(x * w * UNIT), features), size).reshape(1 << level, -1) for x in (g, h)], axis=1)
-                for n in np.unique(node).tolist():
+                slope = [np.rint(x * w * UNIT) for x in slopes(m, base[k] + block.scores(k, at, bins, since[k]), block.label.take(at))]
+                sums, begin = np.empty((1 << level, 2, features, width)), node * width
+                for f in range(features):
+                    cell = begin + bins[f]
+                    for i, x in enumerate(slope):
+                        sums[:, i, f] = np.bincount(cell, x, width << level).reshape(-1, width)
+                for n in np.flatnonzero(np.bincount(node)).tolist():
                     put(k, n, sums[n].ravel())
             for k in measured:
                 at = block.held(models[k])
                 if len(at):
-                    f = base[k] + block.scores(k, at, since[k])
+                    f = base[k] + block.scores(k, at, block.bins.take(at, axis=1), since[k])
                     put(k, -1, np.array([np.rint(loss(models[k], f, block.label[at]) * UNIT).sum(), float(len(at)) * UNIT]))
 
         def end(k: int, node: int, sums: np.ndarray) -> tuple:
@@ -392,18 +442,19 @@ class Booster:
 
     def _keep(self) -> None:
         """Write the margins with the trees grown since they were written."""
-        since, features, models = self._since(), len(self.features), len(self.models)
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                out = []
-                for row in frame.itertuples(index=False):
-                    block = Block(row, features, models)
-                    margin = np.column_stack([block.scores(k, np.arange(len(block.day)), since[k]) for k in range(models)])
-                    out.append(margin.tobytes())
-                yield frame.assign(margin=out)
-
-        fresh = materialise(self.blocks.mapInPandas(run, BLOCKS))
+        since, features, models = self._since(), len(self.features), self.models
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                *kept, of, margin = batch.schema
+                for row in range(batch.num_rows):
+                    block = Block(batch, row, features)
+                    every, used = np.arange(len(block.day)), [k for k, m in enumerate(models) if block.uses(m)]
+                    scores = np.array([block.scores(k, every, block.bins, since[k]) for k in used])
+                    yield pa.RecordBatch.from_arrays([*batch.slice(row, 1).columns[:len(kept)], pa.array([np.array(used, np.int32).tobytes()], of.type),
+                                                      pa.array([scores.tobytes()], margin.type)], batch.schema.names)
+
+        fresh = materialise(self.blocks.mapInArrow(run, BLOCKS), **WRITTEN)
         discard(self.blocks)
         self.blocks, self.kept = fresh, self.rounds
 

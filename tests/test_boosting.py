@@ -128,3 +128,55 @@ def test_empty_training(spark):
     booster = bo.Booster(frame(spark, panel(30)), ["a", "b", "c"], [bo.Model("none", 0, 1, 1)])
     assert booster.advance(2)[0].raw(np.zeros((2, 3))).tolist() == [0.0, 0.0]
     booster.close()
+
+
+def walked(tree, bins):
+    """The node of each row (rows x features), one row and level at a time."""
+    out = []
+    for row in bins:
+        node = 0
+        while tree.feature[node] >= 0:
+            node = 2 * node + 1 + int(row[tree.feature[node]] > tree.cut[node])
+        out.append(node)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("depth", range(7))
+def test_rows_take_their_way_through_a_tree(depth):
+    rng = np.random.default_rng(depth)
+    for share in (0.5, 0.8, 1.0):
+        tree = bo.Tree.empty(depth)
+        inner = (1 << depth) - 1
+        for j in range(inner):
+            if (j == 0 or tree.feature[(j - 1) // 2] >= 0) and rng.random() < share:
+                tree.feature[j], tree.cut[j] = rng.integers(0, 3), rng.integers(0, 512)
+        bins = rng.integers(0, 513, (3, 400)).astype(np.uint16)
+        assert (tree.place(bins) == walked(tree, bins.T)).all()
+    assert tree.place(bins[:, :0]).tolist() == []
+
+
+def test_margins_are_held_for_the_models_that_use_a_block_only(spark):
+    """What a task reads of a block does not grow with models that have no row in it."""
+    rows = sorted(panel(), key=lambda r: r[2])
+    cutoffs = [day(date(2020, 2, 1)) + 10 * k for k in range(20)]
+    models = [bo.Model(str(c), 0, 1 << 20, c, params=bo.Params(depth=2, bins=16)) for c in cutoffs]
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        booster = bo.Booster(frame(spark, rows).coalesce(1), ["a", "b", "c"], models)
+        assert booster.blocks.agg(F.sum(F.length("margin"))).first()[0] == 0
+        booster.advance(bo.KEEP)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    blocks = booster.blocks.select(F.expr("length(day) div 4").alias("rows"), F.expr("length(of) div 4").alias("used"), F.length("margin").alias("bytes")).collect()
+    assert len(blocks) == 18 and all(b.bytes == 8 * b.rows * b.used for b in blocks)
+    used = [sum(day(r[2]) < c for c in cutoffs) for r in rows]
+    assert sum(b.used for b in blocks) <= 18 + sum(used) / 50 and min(b.used for b in blocks) == 0
+    after = booster.advance(2)  # grown on the written margins
+    x, y = np.array([[r[4], r[5] or 0.0, r[6]] for r in rows]), np.array([r[3] for r in rows])
+    for m, forest in list(zip(models, after))[::6]:
+        use = np.array([day(r[2]) < m.realised for r in rows])
+        if use.any():
+            want = plain_fit(x[use], y[use], np.ones(use.sum()), booster.cuts, m.params, bo.KEEP + 2)[-1]
+            assert np.abs(forest.raw(x[use]) - want).max() < 1e-5
+    booster.close()
