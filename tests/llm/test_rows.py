@@ -345,3 +345,25 @@ def test_pii_long_neighbours_and_thousands_of_matches(spark):
     assert (first.before, first.after) == (word, word)
     rows = seen.where("doc_id = 1").orderBy("start").collect()
     assert len(rows) == 30000 and all(texts[1][r.start:r.end] == r.instance == f"id{i:06d}" for i, r in enumerate(rows))
+
+
+def test_chat_digest_reads_the_expanded_examples(spark):
+    """The examples hold their contexts as text, and the digest fails on texts that are not the expansion's."""
+    rows = [(1, k, "assistant" if k % 3 == 1 else "user", f"t{k} \\ </turn>\n### a: <b") for k in range(9)] + [(2, 0, "user", "no reply")]
+    rendered = chat_format.render(conversations(spark, rows))
+    pieces = {(r.conv_id, r.position): r.piece for r in rendered.collect()}
+    written = chat_format.expanded(rendered)
+    found = {(r.conv_id, r.position): r for r in written.collect()}
+    assert sorted(found) == [(1, 2), (1, 5), (1, 8), (1, 9), (2, 1)]
+    for (conv, position), r in found.items():
+        assert r.context == "".join(pieces[conv, k] for k in range(1, position)) and r.reply == pieces[conv, position]
+        assert r.target == (position if (conv, position) in ((1, 2), (1, 5), (1, 8)) else None)
+        if r.target:
+            assert chat_format.unescape((r.context + r.reply)[r.loss_start:r.loss_end]) == rows[position - 1][3]
+    want = {r.conv_id: r for r in chat_format.read_back(written).collect()}
+    assert want[1].n_turns == 9 and want[1].formatted_chars == sum(len(r.context + r.reply) for r in found.values() if r.target)
+    at = (F.col("conv_id") == 1) & (F.col("position") == 8)
+    for name, broken in (("context", F.replace("context", F.lit("t4"), F.lit("t5"))), ("context", F.lit("")), ("reply", F.replace("reply", F.lit("assistant"), F.lit("user"))),
+                         ("loss_start", F.col("loss_start") + 1), ("loss_end", F.col("loss_end") - 1)):
+        with pytest.raises(Exception, match="turn|reply"):
+            chat_format.read_back(written.withColumn(name, F.when(at, broken).otherwise(F.col(name)))).collect()
