@@ -8,9 +8,10 @@ shortened depends on what stands below it: a trie node whose only child holds th
 node's sets are all of one class nothing above it compares them again; only nodes where classes meet are opened.
 
 Two bits of every min-hash are a sketch; a candidate whose sketches differ in more bits than those of similar sets do (but
-for a chance of ``LOSS``) is left where it is met, every other is verified on the whole sets. Inside a trie node sets are compared with representatives across classes, never all with all, until one class is
-left or every pair across classes has failed. Representatives are the same sets in all trees (one order by hash), so a large
-group of near copies meets few of them. That gives the classes; then the sets of a class are counted against each other
+for a chance of ``LOSS``) is left where it is met, every other is verified on the whole sets. Inside a trie node sets are
+compared with one representative first (one order by hash for all trees), so a large group of near copies is one class soon.
+Below the shortest prefixes all pairs that are still of different classes are compared, in blocks: first the sketches, then
+the whole sets of those with a partner left. Pairs stay inside the tasks; only links that join classes leave them. That gives the classes; then the sets of a class are counted against each other
 exactly, in blocks of about ``BLOCK`` elements, and only each node's count leaves a block.
 
 The result is a row per document with its class (the least doc_id of the documents linked with it, over others too) and
@@ -41,8 +42,8 @@ from factorloom.session import discard, materialise
 TREES, DEEPEST, STEP, RECALL = 16, 8, 4, 0.999
 CHUNK = 1024  # runs hashed at a time
 LOSS = 1e-4
-ALL = 4
-BLOCK = 1 << 20  # elements of a class's block
+BLOCK = 1 << 20  # elements of a class's or a trie node's block
+SKETCHES, PAIRS = 4096, 1 << 16  # sketches of a trie node's block, and pairs of them compared at a time
 ROWS = 400  # texts whose results a task holds at a time
 
 
@@ -164,21 +165,20 @@ def trie(nodes: DataFrame, lengths: list[int]) -> DataFrame:
     return each.drop("path").join(own, ["level", "bucket"], "left_semi")
 
 
-def forest_links(tries: DataFrame, levels: int, outline: DataFrame, near: Callable[[str, str], Column],
-                 verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
+def forest_links(tries: DataFrame, levels: int, outline: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame],
+                 across: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
     """Verified links between sets below a common trie node, and their components; None where there are none.
 
-    From the longest prefixes to the shortest, nodes of the trie where classes meet are opened: their sets meet one
-    representative each, then 64, 4096, ... of the smallest classes, across classes only. A representative that has met all
-    leaves; a node is done when one class is left. When what is left has no more pairs across classes than ``ALL`` times the
-    rows of the level, they are all compared. ``near`` says of two rows of ``outline`` (by node), given their prefixes,
-    whether they are worth verifying.
+    From the longest prefixes to the shortest, the sets of a node where classes meet are compared with one representative,
+    so near copies are of one class soon. Sets that share a longer prefix share the shortest one as well: there all that are
+    still of different classes are compared, inside the tasks (``across``). ``near`` says of two rows of ``outline`` (by
+    node), given their prefixes, whether they are worth verifying.
     """
-    links, classes, tried = None, None, None
+    links, classes = None, None
 
-    def add(pairs: DataFrame) -> None:
+    def add(found: DataFrame) -> None:
         nonlocal links, classes
-        new = materialise(verify(pairs))
+        new = materialise(found)
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
             before, classes = classes, components(links)
@@ -186,47 +186,148 @@ def forest_links(tries: DataFrame, levels: int, outline: DataFrame, near: Callab
                 discard(before)
 
     for level in range(levels):
-        below, held, reps = tries.where(F.col("level") == level).select("bucket", "node"), None, 1
-        rows = below.count()
-        while rows:
-            placed = classed(below if held is None else held, "node", classes, "class")
-            sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
-            mixed = (sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("classes"))
-                     .where("classes > 1").select("bucket", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs")))
-            opened = materialise(placed.join(mixed, "bucket").join(sizes, ["bucket", "class"]).join(outline, "node"))
-            if held is not None:
-                discard(held)
-            left = opened.groupBy("bucket").agg(F.first("pairs").alias("pairs")).agg(F.sum("pairs")).first()[0]
-            if not left:
-                discard(opened)
-                break
-            last = left <= ALL * rows and (reps > 1 or level > 0)  # near copies meet their representatives first
-            if last:
-                chosen = opened
-            elif reps == 1:
-                first = F.min_by(F.struct(*opened.columns), F.struct("n", F.xxhash64("node"), "node")).alias("r")
-                chosen = opened.groupBy("bucket").agg(first).select("r.*")
+        below = tries.where(F.col("level") == level).select("bucket", "node")
+        for whole in (False, True) if level + 1 == levels else (False,):
+            placed = classed(below, "node", classes, "class")
+            sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+            mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("bucket")
+            opened = placed.join(mixed, "bucket")
+            if whole:
+                opened = materialise(opened.join(outline, "node"))
+                add(across(opened))
             else:
-                order = Window.partitionBy("bucket").orderBy("n", F.xxhash64("node"), "node")
-                chosen = opened.withColumn("place", F.row_number().over(order)).where(F.col("place") <= reps).drop("place")
-            reps_ = chosen.select("bucket", *[F.col(c).alias(f"rep_{c}") for c in ("node", "class", *outline.columns) if c != "node"], F.col("node").alias("rep_node"))
-            pairs = (opened.join(reps_, (opened["bucket"] == reps_["bucket"]) & (F.col("class") != F.col("rep_class")) & near("", "rep_"))
-                     .select(F.greatest("node", "rep_node").alias("a"), F.least("node", "rep_node").alias("b")).distinct())
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = materialise(pairs)
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            add(pairs)
-            if last:
-                discard(opened)
-                break
-            met = chosen.select("bucket", "node")
-            held = materialise(opened.select("bucket", "node").join(met, ["bucket", "node"], "left_anti"))
+                opened = materialise(opened.join(sizes, ["bucket", "class"]).join(outline.drop("prefix"), "node"))
+                first = F.min_by(F.struct(*opened.columns), F.struct("n", F.xxhash64("node"), "node")).alias("r")
+                reps = opened.groupBy("bucket").agg(first).select("bucket", *[F.col(f"r.{c}").alias(f"rep_{c}") for c in opened.columns if c != "bucket"])
+                pairs = (opened.join(reps, (opened["bucket"] == reps["bucket"]) & (F.col("class") != F.col("rep_class")) & near("", "rep_"))
+                         .select(F.greatest("node", "rep_node").alias("a"), F.least("node", "rep_node").alias("b")).distinct())
+                add(verify(pairs))
             discard(opened)
-            reps *= 64
     return links, classes
 
 
+def dealt(rows: DataFrame, weight: Column, block: int) -> DataFrame:
+    """``rows`` by (bucket, x, y): a bucket is cut into blocks of about ``block`` by hash, and each pair of blocks is a group."""
+    blocks = rows.groupBy("bucket").agg(F.ceil(F.sum(weight) / block).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    return (rows.join(blocks, "bucket").withColumn("own", own).withColumn("other", other)
+            .select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *[c for c in rows.columns if c != "bucket"]))
+
+
+class Group:
+    """The rows of one (bucket, x, y): what tells which of its pairs are worth verifying. Those that share a prefix in an
+    earlier tree meet there."""
+
+    def __init__(self, rows: dict[str, np.ndarray], similarity: float, most: int):
+        self.classes, self.sizes, self.sketches, self.prefixes = (rows[c] for c in ("class_", "size", "sketch", "prefix"))
+        x, y = rows["x"][0], rows["y"][0]
+        self.same, self.mine, self.theirs = x == y, np.flatnonzero(rows["own"] == x), np.flatnonzero(rows["own"] == y)
+        self.tree = int(np.flatnonzero(self.prefixes[0] == rows["bucket"][0])[0])
+        self.similarity, self.most = similarity, most
+
+    @staticmethod
+    def columns(rows: pa.Table) -> dict[str, np.ndarray]:
+        flat = {c: rows.column(c).to_numpy() for c in ("bucket", "x", "y", "own", "class_")}
+        wide = {c: rows.column(c).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1) for c in ("sketch", "prefix")}
+        return flat | {"size": rows.column("size").to_numpy().astype(np.int64), "sketch": wide["sketch"].view(np.uint64), "prefix": wide["prefix"]}
+
+    def pairs(self, some: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j): rows of ``some`` and of the other side, of different classes, worth verifying here."""
+        j = self.theirs
+        a, b = self.sizes[some][:, None], self.sizes[j][None]
+        if self.same:
+            good = j[None] > some[:, None]
+        else:
+            good = np.ones((len(some), len(j)), bool)
+        good &= (classes[some][:, None] != classes[j][None]) & (np.minimum(a, b) >= self.similarity * np.maximum(a, b) - 1e-9)
+        if good.any():
+            differ = np.bitwise_count(self.sketches[some][:, None] ^ self.sketches[j][None]).sum(axis=2, dtype=np.int32)
+            good &= differ <= self.most
+        one, two = np.nonzero(good)
+        one, two = some[one], j[two]
+        if self.tree and len(one):
+            here = ~(self.prefixes[one, :self.tree] == self.prefixes[two, :self.tree]).any(axis=1)
+            one, two = one[here], two[here]
+        return one, two
+
+
+def by_group(batches: Iterator[pa.RecordBatch], work: Callable[[dict[str, np.ndarray], pa.Table], pa.Table | None]) -> Iterator[pa.RecordBatch]:
+    """``work`` on the rows of each (bucket, x, y), as columns and as a table; they lie together, and may go on in the next batch."""
+    rest = None
+
+    def done(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal rest
+        held, made, lo = Group.columns(rows), [], 0
+        keys = np.stack([held[c] for c in ("bucket", "x", "y")])
+        for hi in [*(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), *([rows.num_rows] if last else [])]:
+            out = work({c: v[lo:hi] for c, v in held.items()}, rows.slice(lo, hi - lo))
+            made += [out] if out is not None else []
+            lo = hi
+        rest = rows.slice(lo)
+        if made:
+            yield from pa.concat_tables(made).combine_chunks().to_batches()
+
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            yield from done(rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks(), False)
+    if rest is not None and rest.num_rows:
+        yield from done(rest, True)
+
+
+def sifted(opened: DataFrame, similarity: float, most: int, block: int = SKETCHES) -> DataFrame:
+    """The rows of ``opened`` with a partner of another class in their bucket that is worth verifying."""
+    names = ["bucket", "node", "class_", "size", "sketch", "prefix"]
+    rows = opened.withColumn("class_", F.xxhash64("class")).select(*names)
+
+    def work(columns: dict[str, np.ndarray], part: pa.Table) -> pa.Table | None:
+        group, found = Group(columns, similarity, most), np.zeros(part.num_rows, bool)
+        step = max(1, PAIRS // max(1, len(group.theirs)))
+        for lo in range(0, len(group.mine), step):
+            one, two = group.pairs(group.mine[lo:lo + step], group.classes)
+            found[one] = found[two] = True
+        return part.select(names).filter(pa.array(found)) if found.any() else None
+
+    groups = dealt(rows, F.lit(1), block).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return groups.mapInArrow(lambda batches: by_group(batches, work), rows.schema).dropDuplicates(["bucket", "node"])
+
+
+def met(rows: DataFrame, runs: DataFrame, similarity: float, most: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between the sets of a bucket that make one class of all its similar ones; ``rows`` as of ``sifted``.
+
+    A group's sets are verified one against all others of other classes; a link joins their classes there, and pairs of
+    one class are not looked at again, so a group gives fewer links than it has rows.
+    """
+    def work(columns: dict[str, np.ndarray], part: pa.Table) -> pa.Table | None:
+        group, classes = Group(columns, similarity, most), columns["class_"].copy()
+        lists = part.column("runs").combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(group.sizes)])
+        known, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        mask, links = np.zeros(len(known), bool), []
+        for i in group.mine.tolist():
+            _, others = group.pairs(np.array([i]), classes)
+            if not len(others):
+                continue
+            mine = flat[ends[i]:ends[i + 1]]
+            mask[mine] = True
+            sizes = group.sizes[others]
+            hits = mask[np.concatenate([flat[ends[j]:ends[j + 1]] for j in others.tolist()])]
+            mask[mine] = False
+            common = np.add.reduceat(hits, np.cumsum(sizes) - sizes, dtype=np.int64)
+            for j in others[common >= similarity * (len(mine) + sizes - common) - 1e-9].tolist():
+                if classes[i] != classes[j]:
+                    links.append((i, j))
+                    classes[classes == classes[j]] = classes[i]
+        if not links:
+            return None
+        node, (one, two) = part.column("node"), zip(*links)
+        return pa.table({"a": node.take(pa.array(one)), "b": node.take(pa.array(two))})
+
+    groups = dealt(rows.join(runs, "node"), F.col("size").cast("long"), block).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return groups.mapInArrow(lambda batches: by_group(batches, work), "a binary, b binary").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
 def partners(mine: list[np.ndarray], theirs: list[np.ndarray], copies: np.ndarray, others: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """For each set of ``mine`` the documents of the similar ones of ``theirs``, and the other way round; no set is empty."""
     flat = np.concatenate(theirs)
@@ -293,7 +394,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, de
     named = first.select(F.col("doc_id").alias("first_id"))
     shown = docs.join(named, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select(text_of(text).alias("text_"))
     runs = materialise(sliced(shown, "node binary, runs array<long>", sets).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    outline = materialise(nodes.select("node", "size", "sketch").join(wanted, "node", "left_semi"))
+    shortest = F.expr(f"transform(sequence(1, {trees}), t -> prefixes[t * {len(lengths)} - 1])").alias("prefix")
+    outline = materialise(nodes.select("node", "size", "sketch", shortest).join(wanted, "node", "left_semi"))
 
     most = allowed(similarity, trees * deepest)
 
@@ -309,7 +411,10 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, de
         whole = F.size("runs_a") + F.size("runs_b") - F.col("common")
         return both.where(F.col("common") >= F.lit(similarity) * whole - 1e-9).select("a", "b")
 
-    links, classes = forest_links(tries, len(lengths), outline, near, verify)
+    def across(opened: DataFrame) -> DataFrame:
+        return met(materialise(sifted(opened, similarity, most)), runs, similarity, most)
+
+    links, classes = forest_links(tries, len(lengths), outline, near, verify, across)
     known = nodes.select("node", "copies", "least_id")
     if links is None:
         known = known.withColumn("root", F.col("node")).withColumn("linked", F.lit(0).cast("long"))

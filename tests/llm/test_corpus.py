@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -119,6 +120,37 @@ def test_blocks_of_a_class_count_alike(spark):
     assert counts[0] == counts[1] and sum(counts[0].values()) > 0
 
 
+def test_pairs_of_sets_alike_below_the_threshold_stay_in_the_tasks(spark, monkeypatch):
+    """Texts that nearly all are candidates of each other and mostly not similar: what is joined grows with the rows, not
+    with their square, and no link is lost, also where a trie node is cut into blocks."""
+    rng, n = random.Random(21), 150
+    hub = words(rng, 200)
+    texts = []
+    for i in range(n):
+        text = list(hub)
+        for k in rng.sample(range(200), 3):
+            text[k] = f"x{i}{k}"
+        texts.append(" ".join(text))
+    sets = [set(ngram_join.set_of(t).tolist()) for t in texts]
+    links = [(a, b) for a, b in combinations(range(n), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    want, given, whole = roots(n, links), [], ngram_join.forest_links
+
+    def counted(tries, levels, outline, near, verify, *rest):
+        def seen(pairs):
+            given.append(pairs.count())
+            return verify(pairs)
+        return whole(tries, levels, outline, near, seen, *rest)
+
+    monkeypatch.setattr(ngram_join, "forest_links", counted)
+    got = {r.doc_id: r.class_id for r in ngram_join.join(table(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(n)] == want and 1 < len(set(want)) < n
+    assert sum(given) <= 16 * n
+    for name, block in (("sifted", 40), ("met", 4000)):
+        monkeypatch.setattr(ngram_join, name, partial(getattr(ngram_join, name), block=block))
+    got = {r.doc_id: r.class_id for r in ngram_join.join(table(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(n)] == want
+
+
 def test_join_of_repeated_rows_and_null_ids(spark):
     text = " ".join(words(random.Random(1), 60))
     docs = table(spark, [(1, text), (1, text), (2, text), (None, text), (5, "a b c"), (5, "a b c")])
