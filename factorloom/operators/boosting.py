@@ -100,41 +100,75 @@ class Tree:
 
     def place(self, bins: np.ndarray) -> np.ndarray:
         """The node each row ends in; ``bins`` is features x rows."""
-        return Route(self).place(bins)
+        return next(Route([self]).places(bins))[0]
 
 
 class Route:
-    """A tree's way from bins to nodes: the splits of its first levels are compared as whole columns, and a table gives the
-    node for each outcome of them all; further levels are looked up row by row."""
-    TOP = 3
-
-    def __init__(self, tree: Tree):
-        self.levels = int(math.log2(len(tree.feature) + 1)) - 1
-        self.value, self.feature = tree.value, np.maximum(tree.feature, 0).astype(np.intp)
-        node, splits = np.arange(len(tree.feature), dtype=np.intp), tree.feature >= 0
-        self.cut = np.where(splits, tree.cut, np.iinfo(np.int32).max)  # no bin lies beyond a leaf's
-        self.left = np.where(splits, 2 * node + 1, node)
-        top = [j for j in range((1 << min(self.levels, self.TOP)) - 1) if splits[j]]
-        self.tests = [(int(tree.feature[j]), int(tree.cut[j])) for j in top]
-        outcome = np.arange(1 << len(top))
-        self.after = np.zeros(len(outcome), dtype=np.intp)
-        for _ in range(min(self.levels, self.TOP)):
-            went = np.zeros(len(outcome), dtype=np.intp)
+    """Trees' ways from bins to nodes. Whether a bin passes the splits of the trees' first levels on its feature is a table of
+    bits by bin, so a row's outcome is one look-up per feature for all trees together; a table gives each tree's node for
+    its bits. Further levels are looked up row by row."""
+    TOP, BITS = 3, 63
+
+    def __init__(self, trees: Sequence[Tree]):
+        self.groups: list[tuple[dict, list[tuple]]] = []
+        used = 0
+        for tree in trees:
+            levels = int(math.log2(len(tree.feature) + 1)) - 1
+            node, splits = np.arange(len(tree.feature), dtype=np.intp), tree.feature >= 0
+            left = np.where(splits, 2 * node + 1, node)
+            top = [j for j in range((1 << min(levels, self.TOP)) - 1) if splits[j]]
+            if not self.groups or used + len(top) > self.BITS:
+                self.groups.append(({}, []))
+                used = 0
+            bits, ways = self.groups[-1]
             for i, j in enumerate(top):
-                went[self.after == j] = (outcome >> i & 1)[self.after == j]
-            self.after = self.left[self.after] + went
-
-    def place(self, bins: np.ndarray) -> np.ndarray:
-        outcome = np.zeros(bins.shape[1], dtype=np.uint8)
-        for i, (f, cut) in enumerate(self.tests):
-            outcome |= (bins[f] > cut).view(np.uint8) << np.uint8(i)
-        node = self.after.take(outcome)
-        if self.levels > self.TOP:
-            flat, rows = bins.ravel(), np.arange(bins.shape[1])
-            start = self.feature * bins.shape[1]
-            for _ in range(self.levels - self.TOP):
-                node = self.left.take(node) + (flat.take(start.take(node) + rows) > self.cut.take(node))
-        return node
+                bits.setdefault(int(tree.feature[j]), []).append((int(tree.cut[j]), 1 << (used + i)))
+            outcome = np.arange(1 << len(top))
+            after = np.zeros(len(outcome), dtype=np.intp)
+            for _ in range(min(levels, self.TOP)):
+                went = np.zeros(len(outcome), dtype=np.intp)
+                for i, j in enumerate(top):
+                    went[after == j] = (outcome >> i & 1)[after == j]
+                after = left[after] + went
+            cut = np.where(splits, tree.cut, np.iinfo(np.int32).max)  # no bin lies beyond a leaf's
+            ways.append((used, len(outcome) - 1, after, levels, np.maximum(tree.feature, 0).astype(np.intp), cut, left, tree.value))
+            used += len(top)
+        for bits, _ in self.groups:
+            for f, tests in bits.items():
+                table = np.zeros(max(cut for cut, _ in tests) + 2, dtype=np.int64)
+                for cut, bit in tests:
+                    table[cut + 1:] |= bit
+                bits[f] = table
+
+    def _outcomes(self, bins: np.ndarray) -> Iterator[tuple[np.ndarray | int, tuple]]:
+        for bits, ways in self.groups:
+            passed = None
+            for f, table in bits.items():
+                found = table.take(bins[f], mode="clip")  # higher bins pass all that the last one does
+                passed = found if passed is None else np.bitwise_or(passed, found, out=passed)
+            for way in ways:
+                yield (0 if passed is None else passed >> way[0] & way[1]), way
+
+    def places(self, bins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per tree the node each row ends in, and the nodes' values; ``bins`` is features x rows."""
+        n = bins.shape[1]
+        for outcome, (_, _, after, levels, feature, cut, left, value) in self._outcomes(bins):
+            node = np.full(n, after[0]) if isinstance(outcome, int) else after.take(outcome)
+            for _ in range(levels - self.TOP):
+                node = left.take(node) + (bins[feature.take(node), np.arange(n)] > cut.take(node))
+            yield node, value
+
+    def add(self, out: np.ndarray, bins: np.ndarray) -> None:
+        """Add every tree's values to ``out``, in their order."""
+        n = bins.shape[1]
+        for outcome, (_, _, after, levels, feature, cut, left, value) in self._outcomes(bins):
+            if levels <= self.TOP:
+                out += value[after[0]] if isinstance(outcome, int) else value.take(after).take(outcome)
+                continue
+            node = np.full(n, after[0]) if isinstance(outcome, int) else after.take(outcome)
+            for _ in range(levels - self.TOP):
+                node = left.take(node) + (bins[feature.take(node), np.arange(n)] > cut.take(node))
+            out += value.take(node)
 
 
 @dataclass
@@ -150,8 +184,7 @@ class Forest:
     def raw(self, x: np.ndarray) -> np.ndarray:
         bins = binned(x, self.cuts)
         out = np.full(len(x), self.base)
-        for tree in self.trees:
-            out += tree.value.take(tree.place(bins))
+        Route(self.trees).add(out, bins)
         return out
 
     def best_rounds(self) -> int:
@@ -190,7 +223,8 @@ def slopes(model: Model, f: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.n
     if model.squared:
         return z, np.ones_like(z)
     s = 1 + z * z
-    return z / np.sqrt(s), s ** -1.5
+    root = np.sqrt(s)
+    return z / root, 1 / (s * root)
 
 
 def loss(model: Model, f: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -206,28 +240,35 @@ class Block:
         self.kind, self.day, self.exit = (read(c, np.int32) for c in ("kind", "day", "exit"))
         self.label, self.weight = read("label", np.float64), read("weight", np.float64)
         self.uid = read("uid", np.int64)
-        self.bins = read("bins", np.uint16).reshape(features, -1)
+        self.bins = read("bins", np.uint16).reshape(features, -1).astype(np.intp)  # as indices, once for all models
+        self.kinds, self.dates, self.ends = ((x.min(initial=NEVER), x.max(initial=-NEVER)) for x in (self.kind, self.day, self.exit))
         self.of = {k: i for i, k in enumerate(read("of", np.int32).tolist())}
         self.margin = read("margin", np.float64).reshape(len(self.of), len(self.day))
 
-    def training(self, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    def _rows(self, m: Model, lo: int, hi: int, realised: int) -> slice | np.ndarray:
+        """Rows of the model's kind dated from ``lo`` to before ``hi`` and realised in time: a slice where they lie together."""
+        if not len(self.day) or self.ends[0] >= realised or self.dates[1] < lo or self.dates[0] >= hi:
+            return slice(0, 0)
+        if self.kinds == (m.kind, m.kind) and self.ends[1] < realised and self.dates[0] >= lo and self.dates[1] < hi:
+            return slice(0, len(self.day))
+        at = np.flatnonzero((self.kind == m.kind) & (self.day >= lo) & (self.day < hi) & (self.exit < realised))
+        return slice(at[0], at[-1] + 1) if len(at) and at[-1] - at[0] + 1 == len(at) else at if len(at) else slice(0, 0)
+
+    def training(self, m: Model) -> tuple[slice | np.ndarray, np.ndarray]:
         """Rows that train ``m`` and their weights."""
-        at = np.flatnonzero((self.kind == m.kind) & (self.day >= m.start) & (self.day < m.until) & (self.exit < m.realised))
-        age = 0.0 if m.reference is None else (m.reference - self.day[at]) / HALF_LIFE
-        return at, self.weight[at] * np.exp2(-np.asarray(age, dtype=float))
+        at = self._rows(m, m.start, m.until, m.realised)
+        return at, self.weight[at] if m.reference is None else self.weight[at] * np.exp2(-((m.reference - self.day[at]) / HALF_LIFE))
 
-    def held(self, m: Model) -> np.ndarray:
-        lo, hi, realised = m.hold
-        return np.flatnonzero((self.kind == m.kind) & (self.day >= lo) & (self.day < hi) & (self.exit < realised))
+    def held(self, m: Model) -> slice | np.ndarray:
+        return self._rows(m, *m.hold)
 
     def uses(self, m: Model) -> bool:
-        return bool(len(self.training(m)[0]) or m.hold and len(self.held(m)))
+        return bool(len(self.day[self._rows(m, m.start, m.until, m.realised)]) or m.hold and len(self.day[self.held(m)]))
 
-    def scores(self, k: int, at: np.ndarray, bins: np.ndarray, trees: Sequence[Route]) -> np.ndarray:
+    def scores(self, k: int, at: slice | np.ndarray, bins: np.ndarray, trees: Route) -> np.ndarray:
         """Margins of the rows ``at``, whose bins are ``bins``."""
-        out = self.margin[self.of[k]].take(at) if self.of else np.zeros(len(at))
-        for tree in trees:
-            out += tree.value.take(tree.place(bins))
+        out = self.margin[self.of[k]][at].copy() if self.of else np.zeros(bins.shape[1])
+        trees.add(out, bins)
         return out
 
 
@@ -307,7 +348,7 @@ class Booster:
         def add(block: Block, put) -> None:
             for k, m in enumerate(models):
                 at, w = block.training(m)
-                if len(at):
+                if len(w):
                     put(k, 0, np.rint(np.array([(w * block.label[at]).sum(), w.sum()]) * UNIT))
 
         return add, lambda k, node, sums: (sums[0] / UNIT, sums[1] / UNIT, 0.0, -1, 0, 0.0, 0.0)
@@ -348,42 +389,46 @@ class Booster:
             meet, "model int, node int, g double, h double, gain double, feature int, cut int, left_g double, left_h double")
         return {(r[0], r[1]): tuple(r[2:]) for r in met.collect()}  # a row per model and open node
 
-    def _since(self) -> list[list[Route]]:
-        return [[Route(t) for t in f.trees[self.kept:]] for f in self.forests]
+    def _since(self) -> list[Route]:
+        return [Route(f.trees[self.kept:]) for f in self.forests]
 
     def _level(self, level: int, growing: dict[int, Tree], measured: Sequence[int]):
         models, base, since, features, cuts = self.models, [f.base for f in self.forests], self._since(), len(self.features), self.cuts
         width, most, turn = max(map(len, cuts)) + 1, self.most, self.rounds
         first = (1 << level) - 1
-        routes = {k: Route(tree) for k, tree in growing.items()}
+        routes = {k: Route([tree]) for k, tree in growing.items()}
 
         def add(block: Block, put) -> None:
             for k, route in routes.items():
                 m = models[k]
                 at, w = block.training(m)
-                if m.params.subsample < 1:
+                if len(w) and m.params.subsample < 1:
                     taken = chance(block.uid[at], m.seed + 1_000_003 * turn) < m.params.subsample
-                    at, w = at[taken], w[taken]
-                bins = block.bins.take(at, axis=1)
-                node = route.place(bins) - first
-                here = node >= 0  # rows in leaves above stay out
-                if not here.all():
-                    at, w, node, bins = at[here], w[here], node[here], bins[:, here]
-                if not len(at):
+                    at, w = np.arange(len(block.day))[at][taken], w[taken]
+                if not len(w):
                     continue
-                slope = [np.rint(x * w * UNIT) for x in slopes(m, base[k] + block.scores(k, at, bins, since[k]), block.label.take(at))]
-                sums, begin = np.empty((1 << level, 2, features, width)), node * width
+                bins, node = block.bins[:, at], None
+                if level:
+                    node = next(route.places(bins))[0] - first
+                    here = node >= 0  # rows in leaves above stay out
+                    if not here.all():
+                        at, w, node, bins = np.arange(len(block.day))[at][here], w[here], node[here], bins[:, here]
+                    if not len(w):
+                        continue
+                slope = [np.rint(x * w * UNIT) for x in slopes(m, base[k] + block.scores(k, at, bins, since[k]), block.label[at])]
+                sums, begin = np.empty((1 << level, 2, features, width)), None if node is None else node * width
                 for f in range(features):
-                    cell = begin + bins[f]
+                    cell = bins[f] if begin is None else begin + bins[f]
                     for i, x in enumerate(slope):
                         sums[:, i, f] = np.bincount(cell, x, width << level).reshape(-1, width)
-                for n in np.flatnonzero(np.bincount(node)).tolist():
+                for n in (0,) if node is None else np.flatnonzero(np.bincount(node)).tolist():
                     put(k, n, sums[n].ravel())
             for k in measured:
                 at = block.held(models[k])
-                if len(at):
-                    f = base[k] + block.scores(k, at, block.bins.take(at, axis=1), since[k])
-                    put(k, -1, np.array([np.rint(loss(models[k], f, block.label[at]) * UNIT).sum(), float(len(at)) * UNIT]))
+                y = block.label[at]
+                if len(y):
+                    f = base[k] + block.scores(k, at, block.bins[:, at], since[k])
+                    put(k, -1, np.array([np.rint(loss(models[k], f, y) * UNIT).sum(), float(len(y)) * UNIT]))
 
         def end(k: int, node: int, sums: np.ndarray) -> tuple:
             if node < 0:
@@ -449,7 +494,7 @@ class Booster:
                 *kept, of, margin = batch.schema
                 for row in range(batch.num_rows):
                     block = Block(batch, row, features)
-                    every, used = np.arange(len(block.day)), [k for k, m in enumerate(models) if block.uses(m)]
+                    every, used = slice(None), [k for k, m in enumerate(models) if block.uses(m)]
                     scores = np.array([block.scores(k, every, block.bins, since[k]) for k in used])
                     yield pa.RecordBatch.from_arrays([*batch.slice(row, 1).columns[:len(kept)], pa.array([np.array(used, np.int32).tobytes()], of.type),
                                                       pa.array([scores.tobytes()], margin.type)], batch.schema.names)

@@ -3,6 +3,7 @@
 from datetime import date, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,34 @@ def test_rows_take_their_way_through_a_tree(depth):
     assert tree.place(bins[:, :0]).tolist() == []
 
 
+def test_trees_are_looked_up_together():
+    rng = np.random.default_rng(9)
+    trees = []
+    for depth in [0, 1, 2, 3, 3, 5] * 4:
+        tree = bo.Tree.empty(depth)
+        for j in range((1 << depth) - 1):
+            if (j == 0 or tree.feature[(j - 1) // 2] >= 0) and rng.random() < 0.9:
+                tree.feature[j], tree.cut[j] = rng.integers(0, 3), rng.integers(0, 512)
+        tree.value[:] = rng.normal(size=len(tree.value))
+        trees.append(tree)
+    bins = rng.integers(0, 513, (3, 400)).astype(np.uint16)
+    out, want = np.ones(400), np.ones(400)
+    bo.Route(trees).add(out, bins)
+    for tree in trees:
+        want += tree.value[walked(tree, bins.T)]
+    assert (out == want).all()
+
+
+def test_rows_that_lie_together_are_not_copied():
+    n = 100
+    columns = {"kind": np.zeros(n, np.int32), "day": np.arange(n, dtype=np.int32), "exit": np.arange(10, n + 10, dtype=np.int32), "label": np.ones(n),
+               "weight": np.ones(n), "uid": np.arange(n), "bins": np.zeros((2, n), np.uint16), "of": np.zeros(0, np.int32), "margin": np.zeros(0)}
+    block = bo.Block(pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns.values()], list(columns)), 0, 2)
+    for start, until, realised, want in ((0, 200, 200, slice(0, 100)), (0, 200, 50, slice(0, 40)), (20, 30, 200, slice(20, 30)), (300, 400, 500, slice(0, 0))):
+        assert block.training(bo.Model("m", start, until, realised))[0] == want
+    assert block.training(bo.Model("m", 0, 200, 200, kind=1))[1].tolist() == []
+
+
 def test_margins_are_held_for_the_models_that_use_a_block_only(spark):
     """What a task reads of a block does not grow with models that have no row in it."""
     rows = sorted(panel(), key=lambda r: r[2])
