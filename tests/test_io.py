@@ -6,6 +6,7 @@ from conftest import day
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from factorloom import session
 from factorloom.sources import readers, writers
 from factorloom.streaming import feeds
 
@@ -152,3 +153,21 @@ def test_flagship_matches_duckdb_with_sliced_ranks(spark, sliced):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{folder}/lineitem.parquet')")
     want = sorted(con.execute(f"SELECT model, d, stock_count, rank_ic FROM ({entry.oracle_sql()['e06_daily_ic']})").fetchall())
     assert got == want
+
+
+def test_written_tables_leave_nothing_behind(spark):
+    """A written table's shuffle files go with the job, and the driver lets go of what finished jobs have left."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {x for x in (files.getAllFiles().apply(i).getName() for i in range(files.getAllFiles().size())) if x.startswith("shuffle_")}
+    before = held()
+    numbers = session.materialise(spark.range(20_000).groupBy((F.col("id") % 7_000).alias("k")).count().repartition(3, "k"))
+    assert not held() - before
+    assert numbers.count() == 7_000 and spark.conf.get(session.SHUFFLE_CLEANUP_KEY, None) != "true"
+    calls = []
+    release, session.release = session.release, calls.append
+    try:
+        for _ in range(session.RELEASE_AFTER):
+            session.materialise(spark.range(3))
+    finally:
+        session.release = release
+    assert len(calls) == 1
