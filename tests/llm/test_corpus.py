@@ -174,6 +174,31 @@ def test_compact_windows_equal_brute_force():
         assert set(substring_dedup.compact_windows(h, t)) == want
 
 
+def test_windows_of_texts_laid_together_equal_their_compact_windows():
+    rng = random.Random(4)
+    for size in (20, 10 ** 6):  # with and without repeated elements
+        texts = [np.array([rng.randrange(size) for _ in range(rng.randint(8, 90))], dtype=np.uint64) for _ in range(6)]
+        got = {x[:1] + x[2:] for x in zip(*(x.tolist() for x in substring_dedup.text_windows(texts, 8, 1)))}
+        with np.errstate(over="ignore"):
+            salt = common.mix(np.array([1], dtype=np.uint64) * substring_dedup.SALT)
+            assert got == {(i, c, max(lo, c - 7), min(c, hi - 7)) for i, x in enumerate(texts)
+                           for lo, c, hi in substring_dedup.compact_windows(common.mix(x ^ salt), 8)}
+
+
+def test_keys_of_two_owners_are_kept_over_batches(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(40), rng.randrange(3)) for _ in range(60)] + [(50, 1)] * 30 + [(51, 1)] * 30 + [(51, 2)]
+    owners = {}
+    for key, owner in rows:
+        owners.setdefault(key, set()).add(owner)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = substring_dedup.met_twice(spark.createDataFrame(rows, "key long, owner long"), "key", "owner").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert Counter(map(tuple, got)) == Counter(r for r in rows if len(owners[r[0]]) > 1)
+
+
 def test_passages_are_verified_beside_repeated_lines():
     rng = random.Random(3)
     line = words(rng, 9)
