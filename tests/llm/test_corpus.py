@@ -397,3 +397,73 @@ def test_pipeline(spark, tmp_path):
 def test_word_splitting_agrees():
     for text in ("a\x1cb\x85c d e\tf\x0bg", "  x  ", "", "é日 😀"):
         assert len(common.word_hashes(text)) == len(common.WORD.findall(text))
+
+
+def test_few_offsets_of_repeated_passages_are_tried(monkeypatch):
+    rng, tried, covers = random.Random(31), [], substring_dedup.covers
+    line = common.shingle_hashes(" ".join(words(rng, 40))).view(np.int64)
+    monkeypatch.setattr(substring_dedup, "covers", lambda hit, *rest: tried.append(len(hit)) or covers(hit, *rest))
+    for size in (1, 7):
+        a, b = np.tile(line[:size], 3000 // size), np.concatenate((line[10:30], np.tile(line[:size], 2000 // size)))
+        assert substring_dedup.verified(a, b, 46, 0.8) == (0, len(a) - 1, 11, len(b) - 1)
+    assert sum(tried) < 200, sum(tried)  # more than 2,000 offsets have a quarter of a block
+
+
+def test_pairs_verified_together_equal_those_verified_one_by_one():
+    rng = random.Random(32)
+    passage = np.array([rng.getrandbits(31) for _ in range(120)], dtype=np.int32)
+    a, b = [], []
+    for _ in range(300):
+        x, y = ([*(rng.getrandbits(31) for _ in range(rng.randint(0, 60))), *passage[rng.randint(0, 60):rng.randint(70, 120)]] for _ in range(2))
+        for one in (x, y):
+            for _ in range(rng.choice((0, 3, 9))):
+                one[rng.randrange(len(one))] = rng.choice((7, 8, rng.getrandbits(31)))
+        if rng.random() < 0.3:
+            y[-20:] = y[:20]
+        a.append(np.array(x, np.int32))
+        b.append(np.array(y, np.int32))
+    want = {k: v for k in range(len(a)) if (v := substring_dedup.verified(a[k], b[k], 46, 0.8)) is not None}
+    found, places = substring_dedup.verified_each(a, b, 46, 0.8)
+    assert 20 < len(want) < 280 and {k: tuple(v) for k, v in zip(found.tolist(), places.tolist())} == want
+    assert substring_dedup.enough_shared(np.arange(len(a)), a, b, 36.8)[list(want)].all()
+
+
+def test_windows_in_runs_come_back():
+    rng = random.Random(33)
+    for size in (1, 4, 10 ** 6):
+        texts = [np.array([rng.randrange(size) for _ in range(rng.randint(8, 90))], dtype=np.uint64) for _ in range(6)]
+        number, key, c, first, last = substring_dedup.text_windows(texts, 8, 3)
+        begins, held, ends = substring_dedup.in_runs(number, key, c, first, last)
+        row, *got = substring_dedup.from_runs(held, np.diff(ends))
+        assert all((x == y).all() for x, y in zip((number[begins][row], key[begins][row], *got), (number, key, first, last, c)))
+        assert size > 1 or len(begins) == 18  # one row a text and hash
+
+
+def test_a_common_line_makes_no_pairs():
+    rng = random.Random(34)
+    draw = lambda n: [rng.getrandbits(31) for _ in range(n)]
+    line, nodes = draw(9), []
+    for k in range(40):
+        own = draw(90)
+        near = [*own[:50], *draw(5), *own[55:]]  # 85 of 90, the line elsewhere
+        nodes += [own[:30] + line + own[30:], near[:70] + line + near[70:], draw(k) + line + draw(80)]
+    nodes.append(nodes[0][:60] * 2)  # repeated elements
+    runs = [np.array(x, np.int32) for x in nodes]
+    n, sizes = len(runs), np.array([len(x) for x in runs])
+    similar = {x * n + y for x in range(n) for y in range(x) if substring_dedup.verified(runs[x], runs[y], 46, 0.8)}
+    zero = np.zeros(n, np.int64)
+    got = graph.sharing(zero, np.arange(n), zero > 0, np.concatenate(runs), sizes, 46, 9)
+    assert len(similar) >= 40 and similar <= set(got.tolist()) and len(got) < 60
+    assert not len(graph.sharing(zero, zero, zero > 0, np.concatenate(runs), sizes, 46, 9))  # one class, all covered
+    assert set(graph.sharing(zero, zero, zero == 0, np.concatenate(runs), sizes, 46, 9).tolist()) == set(got.tolist())
+
+
+def test_classes_are_joined_by_later_links(spark):
+    rng = random.Random(35)
+    some = [(rng.randrange(300), rng.randrange(300)) for _ in range(240)]
+    links = [spark.createDataFrame(x, "a long, b long") for x in (some[:140], some[140:], some)]
+    first, whole = graph.components(links[0]), graph.components(links[2])
+    assert set(map(tuple, graph.joined_classes(first, links[1]).collect())) == set(map(tuple, whole.collect()))
+    rows = [(rng.getrandbits(63) - (1 << 62), rng.getrandbits(40)) for _ in range(200)]
+    want = [r[0] for r in spark.createDataFrame(rows, "x long, y long").selectExpr("xxhash64(x, y)").collect()]
+    assert graph.spark_hash(*np.array(rows).T.copy()).tolist() == want
